@@ -5,20 +5,145 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from specweave.llm import simhash
+from specweave.llm import decontaminate, mixing, quality, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep_text=False)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), with_text=False)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix(docs, mixing.cyclic_weights(docs), keep_text=False)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = sharding.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24, keep_text=False)
+    return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
+    "op6_decontaminate": op6_decontaminate,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_mixing": op9_mixing,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words and windows one by one; quartiles of log-linear bins by language and source, language, all.
+OP3_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), wins AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS win FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM docs)
+), twice AS (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS n FROM wins) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM twice GROUP BY doc_id),
+base AS (
+  SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM docs LEFT JOIN covered USING (doc_id)
+), judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
+m AS (
+  SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'long_words', 'short_words']) AS rule,
+    unnest([n_symbols * 1000 // greatest(n_words, 1), n_dup_lines * 1000 // greatest(n_words, 1), n_repeat_words * 1000 // greatest(n_words, 1),
+      word_chars * 100 // greatest(n_words, 1), word_chars * 100 // greatest(n_words, 1)]) AS v,
+    unnest([100, 150, 200, 1200, 200]) AS lim, unnest([true, true, true, true, false]) AS upper
+  FROM judged
+), binned AS (SELECT *, (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) AS b FROM m WHERE NOT base_failed),
+a AS (SELECT lang, source, rule, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM binned GROUP BY ALL),
+l AS (SELECT lang, rule, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM binned GROUP BY ALL),
+g AS (SELECT rule, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM binned GROUP BY ALL),
+verdict AS (
+  SELECT m.doc_id, bool_or(CASE WHEN upper THEN v > greatest(coalesce(q.q3 + 4 * (q.q3 - q.q1), lim), lim) ELSE v < least(coalesce(q.q1 - 4 * (q.q3 - q.q1), lim), lim) END) AS failed
+  FROM m LEFT JOIN (
+    SELECT a.lang, a.source, a.rule, CASE WHEN a.n >= 200 THEN a.q1 WHEN l.n >= 200 THEN l.q1 WHEN g.n >= 200 THEN g.q1 END AS q1,
+      CASE WHEN a.n >= 200 THEN a.q3 WHEN l.n >= 200 THEN l.q3 WHEN g.n >= 200 THEN g.q3 END AS q3
+    FROM a JOIN l ON a.rule = l.rule AND a.lang IS NOT DISTINCT FROM l.lang JOIN g ON a.rule = g.rule
+  ) q ON m.rule = q.rule AND m.lang IS NOT DISTINCT FROM q.lang AND m.source IS NOT DISTINCT FROM q.source
+  GROUP BY m.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT failed AS kept
+FROM judged JOIN verdict USING (doc_id)
+"""
+
+OP6_SQL = r"""
+WITH low AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), wins AS (
+  SELECT DISTINCT id AS item_id, k, array_to_string(w[i:i + k - 1], ' ') AS win
+  FROM (SELECT id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM (SELECT id, w, least(10, len(w)) AS k FROM low WHERE kind = 'b' AND len(w) > 0))
+), sizes AS (SELECT DISTINCT k FROM wins),
+dwin AS (
+  SELECT id AS doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS win
+  FROM (SELECT id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM low, sizes WHERE kind = 'd' AND len(w) >= k)
+), found AS (SELECT d.doc_id, d.k, d.i, b.item_id FROM dwin d JOIN wins b ON d.k = b.k AND d.win = b.win),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS p FROM (SELECT DISTINCT doc_id, k, i FROM found)) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM found) GROUP BY 1)
+SELECT l.id AS doc_id, coalesce(len(l.w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM low l LEFT JOIN hits h ON l.id = h.doc_id LEFT JOIN items i ON l.id = i.doc_id WHERE l.kind = 'd'
+"""
+
+#: Unit of weight by the sources' order of cap to weight; documents by md5 of seed and id.
+OP9_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    md5('17:' || coalesce(doc_id::VARCHAR, md5(text), '')) AS place
+  FROM documents
+), totals AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST)) - 1)::INT % 3 + 1]::DOUBLE AS weight
+  FROM sized GROUP BY source
+), steps AS (
+  SELECT *, row_number() OVER (ORDER BY source_size / weight, source) AS n, source_size * 2.0::DOUBLE AS cap, (SELECT sum(source_size) * 1.5::DOUBLE FROM totals) AS budget,
+    coalesce(sum(source_size * 2.0::DOUBLE) OVER (ORDER BY source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fixed,
+    sum(weight) OVER (ORDER BY source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_weight
+  FROM totals
+), unit AS (SELECT arg_min((budget - fixed) / left_weight, n) AS u FROM steps WHERE weight * ((budget - fixed) / left_weight) <= cap),
+goal AS (
+  SELECT source, source_size, CASE WHEN u IS NULL OR weight * u > cap THEN cap ELSE weight * u END AS target
+  FROM steps, unit
+), rated AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM goal
+), run AS (
+  SELECT s.*, r.source_size, r.target, r.whole, r.target - r.whole * r.source_size AS room,
+    sum(s.size) OVER (PARTITION BY s.source ORDER BY s.place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
+), gaps AS (
+  SELECT *, room - coalesce(max(CASE WHEN upto <= room THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM run
+), last AS (
+  SELECT source, arg_min(place, struct_pack(off := abs(size - gap), place := place)) AS also
+  FROM gaps WHERE upto > room AND size > 0 AND abs(size - gap) < gap GROUP BY source
+)
+SELECT g.doc_id, g.size, g.source_size, g.target,
+  (CASE WHEN g.size > 0 THEN (g.whole + CASE WHEN g.upto <= g.room OR g.place = l.also THEN 1 ELSE 0 END) * g.size ELSE 0 END)::BIGINT AS taken
+FROM gaps g LEFT JOIN last l ON g.source IS NOT DISTINCT FROM l.source
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": OP3_SQL,
+    "op6_decontaminate": OP6_SQL,
+    "op9_mixing": OP9_SQL,
+}
