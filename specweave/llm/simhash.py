@@ -88,10 +88,16 @@ def cuts(segments: int) -> list[tuple[int, int]]:
     return list(zip([0, *accumulate(widths)][:-1], widths, strict=True))
 
 
-def shape(fingerprints: int) -> tuple[int, int]:
-    """(segments, identical ones in a key) for a number of different fingerprints: keys
-    of 21, 27 or 32 bits, so that a bucket holds few unrelated ones at any size."""
-    return (6, 2) if fingerprints < 1 << 23 else (7, 3) if fingerprints < 1 << 29 else (8, 4)
+def shape(fingerprints: int, max_bits: int) -> tuple[int, int]:
+    """(segments, identical ones in a key) for a number of different fingerprints: keys get
+    as many bits as that number needs, and 20 at least, so that a bucket holds few
+    unrelated fingerprints at any size."""
+    for equal in range(2, 64 - max_bits):
+        segments = equal + max_bits
+        bits = 64 * equal // segments
+        if bits >= 20 and (fingerprints <= 1 << bits or bits >= 32):
+            return segments, equal
+    raise ValueError("max_bits is too large")
 
 
 def in_ring(differs: Column, segments: int, max_bits: int) -> Column:
@@ -115,7 +121,7 @@ def linked(a: Column, b: Column, segments: int, max_bits: int) -> Column:
 def fingerprint_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     """prints: a stored table of different longs ``fp``. Returns ``node``, ``root`` for each
     fingerprint that links to another one, root being the smallest of its component."""
-    segments, equal = shape(prints.count())
+    segments, equal = shape(prints.count(), max_bits)
     at = cuts(segments)
 
     def key(number: int, chosen: tuple[int, ...]) -> Column:
