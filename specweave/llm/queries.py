@@ -7,24 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specweave.llm import decontaminate, mixing, quality, sharding, simhash
+from specweave.llm import decontaminate, langid, mixing, quality, sharding, simhash, tokens, warc
+from specweave.llm.common import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
+    return langid.predict(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    records = warc.read_archives(spark, path, with_payload=False)
+    return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), with_text=False)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokens.load_vocabulary(tokens.default_vocabulary_path())
+    return tokens.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "n_pretokens", "n_tokens")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
@@ -41,8 +60,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_quality_rules": op3_quality_rules,
+    "op4_warc": op4_warc,
     "op6_decontaminate": op6_decontaminate,
+    "op7_token_counts": op7_token_counts,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
@@ -87,6 +109,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged JOIN verdict USING (doc_id)
 """
 
+#: Base 32: five bytes of the hash at a time, eight digits each.
+_FIVE = "('0x' || substr(h, {at}, 10))::BIGINT"
+_DIGITS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({_FIVE.format(at=five * 10 + 1)} >> {shift}) & 31)::INT + 1, 1)" for five in range(4) for shift in range(35, -1, -5))
+OP4_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, {_DIGITS} AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+"""
+
 OP6_SQL = r"""
 WITH low AS (
   SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -144,6 +177,7 @@ FROM gaps g LEFT JOIN last l ON g.source IS NOT DISTINCT FROM l.source
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": OP3_SQL,
+    "op4_warc": OP4_SQL,
     "op6_decontaminate": OP6_SQL,
     "op9_mixing": OP9_SQL,
 }
