@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specweave.llm import decontaminate, langid, mixing, quality, sharding, simhash, tokens, warc
-from specweave.llm.common import shared_path
+from specweave.llm import decontaminate, langid, licenses, lines, mixing, quality, sharding, simhash, tokens, warc
+from specweave.llm.common import WORD, shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = lines.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean.select("doc_id", "n_lines", "n_dropped", F.crc32(F.coalesce("clean_text", F.lit(""))).alias("clean_crc32"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -33,6 +38,16 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files: a folder for each source and two levels below, by the hash of the
+    id; texts of up to 60 words stand for licence files."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    hashed = F.md5(F.col("doc_id").cast("string"))
+    name = F.when(F.regexp_count("text", F.lit(WORD)) <= 60, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = docs.withColumn("path", F.concat_ws("/", "source", F.substring(hashed, 1, 1), F.substring(hashed, 2, 1), name))
+    return licenses.license_scan(files, keep_text=False).select("doc_id", "path", "own_license", F.col("cosine"), "license", "inherited_from")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), with_text=False)
@@ -61,8 +76,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_warc": op4_warc,
+    "op5_license_scan": op5_license_scan,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
