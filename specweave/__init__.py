@@ -1,0 +1 @@
+"""Specification lookup and corpus processing on Spark."""
