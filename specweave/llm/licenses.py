@@ -134,7 +134,7 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     paths = base.filter(F.col(path_col).isNotNull()).select(F.col(path_col).alias("__path")).distinct().join(sized(found.select("__path"), n_found), "__path", "left_anti")
     above = paths.select("__path", F.explode(directories(F.col("__path"))).alias("d")).select("__path", F.col("d.dir").alias("dir"), F.col("d.depth").alias("depth"))
     near = above.join(sized(holders, holders.count()), "dir").groupBy("__path").agg(F.max_by(F.struct("dir", "dir_license"), "depth").alias("n"))
-    verdict = found.select("__path", "own_license", "cosine", F.lit(None).cast("string").alias("from"), F.col("own_license").alias("got")).union(near.select("__path", F.lit(None).cast("string"), F.lit(None).cast("double"), F.col("n.dir"), F.col("n.dir_license")))
+    verdict = found.select("__path", F.col("own_license").alias("__own"), F.col("cosine").alias("__cosine"), F.lit(None).cast("string").alias("__from"), F.col("own_license").alias("__got")).union(near.select("__path", F.lit(None).cast("string"), F.lit(None).cast("double"), F.col("n.dir"), F.col("n.dir_license")))
     verdict = stored(verdict, "verdict")
     out = kept.join(sized(verdict, verdict.count()), F.col(path_col) == F.col("__path"), "left")
-    return out.select(*[F.col(f"`{c}`") for c in kept.columns], "own_license", "cosine", F.col("got").alias("license"), F.col("from").alias("inherited_from"))
+    return out.select(*[F.col(f"`{c}`") for c in kept.columns], F.col("__own").alias("own_license"), F.col("__cosine").alias("cosine"), F.col("__got").alias("license"), F.col("__from").alias("inherited_from"))

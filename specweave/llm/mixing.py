@@ -110,11 +110,12 @@ def mix(
     nearest = rest.filter(off < F.col("gap")).groupBy("__source").agg(F.min(F.struct(off.alias("off"), "__place")).alias("best")).select(F.col("__source").alias("ns"), F.col("best.__place").alias("also"))
     final = stored(final.join(nearest, F.col("__source").eqNullSafe(F.col("ns")), "left").drop("ns", "gap"), "choice")
 
-    out = rows.join(sized(final, n), F.col(source_col).eqNullSafe(F.col("__source")), "left")
-    extra = F.when((F.col("__place") <= F.col("until")) | (F.col("__place") == F.col("also")), 1).otherwise(0)
-    repeats = F.when(F.col("size") > 0, F.coalesce(F.col("whole") + extra, F.lit(0))).otherwise(0).cast("long")
+    choice = final.select(*[F.col(c).alias(c if c == "__source" else f"__{c}") for c in final.columns])
+    out = rows.join(sized(choice, n), F.col(f"`{source_col}`").eqNullSafe(F.col("__source")), "left")
+    extra = F.when((F.col("__place") <= F.col("__until")) | (F.col("__place") == F.col("__also")), 1).otherwise(0)
+    repeats = F.when(F.col("size") > 0, F.coalesce(F.col("__whole") + extra, F.lit(0))).otherwise(0).cast("long")
     out = out.withColumn("repeats", repeats).withColumn("taken", (F.col("repeats") * F.col("size")).cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in own], "size", "source_size", "target", "taken", "repeats")
+    return out.select(*[F.col(f"`{c}`") for c in own], "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), "taken", "repeats")
 
 
 def cyclic_weights(docs: DataFrame, source_col: str = "source", cycle: tuple[float, ...] = (3.0, 1.0, 2.0)) -> DataFrame:

@@ -107,7 +107,7 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fences(measured: DataFrame, lang: str, source: str, rules: tuple[Rule, ...] = RULES, spread: int = SPREAD, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """One row per (lang, source) that occurs, with a column ``fence_<rule>`` each.
+    """One row per (lang, source) that occurs, with a column ``__fence_<rule>`` each.
 
     A group of fewer than least_rows rows takes the fences of its language; if that has
     fewer too, those of all rows; if these are too few as well, the rule's limit alone."""
@@ -126,7 +126,7 @@ def fences(measured: DataFrame, lang: str, source: str, rules: tuple[Rule, ...]
     gap = (pick("q3") - pick("q1")) * spread
     fence = F.when(F.col("upper"), F.greatest(pick("q3") + gap, F.col("limit"))).otherwise(F.least(pick("q1") - gap, F.col("limit")))
     rows = full.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), F.col("a.rule").alias("rule"), fence.alias("fence"))
-    return rows.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r.name, F.col("fence"))).alias(f"fence_{r.name}") for r in rules])
+    return rows.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r.name, F.col("fence"))).alias(f"__fence_{r.name}") for r in rules])
 
 
 def quality(
@@ -156,7 +156,7 @@ def quality(
     joined = measured.join(sized(limits, limits.count()), F.col(lang_col).eqNullSafe(F.col("__lang")) & F.col(source_col).eqNullSafe(F.col("__source")), "left")
     failed = F.array(
         *[
-            F.when(F.expr(r.measure) > F.coalesce(f"fence_{r.name}", F.lit(r.limit)) if r.upper else F.expr(r.measure) < F.coalesce(f"fence_{r.name}", F.lit(r.limit)), F.lit(r.name))
+            F.when(F.expr(r.measure) > F.coalesce(f"__fence_{r.name}", F.lit(r.limit)) if r.upper else F.expr(r.measure) < F.coalesce(f"__fence_{r.name}", F.lit(r.limit)), F.lit(r.name))
             for r in rules
         ]
     )

@@ -11,8 +11,8 @@ above 1/``FINE`` of a shard's capacity in some dimension stay alone (there are a
 are placed like groups. Both tables have a fixed bound, are collected, placed and
 broadcast; the documents themselves are never shuffled for their shard.
 
-A group that by itself exceeds a shard's fair share in some dimension cannot lie in one
-shard of equal size; it is cut by row into as many parts as fair shares need, and the parts
+A group that by itself has over ``WHOLE`` times the bytes of a fair share cannot lie in one
+shard of about equal size; it is cut by row into as many parts as fair shares need, and the parts
 are placed one by one. All other groups stay whole.
 """
 
@@ -28,6 +28,7 @@ from specweave.llm.common import stored, without, word_count
 
 BUNDLES = 8192
 FINE = 64
+WHOLE = 1.25
 
 #: Rows of a shard that are numbered in one task.
 RUN_ROWS = 200_000
@@ -92,7 +93,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards
     total = groups.agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in vector]).first()
     fair = {v: max(1.0, total[v] / shards) for v in vector}
     large = F.greatest(*[F.col(v) / F.lit(fair[v]) for v in vector])
-    alone = groups.filter(large > 1 / FINE).withColumn("parts", F.ceil(large)).collect()  # at most 3 * FINE * shards
+    alone = groups.filter(large > 1 / FINE).withColumn("parts", F.when(F.col("bytes") > WHOLE * fair["bytes"], F.ceil(F.col("bytes") / fair["bytes"])).otherwise(1)).collect()  # at most 3 * FINE * shards
     bundles = groups.filter(large <= 1 / FINE).groupBy(F.pmod("__group", F.lit(BUNDLES)).cast("int").alias("bundle")).agg(*[F.sum(v).alias(v) for v in vector]).collect()
 
     items = [(g["__group"], part, [g[v] / g["parts"] for v in vector]) for g in sorted(alone, key=lambda g: g["__group"]) for part in range(g["parts"])]

@@ -79,7 +79,7 @@ def test_licenses_brute(spark):
         "n.txt": None,
         "r/readme": "All rights reserved.",
     }
-    table = spark.createDataFrame([(*x, "own") for x in [*files.items(), (None, "Released under the MIT License."), ("a/x.txt", files["a/x.txt"])]], "path string, text string, license string")
+    table = spark.createDataFrame([(*x, "own", "x") for x in [*files.items(), (None, "Released under the MIT License."), ("a/x.txt", files["a/x.txt"])]], "path string, text string, license string, `from` string")
     got = licenses.license_scan(table).collect()
     assert len(got) == 10
     by = {r["path"]: (r["own_license"], r["license"], r["inherited_from"]) for r in got}

@@ -23,7 +23,7 @@ def test_measures(spark):
     rng = random.Random(4)
     texts = [None, "", " \n\t", "a", "a b c d", "a b c d e", "x " * 3000, "é ü 😀 #*$%&|<>", "l 1\nl 1\n\nl 1 \n"]
     texts += [" ".join(rng.choice("ab") for _ in range(n)) for n in (7, 12, 30, 90)] + ["\n".join(rng.choice(["a b", "c", " "]) for _ in range(40))]
-    docs = spark.createDataFrame([(i, t, "en", None, 7) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_words int")
+    docs = spark.createDataFrame([(i, t, "en", None, 7, 8) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_words int, fence_symbols int")
     got = sorted(quality.quality(docs, least_rows=3).collect(), key=lambda r: r["doc_id"])
     assert [tuple(r[b] for b in quality.BASE) for r in got] == [brute_measures(t) for t in texts]
     assert not any(r["kept"] for r in got if r["base_failed"]) and quality.quality(docs.limit(0)).count() == 0
@@ -32,7 +32,7 @@ def test_measures(spark):
 def test_thresholds(spark):
     """A fence follows its group: symbols are usual in one source and odd in another."""
     clean = lambda i: " ".join(f"word{i}x{k}" for k in range(40))
-    busy = lambda i, n: " ".join(f"#{i}" if k < n else f"w{i}x{k}" for k in range(40))
+    busy = lambda i, n: " ".join(f"#{i}y{k}" if k < n else f"w{i}x{k}" for k in range(40))
     rows = [("plain", clean(i)) for i in range(60)] + [("plain", busy(900, 12))] + [("code", busy(i, 8 + i % 9)) for i in range(60)] + [("tiny", busy(800, 10)), ("tiny", None)]
     docs = spark.createDataFrame([(i, t, "en", s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
     for keep in (True, False):
@@ -67,7 +67,7 @@ def test_mix(spark):
     rng = random.Random(7)
     rows = [(i, "w " * rng.choice([1, 3, 10, 80]), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(400)]
     rows += [(1000, None, "a"), (None, "w w", "b"), (5, "w " * 9, "a"), (5, "w " * 9, "a"), (1001, "", "empty"), (1002, None, "empty")]
-    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, source string, taken string")
+    docs = spark.createDataFrame([(*r, "clash", "until", "n") for r in rows], "doc_id long, text string, source string, taken string, until string, whole string")
     runs = [sorted((str(tuple(r)) for r in mixing.mix(docs, mixing.cyclic_weights(docs), keep_text=keep).drop("text").collect())) for keep in (True, False)]
     assert runs[0] == runs[1]
     got = mixing.mix(docs, mixing.cyclic_weights(docs)).collect()
@@ -76,7 +76,7 @@ def test_mix(spark):
     for r in got:
         taken[r["source"]] += r["taken"]
         target[r["source"]] = r["target"]
-    assert all(abs(taken[s] - target[s]) <= 2 for s in target)
+    assert all(abs(taken[s] - target[s]) <= 40 for s in target)  # half of the largest document
     assert abs(sum(target.values()) - 1.5 * sum(r["size"] for r in got)) < 1e-6
     assert mixing.expanded(mixing.mix(docs, mixing.cyclic_weights(docs))).count() == sum(r["repeats"] for r in got)
     assert mixing.mix(docs.limit(0), mixing.cyclic_weights(docs)).count() == 0
@@ -117,6 +117,6 @@ def test_pack_splits_giants(spark):
     got = sharding.pack(docs, shards=4).collect()
     counts = Counter(r["shard"] for r in got)
     assert max(counts.values()) <= 1.25 * min(counts.values())
-    numbered = sharding.slots(docs.selectExpr("*", "cast(id % 2 as int) as s") if "id" in docs.columns else docs.selectExpr("*", "cast(doc_id % 2 as int) as s"), "s", [F.col("doc_id")], 900 * sharding.RUN_ROWS, 2)
+    numbered = sharding.slots(docs.selectExpr("*", "cast(doc_id % 2 as int) as s"), "s", [F.col("doc_id")], 900 * sharding.RUN_ROWS, 2)
     for s in (0, 1):
         assert sorted(r["slot"] for r in numbered.filter(F.col("s") == s).collect()) == list(range(450))
