@@ -11,7 +11,7 @@ from specweave.functions import text as js
 from specweave.operators import answering as a
 from specweave.operators import conversation as conv
 from specweave.operators import matching, normalise
-from specweave.operators.assess import assess, d_message, sum_message
+from specweave.operators.assess import NOTE, assess, d_message, sum_message
 from specweave.plans import driver_tables as d
 from specweave.streaming.questions import answer_stream_table
 
@@ -29,6 +29,10 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -145,6 +149,12 @@ def current_records(spark, sf_dir):
     return r.selectExpr("id", "capacity.value as cap", "capacity.unit as unit", "capacity.secondaryValue as cap2", "repeatability.value as rep", "linearity.value as lin", "ocl.value as ocl", "tolerance.value as tol", "readability.value as readability", "source.manual as manual", "source.page as page")
 
 
+@query(f"WITH {RAW} SELECT format('LEG-{{:04d}}', k) AS id, 'legacy' AS lifecycle, series, manual AS table_title, 'PX' || (1000 + k) AS model_group, rep, lin, NULL::DOUBLE AS ocl, NULL::DOUBLE AS tol, NULL::VARCHAR AS status, p_size AS page FROM raw WHERE k % 6 = 0")
+def legacy_records(spark, sf_dir):
+    r = d.knowledge(spark, sf_dir).records.filter("tbl = 1")
+    return r.selectExpr("id", "lifecycle", "series", "tableTitle as table_title", "modelGroup as model_group", "repeatability.value as rep", "linearity.value as lin", "ocl.value as ocl", "tolerance.value as tol", "qa.status as status", "source.page as page")
+
+
 @query("SELECT 'Master Tolerance Reference' AS title, '2024-01' AS documentDate, (SELECT count(*) FROM part) AS currentRecords, (SELECT count(*) FROM part WHERE p_partkey % 6 = 0) AS legacyRecords, (SELECT count(*) FROM supplier) AS temperatureRecords, 21 AS knownQaItems")
 def meta_counts(spark, sf_dir):
     return d.knowledge(spark, sf_dir).meta
@@ -174,6 +184,16 @@ def qa_badge(spark, sf_dir):
     return d.knowledge(spark, sf_dir).records.select("id", conv.qa_badge(F.col("qa.status")).alias("badge"))
 
 
+_NOTED = f"{_quoted(NOTE)}"
+
+
+@query(f"WITH {RAW} SELECT format('CUR-{{:04d}}', k) AS id, CASE WHEN {_SUM} IS NOT NULL THEN 1 ELSE 0 END + (tol IS NOT NULL AND abs(tol / readability - 3) > 1e-4)::INT + (abs(ocl / readability - ocl_d) > 1e-4)::INT AS place, {_NOTED} AS message FROM raw WHERE page = 49 UNION ALL SELECT format('CUR-{{:04d}}', k), 0, {_SUM} FROM raw WHERE {_SUM} IS NOT NULL")
+def qa_notes(spark, sf_dir):
+    """Of the notes, the ones on sums and on the noted page."""
+    notes = conv.qa_notes(d.knowledge(spark, sf_dir).records)
+    return notes.filter("message not like '%converts to%'").select("id", "place", "message")
+
+
 @query(f"WITH {QUESTIONS}, t AS (SELECT 'q' || question_id AS id, question AS t FROM questions UNION ALL SELECT 'd' || doc_id, text FROM documents) SELECT id, {INTENT.format(q='t')} AS intent FROM t")
 def detect_intent(spark, sf_dir):
     q = _questions(spark, sf_dir).select(F.concat(F.lit("q"), F.col("question_id").cast("string")).alias("id"), F.col("question").alias("t"))
@@ -245,6 +265,19 @@ _TEMPERATURE = f"""'TS' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN '/TX' E
   ' °C, with calibration setpoints at ' || CASE WHEN s_suppkey % 2 = 0 THEN '100 and160;200' ELSE '100 and160' END || ' °C.'"""
 
 
+@query(f"""WITH {QUESTIONS}, t AS (SELECT question_id, regexp_extract_all(upper(question), '[A-Z0-9]+') AS t FROM questions)
+SELECT question_id, s_suppkey FROM t, supplier WHERE list_has_any(t, ['TS' || s_suppkey, 'TX' || s_suppkey])""")
+def temperature_matches(spark, sf_dir):
+    heat = matching.temperature_index(d.temperature(_table(spark, sf_dir, "supplier")))
+    return matching.matches(_questions(spark, sf_dir), heat).select("question_id", (F.col("id") + 1).alias("s_suppkey"))
+
+
+@query("SELECT s_suppkey, 'halogen' AS heater, '1 °C' AS temperature_readability, regexp_replace(format('{}', s_acctbal), '\\.0$', '') || ' g' AS adjustment_mass FROM supplier")
+def temperature_card(spark, sf_dir):
+    card = conv.temperature_card(d.temperature(_table(spark, sf_dir, "supplier")))
+    return card.select((F.col("pos") + 1).alias("s_suppkey"), "heater", "temperature_readability", "adjustment_mass")
+
+
 @query(f"SELECT s_suppkey, {_TEMPERATURE} AS text FROM supplier")
 def temperature_answer(spark, sf_dir):
     return d.temperature(_table(spark, sf_dir, "supplier")).select((F.col("pos") + 1).alias("s_suppkey"), a.temperature_text().alias("text"))
@@ -297,10 +330,6 @@ def model_answer(spark, sf_dir):
     return rows.select("id", "intent", a.model_answer(F.col("intent")).alias("m")).select("id", "intent", "m.text", F.col("m.factValue").alias("fact"))
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 _GUIDES = " ".join(f"WHEN {k} THEN {_quoted(v.format(maker='manufacturer'))}" for k, v in a.SUMMARIES.items())
 ANSWERS = FOUND + MODEL.removeprefix(RAW) + f""",
 heat AS (SELECT u.question_id, s.s_suppkey, {_TEMPERATURE} AS t_text, s_suppkey % 80 AS t_page, count(*) OVER (PARTITION BY question_id) AS m
@@ -365,6 +394,11 @@ def exchange_history(spark, sf_dir):
     return conv.history(_pairs(spark, sf_dir)).select("conv_id", "pair", F.col("place").cast("long").alias("place"))
 
 
+@query(f"WITH {PAIRS} SELECT conv_id, pair, row_number() OVER (PARTITION BY conv_id ORDER BY pair DESC) - 1 AS place FROM exchanges")
+def latest_first(spark, sf_dir):
+    return conv.latest_first(_pairs(spark, sf_dir)).select("conv_id", "pair", F.col("place").cast("long").alias("place"))
+
+
 @query(f"WITH {PAIRS} SELECT conv_id, count(*) - 1 AS n_history FROM exchanges GROUP BY 1")
 def history_count(spark, sf_dir):
     return conv.history_count(_pairs(spark, sf_dir))

@@ -57,6 +57,11 @@ def read(spark: SparkSession, path: str) -> Knowledge:
     return Knowledge(**{name: spark.read.parquet(f"{path}/{name}") for name in Knowledge.__dataclass_fields__})
 
 
+def progress(knowledge: Knowledge, path: str) -> str:
+    """What a finished preparation reports."""
+    return f"Prepared {knowledge.records.count()} model records at {path}"
+
+
 def write_json(table: DataFrame, path: str) -> None:
     """Lines of JSON with null members kept."""
     table.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
