@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from specweave.llm.common import components, stored, without
 
 SEED = 42
+KEY_ROWS = 2_000_000
 
 
 def fingerprint_of(text: str | None, shingle: int, seed: int = SEED) -> int:
@@ -121,8 +122,9 @@ def linked(a: Column, b: Column, segments: int, max_bits: int) -> Column:
 def fingerprint_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     """prints: a stored table of different longs ``fp``. Returns ``node``, ``root`` for each
     fingerprint that links to another one, root being the smallest of its component."""
-    segments, equal = shape(prints.count(), max_bits)
-    at = cuts(segments)
+    rows = prints.count()
+    segments, equal = shape(rows, max_bits)
+    at, sets = cuts(segments), ring_keys(segments, max_bits, equal)
 
     def key(number: int, chosen: tuple[int, ...]) -> Column:
         k = F.lit(number).cast("long")
@@ -130,10 +132,15 @@ def fingerprint_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
             k = F.shiftleft(k, at[s][1]).bitwiseOR(F.shiftrightunsigned("fp", at[s][0]).bitwiseAND(F.lit((1 << at[s][1]) - 1)))
         return k
 
-    keyed = prints.select("fp", F.explode(F.array(*[key(n, c) for n, c in enumerate(ring_keys(segments, max_bits, equal))])).alias("key"))
+    # A fingerprint becomes as many rows as there are keys; no task makes more than some KEY_ROWS.
+    spread = prints.repartition(max(1, -(-rows * len(sets) // KEY_ROWS)), "fp")
+    keyed = spread.select("fp", F.explode(F.array(*[key(n, c) for n, c in enumerate(sets)])).alias("key"))
     buckets = stored(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).filter("n > 1"), "buckets")
-    members = stored(keyed.join(buckets, "key"), "members")
-    stars = stored(members.filter((F.col("fp") != F.col("pivot")) & linked(F.col("fp"), F.col("pivot"), segments, max_bits)).select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
+    # A bucket of two is settled by comparing both; those of three or more keep all members.
+    star = (F.col("fp") != F.col("pivot")) & linked(F.col("fp"), F.col("pivot"), segments, max_bits)
+    bucket = buckets.withColumnRenamed("key", "bucket")
+    members = stored(keyed.join(bucket, (F.col("key") == F.col("bucket")) & ((F.col("n") > 2) | star)).select("key", "fp", "n", "pivot"), "members")
+    stars = stored(members.filter(star).select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     found = components(stars)
 
     labelled = members.filter("n > 2").select("key", "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
