@@ -30,8 +30,9 @@ BUNDLES = 8192
 FINE = 64
 WHOLE = 1.25
 
-#: Rows of a shard that are numbered in one task.
+#: Rows of a shard, and bytes where texts go along, that are numbered in one run.
 RUN_ROWS = 200_000
+RUN_BYTES = 64 << 20
 
 
 def place(vectors: np.ndarray, shards: int) -> np.ndarray:
@@ -52,12 +53,13 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def slots(df: DataFrame, shard: str, order: list[Column], rows: int, shards: int) -> DataFrame:
+def slots(df: DataFrame, shard: str, order: list[Column], rows: int, shards: int, size: int = 0) -> DataFrame:
     """df with ``slot``: gapless numbers from 0 in each shard.
 
-    A shard's rows are dealt by hash to runs of some RUN_ROWS rows. Runs are numbered
+    A shard's rows are dealt by hash to runs of some RUN_ROWS rows and RUN_BYTES of ``size``,
+    the bytes of all rows. Runs are numbered
     apart, from the sum of the counts of the runs before."""
-    runs = max(1, math.ceil(rows / shards / RUN_ROWS))
+    runs = max(1, math.ceil(rows / shards / RUN_ROWS), math.ceil(size / shards / RUN_BYTES))
     dealt = df.withColumn("__run", F.pmod(F.xxhash64(*order), F.lit(runs)).cast("int"))
     counts = dealt.groupBy(F.col(shard).alias("__s"), F.col("__run").alias("__r")).agg(F.count("*").alias("n"))
     first = counts.select("__s", "__r", F.coalesce(F.sum("n").over(Window.partitionBy("__s").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
@@ -115,5 +117,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards
     part = F.pmod(F.xxhash64(F.col(id_col)), F.size("__shards")).cast("int")
     shard = F.when(F.col("__shards").isNotNull(), F.get("__shards", part)).otherwise(F.col("__shard"))
     order = [F.xxhash64(F.col(id_col)), F.col(id_col), F.col("__group")]
-    out = slots(joined.withColumn("shard", shard), "shard", order, total["rows"], shards)
+    out = slots(joined.withColumn("shard", shard), "shard", order, total["rows"], shards, total["bytes"] if keep_text else 0)
     return out.select(*[F.col(f"`{c}`") for c in own], *made)
