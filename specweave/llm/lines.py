@@ -78,15 +78,10 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", least_docs: in
     at = base.select(key.alias("__key"), F.posexplode(F.split(text, "\n")).alias("place", "l")).select("__key", "place", F.xxhash64(masked(F.col("l"))).alias("line"))
     # Equal texts have the same lines in the same places.
     hits = at.join(sized(gone, gone.count()), "line").groupBy("__key").agg(F.collect_set("place").alias("__gone"))
-    hits = stored(hits, "hits")
-    out = base.withColumn("__k", key).join(sized_by_rows(hits), F.col("__k") == F.col("__key"), "left")
+    # The texts go to their hits by a shuffle at any size.
+    out = base.withColumn("__k", key).join(stored(hits, "hits").hint("merge"), F.col("__k") == F.col("__key"), "left")
     lines = F.split(text, "\n")
     left = F.filter(lines, lambda line, n: ~F.array_contains(F.coalesce("__gone", F.array().cast("array<int>")), n))
     out = out.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
     out = out.withColumn("clean_text", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
     return without(out, "__k", "__key", "__gone")
-
-
-def sized_by_rows(hits: DataFrame) -> DataFrame:
-    """hits broadcast if few; its rows hold the places of a text's lines."""
-    return F.broadcast(hits) if hits.count() <= 2_000 else hits
