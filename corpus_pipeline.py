@@ -25,9 +25,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id. Texts are in
-    five-word shingles; six bits of 64 leave a similarity of 0.9."""
-    return simhash.drop_near_duplicates(docs, shingle=5, max_bits=6).select(*COLUMNS)
+    """One document of each group of near-duplicates, that of the smallest id. Texts
+    link if their sets of five-word shingles have a Jaccard similarity of 0.8, or if their
+    fingerprints differ in six bits at most."""
+    return simhash.drop_near_duplicates(docs, shingle=5, max_bits=6, percent=80).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

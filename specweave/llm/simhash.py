@@ -19,6 +19,12 @@ Only different fingerprints are compared, and no bucket is expanded into all its
    connected.
 
 So each component is exact, while a large group of near copies costs a few rows a member.
+
+Fingerprints of texts that share 0.8 of their shingles mostly differ in more bits than
+max_bits. With ``percent`` a second route is added: texts that share one of BANDS bands of
+BAND minimum hashes are candidates, taken from their buckets in the same steps, and two
+link if the exact Jaccard similarity of their sets of shingles reaches percent. A pair
+at 0.8 shares a band with probability 0.998.
 """
 
 from __future__ import annotations
@@ -35,26 +41,39 @@ from specweave.llm.common import components, stored, without
 
 SEED = 42
 KEY_ROWS = 2_000_000
+BANDS, BAND = 20, 6
+#: Lowest bits of 64 minimum hashes: of pairs at 0.8, about 6 differ; over 18 in none to speak of.
+SKETCH_BITS = 18
+#: Odd factors, one a minimum hash.
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint_of(text: str | None, shingle: int, seed: int = SEED) -> int:
-    """The fingerprint of one text as an unsigned number: a bit is 1 if it is set in over
-    half of the shingles' XXH64. A-Z are lower-cased, shingles are joined by a space."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle of a text. A-Z are lower-cased, shingles are joined by a space."""
     own = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not own:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined, digest = b" ".join(own), xxhash.xxh64_intdigest
     if len(own) <= shingle:
-        return digest(joined, seed)
+        return np.array([digest(joined, seed)], dtype="<u8")
     ends = list(accumulate(map(len, own), lambda a, b: a + b + 1))
     starts = [0, *[e + 1 for e in ends[: len(own) - shingle]]]
-    h = np.array([digest(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :], strict=True)], dtype="<u8")
+    return np.array([digest(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :], strict=True)], dtype="<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; of none, 0."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), 1 << 14):
         ones += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint_of(text: str | None, shingle: int, seed: int = SEED) -> int:
+    """The fingerprint of one text as an unsigned number."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprint(text: Column, shingle: int, seed: int = SEED) -> Column:
     """`fingerprint_of` over a column, as a (signed) long; null has that of no words, 0."""
 
@@ -65,6 +84,41 @@ def fingerprint(text: Column, shingle: int, seed: int = SEED) -> Column:
     return of(text)
 
 
+def sketch_of(text: str | None, shingle: int, seed: int = SEED) -> tuple[int, int, int, int, list[int]]:
+    """(fingerprint, hash of the set of shingles, its size, sketch bits, band keys), signed."""
+    h = shingle_hashes(text, shingle, seed)
+    own = np.unique(h)
+    if not len(own):
+        return 0, 0, 0, 0, []
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(own), 512):
+        least = np.minimum(least, np.multiply.outer(own[i : i + 512], FACTORS).min(axis=0))
+    bits = np.packbits(((least[:64] >> np.uint64(17)) & np.uint64(1)).astype(np.uint8)).view("<u8")[0]
+    keys = [xxhash.xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(least.reshape(BANDS, BAND))]
+    signed = np.array([majority(h), xxhash.xxh64_intdigest(own.tobytes(), seed), int(bits), *keys], dtype=np.uint64).astype(np.int64).tolist()
+    return signed[0], signed[1], len(own), signed[2], signed[3:]
+
+
+def sketch(text: Column, shingle: int, seed: int = SEED) -> Column:
+    """`sketch_of` over a column."""
+
+    @F.pandas_udf("fp long, shingles long, size long, bits long, bands array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sketch_of(t, shingle, seed) for t in texts], columns=["fp", "shingles", "size", "bits", "bands"])
+
+    return of(text)
+
+
+def shingle_set(text: Column, shingle: int, seed: int = SEED) -> Column:
+    """The different hashes of a text's shingles."""
+
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, shingle, seed)).astype(np.int64) for t in texts], dtype=object)
+
+    return of(text)
+
+
 def ring_keys(segments: int, max_bits: int, equal: int) -> list[tuple[int, ...]]:
     """Sets of ``equal`` segments such that two fingerprints within max_bits share one.
 
@@ -159,18 +213,27 @@ def fingerprint_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     return stored(found.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root")).union(alone), "roots")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 4, seed: int = SEED) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 4, seed: int = SEED, percent: int | None = None) -> DataFrame:
     """One row per row of docs: the id, ``fingerprint`` (16 lowercase hex digits) and
-    ``component_id`` (the smallest id that links reach, itself included).
+    ``component_id`` (the smallest id that links reach, itself included). With percent,
+    texts whose sets of shingles have that Jaccard similarity link as well.
 
     Null and empty texts have fingerprint 0 and link like any other. A null id takes part
     in links but is never the smallest; of ids that are all null the component is null.
     Repeated rows give repeated rows. Other columns of docs, whatever their names, are
     not read. An empty table gives an empty one.
     """
-    rows = stored(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle, seed).alias("fp")), "prints")
+    if percent is None:
+        rows = stored(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle, seed).alias("fp")), "prints")
+    else:
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        rows = stored(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), sketch(F.col(text_col), shingle, seed).alias("s")).select("id", "hash", "s.*"), "prints")
     prints = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "different")
     found = fingerprint_components(prints.select("fp"), max_bits)
+    if percent is not None:
+        texts = docs.select(F.xxhash64(text).alias("hash"), text.alias("text"))
+        edges = found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar_edges(rows, texts, shingle, percent))
+        found = components(edges)
     roots = stored(prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "least")
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = stored(roots.select("fp", "root").join(least, "root").select("fp", "component_id"), "by_print")
@@ -178,14 +241,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 4) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The rows ``a``, ``b`` of pairs (hashes of sets) whose Jaccard similarity reaches percent.
+    texts has ``hash`` and ``text``; sets names a text's hash for each set."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("shingles")).distinct().join(sets, "shingles").select("shingles", F.col("hash").alias("__hash"))
+    found = texts.join(wanted, F.col("hash") == F.col("__hash")).groupBy("shingles").agg(F.any_value("text").alias("text"))
+    own = stored(found.select("shingles", shingle_set(F.col("text"), shingle).alias("own")), "shingle_sets")
+    x, y = own.select(F.col("shingles").alias("a"), F.col("own").alias("x")), own.select(F.col("shingles").alias("b"), F.col("own").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
+    return stored(both.filter(F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * percent).select("a", "b"), "confirmed")
+
+
+def similar_edges(rows: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """rows: a stored table of `sketch` and ``hash``, that of the text. Returns ``a``, ``b``:
+    fingerprints to be linked since sets of shingles are alike; buckets are settled as by
+    `fingerprint_components`."""
+    sets = rows.filter("size > 0").groupBy("shingles").agg(F.min("fp").alias("fp"), F.min("hash").alias("hash"), F.min("size").alias("size"), F.min("bits").alias("bits"), F.min("bands").alias("bands"))
+    sets = stored(sets, "sets")
+    node = F.struct("shingles", "size", "bits")
+    keyed = sets.select(node.alias("m"), F.explode("bands").alias("key"))
+    buckets = stored(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("m").alias("pivot")).filter("n > 1").withColumnRenamed("key", "bucket"), "set_buckets")
+    members = stored(keyed.join(buckets, F.col("key") == F.col("bucket")).select("key", "m", "n", "pivot"), "set_members")
+
+    def near(a: str, b: str) -> Column:
+        sizes = F.least(f"{a}.size", f"{b}.size") * 100 >= F.greatest(f"{a}.size", f"{b}.size") * percent
+        return sizes & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= SKETCH_BITS)
+
+    stars = members.filter((F.col("m.shingles") != F.col("pivot.shingles")) & near("m", "pivot"))
+    first = confirmed(stored(stars.select(F.col("m.shingles").alias("a"), F.col("pivot.shingles").alias("b")).distinct(), "set_stars"), texts, sets, shingle, percent)
+    found = components(first).withColumnRenamed("node", "shingles")
+    labelled = members.filter("n > 2").select("key", "m", F.col("m.shingles").alias("shingles")).join(found, "shingles", "left")
+    labelled = stored(labelled.select("key", "m", F.coalesce("root", "shingles").alias("root")), "set_labelled")
+    shares = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select(F.col("key").alias("bucket"), "top")
+    rest = stored(labelled.join(mixed, F.col("key") == F.col("bucket")).select("key", "m", "root", "top"), "set_rest")
+    a, b = rest.filter("root <> top").select("key", F.col("m").alias("v"), F.col("root").alias("r")), rest.select(F.col("key").alias("bucket"), F.col("m").alias("w"), "root")
+    apart = a.join(b, (F.col("key") == F.col("bucket")) & (F.col("r") != F.col("root")) & near("v", "w"))
+    # A pair may come both ways round.
+    apart = apart.select(F.least("v.shingles", "w.shingles").alias("a"), F.greatest("v.shingles", "w.shingles").alias("b")).distinct()
+    more = confirmed(stored(apart, "set_pairs"), texts, sets, shingle, percent)
+    prints = sets.select("shingles", "fp")
+    at = lambda c: prints.select(F.col("shingles").alias(c), F.col("fp").alias(f"fp_{c}"))
+    alike = first.union(more).join(at("a"), "a").join(at("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    # Equal sets may have several fingerprints, as these count repeated shingles.
+    equal = rows.select("shingles", F.col("fp").alias("a")).distinct().join(prints, "shingles").filter("a <> fp").select("a", F.col("fp").alias("b"))
+    return stored(alike.union(equal).distinct(), "similar")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 4, percent: int | None = None) -> DataFrame:
     """docs with one document of each component: that of the smallest id.
 
     Rows whose id is null cannot be told apart by it; all of them stay. Of rows that repeat
     an id and a text one stays. The texts are shuffled once, by id, against the ids that
     go; columns and their names stay as they are.
     """
-    gone = near_duplicates(docs.select(id_col, text_col), id_col, text_col, shingle, max_bits).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
+    gone = near_duplicates(docs.select(id_col, text_col), id_col, text_col, shingle, max_bits, percent=percent).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
     left = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
     same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
     marked = left.withColumn("__copy", F.when(F.col(id_col).isNull(), F.lit(1)).otherwise(F.row_number().over(same)))
