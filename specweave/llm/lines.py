@@ -35,28 +35,32 @@ def leaf(tokens: Column) -> Column:
 
 
 def parsed(docs: DataFrame, text_col: str) -> DataFrame:
-    """A row for each different line of each row: ``leaf``, ``line`` (hash), ``tokens``."""
-    lines = docs.select(F.explode(F.array_distinct(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))).alias("l")).select(masked(F.col("l")).alias("tokens"))
-    return lines.filter(F.size("tokens") >= LEAST_TOKENS).select(leaf(F.col("tokens")).alias("leaf"), F.xxhash64("tokens").alias("line"), "tokens")
+    """A row for each different masked line of each row: ``leaf``, ``line`` (hash), ``tokens``,
+    and ``row``, a number of its own for each row of docs and call."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.array_distinct(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), masked)).alias("lines"))
+    lines = rows.select("row", F.explode("lines").alias("tokens"))
+    return lines.filter(F.size("tokens") >= LEAST_TOKENS).select(leaf(F.col("tokens")).alias("leaf"), F.xxhash64("tokens").alias("line"), "tokens", "row")
 
 
 def recurring(docs: DataFrame, text_col: str = "text", least_docs: int = LEAST_DOCS, similar: float = SIMILAR) -> DataFrame:
     """The hashes ``line`` of the lines that are dropped, with their ``template`` as text
-    and ``n_docs`` (rows of docs with a line of it, each different line of a row counted)."""
+    and ``n_docs`` (rows of docs with a line of it)."""
     lines = parsed(docs, text_col)
     counts = stored(lines.groupBy("leaf", "line").agg(F.count("*").alias("n")), "lines")
     mixed = counts.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("n").alias("n")).filter(F.col("lines").between(2, 1 << 60) & (F.col("n") >= least_docs))
     mixed = stored(mixed.select("leaf"), "leaves")
-    own = lines.join(sized(mixed, mixed.count()), "leaf").groupBy("leaf", "line").agg(F.any_value("tokens").alias("tokens"), F.count("*").alias("n"))
-    own = stored(own, "mixed")
+    lookup = sized(mixed, mixed.count())
+    own = stored(lines.join(lookup, "leaf").groupBy("leaf", "line").agg(F.any_value("tokens").alias("tokens")), "mixed")
     places = own.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count("*").alias("k"))
     top = places.groupBy("leaf", "place").agg(F.max_by("token", F.struct("k", "token")).alias("token"), F.max("k").alias("k"), F.sum("k").alias("all"))
     kept = top.select("leaf", F.struct("place", F.when(F.col("k") * 2 >= F.col("all"), F.col("token")).otherwise(FIELD).alias("token")).alias("p"))
     templates = kept.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["token"]).alias("template"))  # a row for each place of a line
     alike = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a == b), lambda same: same))
     joined = own.join(templates, "leaf").withColumn("fits", alike >= F.size("tokens") * F.lit(similar))
-    fitting = stored(joined.filter("fits").select("leaf", "line", "n", F.array_join("template", " ").alias("template")), "fitting")
-    general = fitting.groupBy("leaf").agg(F.sum("n").alias("n_docs")).filter(F.col("n_docs") >= least_docs)
+    fitting = stored(joined.filter("fits").select("leaf", "line", F.array_join("template", " ").alias("template")), "fitting")
+    # A row counts once for a template, whatever number of different lines it has of it.
+    once = lines.select("leaf", "line", "row").join(fitting.select("leaf", "line"), ["leaf", "line"]).select("leaf", "row").distinct()
+    general = once.groupBy("leaf").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= least_docs)
     dropped = fitting.join(general, "leaf").select("line", "template", "n_docs")
     # Lines that recur by themselves, whatever their leaf looks like.
     alone = counts.filter(F.col("n") >= least_docs).join(dropped.select("line"), "line", "left_anti").select("line", F.lit(None).cast("string").alias("template"), F.col("n").alias("n_docs"))

@@ -1,0 +1,14 @@
+"""Recurrence is counted in documents, not in lines."""
+
+from specweave.llm import lines
+
+
+def test_one_document_does_not_recur(spark):
+    digits = "\n".join(f"Step {i} of the setup" for i in range(6))
+    places = "\n".join(f"the long table of rows has {w} in it" for w in ["red", "blue", "green", "white", "black", "brown"])
+    shared = [f"shared line about {w} in every text" for w in ["red", "blue", "green", "white", "black", "brown"]]
+    texts = [digits, places, *shared, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["clean_text"] for r in lines.drop_recurring_lines(docs).collect()}
+    assert got[0] == digits and got[1] == places and got[8] is None
+    assert all(got[i] == "" for i in range(2, 8))
