@@ -113,6 +113,17 @@ def test_span_equals_theta(spark):
     assert span == theta and len(span) > 200
 
 
+def test_span_with_signs(spark):
+    """Aliases in brackets, of signs alone, and empty ones, without a nested loop over the tables."""
+    aliases = spark.createDataFrame(list(enumerate(a.upper() for a in ["A(N)", "(B)", "[C) D]", "é", "É-", "-", "--", ". ", "", "A", "(A)", "µ/µ", "X (FINE)"])), "id long, alias string")
+    texts = ["A(N)", "a(n)", "A(N)B", "x A(N).", "(B)", "(b)c", "[C) D]?", "[C) D]E", "é", "aé", "a é b", "é- x", "a-b", "a -- b", "-", "a-", "a. b", "a.  b", "", " ", "(A)", "((A))", "µ/µ", "aµ/µ", "a µ/µ.", "x (fine)", "x (fine)y"]
+    q = spark.createDataFrame(list(enumerate(texts)) + [(900, None)], "question_id long, question string")
+    found = matching.span_matches(q, aliases)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    span, theta = ({tuple(r) for r in m.collect()} for m in (found, matching.theta_matches(q, aliases)))
+    assert span == theta and {i for _, i in span} == set(range(13)) - {7}
+
+
 def test_conversation(spark):
     roles = ["user", "user", "assistant", "user", "assistant"]
     stray = [(1, k, r, f"t{k}") for k, r in enumerate(roles)] + [(2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (2, 3, "assistant", "d")]
