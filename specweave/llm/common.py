@@ -48,6 +48,26 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def boxed(df: DataFrame, without_columns: tuple[str, ...] = (), **named: Column) -> DataFrame:
+    """df's columns as one struct ``row``, beside the named ones, so that no name of df can
+    clash with one that an operator makes; ``row.*`` gives them back. Columns of
+    without_columns (names without case) are left out of the row."""
+    gone = {n.lower() for n in without_columns}
+    own = [quoted(c) for c in df.columns if c.lower() not in gone]
+    return df.select(F.struct(*own).alias("row") if own else F.lit(None).alias("row"), *[c.alias(n) for n, c in named.items()])
+
+
+def unboxed(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """The columns of ``row`` again, then these columns."""
+    has_row = df.schema["row"].dataType.typeName() == "struct"
+    return df.select(*(["row.*"] if has_row else []), *columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph by minimum labels and pointer jumps.
 

@@ -2,12 +2,16 @@
 
 Base measures of each text come first. For each language and source, the distribution of
 every measure is kept as a mergeable quantile sketch: counts of integer values in
-log-linear bins, exact below 32 and within 1/16 above. Sketches merge by adding counts,
-so small groups fall back to their language's sketch and that to the sketch of all rows.
-A document fails a rule when its measure lies beyond the group's fence: the upper
-quartile plus ``spread`` times the distance of the quartiles, but never below ``floor``
-(the lower fence likewise, never above ``ceiling``). The rows are joined with the fences of their group
-and filtered.
+log-linear bins, exact below 32 and within 1/16 above. Sketches merge by adding counts, so
+those of languages and of all rows cost no further pass.
+
+A sketch gives its fence: for a rule against high values the quantile that TAIL percent of its
+rows (one at least) lie above, plus SPREAD times that quantile's distance from the median,
+plus the rule's slack; for one against low values the same downwards. Up to TAIL percent of
+odd rows in a group thus don't move its fence. There is no fixed cutoff and no least size: a
+group of n rows has the fence ``(n * own + PRIOR * parent) / (n + PRIOR)``, where the parent is
+its language's fence, weighed likewise against that of all rows. A single row has no
+quantile but its parent's. The rows are joined with the fences of their group and filtered.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specweave.llm.common import sized, stored, without, words
+from specweave.llm.common import boxed, quoted, sized, stored, unboxed, words
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -25,37 +29,41 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 @dataclass(frozen=True)
 class Rule:
     """measure: integer SQL over the base measures. A value above the upper fence
-    (``upper``) or below the lower one fails. limit: the fence is never stricter."""
+    (``upper``) or below the lower one fails. slack: how far a fence stands off from the
+    quantiles at least, as the measure's resolution: one symbol or two lines in a hundred words,
+    one repeated window in a text of a hundred words, half a character."""
 
     name: str
     measure: str
     upper: bool
-    limit: int
+    slack: int
 
 
 #: Measures in thousandths but for word lengths, which are in hundredths of a character.
 RULES = (
-    Rule("symbols", "n_symbols * 1000 div greatest(n_words, 1)", True, 100),
-    Rule("dup_lines", "n_dup_lines * 1000 div greatest(n_words, 1)", True, 150),
-    Rule("repeats", "n_repeat_words * 1000 div greatest(n_words, 1)", True, 200),
-    Rule("long_words", "word_chars * 100 div greatest(n_words, 1)", True, 1200),
-    Rule("short_words", "word_chars * 100 div greatest(n_words, 1)", False, 200),
+    Rule("symbols", "n_symbols * 1000 div greatest(n_words, 1)", True, 10),
+    Rule("dup_lines", "n_dup_lines * 1000 div greatest(n_words, 1)", True, 20),
+    Rule("repeats", "n_repeat_words * 1000 div greatest(n_words, 1)", True, 100),
+    Rule("long_words", "word_chars * 100 div greatest(n_words, 1)", True, 50),
+    Rule("short_words", "word_chars * 100 div greatest(n_words, 1)", False, 50),
 )
 
+TAIL = 10
 SPREAD = 4
-LEAST_ROWS = 200
+#: Rows of a group that weigh as much as its parent.
+PRIOR = 20
 
 
-def measures(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs and the five base measures of the whole text (longs, of null all 0).
+def measures(docs: DataFrame) -> DataFrame:
+    """docs and the five base measures of the whole ``text`` (longs, of null all 0).
 
     n_repeat_words sorts the hashes of the text's five-word windows with their places;
     texts whose windows all differ, most of them, skip that sort. No row leaves its
     partition.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    one = docs.withColumns({"__words": F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)), "__lines": lines})
+    one = docs.withColumns({"__words": F.transform(words(F.col("text")), lambda w: F.xxhash64(w)), "__lines": lines})
     two = one.withColumns(
         {
             "n_words": F.size("__words").cast("long"),
@@ -70,7 +78,7 @@ def measures(docs: DataFrame, text_col: str) -> DataFrame:
     two = two.withColumn("__twice", F.expr("array_sort(transform(filter(__sorted, (w, k) -> w.h <=> get(__sorted, k - 1).h or w.h <=> get(__sorted, k + 1).h), w -> w.i))"))
     two = two.withColumn("n_repeat_words", F.expr("coalesce(aggregate(transform(__twice, (p, k) -> least(5, coalesce(get(__twice, k + 1) - p, 5))), 0L, (a, x) -> a + x), 0L)"))
     # A generator of one row keeps later filters from being pushed down and repeating all this.
-    own = [F.col(f"`{c}`") for c in without(docs, *BASE).columns]
+    own = [c for c in docs.columns if c != "text"]
     one_row = two.select(*own, F.explode_outer(F.array(F.struct(*BASE))).alias("__measures"))
     return one_row.select(*own, *[F.col("__measures")[b].alias(b) for b in BASE])
 
@@ -95,38 +103,33 @@ def sketches(measured: DataFrame, keys: list[str], rules: tuple[Rule, ...]) -> D
     return rows.groupBy(*keys, F.col("m.rule").alias("rule"), F.col("m.bin").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group and rule: rows ``total`` and the quartiles ``q1`` and ``q3``."""
+def edges(sketch: DataFrame, keys: list[str], rules: tuple[Rule, ...], tail: int, spread: int) -> DataFrame:
+    """One row per group and rule: rows ``total`` and the ``fence`` that its sketch gives."""
     group = Window.partitionBy(*keys, "rule")
     run = sketch.select("*", F.sum("n").over(group.orderBy("bin")).alias("upto"), F.sum("n").over(group).alias("total"))
-    return run.groupBy(*keys, "rule").agg(
-        F.first("total").alias("total"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bin"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bin"))).alias("q3"),
+    at = lambda rank: F.min(F.when((F.expr(rank) > 0) & (F.col("upto") >= F.expr(rank)), F.col("bin")))
+    odd = f"((total * {tail} + 99) div 100)"
+    found = run.groupBy(*keys, "rule").agg(F.first("total").alias("total"), at(f"1 + {odd}").alias("low"), at("(total + 1) div 2").alias("mid"), at(f"total - {odd}").alias("high"))
+    fence = F.coalesce(
+        *[
+            F.when(F.col("rule") == r.name, F.col("high") + (F.col("high") - F.col("mid")) * spread + r.slack if r.upper else F.col("low") - (F.col("mid") - F.col("low")) * spread - r.slack)
+            for r in rules
+        ]
     )
+    return found.select(*keys, "rule", "total", fence.alias("fence"))
 
 
-def fences(measured: DataFrame, lang: str, source: str, rules: tuple[Rule, ...] = RULES, spread: int = SPREAD, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """One row per (lang, source) that occurs, with a column ``__fence_<rule>`` each.
-
-    A group of fewer than least_rows rows takes the fences of its language; if that has
-    fewer too, those of all rows; if these are too few as well, the rule's limit alone."""
-    own = stored(sketches(measured.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *BASE), ["lang", "source"], rules), "sketches")
-    merged = own.groupBy("lang", "rule", "bin").agg(F.sum("n").alias("n"))
-    whole = own.groupBy("rule", "bin").agg(F.sum("n").alias("n"))
-    limits = own.sparkSession.createDataFrame([(r.name, r.upper, r.limit) for r in rules], "rule string, upper boolean, limit long")
-    a = quartiles(own, ["lang", "source"]).alias("a")
-    b = quartiles(merged, ["lang"]).alias("b")
-    c = F.broadcast(quartiles(whole, [])).alias("c")  # a row for each rule
-    full = a.join(b, (F.col("a.rule") == F.col("b.rule")) & F.col("a.lang").eqNullSafe(F.col("b.lang"))).join(c, F.col("a.rule") == F.col("c.rule")).join(F.broadcast(limits), F.col("a.rule") == limits["rule"])
-
-    def pick(q: str) -> Column:
-        return F.when(F.col("a.total") >= least_rows, F.col(f"a.{q}")).when(F.col("b.total") >= least_rows, F.col(f"b.{q}")).when(F.col("c.total") >= least_rows, F.col(f"c.{q}"))
-
-    gap = (pick("q3") - pick("q1")) * spread
-    fence = F.when(F.col("upper"), F.greatest(pick("q3") + gap, F.col("limit"))).otherwise(F.least(pick("q1") - gap, F.col("limit")))
-    rows = full.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), F.col("a.rule").alias("rule"), fence.alias("fence"))
-    return rows.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r.name, F.col("fence"))).alias(f"__fence_{r.name}") for r in rules])
+def fences(measured: DataFrame, rules: tuple[Rule, ...] = RULES, tail: int = TAIL, spread: int = SPREAD, prior: int = PRIOR) -> DataFrame:
+    """One row per ``lang`` and ``source`` that has a row which the base rules keep, with a
+    column ``fence_<rule>`` (double) each."""
+    own = stored(sketches(measured, ["lang", "source"], rules), "sketches")
+    a = edges(own, ["lang", "source"], rules, tail, spread).alias("a")
+    b = edges(own.groupBy("lang", "rule", "bin").agg(F.sum("n").alias("n")), ["lang"], rules, tail, spread).alias("b")
+    c = F.broadcast(edges(own.groupBy("rule", "bin").agg(F.sum("n").alias("n")), [], rules, tail, spread)).alias("c")  # a row for each rule
+    full = a.join(b, (F.col("a.rule") == F.col("b.rule")) & F.col("a.lang").eqNullSafe(F.col("b.lang"))).join(c, F.col("a.rule") == F.col("c.rule"))
+    weighed = lambda name, parent: F.coalesce((F.col(f"{name}.total") * F.col(f"{name}.fence") + F.lit(float(prior)) * parent) / (F.col(f"{name}.total") + prior), parent)
+    rows = full.select("a.lang", "a.source", "a.rule", weighed("a", weighed("b", F.col("c.fence"))).alias("fence"))
+    return rows.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r.name, F.col("fence"))).alias(f"fence_{r.name}") for r in rules])
 
 
 def quality(
@@ -135,31 +138,27 @@ def quality(
     lang_col: str = "lang",
     source_col: str = "source",
     rules: tuple[Rule, ...] = RULES,
+    tail: int = TAIL,
     spread: int = SPREAD,
-    least_rows: int = LEAST_ROWS,
+    prior: int = PRIOR,
     keep_text: bool = True,
 ) -> DataFrame:
     """docs with the base measures, ``base_failed``, ``failed_rules`` and ``kept``.
 
-    Rows stay rows; columns of docs with these names are replaced. Without keep_text the
-    measures are stored once, without the text, and read for the sketches and for the
-    verdict; with it each of these two measures the texts anew, so that no text is written
-    or shuffled. A null or empty text has no words and fails;
-    null languages and sources are groups like any other. Equal rows get equal verdicts.
+    Rows stay rows; columns of docs with these names are replaced, all others stay, whatever
+    their names. Texts are measured once, whole, however long; the measures are stored (with keep_text
+    next to the text) and read for the sketches and for the verdict. A null or empty text has no
+    words and fails; null languages and sources are groups like any other. A value equal to its
+    fence passes, and so does any value where no group has two rows. Equal rows get equal
+    verdicts. An empty table gives an empty one.
     """
     made = [*BASE, "base_failed", "failed_rules", "kept"]
-    own = [c for c in without(docs, *made).columns if keep_text or c.lower() != text_col.lower()]
-    measured = measures(without(docs, *made), text_col).select(*[F.col(f"`{c}`") for c in own], *BASE)
-    if not keep_text:
-        measured = stored(measured, "measured")
-    limits = stored(fences(measured, lang_col, source_col, rules, spread, least_rows), "fences").withColumnsRenamed({"lang": "__lang", "source": "__source"})
-    joined = measured.join(sized(limits, limits.count()), F.col(lang_col).eqNullSafe(F.col("__lang")) & F.col(source_col).eqNullSafe(F.col("__source")), "left")
-    failed = F.array(
-        *[
-            F.when(F.expr(r.measure) > F.coalesce(f"__fence_{r.name}", F.lit(r.limit)) if r.upper else F.expr(r.measure) < F.coalesce(f"__fence_{r.name}", F.lit(r.limit)), F.lit(r.name))
-            for r in rules
-        ]
-    )
+    box = boxed(docs, (*made, *([] if keep_text else [text_col])), text=quoted(text_col), lang=quoted(lang_col), source=quoted(source_col))
+    measured = stored(measures(box), "measured")
+    limits = stored(fences(measured, rules, tail, spread, prior), "fences").withColumnsRenamed({"lang": "for_lang", "source": "for_source"})
+    joined = measured.join(sized(limits, limits.count()), F.col("lang").eqNullSafe(F.col("for_lang")) & F.col("source").eqNullSafe(F.col("for_source")), "left")
+    beyond = lambda r: F.expr(r.measure) > F.col(f"fence_{r.name}") if r.upper else F.expr(r.measure) < F.col(f"fence_{r.name}")
+    failed = F.array(*[F.when(beyond(r), F.lit(r.name)) for r in rules])
     judged = joined.withColumns({"base_failed": base_failed(), "failed_rules": F.array_compact(failed)})
     judged = judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-    return judged.select(*[F.col(f"`{c}`") for c in own], *made)
+    return unboxed(judged, *made)

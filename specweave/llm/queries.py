@@ -87,7 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-#: Words and windows one by one; quartiles of log-linear bins by language and source, language, all.
+#: Words and windows one by one; quantiles of log-linear bins by language and source, language, all.
 OP3_SQL = r"""
 WITH docs AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
@@ -107,19 +107,21 @@ m AS (
   SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'long_words', 'short_words']) AS rule,
     unnest([n_symbols * 1000 // greatest(n_words, 1), n_dup_lines * 1000 // greatest(n_words, 1), n_repeat_words * 1000 // greatest(n_words, 1),
       word_chars * 100 // greatest(n_words, 1), word_chars * 100 // greatest(n_words, 1)]) AS v,
-    unnest([100, 150, 200, 1200, 200]) AS lim, unnest([true, true, true, true, false]) AS upper
+    unnest([10, 20, 100, 50, 50]) AS slack, unnest([true, true, true, true, false]) AS upper
   FROM judged
 ), binned AS (SELECT *, (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) AS b FROM m WHERE NOT base_failed),
-a AS (SELECT lang, source, rule, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM binned GROUP BY ALL),
-l AS (SELECT lang, rule, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM binned GROUP BY ALL),
-g AS (SELECT rule, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM binned GROUP BY ALL),
-verdict AS (
-  SELECT m.doc_id, bool_or(CASE WHEN upper THEN v > greatest(coalesce(q.q3 + 4 * (q.q3 - q.q1), lim), lim) ELSE v < least(coalesce(q.q1 - 4 * (q.q3 - q.q1), lim), lim) END) AS failed
-  FROM m LEFT JOIN (
-    SELECT a.lang, a.source, a.rule, CASE WHEN a.n >= 200 THEN a.q1 WHEN l.n >= 200 THEN l.q1 WHEN g.n >= 200 THEN g.q1 END AS q1,
-      CASE WHEN a.n >= 200 THEN a.q3 WHEN l.n >= 200 THEN l.q3 WHEN g.n >= 200 THEN g.q3 END AS q3
-    FROM a JOIN l ON a.rule = l.rule AND a.lang IS NOT DISTINCT FROM l.lang JOIN g ON a.rule = g.rule
-  ) q ON m.rule = q.rule AND m.lang IS NOT DISTINCT FROM q.lang AND m.source IS NOT DISTINCT FROM q.source
+sketch AS (
+  SELECT lang, source, rule, upper, slack, grouping(lang, source) AS level, count(*) AS n, list_sort(list(b)) AS bs
+  FROM binned GROUP BY GROUPING SETS ((lang, source, rule, upper, slack), (lang, rule, upper, slack), (rule, upper, slack))
+), q AS (SELECT *, bs[1 + (n * 10 + 99) // 100] AS lo, bs[(n + 1) // 2] AS mid, bs[n - (n * 10 + 99) // 100] AS hi FROM sketch),
+f AS (SELECT lang, source, rule, level, n, (CASE WHEN upper THEN hi + 4 * (hi - mid) + slack ELSE lo - 4 * (mid - lo) - slack END)::DOUBLE AS fence FROM q),
+fences AS (
+  SELECT a.lang, a.source, a.rule, coalesce((a.n * a.fence + 20.0::DOUBLE * coalesce((l.n * l.fence + 20.0::DOUBLE * g.fence) / (l.n + 20), g.fence)) / (a.n + 20),
+    coalesce((l.n * l.fence + 20.0::DOUBLE * g.fence) / (l.n + 20), g.fence)) AS fence
+  FROM f a JOIN f l ON l.level = 1 AND a.rule = l.rule AND a.lang IS NOT DISTINCT FROM l.lang JOIN f g ON g.level = 3 AND a.rule = g.rule WHERE a.level = 0
+), verdict AS (
+  SELECT m.doc_id, bool_or(coalesce(CASE WHEN upper THEN v > fence ELSE v < fence END, false)) AS failed
+  FROM m LEFT JOIN fences q ON m.rule = q.rule AND m.lang IS NOT DISTINCT FROM q.lang AND m.source IS NOT DISTINCT FROM q.source
   GROUP BY m.doc_id
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT failed AS kept

@@ -23,8 +23,8 @@ def test_measures(spark):
     rng = random.Random(4)
     texts = [None, "", " \n\t", "a", "a b c d", "a b c d e", "x " * 3000, "é ü 😀 #*$%&|<>", "l 1\nl 1\n\nl 1 \n"]
     texts += [" ".join(rng.choice("ab") for _ in range(n)) for n in (7, 12, 30, 90)] + ["\n".join(rng.choice(["a b", "c", " "]) for _ in range(40))]
-    docs = spark.createDataFrame([(i, t, "en", None, 7, 8) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_words int, fence_symbols int")
-    got = sorted(quality.quality(docs, least_rows=3).collect(), key=lambda r: r["doc_id"])
+    docs = spark.createDataFrame([(i, t, "en", None, 7, 8, 9, 10) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_words int, fence_symbols int, __lang int, row int")
+    got = sorted(quality.quality(docs, prior=3).collect(), key=lambda r: r["doc_id"])
     assert [tuple(r[b] for b in quality.BASE) for r in got] == [brute_measures(t) for t in texts]
     assert not any(r["kept"] for r in got if r["base_failed"]) and quality.quality(docs.limit(0)).count() == 0
 
@@ -36,12 +36,31 @@ def test_thresholds(spark):
     rows = [("plain", clean(i)) for i in range(60)] + [("plain", busy(900, 12))] + [("code", busy(i, 8 + i % 9)) for i in range(60)] + [("tiny", busy(800, 10)), ("tiny", None)]
     docs = spark.createDataFrame([(i, t, "en", s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
     for keep in (True, False):
-        got = {r["doc_id"]: r for r in quality.quality(docs, least_rows=20, keep_text=keep).collect()}
+        got = {r["doc_id"]: r for r in quality.quality(docs, keep_text=keep).collect()}
         assert not got[60]["kept"] and got[60]["failed_rules"] == ["symbols"]
         assert all(got[i]["kept"] for i in [*range(60), *range(61, 121)])
         assert not got[122]["kept"] and ("text" in got[0].asDict()) == keep
 
 
+def test_sketches_decide(spark):
+    """The fences of the documents' groups differ, and other sketches give other verdicts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    measured = quality.stored(quality.measures(docs.select("doc_id", "lang", "source", "text")), "measured")
+    rows = quality.fences(measured).collect()
+    for rule in ("repeats", "long_words", "short_words"):
+        assert len({r[f"fence_{rule}"] for r in rows}) > 10
+    kept = {r["doc_id"] for r in quality.quality(docs, keep_text=False).filter("kept").collect()}
+    longer = docs.withColumn("text", F.when(F.col("lang") == "de", F.regexp_replace("text", r"([a-z])\b", "$1$1$1$1")).otherwise(F.col("text")))
+    moved = {r["doc_id"]: r for r in quality.quality(longer, keep_text=False).collect()}
+    german = [r for r in moved.values() if r["lang"] == "de" and not r["base_failed"]]
+    # Texts whose words are all longer stay where the whole language is so, and go elsewhere.
+    assert sum(r["kept"] for r in german) > 0.85 * len(german) and len(kept) > 0.8 * docs.count()
+    # The same words make a text odd where few have them.
+    few = docs.withColumn("text", F.when(F.col("doc_id") % 37 == 0, F.regexp_replace("text", r"([a-z])\b", "$1$1$1$1$1$1$1$1$1")).otherwise(F.col("text")))
+    odd = [r for r in quality.quality(few, keep_text=False).collect() if r["doc_id"] % 37 == 0 and not r["base_failed"] and r["lang"] == "en"]
+    assert sum("long_words" in r["failed_rules"] for r in odd) > 0.8 * len(odd) > 0
+
+
 def test_bins(spark):
     values = [0, 1, 31, 32, 33, 63, 64, 1000, 123456789]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(quality.bin_of(F.col("v"))).collect()]
