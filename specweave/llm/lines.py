@@ -1,14 +1,24 @@
 """Line dedup by a tree of line templates, in DataFrame functions only.
 
-A line is parsed at fixed depth: first by its number of tokens, then by its leading tokens;
-tokens with a digit count as the variable field ``<*>``. Lines that reach the same leaf
-are generalised by place: a place keeps the token that most of the leaf's different lines
-have there, if at least half do, else it becomes a variable field. A line that has enough of the
-template's tokens belongs to it; any other line is a template of its own. Templates that
-occur in ``least_docs`` documents or more are dropped from all texts.
-
-Only hashes of lines are counted and joined. Tokens are exploded just for leaves in which
-lines differ and that occur in enough documents.
+A line is parsed at fixed depth: first by its number of tokens, then by its LEADING first
+tokens; tokens with a digit count as the variable field ``<*>``. The lines that reach the
+same leaf are generalised by place, and a leaf holds as many templates as its lines give:
+
+* The weight of a token in a place of the leaf is the number of documents with a line that
+  has it there (a document counts once a line).
+* A line keeps its tokens of highest weight, ``similar`` percent of them at least and all of
+  the last one's weight; its other places become fields. That is the most general template which
+  the line is still similar to.
+* Lines of the same template belong together. Templates that hold a word and occur in
+  ``least_docs`` different documents or more are dropped from all texts.
+
+A line that recurs as it is, is the template without further fields. A token of a weight below
+least_docs can't be a constant of a template that recurs, so lines with too many of those are
+out early. What is lost by this form: where one value of a varying place is more
+frequent in its leaf than the template's own words, its lines make a template of their own.
+
+Hashes of lines are counted and joined; tokens are exploded just for leaves in which lines
+differ and that occur in enough documents.
 """
 
 from __future__ import annotations
@@ -16,76 +26,103 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specweave.llm.common import WORD, sized, stored, without
+from specweave.llm.common import boxed, quoted, sized, stored, unboxed
 
 FIELD = "<*>"
 LEADING = 3
 LEAST_DOCS = 5
-LEAST_TOKENS = 3
-SIMILAR = 0.7
-
-
-def masked(line: Column) -> Column:
-    """A line's tokens, those with a digit as the variable field."""
-    return F.transform(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
-
-
-def leaf(tokens: Column) -> Column:
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEADING))
-
-
-def parsed(docs: DataFrame, text_col: str) -> DataFrame:
-    """A row for each different masked line of each row: ``leaf``, ``line`` (hash), ``tokens``,
-    and ``row``, a number of its own for each row of docs and call."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.array_distinct(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), masked)).alias("lines"))
-    lines = rows.select("row", F.explode("lines").alias("tokens"))
-    return lines.filter(F.size("tokens") >= LEAST_TOKENS).select(leaf(F.col("tokens")).alias("leaf"), F.xxhash64("tokens").alias("line"), "tokens", "row")
-
-
-def recurring(docs: DataFrame, text_col: str = "text", least_docs: int = LEAST_DOCS, similar: float = SIMILAR) -> DataFrame:
-    """The hashes ``line`` of the lines that are dropped, with their ``template`` as text
-    and ``n_docs`` (rows of docs with a line of it)."""
-    lines = parsed(docs, text_col)
-    counts = stored(lines.groupBy("leaf", "line").agg(F.count("*").alias("n")), "lines")
-    mixed = counts.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("n").alias("n")).filter(F.col("lines").between(2, 1 << 60) & (F.col("n") >= least_docs))
-    mixed = stored(mixed.select("leaf"), "leaves")
-    lookup = sized(mixed, mixed.count())
-    own = stored(lines.join(lookup, "leaf").groupBy("leaf", "line").agg(F.any_value("tokens").alias("tokens")), "mixed")
-    places = own.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count("*").alias("k"))
-    top = places.groupBy("leaf", "place").agg(F.max_by("token", F.struct("k", "token")).alias("token"), F.max("k").alias("k"), F.sum("k").alias("all"))
-    kept = top.select("leaf", F.struct("place", F.when(F.col("k") * 2 >= F.col("all"), F.col("token")).otherwise(FIELD).alias("token")).alias("p"))
-    templates = kept.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["token"]).alias("template"))  # a row for each place of a line
-    alike = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a == b), lambda same: same))
-    joined = own.join(templates, "leaf").withColumn("fits", alike >= F.size("tokens") * F.lit(similar))
-    fitting = stored(joined.filter("fits").select("leaf", "line", F.array_join("template", " ").alias("template")), "fitting")
-    # A row counts once for a template, whatever number of different lines it has of it.
-    once = lines.select("leaf", "line", "row").join(fitting.select("leaf", "line"), ["leaf", "line"]).select("leaf", "row").distinct()
-    general = once.groupBy("leaf").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= least_docs)
-    dropped = fitting.join(general, "leaf").select("line", "template", "n_docs")
-    # Lines that recur by themselves, whatever their leaf looks like.
-    alone = counts.filter(F.col("n") >= least_docs).join(dropped.select("line"), "line", "left_anti").select("line", F.lit(None).cast("string").alias("template"), F.col("n").alias("n_docs"))
-    return dropped.unionByName(alone)
-
-
-def drop_recurring_lines(docs: DataFrame, text_col: str = "text", least_docs: int = LEAST_DOCS, similar: float = SIMILAR) -> DataFrame:
+#: Percent of a line's tokens that its template keeps.
+SIMILAR = 70
+
+#: A word with a digit, from its start.
+_DIGITS = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+
+
+def masked(text: Column) -> Column:
+    """The lines of a text, words with a digit as the field, words apart by one space."""
+    spaced = F.regexp_replace(F.regexp_replace(text, _DIGITS, FIELD), r"[\x20\x09\x0B-\x0D]+", " ")
+    return F.split(F.trim(F.replace(F.replace(spaced, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))), "\n")
+
+
+def has_word(line: Column) -> Column:
+    """True if a masked line has anything but fields."""
+    return F.trim(F.replace(line, F.lit(FIELD), F.lit(""))) != ""
+
+
+def hashed(line: Column) -> Column:
+    """(leaf, line) of a masked line; null if it has no word."""
+    tokens = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(has_word(line), F.struct(F.xxhash64(tokens, F.substring_index(line, " ", LEADING)).alias("leaf"), F.xxhash64(line).alias("line")))
+
+
+def parsed(box: DataFrame) -> DataFrame:
+    """A row for each row of box (``text`` and the key ``k1``, ``k2``): ``row``, a number of its
+    own, the key, its ``lines`` as hashes, in order, and the same without repetitions, ``once``."""
+    rows = box.select(F.monotonically_increasing_id().alias("row"), "k1", "k2", masked(F.coalesce("text", F.lit(""))).alias("m"))
+    # The different lines are told apart as strings: an array of structs would be compared pair by pair.
+    return stored(rows.select("row", "k1", "k2", F.transform("m", hashed).alias("lines"), F.transform(F.array_distinct("m"), hashed).alias("once")), "parsed")
+
+
+def general(own: DataFrame, least_docs: int, similar: int) -> DataFrame:
+    """own: the different lines of leaves (``leaf``, ``line``, ``words``, ``n`` documents, and
+    ``total``, the sum of n in the leaf). Returns ``leaf``, ``line`` and ``template`` of those whose
+    template may recur."""
+    tokens = own.withColumn("tokens", F.split("words", " ")).withColumn("rest", F.expr(f"slice(tokens, {LEADING + 1}, greatest(size(tokens) - {LEADING}, 0))"))
+    places = tokens.select("leaf", "line", "n", F.posexplode("rest").alias("place", "token"))
+    weights = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("weight")).filter(F.col("weight") >= least_docs)
+    weighed = places.join(weights, ["leaf", "place", "token"], "left").groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("place", "token", F.coalesce("weight", F.lit(0)).alias("weight")))).alias("rest"))  # a row for each token of the line
+    head = own.select("leaf", "line", "total", F.substring_index("words", " ", LEADING).alias("head"))
+    both = weighed.join(head, ["leaf", "line"])
+    need = F.expr(f"({similar} * (size(rest) + {LEADING}) + 99) div 100 - {LEADING}").cast("int")
+    least = F.when(need > 0, F.get(F.reverse(F.array_sort(F.transform("rest", lambda t: t["weight"]))), need - 1)).otherwise(F.col("total"))
+    both = both.withColumn("least", least).filter(F.col("least") >= least_docs)
+    # The outer lambda binds its values once, the inner one is run for each token.
+    kept = F.transform(F.array(F.struct("rest", "least")), lambda b: F.transform(b["rest"], lambda t: F.when(t["weight"] >= b["least"], t["token"]).otherwise(FIELD)))[0]
+    return both.select("leaf", "line", F.concat_ws(" ", "head", F.array_join(kept, " ")).alias("template")).filter(has_word(F.col("template")))
+
+
+def recurring(box: DataFrame, lines: DataFrame, least_docs: int = LEAST_DOCS, similar: int = SIMILAR) -> DataFrame:
+    """The lines that are dropped, ``leaf`` and ``line``, each once. lines: `parsed` of box."""
+    pairs = lines.select("row", F.explode("once").alias("l")).filter("l is not null").select("row", "l.leaf", "l.line")
+    leaves = pairs.groupBy("leaf").agg(F.count("*").alias("total"), F.min("line").alias("line"), F.max("line").alias("other")).filter(F.col("total") >= least_docs)
+    leaves = stored(leaves, "leaves")
+    alone = leaves.filter("line = other").select("leaf", "line")
+    mixed = leaves.filter("line <> other").select("leaf", "total")
+    texts = box.select(F.explode(F.array_distinct(masked(F.coalesce("text", F.lit(""))))).alias("words")).select("words", hashed(F.col("words")).alias("l")).select("words", "l.leaf", "l.line")
+    found = texts.join(sized(mixed, mixed.count()), "leaf").groupBy("leaf", "line").agg(F.any_value("words").alias("words"), F.count("*").alias("n"), F.any_value("total").alias("total"))
+    templates = stored(general(stored(found, "mixed"), least_docs, similar), "templates")
+    # A document counts once for a template, whatever number of different lines it has of it.
+    name = F.xxhash64("template").alias("template")
+    known = templates.select("leaf", "line", name)
+    once = pairs.join(sized(known, known.count()), ["leaf", "line"]).select("leaf", "template", "row").distinct()
+    enough = once.groupBy("leaf", "template").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= least_docs)
+    return known.join(enough, ["leaf", "template"]).select("leaf", "line").union(alone)
+
+
+def drop_recurring_lines(docs: DataFrame, text_col: str = "text", id_col: str | None = None, least_docs: int = LEAST_DOCS, similar: int = SIMILAR) -> DataFrame:
     """docs with ``n_lines``, ``n_dropped`` and ``clean_text``, the text without the lines
     of recurring templates.
 
-    Rows stay rows and are counted as documents, also when they repeat. Lines of fewer than
-    LEAST_TOKENS tokens stay. A null text has no lines and stays null. Columns of these
-    names are replaced."""
+    Rows stay rows and are counted as documents, also when they repeat; equal texts stay equal.
+    Lines of nothing but fields, and blank ones, stay. Short lines are lines like any other, and
+    a text may be of any length: it is taken whole. A null text has no lines and stays null. Of
+    equal weights all count. Columns of these names are replaced, all others stay. An empty
+    table gives an empty one. Texts meet the places that go by a shuffle on a hash of text and id_col, so
+    that copies of a text are spread where an id tells them apart."""
     made = ["n_lines", "n_dropped", "clean_text"]
-    base = without(docs, *made)
-    gone = stored(recurring(docs, text_col, least_docs, similar).select("line").distinct(), "recurring")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.xxhash64(text)
-    at = base.select(key.alias("__key"), F.posexplode(F.split(text, "\n")).alias("place", "l")).select("__key", "place", F.xxhash64(masked(F.col("l"))).alias("line"))
-    # Equal texts have the same lines in the same places.
-    hits = at.join(sized(gone, gone.count()), "line").groupBy("__key").agg(F.collect_set("place").alias("__gone"))
+    text = F.coalesce(quoted(text_col), F.lit(""))
+    own = [quoted(id_col)] if id_col else []
+    keys = {"k1": F.xxhash64(text, *own), "k2": F.xxhash64(*own, F.lit(1), text)}
+    kept = [n for n in made if n.lower() != text_col.lower()]
+    box = boxed(docs, tuple(kept), text=quoted(text_col), **keys)
+    lines = parsed(box.select("text", "k1", "k2"))
+    gone = stored(recurring(box.select("text"), lines, least_docs, similar), "recurring")
+    at = lines.select("k1", "k2", F.posexplode("lines").alias("place", "l")).filter("l is not null").select("k1", "k2", "place", "l.leaf", "l.line")
+    hits = at.join(sized(gone, gone.count()), ["leaf", "line"]).groupBy("k1", "k2").agg(F.collect_set("place").alias("gone"))
     # The texts go to their hits by a shuffle at any size.
-    out = base.withColumn("__k", key).join(stored(hits, "hits").hint("merge"), F.col("__k") == F.col("__key"), "left")
-    lines = F.split(text, "\n")
-    left = F.filter(lines, lambda line, n: ~F.array_contains(F.coalesce("__gone", F.array().cast("array<int>")), n))
-    out = out.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
-    out = out.withColumn("clean_text", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
-    return without(out, "__k", "__key", "__gone")
+    out = box.join(stored(hits, "hits").hint("merge"), ["k1", "k2"], "left")
+    own_lines = F.split("text", "\n")
+    left = F.transform(F.array(own_lines), lambda own: F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("gone")), lambda n: F.get(own, n)))[0]  # splits once
+    clean = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    out = out.withColumns({"n_lines": F.greatest(F.size(own_lines), F.lit(0)).cast("long"), "n_dropped": F.greatest(F.size("gone"), F.lit(0)).cast("long"), "clean_text": clean})
+    return unboxed(out, *kept) if text_col.lower() != "clean_text" else unboxed(out, "n_lines", "n_dropped")

@@ -22,7 +22,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = lines.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    clean = lines.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), id_col="doc_id")
     return clean.select("doc_id", "n_lines", "n_dropped", F.crc32(F.coalesce("clean_text", F.lit(""))).alias("clean_crc32"))
 
 
