@@ -68,6 +68,26 @@ def unboxed(df: DataFrame, *columns: str | Column) -> DataFrame:
     return df.select(*(["row.*"] if has_row else []), *columns)
 
 
+#: A key with over 1/HOT of all rows is hot, so there are at most HOT of them.
+HOT = 1000
+
+
+def hot_keys(counts: DataFrame, key: str, rows: str = "n") -> DataFrame:
+    """The hot keys of a table of different keys with their numbers of rows: at most HOT rows,
+    stored."""
+    total = counts.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    return stored(counts.filter(F.col(rows) * HOT > total).select(key), "hot")
+
+
+def lookup(big: DataFrame, small: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """big joined with small, whose keys are all different. The rows of hot keys stay where they
+    are and meet their few rows of small by a broadcast; all others are shuffled, no key of
+    which has over 1/HOT of the rows. big and small are stored tables."""
+    few = F.broadcast(small.join(F.broadcast(hot), key, "left_semi"))
+    many = big.join(F.broadcast(hot), key, "left_anti").join(small, key)
+    return big.join(few, key).unionByName(many)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph by minimum labels and pointer jumps.
 
@@ -75,16 +95,19 @@ def components(edges: DataFrame) -> DataFrame:
     of an edge with the smallest node of its component. A round sends every label over
     every edge once and then halves the paths to the root; each round's labels are a
     table in the shared folder. Labels meet in ``min``, which Spark combines before the
-    shuffle, so a node with very many neighbours costs one row a task. Nulls and loops
-    are left out; of no edges the result is empty.
+    shuffle; nodes with very many neighbours and roots of very many nodes are hot keys
+    of a `lookup`, so they need no task of their own. Nulls and loops are left out; of no
+    edges the result is empty.
     """
     edges = edges.filter("a is not null and b is not null and a <> b")
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "labels")
+    hubs = hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        best = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
+        near = lookup(both, labels.select(F.col("node").alias("b"), "root"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        best = stored(labels.select("node", "root").join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old")), "best")
         jump = best.select(F.col("node").alias("root"), F.col("root").alias("jump"))
-        labels = stored(best.join(jump, "root").select("node", F.least("root", "jump").alias("root"), "old"), "labels")
+        large = hot_keys(best.groupBy("root").agg(F.count("*").alias("n")), "root")
+        labels = stored(lookup(best, jump, "root", large).select("node", F.least("root", "jump").alias("root"), "old"), "labels")
         if labels.filter("root <> old").limit(1).count() == 0:
             return labels.select("node", "root")

@@ -82,7 +82,10 @@ class Automaton:
             self.window_state[s] = s if self.size[up] < window <= self.size[s] else self.window_state[up]
             self.whole[s] = s if s in short else self.whole[up]
         self.shorter = [self.whole[self.link[s]] if s else 0 for s in range(n)]
-        self.short_items = {s: {name for e, (name, words) in zip(ends, items, strict=True) if e == s and len(words) < window} for s in short}
+        self.short_items: dict[int, set[str]] = {s: set() for s in short}
+        for e, (name, words) in zip(ends, items, strict=True):
+            if e in short and len(words) < window:
+                self.short_items[e].add(name)
         del self._out
 
     def _state(self, size: int, link: int) -> int:

@@ -2,8 +2,8 @@
 n-grams, trained with follow-the-regularised-leader and elastic-net penalties, then
 calibrated with a temperature.
 
-A text is lower-cased, runs of anything but letters become one space, and its 1- to
-``MAX_GRAM``-grams are hashed into 2**bits features. Document frequencies cover every row
+A text is lower-cased, runs of anything but words become one space (a word is a letter, of
+Unicode's category L, with the letters and marks that follow it), and its 1- to ``MAX_GRAM``-grams are hashed into 2**bits features. Document frequencies cover every row
 that may be learned from. The classifier itself is fitted on a bounded sample of
 those rows: at most ``rows_per_lang`` of a language and ``max_rows`` in all. Each
 round, every shard of the sample continues the per-coordinate FTRL state for its own rows,
@@ -15,10 +15,11 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,11 +31,15 @@ MAX_GRAM = 3
 #: Odd 64-bit multipliers of the feature hash: one a character, one for the length, one to mix.
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _BY_LENGTH, _MIX = 0x27D4EB2F165667C5, np.uint64(0xFF51AFD7ED558CCD)
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_WORDS, _ASCII_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*"), re.compile("[a-z]+")
 
 
 @dataclass(frozen=True)
 class Settings:
+    """bits: the features are 2**bits hashes, fewer where languages x features would be over
+    max_cells, which bounds the model and each round's state for any number of languages.
+    max_rows and rows_per_lang: the bounded sample; each language has one row at least."""
+
     bits: int = 16
     alpha: float = 1.0
     beta: float = 1.0
@@ -45,7 +50,7 @@ class Settings:
     shards: int = 6
     rows_per_lang: int = 1500
     max_rows: int = 6000
-    max_langs: int = 400
+    max_cells: int = 1 << 25
     seed: int = 11
 
 
@@ -61,7 +66,8 @@ class Model:
 
 def grams(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Features of a whole text, in order, and how often each occurs; none without a letter."""
-    letters = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    low = (text or "").lower()
+    letters = " ".join((_ASCII_WORDS if low.isascii() else _WORDS).findall(low))
     if not letters:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     code = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
@@ -132,12 +138,10 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], z: np.ndarray, n: np.nd
         n[:, idx] = new
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, s: Settings) -> tuple[list[str], DataFrame]:
-    """The languages, and the stored bounded sample of rows as features. Rows go by
-    the order of a seeded hash; only rows whose hash is low enough are sorted."""
-    counts = {r["lang"]: r["n"] for r in docs.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(s.max_langs + 1).collect()}
-    if len(counts) > s.max_langs:
-        raise ValueError(f"more than {s.max_langs} languages")
+def sample(docs: DataFrame, counts: dict[str, int], id_col: str, text_col: str, lang_col: str, s: Settings) -> DataFrame:
+    """The stored bounded sample of rows as features; counts: rows by language. Rows go by
+    the order of a seeded hash; only rows whose hash is low enough are sorted. Of rows that
+    share id and text, which all have one place, any may be taken."""
     langs = sorted(counts)
     most = max(1, min(s.rows_per_lang, s.max_rows // max(1, len(langs))))
     scale = 1 << 30
@@ -152,7 +156,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, s: Settin
             out = [(lang, nth, *grams(text, s.bits)) for lang, nth, text in zip(batch["lang"], batch["nth"], batch["text"], strict=True)]
             yield pd.DataFrame([r for r in out if len(r[2])], columns=["lang", "nth", "idx", "tf"])
 
-    return langs, stored(some.select("lang", "nth", "text").mapInPandas(features, "lang string, nth int, idx array<int>, tf array<int>"), "sample")
+    return stored(some.select("lang", "nth", "text").mapInPandas(features, "lang string, nth int, idx array<int>, tf array<int>"), "sample")
 
 
 def with_bias(idx: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,13 +181,18 @@ def _shard_fit(state: Broadcast, number: dict[str, int], turn: int, s: Settings)
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings | None = None) -> Model:
     """A model from the rows of docs, all of which may be learned from. Rows without a
-    language or a letter teach nothing; without any row the model has no language."""
+    language or a letter teach nothing; without any row the model has no language. Texts of any
+    length are taken whole; repeated rows count as often as they occur; other columns of
+    docs, whatever their names, are not read."""
     s = settings or Settings()
     docs = docs.filter(F.col(lang_col).isNotNull())
     spark = docs.sparkSession
+    counts = {r["lang"]: r["n"] for r in docs.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}  # a row a language, as the model has
+    langs = sorted(counts)
+    s = replace(s, bits=max(4, min(s.bits, (s.max_cells // max(1, len(langs))).bit_length() - 1)))
     total, df = document_frequencies(docs, text_col, s.bits)
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
-    langs, rows = sample(docs, id_col, text_col, lang_col, s)
+    rows = sample(docs, counts, id_col, text_col, lang_col, s)
     number = {lang: k for k, lang in enumerate(langs)}
     size = (1 << s.bits) + 1  # the last is the bias
     z, n = np.zeros((len(langs), size)), np.zeros((len(langs), size))
@@ -195,9 +204,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     states = "k int, z binary, n binary"
     for turn in range(s.rounds if langs else 0):
-        fit = _shard_fit(spark.sparkContext.broadcast((z, n, idf)), number, turn, s)
+        state = spark.sparkContext.broadcast((z, n, idf))
+        fit = _shard_fit(state, number, turn, s)
         for row in learn.groupBy("shard").applyInPandas(fit, states).groupBy("k").applyInPandas(mean, states).collect():
             z[row["k"]], n[row["k"]] = np.frombuffer(row["z"]), np.frombuffer(row["n"])
+        state.unpersist()
     weights = weights_of(z, n, s).astype(np.float32)
 
     held = rows.filter("nth % 5 = 0").collect()  # a fifth of the bounded sample
@@ -227,7 +238,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     A null text, one without a letter, and any text under a model without languages give
     `und` and 0. Rows stay rows, nothing is shuffled, and columns of these names are
-    replaced; no column but the text is read for it. Equal texts get equal results."""
+    replaced; no column but the text is read for it. Equal texts get equal results. Of
+    languages of equal probability the first by name is taken. An empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -1,13 +1,15 @@
 """License scans, in DataFrame functions only.
 
-Lines of a file (its headers) and whole texts (licence files) are compared with
-license templates by sparse TF-IDF cosine. Then files without a license of their own take that
-of the nearest directory above them which holds a licence file.
+Units of a file are compared with license templates by sparse TF-IDF cosine: its lines (short
+notices), its blocks (headers over several lines, and the paragraphs of licence texts) and
+its whole text (licence files). A block is a run of lines between lines without letters and digits;
+a run of comment lines ends where the comment does. Then files without a license of their own
+take that of the nearest directory above them which holds a licence file.
 
 Document frequencies are counted over all files, for the terms of the templates; a term
 that no template has weighs like one that occurs nowhere, and only adds to a unit's length. A
 unit is compared with a template only if they share one of the template's anchors: its
-heaviest terms, as many as it takes for the others to fall short of the threshold. A unit without an
+rarest terms, as many as it takes for the others to fall short of the threshold. A unit without an
 anchor cannot reach the threshold, so nothing is lost.
 """
 
@@ -22,13 +24,43 @@ from pyspark.sql import functions as F
 
 from specweave.llm.common import sized, stored, without
 
-#: Short notices of common licenses.
+#: Notices, headers and texts of common licenses.
+MIT = [
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+]
+BSD_3 = [
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+]
+APACHE_2 = [
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+]
+GNU = [
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details.",
+    "You should have received a copy of the GNU {kind} along with this program. If not, see https://www.gnu.org/licenses/.",
+]
+GNU_KINDS = [
+    ("AGPL-3.0", "Affero General Public License", "3"),
+    ("GPL-2.0", "General Public License", "2"),
+    ("GPL-3.0", "General Public License", "3"),
+    ("LGPL-3.0", "Lesser General Public License", "3"),
+]
 TEMPLATES = [
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("All-Rights-Reserved", "All rights reserved."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("Apache-2.0", APACHE_2[0]),
+    ("Apache-2.0", " ".join(APACHE_2)),
+    ("BSD-3-Clause", BSD_3[0]),
+    ("BSD-3-Clause", BSD_3[4]),
+    ("BSD-3-Clause", " ".join(BSD_3)),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -37,11 +69,17 @@ TEMPLATES = [
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
+    ("MIT", MIT[0]),
+    ("MIT", MIT[2]),
+    ("MIT", " ".join(MIT)),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    *[(name, text.format(kind=kind, version=version)) for name, kind, version in GNU_KINDS for text in (GNU[0], " ".join(GNU))],
 ]
 
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
@@ -59,6 +97,16 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+#: A comment line before one that is none, and the lines without letters and digits between blocks.
+_END_OF_COMMENT = r"(?m)^([ \t]*(?:#|//|/?\*|--|;|%)[^\n]*)\n(?![ \t]*(?:#|//|/?\*|--|;|%))"
+_BETWEEN = r"\n(?:[^A-Za-z0-9\n]*\n)+"
+
+
+def blocks(text: Column) -> Column:
+    """The blocks of a text."""
+    return F.split(F.regexp_replace(text, _END_OF_COMMENT, "$1\n\n"), _BETWEEN)
+
+
 def vectors(templates: list[tuple[str, str]], files: int, df: dict[str, int], threshold: float) -> tuple[list[tuple[int, str, float]], dict[str, float], list[str]]:
     """(template, term, weight) of unit length, the idf of each term, and all anchors."""
     idf = {t: math.log((1 + files) / (1 + df.get(t, 0))) + 1 for _, text in templates for t in terms_of(text)}
@@ -67,7 +115,7 @@ def vectors(templates: list[tuple[str, str]], files: int, df: dict[str, int], th
         own = {t: n * idf[t] for t, n in Counter(terms_of(text)).items()}
         length = math.sqrt(sum(w * w for w in own.values()))
         left = 1.0
-        for t, w in sorted(own.items(), key=lambda x: (-x[1], x[0])):
+        for t, w in sorted(own.items(), key=lambda x: (df.get(x[0], 0), -x[1], x[0])):
             rows.append((number, t, w / length))
             if math.sqrt(max(0.0, left)) >= threshold - 1e-9:
                 anchors.add(t)
@@ -78,9 +126,10 @@ def vectors(templates: list[tuple[str, str]], files: int, df: dict[str, int], th
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The best template of each file that has one: ``path``, ``own_license``, ``cosine``.
 
-    Lines and the whole text are units; the unit of the highest cosine wins, then the
-    license of the smallest name. Rows that repeat a path count as one file. Null texts
-    and null paths have no license."""
+    The unit of the highest cosine wins, then the license of the smallest name. Rows that
+    repeat a path count as one file, whose units are those of all its rows. Null and empty
+    texts and null paths have no license; texts of any length are taken whole; other columns of
+    files are not read. An empty table gives an empty one."""
     templates = TEMPLATES if templates is None else templates
     spark = files.sparkSession
     if not templates:
@@ -94,10 +143,10 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
 
     anchor = rf"(?i)(?<![a-z0-9])(?:{'|'.join(map(re.escape, anchors))})(?![a-z0-9])"
     with_anchor = files.filter(F.col(path_col).isNotNull() & F.col(text_col).rlike(anchor)).select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    units = with_anchor.select("path", F.explode(F.array_distinct(F.concat(F.filter(F.split("text", "\n"), lambda u: u.rlike(anchor)), F.array("text")))).alias("unit"))
+    units = with_anchor.select("path", F.explode(F.array_distinct(F.concat(F.filter(F.concat(F.split("text", "\n"), blocks(F.col("text"))), lambda u: u.rlike(anchor)), F.array("text")))).alias("unit"))
     units = units.select("path", F.xxhash64("unit").alias("unit"), terms(F.col("unit")).alias("terms"))
     weights = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))  # the templates' terms
-    tf = units.select("path", "unit", F.explode("terms").alias("term")).groupBy("path", "unit", "term").agg(F.count("*").alias("tf"))
+    tf = stored(units.select("path", "unit", F.explode("terms").alias("term")).groupBy("path", "unit", "term").agg(F.count("*").alias("tf")), "tf")
     weighed = tf.join(weights, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
     postings = F.broadcast(spark.createDataFrame(rows, "template int, term string, weight double"))
     # The length of a unit needs all its terms, the products only those of the templates.
@@ -121,7 +170,7 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
 
     A licence file is one that has a license of its own and a name that says so. Of several in a
     directory that of the smallest path counts. Rows stay rows; columns of these names are
-    replaced. A null path inherits nothing."""
+    replaced, all others stay. A null path inherits nothing. An empty table gives an empty one."""
     made = ["own_license", "cosine", "license", "inherited_from"]
     base = without(files, *made)
     kept = base if keep_text else without(base, text_col)

@@ -5,15 +5,18 @@ Documents of equal text form a group, which is placed as one. A group has a vect
 shard whose residual capacity has the highest dot product with the group's vector, among
 those shards that still have room for it.
 
-The greedy placement needs all vectors in one place, so their number is bounded: groups
-above 1/``FINE`` of a shard's capacity in some dimension stay alone (there are at most
-3 * FINE * shards), all others go by the hash of their text into ``BUNDLES`` bundles, which
-are placed like groups. Both tables have a fixed bound, are collected, placed and
-broadcast; the documents themselves are never shuffled for their shard.
+Groups of one size class count as equal: bytes and rows are cut to their five leading bits and
+tokens go by their ratio to the bytes, in 32nds. A class has the mean vector of its groups,
+and placing its m groups one by one gives each shard a number of them. Since every group of
+a class lowers a shard's product by the same amount, these numbers follow without m steps:
+they are the m highest of all products that come up (`deal`). The groups of a class, in the
+order of their hashes, then go to the shards by these numbers. So there is one rule for
+tables of any size: the driver sees one row a class, whose number depends on the range of
+sizes alone, some thousands in practice, while the groups stay in their tables.
 
 A group that by itself has over ``WHOLE`` times the bytes of a fair share cannot lie in one
-shard of about equal size; it is cut by row into as many parts as fair shares need, and the parts
-are placed one by one. All other groups stay whole.
+shard of about equal size; it is cut by row into as many parts as fair shares need, which
+are placed like groups. All other groups stay whole.
 """
 
 from __future__ import annotations
@@ -24,98 +27,145 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specweave.llm.common import stored, without, word_count
+from specweave.llm.common import boxed, hot_keys, lookup, quoted, sized, stored, unboxed, word_count
 
-BUNDLES = 8192
-FINE = 64
 WHOLE = 1.25
 
-#: Rows of a shard, and bytes where texts go along, that are numbered in one run.
+#: Rows of a shard, bytes where texts go along, and groups of a class that are numbered in one run.
 RUN_ROWS = 200_000
+RUN_GROUPS = 20_000
 RUN_BYTES = 64 << 20
 
 
-def place(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each vector. Dimensions are scaled by the capacity, a fair share of
-    their sum. Vectors go in falling order of their largest component, ties as given;
-    equal products go to the lowest shard."""
-    total = vectors.sum(axis=0).astype(float)
+def step(left: np.ndarray, v: np.ndarray) -> int:
+    """The shard of one vector: that of the highest dot product among those with room for
+    it; where it fits nowhere, the one that it overfills least. Of equals the lowest."""
+    fits = (left >= v - 1e-12).all(axis=1)
+    return int(np.argmax(np.where(fits, left @ v, -np.inf) if fits.any() else (left - v).min(axis=1)))
+
+
+def deal(m: int, v: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """How many of m equal vectors each shard takes, one `step` after another.
+
+    With room, the products of a shard fall by the same amount with each vector, and
+    without room, its worst overfill grows; so the shards' next values are falling
+    series, and the steps take the highest values of all series. All that lie above a
+    threshold are counted at once; the few at the threshold are taken step by step."""
+    counts = np.zeros(len(left), dtype=np.int64)
+    used = v > 0
+    if not used.any():
+        counts[0] = m  # vectors of nothing fit everywhere, and all products are 0
+        return counts
+    room = np.where((left[:, ~used] >= -1e-12).all(axis=1), np.maximum(0, np.floor((left[:, used] + 1e-12) / v[used]).min(axis=1)), 0).astype(np.int64)
+    square, product = float(v @ v), left @ v
+
+    def fitting(t: float) -> np.ndarray:
+        return np.clip(np.floor((product - t) / square) + 1, 0, room).astype(np.int64)
+
+    def overfull(t: float) -> np.ndarray:
+        return room + np.where((left[:, ~used] >= t).all(axis=1), np.clip(np.floor((left[:, used] - t) / v[used]).min(axis=1), 0, 1 << 60).astype(np.int64) - room, 0).clip(0)
+
+    series = fitting if m <= room.sum() else overfull
+    spread = float(abs(left).max() + 1) * (1 + float(v.max())) * 3 + (m + len(left)) * float(v.max()) * 3 + float(abs(product).max()) + m * square
+    low, high = -spread, spread
+    for _ in range(90):
+        middle = (low + high) / 2
+        low, high = (middle, high) if series(middle).sum() > m else (low, middle)
+    counts = series(high)
+    for _ in range(m - int(counts.sum())):
+        counts[step(left - counts[:, None] * v, v)] += 1
+    return counts
+
+
+def place(vectors: np.ndarray, numbers: np.ndarray, shards: int) -> np.ndarray:
+    """classes x shards: how many of the numbers[i] vectors like vectors[i] each shard takes.
+    Dimensions are scaled by the capacity, a fair share of their sum. Classes go in falling
+    order of their largest component, ties as given."""
+    total = (vectors * numbers[:, None]).sum(axis=0)
     scaled = vectors / np.where(total > 0, total / shards, 1.0)
     left = np.ones((shards, vectors.shape[1]))
-    out = np.zeros(len(vectors), dtype=np.int32)
+    out = np.zeros((len(vectors), shards), dtype=np.int64)
     for i in np.argsort(-scaled.max(axis=1, initial=0.0), kind="stable"):
-        v = scaled[i]
-        fits = (left >= v - 1e-12).all(axis=1)
-        # Where it fits nowhere, all shards count, and the one that it overfills least is taken.
-        score = np.where(fits, left @ v, -np.inf) if fits.any() else (left - v).min(axis=1)
-        out[i] = int(np.argmax(score))
-        left[out[i]] -= v
+        out[i] = deal(int(numbers[i]), scaled[i], left)
+        left -= out[i][:, None] * scaled[i]
     return out
 
 
-def slots(df: DataFrame, shard: str, order: list[Column], rows: int, shards: int, size: int = 0) -> DataFrame:
-    """df with ``slot``: gapless numbers from 0 in each shard.
+def numbered(df: DataFrame, key: str, order: list[Column], runs: int, name: str) -> DataFrame:
+    """df with gapless numbers from 0 for each value of ``key`` (never null).
 
-    A shard's rows are dealt by hash to runs of some RUN_ROWS rows and RUN_BYTES of ``size``,
-    the bytes of all rows. Runs are numbered
-    apart, from the sum of the counts of the runs before."""
-    runs = max(1, math.ceil(rows / shards / RUN_ROWS), math.ceil(size / shards / RUN_BYTES))
-    dealt = df.withColumn("__run", F.pmod(F.xxhash64(*order), F.lit(runs)).cast("int"))
-    counts = dealt.groupBy(F.col(shard).alias("__s"), F.col("__run").alias("__r")).agg(F.count("*").alias("n"))
-    first = counts.select("__s", "__r", F.coalesce(F.sum("n").over(Window.partitionBy("__s").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
-    number = F.row_number().over(Window.partitionBy(shard, "__run").orderBy(*order)) - 1
-    joined = dealt.withColumn("__number", number).join(F.broadcast(first) if runs * shards <= 50_000 else first, (F.col(shard) == F.col("__s")) & (F.col("__run") == F.col("__r")))
-    return without(joined.withColumn("slot", (F.col("__first") + F.col("__number")).cast("long")), "__run", "__s", "__r", "__first", "__number")
+    The rows of a key are dealt by hash to runs, which are numbered apart, from the sum of
+    the counts of the runs before."""
+    dealt = df.withColumn("run", F.pmod(F.xxhash64(*order), F.lit(runs)).cast("int"))
+    counts = dealt.groupBy(F.col(key).alias("of"), F.col("run").alias("at")).agg(F.count("*").alias("n"))
+    first = counts.select("of", "at", F.coalesce(F.sum("n").over(Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    number = F.row_number().over(Window.partitionBy(key, "run").orderBy(*order)) - 1
+    first = stored(first, "runs")
+    joined = dealt.withColumn("number", number).join(sized(first, first.count()), (F.col(key) == F.col("of")) & (F.col("run") == F.col("at")))
+    return joined.withColumn(name, (F.col("before") + F.col("number")).cast("long")).drop("run", "of", "at", "before", "number")
+
+
+def size_class(bytes_: Column, tokens: Column, rows: Column) -> Column:
+    """A group's size class as a text."""
+
+    def cut(n: Column) -> tuple[Column, Column]:
+        drop = F.greatest(F.length(F.bin(n)) - 5, F.lit(0))
+        return F.call_function("shiftright", n, drop).cast("string"), drop.cast("string")
+
+    return F.concat_ws(" ", *cut(bytes_), *cut(rows), F.floor(tokens * 32 / bytes_).cast("string"))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, row_bytes: int = 8, keep_text: bool = True) -> DataFrame:
     """docs with ``size`` (UTF-8 bytes of the text plus row_bytes), ``tokens`` (words),
     ``text_crc32``, ``shard`` and ``slot`` (gapless from 0 in each shard).
 
-    Rows stay rows; columns with these names are replaced. A null text has no bytes and no
-    words and equals the empty text. Null and repeated ids are placed like others; a
-    shard's slots follow the hash order of id and text. An empty table gives an empty one.
+    Rows stay rows; columns with these names are replaced, all others stay. A null text has no
+    bytes and no words and equals the empty text; a text of any length is counted whole. Null
+    and repeated ids are placed like others; a shard's slots follow the hash order of id and
+    text. The rows of a group that is cut are dealt by a number of their own, so ids that repeat
+    in it don't matter. An empty table gives an empty one.
     """
     made = ["size", "tokens", "text_crc32", "shard", "slot"]
-    base = without(docs, *made)
-    own = [c for c in base.columns if keep_text or c.lower() != text_col.lower()]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = base.select(
-        *[F.col(f"`{c}`") for c in own],
-        (F.octet_length(text) + row_bytes).cast("long").alias("size"),
-        word_count(text).alias("tokens"),
-        F.crc32(text).alias("text_crc32"),
-        F.xxhash64(text).alias("__group"),
+    text = F.coalesce(quoted(text_col), F.lit(""))
+    box = boxed(
+        docs,
+        (*made, *([] if keep_text else [text_col])),
+        id=F.xxhash64(quoted(id_col)),
+        size=(F.octet_length(text) + row_bytes).cast("long"),
+        tokens=word_count(text),
+        text_crc32=F.crc32(text),
+        group=F.xxhash64(text),
     )
     if not keep_text:
-        rows = stored(rows, "sizes")
+        box = stored(box, "sizes")
     vector = ["bytes", "tokens", "rows"]
-    sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
-    groups = stored(rows.groupBy("__group").agg(*sums), "groups")
-    total = groups.agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in vector]).first()
-    fair = {v: max(1.0, total[v] / shards) for v in vector}
-    large = F.greatest(*[F.col(v) / F.lit(fair[v]) for v in vector])
-    alone = groups.filter(large > 1 / FINE).withColumn("parts", F.when(F.col("bytes") > WHOLE * fair["bytes"], F.ceil(F.col("bytes") / fair["bytes"])).otherwise(1)).collect()  # at most 3 * FINE * shards
-    bundles = groups.filter(large <= 1 / FINE).groupBy(F.pmod("__group", F.lit(BUNDLES)).cast("int").alias("bundle")).agg(*[F.sum(v).alias(v) for v in vector]).collect()
-
-    items = [(g["__group"], part, [g[v] / g["parts"] for v in vector]) for g in sorted(alone, key=lambda g: g["__group"]) for part in range(g["parts"])]
-    bundles.sort(key=lambda b: b["bundle"])
-    vectors = np.array([v for *_, v in items] + [[b[v] for v in vector] for b in bundles], dtype=float).reshape(-1, 3)
-    at = place(vectors, shards).tolist()
-    of_group: dict[int, list[int]] = {}
-    for (group, _, _), shard in zip(items, at, strict=False):
-        of_group.setdefault(group, []).append(shard)
-    of_bundle = [0] * BUNDLES
-    for b, shard in zip(bundles, at[len(items) :], strict=True):
-        of_bundle[b["bundle"]] = shard
+    groups = box.groupBy("group").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
+    groups = stored(groups.withColumn("class", size_class(F.col("bytes"), F.col("tokens"), F.col("rows"))), "groups")
+    total = groups.agg(F.count("*").alias("groups"), *[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in vector]).first()
+    fair = max(1.0, total["bytes"] / shards)
+    is_giant = F.col("bytes") > WHOLE * fair
+    giants = sorted(groups.filter(is_giant).collect(), key=lambda g: g["group"])  # under shards rows
+    whole = stored(groups.filter(~is_giant), "whole")
+    classes = sorted(whole.groupBy("class").agg(F.count("*").alias("m"), *[F.sum(v).alias(v) for v in vector]).collect(), key=lambda c: c["class"])  # one row a size class
+
+    parts = [math.ceil(g["bytes"] / fair) for g in giants]
+    vectors = np.array([[g[v] / n for v in vector] for g, n in zip(giants, parts, strict=True)] + [[c[v] / c["m"] for v in vector] for c in classes], dtype=float).reshape(-1, 3)
+    taken = place(vectors, np.array(parts + [c["m"] for c in classes], dtype=np.int64), shards)
+    upto = taken.cumsum(axis=1).tolist()
 
     spark = docs.sparkSession
-    own_table = F.broadcast(spark.createDataFrame(list(of_group.items()), "__g long, __shards array<int>"))
-    bundle_table = F.broadcast(spark.createDataFrame(list(enumerate(of_bundle)), "__b int, __shard int"))
-    joined = rows.join(own_table, F.col("__group") == F.col("__g"), "left").join(bundle_table, F.pmod("__group", F.lit(BUNDLES)).cast("int") == F.col("__b"), "left")
-    # The rows of a group in parts are dealt by their id.
-    part = F.pmod(F.xxhash64(F.col(id_col)), F.size("__shards")).cast("int")
-    shard = F.when(F.col("__shards").isNotNull(), F.get("__shards", part)).otherwise(F.col("__shard"))
-    order = [F.xxhash64(F.col(id_col)), F.col(id_col), F.col("__group")]
-    out = slots(joined.withColumn("shard", shard), "shard", order, total["rows"], shards, total["bytes"] if keep_text else 0)
-    return out.select(*[F.col(f"`{c}`") for c in own], *made)
+    table = F.broadcast(spark.createDataFrame(list(zip([c["class"] for c in classes], upto[len(giants) :], strict=True)), "class string, upto array<long>"))
+    runs = max(1, math.ceil(total["groups"] / RUN_GROUPS))
+    ranked = numbered(whole.select("group", "class", "rows"), "class", [F.col("group")], runs, "rank").join(table, "class")
+    of_group = stored(ranked.select("group", "rows", F.size(F.filter("upto", lambda n: n <= F.col("rank"))).alias("shard")), "shard_of_group")
+    # Giants are kept out of the shuffle like hot keys, and meet their parts below.
+    hot = hot_keys(of_group, "group", "rows").union(spark.createDataFrame([(g["group"],) for g in giants], "group long"))
+    rows = lookup(box, of_group.select("group", "shard"), "group", hot)
+    if giants:
+        cut = F.broadcast(spark.createDataFrame([(g["group"], n, up) for g, n, up in zip(giants, parts, upto, strict=False)], "group long, parts int, upto array<long>"))
+        # The parts of a giant's rows are stored, so that they are the same wherever they are read.
+        part = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("parts"))
+        dealt = box.join(cut, "group").withColumn("part", part).withColumn("shard", F.size(F.filter("upto", lambda n: n <= F.col("part"))))
+        rows = rows.unionByName(stored(dealt.drop("parts", "upto", "part"), "giants"))
+    runs = max(1, math.ceil(total["rows"] / shards / RUN_ROWS), math.ceil(total["bytes"] / shards / RUN_BYTES) if keep_text else 1)
+    return unboxed(numbered(rows, "shard", [F.col("id"), F.col("group"), F.col("text_crc32")], runs, "slot"), *made)

@@ -16,9 +16,12 @@ Only different fingerprints are compared, and no bucket is expanded into all its
 3. Where a bucket of three or more still spans several components, the members
    outside the component that is most frequent there are compared with the members of
    the other components. Pairs of one component need no comparison: they are already
-   connected.
+   connected. Two members of a bucket that link differ in at most max_bits of the bits outside
+   the bucket's key, so of max_bits + 1 pieces of those bits they share one: only
+   members of equal pieces are paired.
 
-So each component is exact, while a large group of near copies costs a few rows a member.
+So each component is exact, while a large group of near copies costs a few rows a member, and
+unrelated members of a bucket meet only as far as pieces of theirs are equal by chance.
 
 Fingerprints of texts that share 0.8 of their shingles mostly differ in more bits than
 max_bits. With ``percent`` a second route is added: texts that share one of BANDS bands of
@@ -37,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specweave.llm.common import components, stored, without
+from specweave.llm.common import boxed, components, hot_keys, lookup, quoted, stored, unboxed
 
 SEED = 42
 KEY_ROWS = 2_000_000
@@ -173,6 +176,28 @@ def linked(a: Column, b: Column, segments: int, max_bits: int) -> Column:
     return in_ring(a.bitwiseXOR(b), segments, max_bits) & (F.bit_count(a.bitwiseXOR(b)) <= max_bits)
 
 
+def outer_pieces(fp: str, number: str, sets: list[tuple[int, ...]], segments: int, max_bits: int) -> Column:
+    """The max_bits + 1 pieces, each with its place, of the bits of a fingerprint that are not in
+    its key, that of the segments ``sets[number]``."""
+    at = cuts(segments)
+
+    @F.pandas_udf("array<long>")
+    def of(fps: pd.Series, numbers: pd.Series) -> pd.Series:
+        prints, which = fps.to_numpy().astype(np.int64).view(np.uint64), numbers.to_numpy()
+        out = np.zeros((len(prints), max_bits + 1), dtype=np.int64)
+        for n in np.unique(which):
+            own, left, bits = prints[which == n], np.zeros(int((which == n).sum()), dtype=np.uint64), 0
+            for shift, width in (at[s] for s in range(segments) if s not in sets[n]):
+                left |= (own >> np.uint64(shift) & np.uint64((1 << width) - 1)) << np.uint64(bits)
+                bits += width
+            edges = [bits * i // (max_bits + 1) for i in range(max_bits + 2)]
+            for i, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                out[which == n, i] = (left >> np.uint64(low) & np.uint64((1 << (high - low)) - 1)).astype(np.int64) * (max_bits + 1) + i
+        return pd.Series(list(out))
+
+    return of(F.col(fp), F.col(number))
+
+
 def fingerprint_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     """prints: a stored table of different longs ``fp``. Returns ``node``, ``root`` for each
     fingerprint that links to another one, root being the smallest of its component."""
@@ -188,22 +213,23 @@ def fingerprint_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
 
     # A fingerprint becomes as many rows as there are keys; no task makes more than some KEY_ROWS.
     spread = prints.repartition(max(1, -(-rows * len(sets) // KEY_ROWS)), "fp")
-    keyed = spread.select("fp", F.explode(F.array(*[key(n, c) for n, c in enumerate(sets)])).alias("key"))
+    keyed = spread.select("fp", F.posexplode(F.array(*[key(n, c) for n, c in enumerate(sets)])).alias("number", "key"))
     buckets = stored(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).filter("n > 1"), "buckets")
     # A bucket of two is settled by comparing both; those of three or more keep all members.
     star = (F.col("fp") != F.col("pivot")) & linked(F.col("fp"), F.col("pivot"), segments, max_bits)
     bucket = buckets.withColumnRenamed("key", "bucket")
-    members = stored(keyed.join(bucket, (F.col("key") == F.col("bucket")) & ((F.col("n") > 2) | star)).select("key", "fp", "n", "pivot"), "members")
+    members = stored(keyed.join(bucket, (F.col("key") == F.col("bucket")) & ((F.col("n") > 2) | star)).select("key", "number", "fp", "n", "pivot"), "members")
     stars = stored(members.filter(star).select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     found = components(stars)
 
-    labelled = members.filter("n > 2").select("key", "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    labelled = members.filter("n > 2").select("key", "number", "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("key", "number", "fp", F.coalesce("root", "fp").alias("root"))
     labelled = stored(labelled, "labelled")
     shares = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = stored(shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("key", "top"), "mixed")
-    rest = stored(labelled.join(mixed, "key"), "rest")
+    rest = labelled.join(mixed, "key").select("key", "fp", "root", "top", F.explode(outer_pieces("fp", "number", sets, segments, max_bits)).alias("piece"))
+    rest = stored(rest, "rest")
     a, b = rest.filter("root <> top").alias("a"), rest.alias("b")
-    more = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & linked(F.col("a.fp"), F.col("b.fp"), segments, max_bits))
+    more = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.root") != F.col("b.root")) & linked(F.col("a.fp"), F.col("b.fp"), segments, max_bits))
     more = stored(more.select(F.col("a.root").alias("a"), F.col("b.root").alias("b")).distinct(), "more")
     if more.limit(1).count() == 0:
         return found
@@ -213,32 +239,40 @@ def fingerprint_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     return stored(found.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root")).union(alone), "roots")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 4, seed: int = SEED, percent: int | None = None) -> DataFrame:
-    """One row per row of docs: the id, ``fingerprint`` (16 lowercase hex digits) and
-    ``component_id`` (the smallest id that links reach, itself included). With percent,
-    texts whose sets of shingles have that Jaccard similarity link as well.
-
-    Null and empty texts have fingerprint 0 and link like any other. A null id takes part
-    in links but is never the smallest; of ids that are all null the component is null.
-    Repeated rows give repeated rows. Other columns of docs, whatever their names, are
-    not read. An empty table gives an empty one.
-    """
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, seed: int, percent: int | None) -> DataFrame:
+    """A row for each row of docs: ``id``, ``hash`` of the text, ``fp``, and ``first``: the
+    id and hash of the first row of its component, by id (null last), then by hash."""
+    text = F.coalesce(quoted(text_col), F.lit(""))
     if percent is None:
-        rows = stored(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle, seed).alias("fp")), "prints")
+        rows = stored(docs.select(quoted(id_col).alias("id"), F.xxhash64(text).alias("hash"), fingerprint(quoted(text_col), shingle, seed).alias("fp")), "prints")
     else:
-        text = F.coalesce(F.col(text_col), F.lit(""))
-        rows = stored(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), sketch(F.col(text_col), shingle, seed).alias("s")).select("id", "hash", "s.*"), "prints")
-    prints = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "different")
+        rows = stored(docs.select(quoted(id_col).alias("id"), F.xxhash64(text).alias("hash"), sketch(quoted(text_col), shingle, seed).alias("s")).select("id", "hash", "s.*"), "prints")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")).alias("first")
+    prints = stored(rows.groupBy("fp").agg(first, F.count("*").alias("n")), "different")
     found = fingerprint_components(prints.select("fp"), max_bits)
     if percent is not None:
         texts = docs.select(F.xxhash64(text).alias("hash"), text.alias("text"))
         edges = found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar_edges(rows, texts, shingle, percent))
         found = components(edges)
-    roots = stored(prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "least")
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = stored(roots.select("fp", "root").join(least, "root").select("fp", "component_id"), "by_print")
-    out = rows.join(by_print, "fp")
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    roots = stored(prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root")), "roots")
+    least = stored(roots.groupBy("root").agg(F.min("first").alias("first")), "least")
+    large = hot_keys(roots.groupBy("root").agg(F.count("*").alias("n")), "root")
+    by_print = stored(lookup(roots.select("fp", "n", "root"), least, "root", large).select("fp", "n", "first"), "by_print")
+    return lookup(rows.select("id", "hash", "fp"), by_print.select("fp", "first"), "fp", hot_keys(by_print, "fp"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 4, seed: int = SEED, percent: int | None = None) -> DataFrame:
+    """One row per row of docs: the id, ``fingerprint`` (16 lowercase hex digits) and
+    ``component_id`` (the smallest id that links reach, itself included). With percent,
+    texts whose sets of shingles have that Jaccard similarity link as well.
+
+    Null and empty texts have fingerprint 0 and link like any other; texts of any length are
+    taken whole. A null id takes part in links but is never the smallest; of ids that are
+    all null the component is null. Repeated rows give repeated rows. Other columns of docs,
+    whatever their names, are not read. An empty table gives an empty one.
+    """
+    rows = grouped(docs, id_col, text_col, shingle, max_bits, seed, percent)
+    return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -289,14 +323,16 @@ def similar_edges(rows: DataFrame, texts: DataFrame, shingle: int, percent: int)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 4, percent: int | None = None) -> DataFrame:
-    """docs with one document of each component: that of the smallest id.
+    """docs with one document of each component: that of the smallest id, and of the
+    smallest text hash where the id repeats.
 
-    Rows whose id is null cannot be told apart by it; all of them stay. Of rows that repeat
-    an id and a text one stays. The texts are shuffled once, by id, against the ids that
-    go; columns and their names stay as they are.
+    Rows are told apart by id and text, so other texts of an id that goes stay. Rows whose id
+    is null all stay. Of rows that repeat an id and a text one stays. The texts are shuffled once,
+    by id and text hash, against the rows that go; columns and their names stay as they are.
     """
-    gone = near_duplicates(docs.select(id_col, text_col), id_col, text_col, shingle, max_bits, percent=percent).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
-    left = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-    same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
-    marked = left.withColumn("__copy", F.when(F.col(id_col).isNull(), F.lit(1)).otherwise(F.row_number().over(same)))
-    return without(marked.filter("__copy = 1"), "__copy")
+    rows = grouped(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col, shingle, max_bits, SEED, percent)
+    gone = rows.filter(F.col("id").isNotNull() & ~F.struct("id", "hash").eqNullSafe(F.struct("first.id", "first.hash"))).select("id", "hash").distinct()
+    box = boxed(docs, id=quoted(id_col), hash=F.xxhash64(F.coalesce(quoted(text_col), F.lit(""))))
+    left = box.join(stored(gone, "gone"), ["id", "hash"], "left_anti")
+    marked = left.withColumn("copy", F.when(F.col("id").isNull(), F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(0)))))
+    return unboxed(marked.filter("copy = 1"))

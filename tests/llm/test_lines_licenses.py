@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 from specweave.llm import licenses, lines
@@ -89,6 +90,65 @@ def test_lines_on_documents(spark):
     assert got == dict(zip(ids, brute_lines(texts, lines.LEAST_DOCS), strict=True))
 
 
+def brute_blocks(text):
+    """Runs of lines with a letter or digit; a comment ends a run where it ends itself."""
+    out, last = [[]], False
+    for line in text.split("\n"):
+        comment = bool(re.match(r"[ \t]*(#|//|/?\*|--|;|%)", line))
+        if last and not comment:
+            out.append([])
+        if re.search("[A-Za-z0-9]", line):
+            out[-1].append(line)
+        else:
+            out.append([])
+        last = comment
+    return ["\n".join(b) for b in out if b]
+
+
+def inherited(files, own, path):
+    """The license of the nearest directory above a path, one directory after another."""
+    folder = path
+    while folder:
+        folder = folder.rpartition("/")[0]
+        here = sorted(p for p in files if p in own and p.rpartition("/")[0] == folder and re.match(r"(?i)(licen[cs]e|copying|notice)([-._].*)?$", p.rpartition("/")[2]))
+        if here:
+            return own[here[0]], folder
+    return None, None
+
+
+def wrapped(paragraphs, mark, width=70):
+    """The paragraphs as a header of comment lines."""
+    lines_ = [line for p in paragraphs for line in [*textwrap.wrap(p, width), ""]]
+    return "\n".join(f"{mark} {line}".rstrip() for line in lines_[:-1])
+
+
+def test_headers(spark):
+    code = "\n".join(f"x_{i} = compute_{i}(y_{i}, {i}) # step" for i in range(200))
+    gnu = lambda kind, version: [p.format(kind=kind, version=version) for p in licenses.GNU]
+    mit = "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + "\n\n".join("\n".join(textwrap.wrap(p, 78)) for p in licenses.MIT)
+    files = {
+        "a/LICENSE": mit,
+        "a/b/part.py": code,
+        "most/LICENSE.txt": mit[: mit.rindex("IN NO EVENT")],
+        "one/COPYING": " ".join(licenses.MIT),
+        "g/three.py": wrapped(gnu("General Public License", "3"), "#") + "\n" + code,
+        "g/two.c": "/*\n" + wrapped(gnu("General Public License", "2"), " *") + "\n */\n" + code,
+        "g/lesser.c": wrapped(gnu("Lesser General Public License", "3"), "//") + "\n\n" + code,
+        "g/affero.sql": wrapped(gnu("Affero General Public License", "3"), "--") + "\n" + code,
+        "b/bsd.py": "# Copyright A. Person\n" + wrapped(licenses.BSD_3, "#") + "\n" + code,
+        "p/apache.js": wrapped(licenses.APACHE_2, "//") + "\n" + code,
+        "p/code.js": code,
+        "p/prose.txt": "The program is free and the people who use it may copy the text of the file\n" * 30,
+        "p/long.txt": "word " * 50_000,
+    }
+    table = spark.createDataFrame(list(files.items()), "path string, text string")
+    got = {r["path"]: r for r in licenses.license_scan(table).collect()}
+    want = {"a/LICENSE": "MIT", "most/LICENSE.txt": "MIT", "one/COPYING": "MIT", "g/three.py": "GPL-3.0", "g/two.c": "GPL-2.0", "g/lesser.c": "LGPL-3.0", "g/affero.sql": "AGPL-3.0", "b/bsd.py": "BSD-3-Clause", "p/apache.js": "Apache-2.0"}
+    assert {p: r["own_license"] for p, r in got.items() if r["own_license"]} == want == brute_scan(files)
+    assert {p: (r["license"], r["inherited_from"]) for p, r in got.items() if not r["own_license"]} == {p: inherited(files, want, p) for p in files if p not in want}
+    assert got["a/b/part.py"]["license"] == "MIT"
+
+
 def brute_scan(files, threshold=licenses.THRESHOLD):
     df = Counter(t for text in files.values() for t in set(licenses.terms_of(text or "")))
     known = {t for _, text in licenses.TEMPLATES for t in licenses.terms_of(text)}
@@ -98,7 +158,7 @@ def brute_scan(files, threshold=licenses.THRESHOLD):
     out = {}
     for path, text in files.items():
         best = []
-        for unit in {*(text or "").split("\n"), text or ""}:
+        for unit in {*(text or "").split("\n"), *brute_blocks(text or ""), text or ""}:
             u = vector(unit)
             for name, template in licenses.TEMPLATES:
                 t = vector(template)

@@ -103,11 +103,66 @@ def test_mix(spark):
 
 def test_place():
     rng = np.random.default_rng(8)
-    vectors = rng.gamma(2, 1, size=(3000, 3))
-    shard = sharding.place(vectors, 24)
-    loads = np.array([vectors[shard == s].sum(axis=0) for s in range(24)])
-    assert (abs(loads / loads.mean(axis=0) - 1) < 0.05).all()
-    assert sharding.place(np.zeros((0, 3)), 3).tolist() == [] and sharding.place(np.ones((3, 3)), 3).tolist() == [0, 1, 2]
+    vectors = rng.gamma(2, 1, size=(300, 3))
+    counts = sharding.place(vectors, np.full(300, 10), 24)
+    loads = counts.T @ vectors
+    assert (abs(loads / loads.mean(axis=0) - 1) < 0.05).all() and (counts.sum(axis=1) == 10).all()
+    assert sharding.place(np.zeros((0, 3)), np.zeros(0, dtype=int), 3).shape == (0, 3) and sharding.place(np.ones((1, 3)), np.array([5]), 3).tolist() == [[2, 2, 1]]
+
+
+def test_deal():
+    """All at once gives what one vector after another does, with room and beyond it."""
+    rng = np.random.default_rng(9)
+    for _ in range(400):
+        shards = int(rng.integers(1, 6))
+        left, v = rng.normal(0.5, 0.5, size=(shards, 3)), rng.gamma(1, 0.2, size=3) * (rng.random(3) < 0.8)
+        if rng.random() < 0.3:
+            left[:] = left[0]
+        m, counts = int(rng.integers(0, 60)), np.zeros(shards, dtype=int)
+        for _ in range(m):
+            counts[sharding.step(left - counts[:, None] * v, v)] += 1
+        assert sharding.deal(m, v, left).tolist() == counts.tolist()
+    v = np.array([1e-9, 2e-9, 1e-9])
+    assert sharding.deal(2_400_000_005, v, np.ones((24, 3))).max() == 100_000_001
+
+
+def cut_to_five_bits(n):
+    drop = max(0, n.bit_length() - 5)
+    return f"{n >> drop} {drop}"
+
+
+def test_greedy(spark):
+    """Plain greedy placement, group by group, gives every document the same shard."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("g")).collect()
+    for shards in (3, 24):
+        groups = {}
+        for r in rows:
+            size, tokens, n = groups.get(r["g"], (0, 0, 0))
+            groups[r["g"]] = size + len(r["text"].encode()) + 8, tokens + len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])), n + 1
+        fair = sum(v[0] for v in groups.values()) / shards
+        units = defaultdict(list)
+        for g, (size, tokens, n) in groups.items():
+            if size <= 1.25 * fair:
+                units[f"{cut_to_five_bits(size)} {cut_to_five_bits(n)} {tokens * 32 // size}"].append(g)
+        capacity = np.array([sum(v[d] for v in groups.values()) for d in range(3)]) / shards
+        giants = sorted(g for g in groups if groups[g][0] > 1.25 * fair)
+        means = [(np.array(groups[g]) / -(-groups[g][0] // fair) / capacity, [g] * int(-(-groups[g][0] // fair))) for g in giants]
+        means += [(np.array([groups[g] for g in units[c]]).sum(axis=0) / len(units[c]) / capacity, sorted(units[c])) for c in sorted(units)]
+        load, at = np.zeros((shards, 3)), {}
+        for v, members in sorted(means, key=lambda x: -x[0].max()):
+            counts = np.zeros(shards, dtype=int)
+            for g in members:
+                residual = 1 - load - counts[:, None] * v
+                fits = [s for s in range(shards) if (residual[s] >= v - 1e-12).all()]
+                s = max(fits, key=lambda s: (residual[s] @ v, -s)) if fits else max(range(shards), key=lambda s: ((residual[s] - v).min(), -s))
+                counts[s] += 1
+            load += counts[:, None] * v
+            # The members of a class go by their order, shard after shard.
+            for g, s in zip(members, np.repeat(np.arange(shards), counts), strict=True):
+                at.setdefault(g, []).append(int(s))
+        got = {r["doc_id"]: r["shard"] for r in sharding.pack(docs, shards=shards).collect()}
+        assert all(got[r["doc_id"]] in at[r["g"]] for r in rows)
 
 
 def test_pack(spark):
@@ -131,11 +186,13 @@ def test_pack(spark):
 
 
 def test_pack_splits_giants(spark):
-    """A group above a fair share is cut; slots stay gapless over several runs."""
+    """A group above a fair share is cut, whether or not its ids repeat; slots stay gapless over several runs."""
     docs = spark.range(900).selectExpr("id as doc_id", "if(id % 3 = 0, concat('t', id), 'giant') as text")
+    same = sharding.pack(docs.selectExpr("if(text = 'giant', 5, doc_id) as doc_id", "text", "7 as part"), shards=4).collect()
+    assert max(Counter(r["shard"] for r in same).values()) <= 1.25 * min(Counter(r["shard"] for r in same).values()) and len(same) == 900
     got = sharding.pack(docs, shards=4).collect()
     counts = Counter(r["shard"] for r in got)
     assert max(counts.values()) <= 1.25 * min(counts.values())
-    numbered = sharding.slots(docs.selectExpr("*", "cast(doc_id % 2 as int) as s"), "s", [F.col("doc_id")], 900 * sharding.RUN_ROWS, 2)
+    numbered = sharding.numbered(docs.selectExpr("*", "cast(doc_id % 2 as int) as s"), "s", [F.col("doc_id")], 450, "slot")
     for s in (0, 1):
         assert sorted(r["slot"] for r in numbered.filter(F.col("s") == s).collect()) == list(range(450))

@@ -77,3 +77,51 @@ def test_accuracy(spark):
     assert empty.langs == [] and langid.predict(odd, empty).first()["lang_pred"] == "und"
     again = langid.train(docs.filter(~out), settings=settings)
     assert np.array_equal(again.weights, model.weights) and again.temperature == model.temperature
+
+
+def test_letters():
+    for text in (None, "", "½ ²", "Ⅷ", "12 _ 3", "\u0301"):
+        assert not len(langid.grams(text, 12)[0])
+    for text in ("ª", "a", "хорошо", "नमस्ते", "e\u0301"):
+        assert len(langid.grams(text, 12)[0])
+    # Marks belong to their word: it is not cut at them.
+    assert [list(x) for x in langid.grams("नमस्ते", 12)] != [list(x) for x in langid.grams("नमस त", 12)]
+
+
+def test_ftrl_brute():
+    """Coordinate by coordinate, from the formulas of FTRL-proximal with elastic net."""
+    rng = np.random.default_rng(3)
+    s = langid.Settings(bits=4, alpha=0.7, beta=0.9, l1=0.08, l2=0.3)
+    langs, size = 3, 17
+    rows = [(int(rng.integers(langs)), np.sort(rng.choice(size, 6, replace=False)), rng.random(6)) for _ in range(60)]
+    z, n = np.zeros((langs, size)), np.zeros((langs, size))
+    langid.ftrl(rows, z, n, s)
+    bz, bn = [[0.0] * size for _ in range(langs)], [[0.0] * size for _ in range(langs)]
+
+    def weight(c, i):
+        if abs(bz[c][i]) <= s.l1:
+            return 0.0
+        sign = 1 if bz[c][i] > 0 else -1
+        return -(bz[c][i] - sign * s.l1) / ((s.beta + math.sqrt(bn[c][i])) / s.alpha + s.l2)
+
+    for k, idx, x in rows:
+        w = [[weight(c, i) for i in idx] for c in range(langs)]
+        logit = [sum(a * b for a, b in zip(row, x, strict=True)) for row in w]
+        total = sum(math.exp(v) for v in logit)
+        for c in range(langs):
+            for j, i in enumerate(idx):
+                g = (math.exp(logit[c]) / total - (c == k)) * x[j]
+                sigma = (math.sqrt(bn[c][i] + g * g) - math.sqrt(bn[c][i])) / s.alpha
+                bz[c][i] += g - sigma * w[c][j]
+                bn[c][i] += g * g
+    assert np.allclose(z, bz) and np.allclose(n, bn) and (langid.weights_of(z, n, s) == 0).any() and abs(langid.weights_of(z, n, s)).max() > 0.1
+
+
+def test_many_languages(spark):
+    """Any number of languages, with features as the bound allows; ties and repeated rows."""
+    rows = [(i, f"{chr(97 + i % 26) * 3} {chr(97 + i // 26 % 26) * 4} word", f"l{i % 450}") for i in range(1800)]
+    docs = spark.createDataFrame(rows + rows[:5] + [(None, None, "l0"), (1, "x", None)], "doc_id long, text string, lang string")
+    model = langid.train(docs, settings=langid.Settings(max_cells=1 << 16, rounds=1, epochs=1))
+    assert len(model.langs) == 450 and model.weights.shape == (450, 129)
+    got = langid.predict(docs.limit(50), model).collect()
+    assert all(r["lang_pred"] in model.langs and 0 <= r["score"] <= 1 for r in got)
