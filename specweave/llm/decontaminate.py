@@ -5,10 +5,12 @@ training text is streamed through it word by word: the state and the matched len
 the longest run of words, ending here, that occurs in some item. Runs of ``window`` words
 or more, and whole items shorter than that, are contaminated spans.
 
-The automaton is broadcast. Its input is bounded: the items are cut into blocks of at most
-``block_words`` words, each block has an automaton of its own, and every text is streamed
-through every block. An item longer than a block is cut into pieces that overlap by
-``window - 1`` words, so no window is lost.
+Automata are broadcast, and their input is bounded twice: the items are cut into blocks of
+at most ``block_words`` words, each with an automaton of its own, and a pass over the texts
+takes blocks of at most ``pass_words`` words in all. A larger benchmark takes several
+passes, whose spans and items are united row by row in a stored table; each pass's automata are
+given up before the next one's are built. An item longer than a block is cut into pieces
+that overlap by ``window - 1`` words, so no window is lost.
 """
 
 from __future__ import annotations
@@ -16,20 +18,22 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from specweave.llm.common import without
+from specweave.llm.common import boxed, quoted, stored, unboxed
 
 #: Bytes as they count in words: A-Z as a-z, other ASCII but 0-9 and a-z as a space.
 _FOLD = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256))
 
 #: Words a block's automaton is built of.
 BLOCK_WORDS = 200_000
+#: Words of all the blocks that are broadcast at a time.
+PASS_WORDS = 1_000_000
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -51,6 +55,7 @@ class Automaton:
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int) -> None:
         self.window = window
+        self.words = sum(len(words) for _, words in items)
         self.ids: dict[bytes, int] = {}
         for _, words in items:
             for w in words:
@@ -186,6 +191,17 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_
     yield Automaton(items, window)
 
 
+def passes(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int, pass_words: int) -> Iterator[list[Automaton]]:
+    """The blocks' automata, as many at a time as have pass_words words at most (one at least)."""
+    held: list[Automaton] = []
+    for automaton in blocks(benchmark, id_col, text_col, window, block_words):
+        if held and sum(a.words for a in held) + automaton.words > pass_words:
+            yield held
+            held = []
+        held.append(automaton)
+    yield held
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, end in sorted(spans):
@@ -201,22 +217,77 @@ def _where(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(rb"[^ ]+", text.encode("utf-8", "surrogatepass").translate(_FOLD))]
 
 
-def clean_text(text: str, automata: list[Automaton], spans: list[tuple[int, int]], least: int) -> str:
-    """text without spans of least or more words, over and over until none is left.
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without these spans, each of which leaves a newline."""
+    raw, at = text.encode("utf-8", "surrogatepass"), _where(text)
+    keep, last = [], 0
+    for start, end in spans:
+        keep.append(raw[last : at[start][0]])
+        last = at[end - 1][1]
+    keep.append(raw[last:])
+    return b"\n".join(keep).decode("utf-8", "surrogatepass")
+
 
-    A removed span leaves a newline; what then stands side by side is scanned again."""
+def clean_text(text: str, automata: list[Automaton], spans: list[tuple[int, int]], least: int) -> str:
+    """text without spans of least or more words, over and over until none is left: what
+    stands side by side after a removal is scanned again."""
     while spans := [s for s in spans if s[1] - s[0] >= least]:
-        raw, at = text.encode("utf-8", "surrogatepass"), _where(text)
-        keep, last = [], 0
-        for start, end in spans:
-            keep.append(raw[last : at[start][0]])
-            last = at[end - 1][1]
-        keep.append(raw[last:])
-        text = b"\n".join(keep).decode("utf-8", "surrogatepass")
+        text = cut(text, spans)
         spans = _merged([s for a in automata for s in a.scan(words_of(text))[0]])
     return text
 
 
+STATE = "spans array<struct<start:long,end:long>>, items array<string>"
+
+
+def one_pass(state: DataFrame, automata: list[Automaton]) -> DataFrame:
+    """state (``text``, ``spans``, ``items`` and more) with what these automata find in text
+    added; a null text keeps what it has. The result is stored."""
+    shared = [state.sparkSession.sparkContext.broadcast(a) for a in automata]
+
+    @F.pandas_udf(STATE)
+    def more(texts: pd.Series, spans: pd.Series, items: pd.Series) -> pd.DataFrame:
+        own, out = [b.value for b in shared], []
+        for text, have, names in zip(texts, spans, items, strict=True):
+            words = words_of(text)
+            hits = [a.scan(words) for a in own]
+            all_spans = _merged([*((s["start"], s["end"]) for s in have), *itertools.chain.from_iterable(h[0] for h in hits)])
+            out.append(([{"start": s, "end": e} for s, e in all_spans], sorted({*names, *itertools.chain.from_iterable(h[1] for h in hits)})))
+        return pd.DataFrame(out, columns=["spans", "items"])
+
+    rest = [c for c in state.columns if c not in ("spans", "items")]
+    found = stored(state.select(*rest, more("text", "spans", "items").alias("found")).select(*rest, "found.*"), "pass")
+    for b in shared:
+        b.unpersist()
+    return found
+
+
+def in_passes(box: DataFrame, groups: Callable[[], Iterator[list[Automaton]]], with_text: bool, least_words: int, most_coverage: float) -> DataFrame:
+    """box (``row``, ``text``) with the outcome, by one pass over the texts for each group
+    of automata, and as many again for each round of removals among the rows that had one."""
+    none = F.from_json(F.lit('{"spans": [], "items": []}'), STATE)
+    state = box.select("row", "text", none["spans"].alias("spans"), none["items"].alias("items"))
+    for group in groups():
+        state = one_pass(state, group)
+    count = F.pandas_udf(lambda texts: pd.Series([len(words_of(t)) for t in texts]), "long")
+    state = state.withColumns({"n_words": count("text"), "n_hit": F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])})
+    state = state.withColumns({"n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256), "contaminated": F.col("n_hit") > 0})
+    if not with_text:
+        return state
+    remove = F.pandas_udf(lambda texts, spans: pd.Series([None if t is None else cut(t, [(s["start"], s["end"]) for s in ss]) if len(ss) else t for t, ss in zip(texts, spans, strict=True)], dtype=object), "string")
+    long = lambda spans: F.filter(spans, lambda s: s["end"] - s["start"] >= least_words)
+    whole = F.col("text").isNotNull() & (F.col("n_hit") <= F.lit(most_coverage) * F.col("n_words"))
+    state = stored(state.withColumn("clean_text", F.when(whole, F.col("text"))).withColumn("todo", F.when(whole, long(F.col("spans"))).otherwise(none["spans"])), "found")
+    while state.filter(F.size("todo") > 0).limit(1).count():
+        state = stored(state.withColumns({"clean_text": remove("clean_text", "todo"), "again": F.size("todo") > 0}), "cut")
+        kept = [c for c in state.columns if c not in ("todo", "again")]
+        turn = state.select(F.struct(*kept).alias("kept"), F.when(F.col("again"), F.col("clean_text")).alias("text"), none["spans"].alias("spans"), none["items"].alias("items"))
+        for group in groups():
+            turn = one_pass(turn, group)
+        state = turn.select("kept.*", long(F.col("spans")).alias("todo"))
+    return state.drop("todo")
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -225,6 +296,7 @@ def decontaminate(
     item_text: str = "text",
     window: int = 10,
     block_words: int = BLOCK_WORDS,
+    pass_words: int = PASS_WORDS,
     with_text: bool = True,
     least_words: int = 1,
     most_coverage: float = 0.8,
@@ -235,16 +307,24 @@ def decontaminate(
     ``contaminated``, ``spans`` (start and end in words) and, if with_text,
     ``clean_text`` (the text without spans of least_words words or more; null where more
     than most_coverage of the words are hit, and where the text is null). Columns of docs
-    with these names are replaced; the others stay. Rows stay rows: nothing is shuffled.
+    with these names are replaced; the others stay, whatever their names. Rows stay rows: nothing
+    is shuffled, and texts of any length are taken whole.
 
     Null or empty texts have no words and are clean. Items without words have no window.
     A null item id counts as the item id ''; rows that repeat an item id count once in
     n_items. Of an empty benchmark nothing is found.
     """
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(a) for a in blocks(benchmark, item_id, item_text, window, block_words)]
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *(["clean_text"] if with_text else [])]
-    kept = without(docs, *(n for n in names if n.lower() != text_col.lower()))
+    made = [n for n in names if n.lower() != text_col.lower()]
+    box = boxed(docs, tuple(made), text=quoted(text_col))
+
+    def groups() -> Iterator[list[Automaton]]:
+        return passes(benchmark, item_id, item_text, window, block_words, pass_words)
+
+    first, second = itertools.islice(itertools.chain(groups(), [None]), 2)
+    if second is not None:
+        return unboxed(in_passes(box, groups, with_text, least_words, most_coverage), *made)
+    shared = [docs.sparkSession.sparkContext.broadcast(a) for a in first]
     schema = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>" + ", clean_text string" * with_text
 
     @F.pandas_udf(schema)
@@ -264,5 +344,5 @@ def decontaminate(
             out.append(row)
         return pd.DataFrame(out, columns=names)
 
-    found = kept.withColumn("__scan", scanned(F.col(text_col)))
-    return without(found.select("*", *[F.col("__scan")[n].alias(f"__{n}") for n in names]), "__scan").withColumnsRenamed({f"__{n}": n for n in names})
+    found = box.withColumn("scan", scanned("text"))
+    return unboxed(found, *[F.col("scan")[n].alias(n) for n in made])

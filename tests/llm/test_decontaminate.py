@@ -71,3 +71,20 @@ def test_blocks(spark):
     key = lambda rows: [(r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows]
     assert key(run(spark, texts, items, window=6)) == key(run(spark, texts, items, window=6, block_words=15))
     assert [r["n_hit"] for r in run(spark, texts, items[:0])] == [0] * 10
+    # So do several passes, with the same texts left.
+    all_of = lambda rows: [tuple(r) for r in rows]
+    once, often = (run(spark, [*texts, None, ""], items, window=6, block_words=60, pass_words=n, least_words=7) for n in (10**6, 100))
+    assert all_of(once) == all_of(often) and any(r["clean_text"] != t for r, t in zip(once, texts, strict=False))
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, f"x {ITEM}", 5, 6, 7)], "doc_id long, text string, __scan int, scan int, row int")
+    got = d.decontaminate(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).first()
+    assert (got["__scan"], got["scan"], got["row"], got["n_hit"]) == (5, 6, 7, 12)
+
+
+def test_many_short_items():
+    """Short items cost in proportion to their number."""
+    items = [(str(i), [b"w%d" % i, b"v%d" % (i % 7)]) for i in range(30_000)]
+    automaton = d.Automaton(items, 10)
+    assert automaton.scan([b"w5", b"v5", b"w8", b"v2"])[1] == {"5"}
