@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specweave.functions.text import js_number
+from specweave.functions.text import js_number, trim
 from specweave.operators.answering import measure_text, readability_text
 
 #: Fixed values.
@@ -52,12 +52,17 @@ def history_label(fact_value: Column, text: Column) -> Column:
 
 
 def submit(messages: DataFrame, answers: DataFrame) -> DataFrame:
-    """messages with a user's and an assistant's message for each row of answers
-    (``conv_id``, ``turn``, ``question``, ``text``) whose question isn't blank."""
-    asked = answers.filter(F.length(F.trim(F.coalesce("question", F.lit("")))) > 0)
-    user = asked.select("conv_id", "turn", F.lit("user").alias("role"), F.col("question").alias("text"))
-    assistant = asked.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit("assistant").alias("role"), "text")
-    return messages.select("conv_id", "turn", "role", "text").unionByName(user).unionByName(assistant)
+    """messages (``id``, ``conv_id``, ``turn``, ``role``, ``text``) with a user's and an
+    assistant's message for each row of answers (``conv_id``, ``turn``, ``asked_at``,
+    ``question``, ``text``) whose question isn't blank. Both ids come from asked_at, the
+    time of the question; its text is trimmed."""
+    question = trim(F.coalesce("question", F.lit("")))
+    asked = answers.filter(question != "")
+
+    def said(role: str, later: int, text: Column) -> DataFrame:
+        return asked.select(F.concat(F.lit(f"{role}-"), F.col("asked_at").cast("string")).alias("id"), "conv_id", (F.col("turn") + later).alias("turn"), F.lit(role).alias("role"), text.alias("text"))
+
+    return messages.select("id", "conv_id", "turn", "role", "text").unionByName(said("user", 0, question)).unionByName(said("assistant", 1, F.col("text")))
 
 
 def record_total(meta: DataFrame) -> DataFrame:
@@ -81,9 +86,18 @@ def temperature_card(specs: DataFrame) -> DataFrame:
 
 
 def source_line(source: Column) -> Column:
+    """Under a model's answer."""
     return F.concat(F.lit("Source: "), source["manual"], F.lit(" · Master reference page "), source["page"].cast("string"))
 
 
+def temperature_source_line(page: Column) -> Column:
+    return F.concat(F.lit("Source: Master Reference · Page "), page.cast("string"))
+
+
+def guidance_source_line(page: Column) -> Column:
+    return F.concat(F.lit("Source: Master Reference guidance · Page "), page.cast("string"))
+
+
 def qa_notes(records: DataFrame) -> DataFrame:
     """A row for each message of each record, in order."""
     return records.select("id", F.posexplode("qa.messages").alias("place", "message"))
@@ -93,8 +107,25 @@ def suggested_questions(spark) -> DataFrame:
     return spark.createDataFrame(list(enumerate(SUGGESTED)), "place int, question string")
 
 
-def safe_return_path(path: Column, reserved: tuple[str, ...]) -> Column:
-    """A path of the own site, else `/`: it must start with one slash and not be reserved."""
-    plain = F.regexp_extract(path, r"^[^?#]*", 0)
-    safe = path.startswith("/") & ~path.startswith("//") & ~path.rlike(r"^/\\") & ~plain.isin(*reserved)
-    return F.when(F.coalesce(safe, F.lit(False)), path).otherwise("/")
+#: The paths of signing in and out, to which no one is sent back.
+RESERVED_PATHS = ("/signin-with-chatgpt", "/signout-with-chatgpt", "/callback")
+
+_DOTS = r"(?i)^(?:\.|%2e){1,2}\z"
+
+
+def safe_return_path(path: Column, reserved: tuple[str, ...] = RESERVED_PATHS) -> Column:
+    """A path of the own site, else `/`: it starts with one slash, and once parsed as browsers
+    parse it (blanks around it, tabs and line ends out, backslashes as slashes, dot segments
+    resolved) it names no other host and no reserved path. Query and fragment stay."""
+    clean = F.regexp_replace(F.regexp_replace(path, r"[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
+    place = F.replace(F.regexp_extract(clean, r"(?s)^[^?#]*", 0), F.lit("\\"), F.lit("/"))
+    rest = F.regexp_extract(clean, r"(?s)[?#].*", 0)
+    parts = F.slice(F.split(place, "/"), F.lit(2), F.greatest(F.size(F.split(place, "/")) - 1, F.lit(0)))
+    up = lambda p: p.rlike(_DOTS) & (F.length(F.regexp_replace(p, "(?i)%2e", ".")) == 2)
+    here = lambda p: p.rlike(_DOTS) & ~up(p)
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda done, p: F.when(up(p), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(here(p), done).otherwise(F.concat(done, F.array(p))))
+    # A dot segment at the end leaves its slash.
+    open_end = F.element_at(F.concat(F.array(F.lit("x")), parts), -1).rlike(_DOTS) & (F.size(walked) > 0)
+    resolved = F.concat(F.lit("/"), F.array_join(walked, "/"), F.when(open_end, "/").otherwise(""))
+    safe = path.startswith("/") & ~place.startswith("//") & ~resolved.isin(*reserved)
+    return F.when(F.coalesce(safe, F.lit(False)), F.concat(resolved, rest)).otherwise("/")

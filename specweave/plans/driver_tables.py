@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from specweave.operators import normalise
+from specweave.sources import schemas
 from specweave.sources.knowledge import Knowledge
 
 WORDS = ["tolerance", "repeatability", "linearity", "readability", "capacity", "weight class", "OCL", "temperature"]
@@ -77,6 +79,32 @@ def knowledge(spark: SparkSession, sf_dir: str) -> Knowledge:
     return Knowledge(normalise.catalogue(current, legacy), heat, guide, none, none, none, normalise.meta(current, legacy, heat, date, "Master Tolerance Reference"))
 
 
+#: Models of a raw document.
+DOCUMENT_MODELS = 500
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue as raw documents of DOCUMENT_MODELS keys each, whose number stands in
+    document_date; the elements are in the order of their keys. The weight classes stand for
+    the tables of unknown elements."""
+    part, supplier = spark.read.parquet(f"{sf_dir}/part.parquet"), spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    number = F.floor((F.col("pos") + 1) / DOCUMENT_MODELS).cast("long").alias("number")
+
+    def arrays(rows: DataFrame, name: str, of: str) -> DataFrame:
+        fields = T.StructType.fromDDL(f"e {of}")["e"].dataType
+        element = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+        found = rows.groupBy(number).agg(F.array_sort(F.collect_list(F.struct("pos", element.alias("e"))), lambda a, b: (a["pos"] - b["pos"]).cast("int")).alias("es"))  # at most DOCUMENT_MODELS
+        return found.select("number", F.transform("es", lambda x: x["e"]).alias(name))
+
+    current = arrays(raw_current(part), "current", schemas.CURRENT_IN)
+    legacy = arrays(raw_legacy(part), "legacy", schemas.LEGACY_IN)
+    heat = arrays(temperature(supplier), "temperature_specs", schemas.TEMPERATURE)
+    guide = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(90 + s).alias("source_pdf_page")) for s in (1, 2, 3, 4, 7)])
+    joined = current.join(legacy, "number", "full").join(heat, "number", "full")
+    label = F.col("number").cast("string")
+    return joined.select(label.alias("document_date"), "current", "legacy", "temperature_specs", guide.alias("guidance"), F.array(F.concat(F.lit("class "), label)).alias("weight_class_crossmap"), F.array(label, F.lit(None)).alias("series_class_recommendations"), F.array().cast("array<string>").alias("mass_tolerances"))
+
+
 def messages(conversations: DataFrame) -> DataFrame:
     """conversations without what stands for the welcome message."""
     return conversations.filter(F.col("role") != "system")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from specweave.operators import conversation as conv
 from specweave.operators import matching, normalise
 from specweave.operators.assess import NOTE, assess, d_message, sum_message
 from specweave.plans import driver_tables as d
+from specweave.sources import knowledge
+from specweave.sources.shared import shared_path
 from specweave.streaming.questions import answer_stream_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -417,6 +420,69 @@ def source_line(spark, sf_dir):
     return d.knowledge(spark, sf_dir).records.select("id", conv.source_line(F.col("source")).alias("line"))
 
 
-@query("SELECT (SELECT count(*) FROM part) + (SELECT count(*) FROM part WHERE p_partkey % 6 = 0) AS total")
+@query("SELECT 'known' AS meta, n AS total, format('{:,d}', n) AS shown FROM (SELECT (SELECT count(*) FROM part) + (SELECT count(*) FROM part WHERE p_partkey % 6 = 0) AS n) UNION ALL SELECT 'none', 746, '746'")
 def record_total(spark, sf_dir):
-    return conv.record_total(d.knowledge(spark, sf_dir).meta).select("total")
+    meta = d.knowledge(spark, sf_dir).meta
+    return conv.record_total(meta).select(F.lit("known").alias("meta"), "total", "shown").union(conv.record_total(meta.filter("false")).select(F.lit("none"), "total", "shown"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue as raw JSON documents, written to the shared folder and read again."""
+    path = shared_path(spark, "documents")
+    knowledge.write_documents(d.documents(spark, sf_dir), path)
+    return knowledge.read_document(spark, path)
+
+
+@query(f"""WITH {RAW} SELECT (k // 500)::VARCHAR AS document_date, row_number() OVER (PARTITION BY k // 500 ORDER BY k) - 1 AS pos, model AS model_group, search AS search_aliases, cap, tol, rep, ocl_d, page FROM raw""")
+def raw_documents(spark, sf_dir):
+    rows = knowledge.unnest(_documents(spark, sf_dir), "current", "document_date")
+    return rows.select("document_date", F.col("pos").cast("long").alias("pos"), "model_group", "search_aliases", F.col("capacity_primary").alias("cap"), F.col("tolerance.value").alias("tol"), F.col("repeatability.value").alias("rep"), F.col("ocl.d").cast("long").alias("ocl_d"), F.col("source_pdf_page").cast("long").alias("page"))
+
+
+@query(f"""WITH {RAW}, ns AS (SELECT DISTINCT k // 500 AS n FROM raw UNION SELECT DISTINCT s_suppkey // 500 FROM supplier),
+rows_ AS (
+  SELECT k // 500 AS n, 'legacy' AS name, row_number() OVER (PARTITION BY k // 500 ORDER BY k) - 1 AS pos, 'PX' || (1000 + k) AS shown FROM raw WHERE k % 6 = 0
+  UNION ALL SELECT s_suppkey // 500, 'temperature_specs', row_number() OVER (PARTITION BY s_suppkey // 500 ORDER BY s_suppkey) - 1, 'TS' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN '/TX' ELSE ' / TX' END || s_suppkey FROM supplier
+  UNION ALL SELECT n, 'guidance', i - 1, ([1, 2, 3, 4, 7][i])::VARCHAR FROM ns, (SELECT unnest(range(1, 6)) AS i)
+  UNION ALL SELECT n, 'weight_class_crossmap', 0, 'class ' || n FROM ns
+  UNION ALL SELECT n, 'series_class_recommendations', i, CASE WHEN i = 0 THEN n::VARCHAR END FROM ns, (SELECT unnest(range(2)) AS i)
+) SELECT n::VARCHAR AS document_date, name, pos, shown FROM rows_""")
+def passed_through_tables(spark, sf_dir):
+    """The other tables of the documents; mass_tolerances is empty."""
+    read = _documents(spark, sf_dir)
+    shown = {"legacy": "model_group", "temperature_specs": "model_group", "guidance": "section", "weight_class_crossmap": "row", "series_class_recommendations": "row", "mass_tolerances": "row"}
+    parts = [knowledge.unnest(read, name, "document_date").select("document_date", F.lit(name).alias("name"), F.col("pos").cast("long").alias("pos"), F.col(column).cast("string").alias("shown")) for name, column in shown.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_ASKED = "asked AS (SELECT conv_id, max(turn) + 1 AS turn, 7000 + conv_id AS asked_at, CASE WHEN conv_id % 5 = 0 THEN '  ' ELSE '  question ' || conv_id || ' ' END AS question, 'answer ' || conv_id AS text FROM conversations GROUP BY conv_id)"
+
+
+@query(f"""WITH {_ASKED} SELECT 'm' || conv_id || '-' || turn AS id, conv_id, turn, role, text FROM conversations
+UNION ALL SELECT 'user-' || asked_at, conv_id, turn, 'user', trim(question) FROM asked WHERE trim(question) <> '' UNION ALL SELECT 'assistant-' || asked_at, conv_id, turn + 1, 'assistant', text FROM asked WHERE trim(question) <> ''""")
+def submitted_messages(spark, sf_dir):
+    messages = _table(spark, sf_dir, "conversations")
+    asked = messages.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn")).selectExpr("conv_id", "turn", "7000 + conv_id as asked_at", "case when conv_id % 5 = 0 then '  ' else concat('  question ', conv_id, ' ') end as question", "concat('answer ', conv_id) as text")
+    return conv.submit(messages.withColumn("id", F.concat(F.lit("m"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))), asked)
+
+
+@query(f"WITH {PAIRS}, placed_ AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pair DESC) - 1 AS place FROM exchanges) SELECT conv_id, pair, \"user\" AS question, CASE WHEN pair % 2 = 0 THEN 'fact ' || pair ELSE assistant END AS label FROM placed_ WHERE place > 0")
+def history_labels(spark, sf_dir):
+    fact = F.when(F.col("pair") % 2 == 0, F.concat(F.lit("fact "), F.col("pair").cast("string")))
+    return conv.history(_pairs(spark, sf_dir)).select("conv_id", "pair", F.col("user").alias("question"), conv.history_label(fact, F.col("assistant")).alias("label"))
+
+
+@query("SELECT s_suppkey, 'Source: Master Reference · Page ' || s_suppkey % 80 AS line FROM supplier")
+def temperature_source_line(spark, sf_dir):
+    heat = d.temperature(_table(spark, sf_dir, "supplier"))
+    return heat.select((F.col("pos") + 1).alias("s_suppkey"), conv.temperature_source_line(F.col("source_pdf_page")).alias("line"))
+
+
+@query("SELECT s AS section, 'Source: Master Reference guidance · Page ' || (90 + s) AS line FROM (SELECT unnest([1, 2, 3, 4, 7]) AS s)")
+def guidance_source_line(spark, sf_dir):
+    return d.guidance(spark).select("section", conv.guidance_source_line(F.col("source_pdf_page")).alias("line"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {_quoted(q)})" for k, q in enumerate(conv.SUGGESTED)) + ") AS t(place, question)")
+def suggested_questions(spark, sf_dir):
+    return conv.suggested_questions(spark)

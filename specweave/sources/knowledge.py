@@ -32,11 +32,12 @@ def read_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def unnest(document: DataFrame, column: str) -> DataFrame:
-    """A row for each element of an array of the document, with ``pos`` from 0."""
-    rows = document.select(F.posexplode(column).alias("pos", "row"))
+def unnest(document: DataFrame, column: str, *keep: str) -> DataFrame:
+    """A row for each element of an array of the document, with ``pos`` from 0; of many
+    documents also the columns keep, which tell them apart."""
+    rows = document.select(*keep, F.posexplode(column).alias("pos", "row"))
     struct = rows.schema["row"].dataType.typeName() == "struct"
-    return rows.select("pos", "row.*") if struct else rows
+    return rows.select(*keep, "pos", "row.*") if struct else rows
 
 
 def prepare(document: DataFrame, title: str = "Master Tolerance Reference") -> Knowledge:
@@ -62,6 +63,11 @@ def progress(knowledge: Knowledge, path: str) -> str:
     return f"Prepared {knowledge.records.count()} model records at {path}"
 
 
+def write_documents(documents: DataFrame, path: str) -> None:
+    """Raw documents as JSON, a file for each row, nulls kept."""
+    documents.write.mode("overwrite").option("ignoreNullFields", "false").option("maxRecordsPerFile", 1).json(path)
+
+
 def write_json(table: DataFrame, path: str) -> None:
     """Lines of JSON with null members kept."""
     table.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

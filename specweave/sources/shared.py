@@ -14,7 +14,7 @@ _local: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``. Where the session leaves it unset, a local master gets a
-    temporary folder that goes with the process, and a cluster a folder in its warehouse."""
+    temporary folder that goes with the process; a cluster has to set it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
             _local["dir"] = tempfile.mkdtemp(prefix="specweave-")
             atexit.register(shutil.rmtree, _local["dir"], ignore_errors=True)
         return f"file://{_local['dir']}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_specweave"
+    raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

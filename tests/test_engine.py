@@ -133,8 +133,28 @@ def test_conversation(spark):
     assert [r["user"] for r in conversation.history(pairs).collect()] == ["a"]
     assert conversation.history_count(pairs).first()["n_history"] == 1
     assert conversation.suggested_questions(spark).count() == 4
-    asked = spark.createDataFrame([(1, 5, "q", "a"), (1, 7, " ", "x")], "conv_id long, turn long, question string, text string")
-    assert conversation.submit(spark.createDataFrame(stray, "conv_id long, turn long, role string, text string"), asked).count() == len(stray) + 2
+    asked = spark.createDataFrame([(1, 5, 99, " q ", "a"), (1, 7, 100, " ", "x")], "conv_id long, turn long, asked_at long, question string, text string")
+    before = spark.createDataFrame([(str(i), *row) for i, row in enumerate(stray)], "id string, conv_id long, turn long, role string, text string")
+    added = [tuple(r) for r in conversation.submit(before, asked).exceptAll(before).orderBy("turn").collect()]
+    assert added == [("user-99", 1, 5, "user", "q"), ("assistant-99", 1, 6, "assistant", "a")]
+
+
+PATHS = [
+    ("/a?b#c", "/a?b#c"), ("/", "/"), ("a", "/"), ("", "/"), (None, "/"), ("//evil.com", "/"), ("/\\evil.com", "/"), ("/\t/evil.com", "/"), ("https://x", "/"), (" /a", "/"), ("/signin-with-chatgpt", "/"), ("/signout-with-chatgpt?x", "/"),
+    ("/x/../signin-with-chatgpt", "/"), ("/x/%2E%2e/callback#y", "/"), ("/a/./b/..", "/a/"), ("/../a", "/a"), ("/a//b", "/a//b"), ("/call\nback", "/"), ("/x\\..\\y", "/y"), ("/callback/", "/callback/"), ("/a?/../signin-with-chatgpt", "/a?/../signin-with-chatgpt"),
+]
+
+
+def test_safe_return_path(spark):
+    rows = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(PATHS)], "i int, path string")
+    got = {r["i"]: r["safe"] for r in rows.select("i", conversation.safe_return_path(F.col("path")).alias("safe")).collect()}
+    assert [got[i] for i in range(len(PATHS))] == [want for _, want in PATHS]
+
+
+def test_malformed_document(spark, tmp_path):
+    (tmp_path / "raw.json").write_text('{"document_date": ')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        knowledge.read_document(spark, str(tmp_path / "raw.json")).collect()
 
 
 def test_measure_text(spark):
