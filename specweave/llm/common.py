@@ -72,11 +72,10 @@ def unboxed(df: DataFrame, *columns: str | Column) -> DataFrame:
 HOT = 1000
 
 
-def hot_keys(counts: DataFrame, key: str, rows: str = "n") -> DataFrame:
-    """The hot keys of a table of different keys with their numbers of rows: at most HOT rows,
-    stored."""
-    total = counts.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
-    return stored(counts.filter(F.col(rows) * HOT > total).select(key), "hot")
+def hot_keys(counts: DataFrame, key: str, total: int, rows: str = "n") -> DataFrame:
+    """The hot keys of a table of different keys with their numbers of rows, which sum up to
+    total: at most HOT rows."""
+    return counts.filter(F.col(rows) * HOT > total).select(key)
 
 
 def lookup(big: DataFrame, small: DataFrame, key: str, hot: DataFrame) -> DataFrame:
@@ -102,12 +101,15 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.filter("a is not null and b is not null and a <> b")
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "labels")
-    hubs = hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b")
+    n_edges, n_nodes = both.count(), labels.count()
+    if not n_nodes:
+        return labels
+    hubs = hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b", n_edges)
     while True:
         near = lookup(both, labels.select(F.col("node").alias("b"), "root"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         best = stored(labels.select("node", "root").join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old")), "best")
         jump = best.select(F.col("node").alias("root"), F.col("root").alias("jump"))
-        large = hot_keys(best.groupBy("root").agg(F.count("*").alias("n")), "root")
+        large = hot_keys(best.groupBy("root").agg(F.count("*").alias("n")), "root", n_nodes)
         labels = stored(lookup(best, jump, "root", large).select("node", F.least("root", "jump").alias("root"), "old"), "labels")
         if labels.filter("root <> old").limit(1).count() == 0:
             return labels.select("node", "root")

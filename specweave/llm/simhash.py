@@ -198,9 +198,10 @@ def outer_pieces(fp: str, number: str, sets: list[tuple[int, ...]], segments: in
     return of(F.col(fp), F.col(number))
 
 
-def fingerprint_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
-    """prints: a stored table of different longs ``fp``. Returns ``node``, ``root`` for each
-    fingerprint that links to another one, root being the smallest of its component."""
+def fingerprint_components(prints: DataFrame, max_bits: int = 4, known: DataFrame | None = None) -> DataFrame:
+    """prints: a stored table of different longs ``fp``; known: further links ``a``, ``b``
+    between them. Returns ``node``, ``root`` for each fingerprint that links to another one, root being
+    one of its component."""
     rows = prints.count()
     segments, equal = shape(rows, max_bits)
     at, sets = cuts(segments), ring_keys(segments, max_bits, equal)
@@ -220,7 +221,7 @@ def fingerprint_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     bucket = buckets.withColumnRenamed("key", "bucket")
     members = stored(keyed.join(bucket, (F.col("key") == F.col("bucket")) & ((F.col("n") > 2) | star)).select("key", "number", "fp", "n", "pivot"), "members")
     stars = stored(members.filter(star).select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
-    found = components(stars)
+    found = components(stars if known is None else stars.union(known.select("a", "b")))
 
     labelled = members.filter("n > 2").select("key", "number", "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("key", "number", "fp", F.coalesce("root", "fp").alias("root"))
     labelled = stored(labelled, "labelled")
@@ -249,16 +250,13 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits:
         rows = stored(docs.select(quoted(id_col).alias("id"), F.xxhash64(text).alias("hash"), sketch(quoted(text_col), shingle, seed).alias("s")).select("id", "hash", "s.*"), "prints")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")).alias("first")
     prints = stored(rows.groupBy("fp").agg(first, F.count("*").alias("n")), "different")
-    found = fingerprint_components(prints.select("fp"), max_bits)
-    if percent is not None:
-        texts = docs.select(F.xxhash64(text).alias("hash"), text.alias("text"))
-        edges = found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar_edges(rows, texts, shingle, percent))
-        found = components(edges)
+    similar = None if percent is None else similar_edges(rows, docs.select(F.xxhash64(text).alias("hash"), text.alias("text")), shingle, percent)
+    found = fingerprint_components(prints.select("fp"), max_bits, similar)
     roots = stored(prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root")), "roots")
     least = stored(roots.groupBy("root").agg(F.min("first").alias("first")), "least")
-    large = hot_keys(roots.groupBy("root").agg(F.count("*").alias("n")), "root")
+    large = hot_keys(roots.groupBy("root").agg(F.count("*").alias("n")), "root", roots.count())
     by_print = stored(lookup(roots.select("fp", "n", "root"), least, "root", large).select("fp", "n", "first"), "by_print")
-    return lookup(rows.select("id", "hash", "fp"), by_print.select("fp", "first"), "fp", hot_keys(by_print, "fp"))
+    return lookup(rows.select("id", "hash", "fp"), by_print.select("fp", "first"), "fp", hot_keys(by_print, "fp", rows.count()))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 4, seed: int = SEED, percent: int | None = None) -> DataFrame:

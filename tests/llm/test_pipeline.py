@@ -9,7 +9,7 @@ from specweave.llm import decontaminate
 from specweave.llm.common import stored
 from tests.llm.test_decontaminate import brute as brute_windows
 from tests.llm.test_quality_mixing_sharding import brute_measures
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_simhash import brute_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,14 +37,28 @@ def test_quality(results):
     assert all(after[i] == before[i] for i in after) and len(after) > 0.7 * len(before)
 
 
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def test_near_dedup(results):
+    """Of the texts that six bits or a Jaccard similarity of 0.8 link, the smallest id stays."""
     before, after = (x.collect() for x in results[1:3])
-    prints = {r["doc_id"]: brute_fingerprint(r["text"], 5) for r in before}
-    roots = brute_components(set(prints.values()), 6)
-    least = {}
-    for i in sorted(prints):
-        least.setdefault(roots[prints[i]], i)
-    assert sorted(r["doc_id"] for r in after) == sorted(least.values())
+    rows = sorted((r["doc_id"], brute_fingerprint(r["text"], 5), shingles(r["text"])) for r in before)
+    first = {i: i for i, _, _ in rows}
+
+    def find(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    for n, (i, print_i, set_i) in enumerate(rows):
+        for j, print_j, set_j in rows[n + 1 :]:
+            if (print_i ^ print_j).bit_count() <= 6 or (set_i and 10 * len(set_i & set_j) >= 8 * len(set_i | set_j)):
+                a, b = find(i), find(j)
+                first[max(a, b)] = min(a, b)
+    assert sorted(r["doc_id"] for r in after) == sorted({find(i) for i in first})
 
 
 def test_decontamination(spark, results):

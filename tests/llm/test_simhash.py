@@ -52,6 +52,22 @@ def test_fingerprint():
     assert simhash.fingerprint_of("x " * 40_000, 4) == brute_fingerprint("x x x x", 4)
 
 
+def test_outer_pieces(spark):
+    """Whatever max_bits bits differ outside a key, some piece of the rest is equal."""
+    rng = random.Random(2)
+    sets = simhash.ring_keys(6, 4, 2)
+    pairs = []
+    for _ in range(300):
+        number = rng.randrange(len(sets))
+        free = [shift + i for s, (shift, width) in enumerate(simhash.cuts(6)) if s not in sets[number] for i in range(width)]
+        a = rng.getrandbits(64)
+        pairs.append((number, a, a ^ sum(1 << b for b in rng.sample(free, 4))))
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    frame = spark.createDataFrame([(n, signed(a), signed(b)) for n, a, b in pairs], "number int, a long, b long")
+    got = frame.select(simhash.outer_pieces("a", "number", sets, 6, 4).alias("x"), simhash.outer_pieces("b", "number", sets, 6, 4).alias("y")).collect()
+    assert all(len(r["x"]) == 5 and set(r["x"]) & set(r["y"]) for r in got)
+
+
 @pytest.mark.parametrize("bits", [4, 6])
 def test_components(spark, bits):
     """Dense balls, chains of links, and fingerprints of their own."""
@@ -90,6 +106,9 @@ def test_edges(spark):
     got = sorted((r["doc_id"] or 0, r["component_id"], r["fingerprint"]) for r in simhash.near_duplicates(docs).collect())
     assert [x[:2] for x in got] == [(0, 4), (0, 7), (4, 4), (5, 4), (7, 7), (7, 7), (9, 9)]
     assert got[0][2] == "0" * 16
+    # Other texts of an id that goes stay, and of one component's rows of one id one stays.
+    shared = spark.createDataFrame([(1, "p q r s t u"), (2, "p q r s t u"), (2, "of its own it is"), (3, "x y"), (3, "X Y")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.drop_near_duplicates(shared).collect())[:2] == [(1, "p q r s t u"), (2, "of its own it is")] and simhash.drop_near_duplicates(shared).count() == 3
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["4", "7", "9", "None", "None"]
