@@ -39,28 +39,30 @@ _DIGITS = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 def masked(text: Column) -> Column:
-    """The lines of a text, words with a digit as the field, words apart by one space."""
-    spaced = F.regexp_replace(F.regexp_replace(text, _DIGITS, FIELD), r"[\x20\x09\x0B-\x0D]+", " ")
-    return F.split(F.trim(F.replace(F.replace(spaced, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))), "\n")
+    """The lines of a text, words with a digit as the field, words apart by one space. The
+    patterns are run on the lines that have a digit, or white space other than single spaces."""
+    fields = F.transform(F.split(text, "\n"), lambda line: F.when(line.rlike("[0-9]"), F.regexp_replace(line, _DIGITS, FIELD)).otherwise(line))
+    return F.transform(fields, lambda line: F.trim(F.when(line.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(line, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(line)))
 
 
 def has_word(line: Column) -> Column:
     """True if a masked line has anything but fields."""
-    return F.trim(F.replace(line, F.lit(FIELD), F.lit(""))) != ""
+    return F.when(line.contains(FIELD), F.trim(F.replace(line, F.lit(FIELD), F.lit(""))) != "").otherwise(line != "")
 
 
 def hashed(line: Column) -> Column:
     """(leaf, line) of a masked line; null if it has no word."""
-    tokens = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    return F.when(has_word(line), F.struct(F.xxhash64(tokens, F.substring_index(line, " ", LEADING)).alias("leaf"), F.xxhash64(line).alias("line")))
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(has_word(line), F.struct(F.xxhash64(spaces, F.substring_index(line, " ", LEADING)).alias("leaf"), F.xxhash64(line).alias("line")))
 
 
 def parsed(box: DataFrame) -> DataFrame:
     """A row for each row of box (``text`` and the key ``k1``, ``k2``): ``row``, a number of its
-    own, the key, its ``lines`` as hashes, in order, and the same without repetitions, ``once``."""
+    own, the key, its ``lines`` as hashes, in order, and where some repeat the same without
+    repetitions, ``once``."""
     rows = box.select(F.monotonically_increasing_id().alias("row"), "k1", "k2", masked(F.coalesce("text", F.lit(""))).alias("m"))
     # The different lines are told apart as strings: an array of structs would be compared pair by pair.
-    return stored(rows.select("row", "k1", "k2", F.transform("m", hashed).alias("lines"), F.transform(F.array_distinct("m"), hashed).alias("once")), "parsed")
+    return stored(rows.select("row", "k1", "k2", F.transform("m", hashed).alias("lines"), F.when(F.size(F.array_distinct("m")) < F.size("m"), F.transform(F.array_distinct("m"), hashed)).alias("once")), "parsed")
 
 
 def general(own: DataFrame, least_docs: int, similar: int) -> DataFrame:
@@ -83,7 +85,7 @@ def general(own: DataFrame, least_docs: int, similar: int) -> DataFrame:
 
 def recurring(box: DataFrame, lines: DataFrame, least_docs: int = LEAST_DOCS, similar: int = SIMILAR) -> DataFrame:
     """The lines that are dropped, ``leaf`` and ``line``, each once. lines: `parsed` of box."""
-    pairs = lines.select("row", F.explode("once").alias("l")).filter("l is not null").select("row", "l.leaf", "l.line")
+    pairs = lines.select("row", F.explode(F.coalesce("once", "lines")).alias("l")).filter("l is not null").select("row", "l.leaf", "l.line")
     leaves = pairs.groupBy("leaf").agg(F.count("*").alias("total"), F.min("line").alias("line"), F.max("line").alias("other")).filter(F.col("total") >= least_docs)
     leaves = stored(leaves, "leaves")
     alone = leaves.filter("line = other").select("leaf", "line")
