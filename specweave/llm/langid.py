@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specweave.llm.common import stored, without
+from specweave.llm.common import boxed, quoted, stored, unboxed
 
 UNDETERMINED = "und"
 MAX_GRAM = 3
@@ -258,8 +258,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             out.append((m.langs[k], float(p[k])))
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    base = without(docs, "lang_pred", "score").withColumn("__p", of(F.col(text_col)))
-    return without(base.select("*", F.col("__p.lang_pred"), F.col("__p.score")), "__p")
+    box = boxed(docs, ("lang_pred", "score"), p=of(quoted(text_col)))
+    return unboxed(box, "p.lang_pred", "p.score")
 
 
 def held_out(id_: Column) -> Column:

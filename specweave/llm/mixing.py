@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specweave.llm.common import sized, stored, without, word_count
+from specweave.llm.common import boxed, quoted, sized, stored, unboxed, word_count
 
 #: Leading hexadecimal digits of a document's place; each value is a slice of a source, so
 #: that running sums need no task that holds a source.
@@ -62,21 +62,20 @@ def mix(
 
     weights has ``source`` (null is a source too) and ``weight`` (positive), a row for each
     source; documents of a source without a weight have target 0 and are not taken. Rows
-    stay rows; columns with these names are replaced. Documents without words take
-    nothing. Rows that share source and id share their place, and are taken together or not at all
+    stay rows; columns with these names are replaced, all others stay, whatever their names.
+    Documents without words take nothing; texts of any length are counted whole. Rows that share source and id share their place, and are taken together or not at all
     but for the document that closes the gap. An empty table gives an empty one.
 
     Sizes and places are stored once, without the text. Running sums are made of sums by slice of a source, then within the slices; a hot source has as many
     slices as any, so it needs no task of its own.
     """
     made = ["size", "source_size", "target", "taken", "repeats"]
-    base = without(docs, *made)
-    own = [c for c in base.columns if keep_text or c.lower() != text_col.lower()]
-    rows = base.select(*[F.col(f"`{c}`") for c in own], word_count(F.col(text_col)).alias("size"), place(F.col(id_col), F.col(text_col), seed).alias("__place"))
+    drop = (*made, *([] if keep_text else [text_col]))
+    rows = boxed(docs, drop, __src=quoted(source_col), size=word_count(quoted(text_col)), __place=place(quoted(id_col), quoted(text_col), seed))
     rows = rows.withColumn("__slice", F.substring("__place", 1, SLICE_DIGITS))
     if not keep_text:
         rows = stored(rows, "sizes")
-    narrow = rows.select(F.col(source_col).alias("__src"), "size", "__place", "__slice")
+    narrow = rows.select("__src", "size", "__place", "__slice")
     if keep_text:
         narrow = stored(narrow, "sizes")
 
@@ -111,11 +110,11 @@ def mix(
     final = stored(final.join(nearest, F.col("__source").eqNullSafe(F.col("ns")), "left").drop("ns", "gap"), "choice")
 
     choice = final.select(*[F.col(c).alias(c if c == "__source" else f"__{c}") for c in final.columns])
-    out = rows.join(sized(choice, n), F.col(f"`{source_col}`").eqNullSafe(F.col("__source")), "left")
+    out = rows.join(sized(choice, n), F.col("__src").eqNullSafe(F.col("__source")), "left")
     extra = F.when((F.col("__place") <= F.col("__until")) | (F.col("__place") == F.col("__also")), 1).otherwise(0)
     repeats = F.when(F.col("size") > 0, F.coalesce(F.col("__whole") + extra, F.lit(0))).otherwise(0).cast("long")
     out = out.withColumn("repeats", repeats).withColumn("taken", (F.col("repeats") * F.col("size")).cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in own], "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), "taken", "repeats")
+    return unboxed(out, "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), "taken", "repeats")
 
 
 def cyclic_weights(docs: DataFrame, source_col: str = "source", cycle: tuple[float, ...] = (3.0, 1.0, 2.0)) -> DataFrame:
@@ -128,4 +127,5 @@ def cyclic_weights(docs: DataFrame, source_col: str = "source", cycle: tuple[flo
 
 def expanded(mixed: DataFrame) -> DataFrame:
     """The mix itself: a row for each taken copy, and none for documents not taken."""
-    return mixed.filter("repeats > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).drop("__copy")
+    box = boxed(mixed.filter("repeats > 0"), copies=F.sequence(F.lit(1), F.col("repeats").cast("int")))
+    return unboxed(box.select("row", F.explode("copies")))

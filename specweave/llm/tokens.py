@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specweave.llm.common import without
+from specweave.llm.common import boxed, quoted, unboxed
 
 MARK = "▁"
 TRIE_NODES = 1_000_000
@@ -86,7 +86,9 @@ class Trie:
 def token_counts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
     """docs with ``n_pretokens`` and ``n_tokens`` of the whole text.
 
-    A null or empty text has none. Rows stay rows; columns of these names are replaced."""
+    A null or empty text has none. Rows stay rows; columns of these names are replaced, all
+    others stay, whatever their names. Of splits of equal score the one of fewer pieces counts.
+    An empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     held: dict[str, Trie] = {}
 
@@ -108,8 +110,8 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text"
                 trie = held["trie"] = Trie(shared.value)
         return pd.DataFrame(out, columns=["n_pretokens", "n_tokens"])
 
-    base = without(docs, "n_pretokens", "n_tokens").withColumn("__counts", counts(F.col(text_col)))
-    return without(base.select("*", F.col("__counts.n_pretokens"), F.col("__counts.n_tokens")), "__counts")
+    box = boxed(docs, ("n_pretokens", "n_tokens"), counts=counts(quoted(text_col)))
+    return unboxed(box, "counts.n_pretokens", "counts.n_tokens")
 
 
 def default_vocabulary_path() -> str:

@@ -86,7 +86,7 @@ def test_mix(spark):
     rng = random.Random(7)
     rows = [(i, "w " * rng.choice([1, 3, 10, 80]), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(400)]
     rows += [(1000, None, "a"), (None, "w w", "b"), (5, "w " * 9, "a"), (5, "w " * 9, "a"), (1001, "", "empty"), (1002, None, "empty")]
-    docs = spark.createDataFrame([(*r, "clash", "until", "n") for r in rows], "doc_id long, text string, source string, taken string, until string, whole string")
+    docs = spark.createDataFrame([(*r, "clash", "until", "n", 1, 2) for r in rows], "doc_id long, text string, source string, taken string, until string, `__place` string, `row` int, `__copy` int")
     runs = [sorted((str(tuple(r)) for r in mixing.mix(docs, mixing.cyclic_weights(docs), keep_text=keep).drop("text").collect())) for keep in (True, False)]
     assert runs[0] == runs[1]
     got = mixing.mix(docs, mixing.cyclic_weights(docs)).collect()
