@@ -68,23 +68,24 @@ def unboxed(df: DataFrame, *columns: str | Column) -> DataFrame:
     return df.select(*(["row.*"] if has_row else []), *columns)
 
 
-#: A key with over 1/HOT of all rows is hot, so there are at most HOT of them.
-HOT = 1000
+#: A key with over HOT_ROWS rows and over 1/HOT of all rows is hot, so there are at most HOT of them.
+HOT, HOT_ROWS = 1000, 100
 
 
-def hot_keys(counts: DataFrame, key: str, total: int, rows: str = "n") -> DataFrame:
+def hot_keys(counts: DataFrame, key: str, total: int, rows: str = "n") -> list[int]:
     """The hot keys of a table of different keys with their numbers of rows, which sum up to
-    total: at most HOT rows."""
-    return counts.filter(F.col(rows) * HOT > total).select(key)
-
-
-def lookup(big: DataFrame, small: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """big joined with small, whose keys are all different. The rows of hot keys stay where they
-    are and meet their few rows of small by a broadcast; all others are shuffled, no key of
-    which has over 1/HOT of the rows. big and small are stored tables."""
-    few = F.broadcast(small.join(F.broadcast(hot), key, "left_semi"))
-    many = big.join(F.broadcast(hot), key, "left_anti").join(small, key)
-    return big.join(few, key).unionByName(many)
+    total: at most HOT."""
+    return [r[0] for r in counts.filter((F.col(rows) > HOT_ROWS) & (F.col(rows) * HOT > total)).select(key).collect()]
+
+
+def lookup(big: DataFrame, small: DataFrame, key: str, hot: list[int]) -> DataFrame:
+    """big joined with small, whose keys are all different and not null. The rows of hot keys (a
+    list of bounded length) stay where they are and meet their few rows of small by a
+    broadcast; all others are shuffled, no key of which has over 1/HOT of the rows."""
+    if not hot:
+        return big.join(small, key)
+    is_hot = F.col(key).isin(hot)
+    return big.filter(is_hot).join(F.broadcast(small.filter(is_hot)), key).unionByName(big.filter(~is_hot).join(small.filter(~is_hot), key))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -159,7 +159,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards
     ranked = numbered(whole.select("group", "class", "rows"), "class", [F.col("group")], runs, "rank").join(table, "class")
     of_group = stored(ranked.select("group", "rows", F.size(F.filter("upto", lambda n: n <= F.col("rank"))).alias("shard")), "shard_of_group")
     # Giants are kept out of the shuffle like hot keys, and meet their parts below.
-    hot = hot_keys(of_group, "group", total["rows"], "rows").union(spark.createDataFrame([(g["group"],) for g in giants], "group long"))
+    hot = [*hot_keys(of_group, "group", total["rows"], "rows"), *(g["group"] for g in giants)]
     rows = lookup(box, of_group.select("group", "shard"), "group", hot)
     if giants:
         cut = F.broadcast(spark.createDataFrame([(g["group"], n, up) for g, n, up in zip(giants, parts, upto, strict=False)], "group long, parts int, upto array<long>"))
