@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specweave.llm import decontaminate, langid, licenses, lines, mixing, quality, sharding, simhash, tokens, warc
+from specweave.llm import chat, clusters, decontaminate, langid, licenses, lines, mixing, quality, ranking, sharding, simhash, tokens, warc
 from specweave.llm.common import WORD, shared_path
 
 
@@ -74,6 +74,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(ranking.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one, of id -1, whose texts hold the template's marks."""
+    marks = chat.END + chat.START + "assistant ok"
+    own = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.windows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -85,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_chat_formatting": op13_chat_formatting,
 }
 
 #: Words and windows one by one; quantiles of log-linear bins by language and source, language, all.
@@ -194,9 +213,84 @@ SELECT g.doc_id, g.size, g.source_size, g.target,
 FROM gaps g LEFT JOIN last l ON g.source IS NOT DISTINCT FROM l.source
 """
 
+#: Terms of all documents one by one.
+OP11_SQL = r"""
+WITH split AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') FROM benchmark
+), docs AS (SELECT id AS doc_id, len(w)::BIGINT AS n, w FROM split WHERE kind = 'd' AND len(w) > 0),
+stats AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS total FROM docs),
+tf AS (SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(w) AS t FROM docs) GROUP BY ALL),
+asked AS (SELECT id AS item_id, t, count(*)::BIGINT AS q FROM (SELECT id, unnest(w) AS t FROM split WHERE kind = 'b') GROUP BY ALL),
+weights AS (SELECT t, floor(1000 * ln((2 * (SELECT nd FROM stats) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf GROUP BY t),
+scores AS (
+  SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // total))))::BIGINT AS score
+  FROM asked JOIN tf USING (t) JOIN weights USING (t), stats GROUP BY ALL
+)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+"""
+
+
+def _op12_sql(k: int, rounds: int, seed: int) -> str:
+    """Every distance in every round; sums and floors of whole numbers."""
+    near = (
+        "SELECT vec_id, v, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (SELECT vec_id, v, cluster, "
+        "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept, c{n}) GROUP BY ALL"
+    )
+    steps = [
+        "kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS cluster, v AS c FROM kept ORDER BY sha256('{seed}:' || vec_id) LIMIT {k})",
+    ]
+    for n in range(rounds):
+        steps.append(f"a{n} AS MATERIALIZED ({near.format(n=n)})")
+        sums = f"SELECT cluster, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{n}, range(1, 65) AS r(i) GROUP BY ALL"
+        steps.append(f"m{n} AS MATERIALIZED (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM ({sums}) GROUP BY cluster)")
+        steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c{n}.cluster, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (cluster))")
+    steps.append(f"found AS MATERIALIZED ({near.format(n=rounds)})")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c{rounds}.c, ',')) AS centroid_sha256 FROM found JOIN c{rounds} USING (cluster)"""
+
+
+#: Windows by the running sums of the turns' tokens; only their lengths are needed beside the turns themselves.
+_ESCAPED = r"regexp_replace({v}, '<(\\*)\|', '<\1\\|', 'g')"
+OP13_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'
+), sized AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) - 1 AS place,
+    {chat.MARKS} + len(regexp_extract_all(text, '{chat.TOKEN}')) AS size,
+    {len(chat.START) + len(chat.END) + 2} + length(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<', '%3C')) + length({_ESCAPED.format(v="text")}) AS chars
+  FROM turns
+), led AS (
+  SELECT *, place = 0 AND role = 'system' AS leads, max(CASE WHEN place = 0 AND role = 'system' THEN size END) OVER (PARTITION BY conv_id) AS system_size,
+    max(CASE WHEN place = 0 AND role = 'system' THEN chars END) OVER (PARTITION BY conv_id) AS system_chars,
+    greatest({chat.BUDGET - chat.HISTORY} - coalesce(max(CASE WHEN place = 0 AND role = 'system' THEN size END) OVER (PARTITION BY conv_id), 0), {chat.BUDGET // 4}) AS room
+  FROM sized
+), run AS (
+  SELECT *, coalesce(sum(CASE WHEN leads THEN 0 ELSE size END) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, room * 3 // 4 AS stride FROM led
+), chunked AS (SELECT *, place // {chat.CHUNK} AS chunk, before - min(before) OVER (PARTITION BY conv_id, place // {chat.CHUNK}) AS along FROM run),
+placed AS (SELECT *, along // stride AS span, along > 0 AND along + size > (along // stride + 1) * stride AND size > room - stride AS alone FROM chunked),
+wins AS (SELECT conv_id, chunk, span, alone, min(before) AS start, min(place) AS first_turn, sum(chars) AS chars, any_value(system_chars) AS system_chars FROM placed GROUP BY ALL),
+again AS (
+  SELECT w.conv_id, w.first_turn, sum(t.chars) AS chars FROM wins w JOIN run t ON w.conv_id = t.conv_id AND t.place < w.first_turn AND NOT t.leads AND t.before >= w.start - {chat.HISTORY} AND t.before < w.start GROUP BY ALL
+), shown AS (
+  SELECT w.conv_id, sum(w.chars + coalesce(a.chars, 0) + CASE WHEN w.first_turn > 0 THEN coalesce(w.system_chars, 0) ELSE 0 END)::BIGINT AS formatted_chars FROM wins w LEFT JOIN again a USING (conv_id, first_turn) GROUP BY ALL
+), told AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256, coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY place), '') AS loss
+  FROM sized GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM told JOIN shown USING (conv_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": OP3_SQL,
     "op4_warc": OP4_SQL,
     "op6_decontaminate": OP6_SQL,
     "op9_mixing": OP9_SQL,
+    "op11_ranked_search": OP11_SQL,
+    "op12_centroid_clustering": _op12_sql(40, 5, 2),
+    "op13_chat_formatting": OP13_SQL,
 }

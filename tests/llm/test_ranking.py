@@ -1,0 +1,87 @@
+"""Ranked search against plain scoring of every document."""
+
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from specweave.llm import ranking
+
+
+def terms(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(ranking.TERM, low)
+
+
+def plain(docs, items, k):
+    """docs: (id, text); items: (id, text). Every document by the formulas."""
+    own = [(i, Counter(terms(t))) for i, t in docs]
+    own = [(i, c) for i, c in own if c]
+    n_docs, total, df = len(own), sum(sum(c.values()) for _, c in own), Counter(t for _, c in own for t in c)
+    out = []
+    for item in {i for i, _ in items}:
+        asked = Counter(t for i, text in set(items) if i == item for t in terms(text))
+        scored = []
+        for i, c in own:
+            m = 25 + 75 * sum(c.values()) * n_docs // total
+            score = sum(q * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t, q in asked.items() if t in c)
+            if score > 0:
+                scored.append((-score, i is None, i))
+        out += [(item, n, i, -s) for n, (s, _, i) in enumerate(sorted(scored, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1)]
+    return sorted(out, key=str)
+
+
+def rows_of(df):
+    return sorted(((r["item_id"], r["rank"], r["doc_id"], r["score"]) for r in df.collect()), key=str)
+
+
+def corpus(seed, n, words=30):
+    rng = np.random.default_rng(seed)
+    vocabulary = ["the", "of", *[f"w{i}" for i in range(60)], "Élan", "naïve", "東京", "x1"]
+    return [(i, " ".join(rng.choice(vocabulary, rng.integers(0, words)) if i % 7 else ["The", "of.", "w3"])) for i in range(n)]
+
+
+@pytest.mark.parametrize("sizes", [(1 << 20, 1 << 16, 200_000), (40, 7, 3)])
+def test_against_plain(spark, monkeypatch, sizes):
+    for name, value in zip(("SHARD_TERMS", "SHARD_DOCS", "BLOCK_TERMS"), sizes, strict=True):
+        monkeypatch.setattr(ranking, name, value)
+    docs, items = corpus(1, 300), [(i, t) for i, t in corpus(2, 12)] + [(99, "none of these: zzz"), (98, "zzz"), (97, None), (3, "the élan, W3-w3"), (3, "the élan, W3-w3")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = ranking.search(ranking.build(frame), spark.createDataFrame(items, "item_id long, text string"))
+    assert rows_of(got) == plain(docs, items, 10)
+
+
+def test_edges(spark):
+    long = "the end " * 300_000
+    docs = [(5, "same text"), (3, "same text"), (None, "same text"), (5, "same text"), (1, None), (2, ""), (4, "?!"), (9, long)]
+    frame = spark.createDataFrame([(*d, 1, "s") for d in docs], "doc_id long, text string, score int, `Item` string")
+    items = [(1, "same"), (None, "END"), (2, None)]
+    asked = spark.createDataFrame([(*i, 0) for i in items], "item_id long, text string, rank int")
+    got = ranking.search(ranking.build(frame), asked)
+    assert rows_of(got) == plain(docs, items, 10)
+    assert [r["doc_id"] for r in got.filter("item_id = 1").orderBy("rank").collect()] == [3, 5, 5, None]
+    assert ranking.search(ranking.build(frame), asked.filter("false")).collect() == []
+    assert ranking.search(ranking.build(frame.filter("false")), asked).collect() == []
+
+
+def test_terms():
+    for text in ["a-B_c9 Éé x y\x7f z", None, "", " ", "a" * 3_000_000 + " b"]:
+        assert ranking.term_counts(text) == Counter(t.encode() for t in terms(text))
+
+
+@given(st.lists(st.integers(0, 3), max_size=40), st.integers(1, 12))
+def test_best_is_tie_safe(scores, k):
+    ids = np.arange(len(scores))[::-1] % 7
+    got = ranking.best(np.array(scores, dtype=np.int64), ids, np.zeros(len(ids), dtype=bool), k)
+    want = sorted((-s, i) for s, i in zip(scores, ids, strict=True) if s > 0)[:k]
+    assert [(-scores[p], ids[p]) for p in got] == want
+
+
+def test_long_documents_do_not_overflow():
+    tf, length = np.array([1, 2]), np.array([10**9, 5])
+    got = ranking.impact(tf, length, 10**12, 10**15)
+    assert got.tolist() == [10**9 * t // (1000 * t + 8 * (25 + 75 * n * 10**12 // 10**15)) for t, n in ((1, 10**9), (2, 5))]
