@@ -57,25 +57,57 @@ def format_number(value: Column) -> Column:
 
 
 def js_number(value: Column) -> Column:
-    """A double as JavaScript prints it: no trailing `.0`, an exponent only below 1e-6 and
-    from 1e21 on. Spark's digits are taken, which are not the shortest in rare cases."""
-    return F.transform(F.array(value.cast("double")), _number)[0]  # binds the value once
+    """A double as JavaScript prints it: the shortest digits that read back as the same double, of
+    several such the nearest; an exponent only below 1e-6 and from 1e21 on. Null gives null."""
+    bound = lambda x, f: F.transform(F.array(x), f)[0]  # binds a value once
+    return bound(value.cast("double"), lambda double: bound(_digits(F.abs(double)), lambda own: bound(_shortest(F.abs(double), own), lambda d: _printed(double, d))))
 
 
-def _number(double: Column) -> Column:
-    return F.transform(F.array(F.split(F.concat(F.abs(double).cast("string"), F.lit("E0")), "[E.]")), lambda p: _printed(double, p))[0]
+def _trimmed(digits: Column, power: Column) -> Column:
+    """struct(digits, power) of a whole number times a power of ten, without zeros at the ends."""
+    short = F.regexp_replace(digits, r"0+\z", "")
+    return F.struct(F.regexp_replace(short, "^0+", "").alias("digits"), (power + F.length(digits) - F.length(short)).alias("power"))
 
 
-def _printed(double: Column, parts: Column) -> Column:
-    """parts: the digits before and behind the point, and the power, of a double as Spark
-    prints it."""
-    whole, part, power = parts[0], F.regexp_replace(F.get(parts, F.lit(1)), r"^0\z", ""), F.get(parts, F.lit(2)).try_cast("int")
-    digits = F.concat(whole, part)
+def _digits(size: Column) -> Column:
+    """Spark's digits of a double that is not negative: they read back as the same double, but
+    a shorter number may do so, too."""
+    parts = F.split(F.concat(size.cast("string"), F.lit("E0")), "[E.]")
+    behind = F.get(parts, F.lit(1))
+    return _trimmed(F.concat(parts[0], behind), F.get(parts, F.lit(2)).try_cast("int") - F.length(behind))
+
+
+def _shortest(size: Column, own: Column) -> Column:
+    """The shortest digits of the double. Up to 15 digits are unique already, but for doubles of
+    reduced precision; so 15 to 17 are tried, and from 1 on for those."""
+    n_own = F.length(own["digits"])
+
+    def cut(n: Column) -> Column:
+        low, power = F.substring(own["digits"], F.lit(1), n), own["power"] + n_own - n
+        high = (low.cast("decimal(20,0)") + 1).cast("string")
+        reads = lambda digits: F.concat(digits, F.lit("E"), power.cast("string")).try_cast("double") == size
+        up = F.when(reads(low) & reads(high), F.substring(own["digits"], n + 1, F.lit(1)) >= "5").otherwise(reads(high))
+        return F.when(reads(low) | reads(high), F.when(up, _trimmed(high, power)).otherwise(_trimmed(low, power)))
+
+    lengths = F.when(size < 2.2250738585072014e-308, F.sequence(F.lit(1), F.lit(17))).otherwise(F.sequence(F.lit(15), F.lit(17)))
+    found = F.filter(F.transform(F.filter(lengths, lambda n: n < n_own), cut), lambda c: c.isNotNull())
+    return F.when((n_own > 15) | (size < 2.2250738585072014e-308), F.coalesce(F.get(found, F.lit(0)), own)).otherwise(own)
+
+
+def _printed(double: Column, number: Column) -> Column:
+    digits, n = number["digits"], F.length(number["digits"])
+    point = n + number["power"]  # digits before the point
     with_point = lambda a, b: F.when(b == "", a).otherwise(F.concat(a, F.lit("."), b))
-    large = F.when(F.length(part) <= power, F.rpad(digits, power + 1, F.lit("0"))).otherwise(with_point(F.substring(digits, F.lit(1), power + 1), F.substring(digits, power + 2, F.length(digits))))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    exponent = F.concat(with_point(whole, part), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string"))
-    plain = F.when(power == 0, with_point(whole, part)).when(power > 0, large).otherwise(small)
+    whole = F.rpad(digits, point, F.lit("0"))
+    cut = with_point(F.substring(digits, F.lit(1), point), F.substring(digits, point + 1, n))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    exponent = F.concat(with_point(F.substring(digits, 1, 1), F.substring(digits, F.lit(2), n)), F.lit("e"), F.when(point < 1, "-").otherwise("+"), F.abs(point - 1).cast("string"))
     size = F.abs(double)
-    body = F.when(F.isnan(double), "NaN").when(size == float("inf"), "Infinity").when(size == 0, "0").when((size < 1e-6) | (size >= 1e21), exponent).otherwise(plain)
+    shown = F.when((point > 21) | (point < -5), exponent).when(point <= 0, small).when(point >= n, whole).otherwise(cut)
+    body = F.when(F.isnan(double), "NaN").when(size == float("inf"), "Infinity").when(size == 0, "0").otherwise(shown)
     return F.concat(F.when((double < 0) & ~F.isnan(double), "-").otherwise(""), body)
+
+
+def utf16_length(text: Column) -> Column:
+    """Length in UTF-16 code units, as JavaScript counts: characters beyond the basic plane are two."""
+    return F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specweave.functions import url
 from specweave.functions.text import js_number, trim
 from specweave.operators.answering import measure_text, readability_text
 
@@ -107,25 +108,23 @@ def suggested_questions(spark) -> DataFrame:
     return spark.createDataFrame(list(enumerate(SUGGESTED)), "place int, question string")
 
 
-#: The paths of signing in and out, to which no one is sent back.
-RESERVED_PATHS = ("/signin-with-chatgpt", "/signout-with-chatgpt", "/callback")
-
-_DOTS = r"(?i)^(?:\.|%2e){1,2}\z"
+#: The paths of signing in and out, to which no one is sent back, and the own host.
+SIGN_IN, SIGN_OUT, CALLBACK = "/signin-with-chatgpt", "/signout-with-chatgpt", "/callback"
+RESERVED_PATHS = (SIGN_IN, SIGN_OUT, CALLBACK)
+OWN_HOST = "app.local"
 
 
 def safe_return_path(path: Column, reserved: tuple[str, ...] = RESERVED_PATHS) -> Column:
-    """A path of the own site, else `/`: it starts with one slash, and once parsed as browsers
-    parse it (blanks around it, tabs and line ends out, backslashes as slashes, dot segments
-    resolved) it names no other host and no reserved path. Query and fragment stay."""
-    clean = F.regexp_replace(F.regexp_replace(path, r"[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
-    place = F.replace(F.regexp_extract(clean, r"(?s)^[^?#]*", 0), F.lit("\\"), F.lit("/"))
-    rest = F.regexp_extract(clean, r"(?s)[?#].*", 0)
-    parts = F.slice(F.split(place, "/"), F.lit(2), F.greatest(F.size(F.split(place, "/")) - 1, F.lit(0)))
-    up = lambda p: p.rlike(_DOTS) & (F.length(F.regexp_replace(p, "(?i)%2e", ".")) == 2)
-    here = lambda p: p.rlike(_DOTS) & ~up(p)
-    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda done, p: F.when(up(p), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(here(p), done).otherwise(F.concat(done, F.array(p))))
-    # A dot segment at the end leaves its slash.
-    open_end = F.element_at(F.concat(F.array(F.lit("x")), parts), -1).rlike(_DOTS) & (F.size(walked) > 0)
-    resolved = F.concat(F.lit("/"), F.array_join(walked, "/"), F.when(open_end, "/").otherwise(""))
-    safe = path.startswith("/") & ~place.startswith("//") & ~resolved.isin(*reserved)
-    return F.when(F.coalesce(safe, F.lit(False)), F.concat(resolved, rest)).otherwise("/")
+    """A path of the own site with its query and fragment, serialised as browsers do it, else `/`
+    (`url.local_path`); null gives `/`."""
+    return F.coalesce(url.local_path(path, OWN_HOST, reserved), F.lit("/"))
+
+
+def sign_in_path(return_to: Column) -> Column:
+    """The path that signs in and comes back to return_to, if that is safe, else to `/`."""
+    return F.concat(F.lit(f"{SIGN_IN}?return_to="), url.encode_component(safe_return_path(return_to)))
+
+
+def sign_out_path(return_to: Column) -> Column:
+    """The path that signs out; a missing return_to is `/`."""
+    return F.concat(F.lit(f"{SIGN_OUT}?return_to="), url.encode_component(safe_return_path(return_to)))

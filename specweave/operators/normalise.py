@@ -34,7 +34,7 @@ def aliases_for(model_group: Column, search_aliases: Column) -> Column:
     """All aliases of a record: model groups (split at a slash between spaces) and search
     aliases (split at bars), expanded, distinct, longest first; ties keep their order."""
     parts = F.concat(F.split(F.coalesce(model_group, F.lit("")), rf"{js.SPACE}+/{js.SPACE}+"), F.split(F.coalesce(search_aliases, F.lit("")), r"\|"))
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, expand_alias))), lambda a, b: F.length(b) - F.length(a))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, expand_alias))), lambda a, b: js.utf16_length(b) - js.utf16_length(a))
 
 
 def component(name: str) -> Column:
@@ -73,9 +73,11 @@ def _common(rows: DataFrame, prefix: str, cycle: Column, tbl: int) -> list[Colum
     ]
 
 
-def current_records(rows: DataFrame) -> DataFrame:
-    """rows: raw current models with ``pos``. A missing measure gives nulls, and no check."""
+def current_records(rows: DataFrame, *keep: str) -> DataFrame:
+    """rows: raw current models with ``pos``. A missing measure gives nulls, and no check. Columns
+    keep come along."""
     return rows.select(
+        *keep,
         *_common(rows, "CUR", lifecycle(F.col("source_pdf_page")), 0),
         spec("capacity_primary", "capacity_primary_unit", "capacity_secondary", "capacity_secondary_unit", "capacity_annotation").alias("capacity"),
         spec("readability", "readability_unit", "readability_secondary", "readability_secondary_unit", "readability_annotation").alias("readability"),
@@ -85,8 +87,8 @@ def current_records(rows: DataFrame) -> DataFrame:
     )
 
 
-def legacy_records(rows: DataFrame) -> DataFrame:
-    return rows.select(*_common(rows, "LEG", F.lit("legacy"), 1))
+def legacy_records(rows: DataFrame, *keep: str) -> DataFrame:
+    return rows.select(*keep, *_common(rows, "LEG", F.lit("legacy"), 1))
 
 
 def catalogue(current: DataFrame, legacy: DataFrame) -> DataFrame:

@@ -85,8 +85,8 @@ DOCUMENT_MODELS = 500
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue as raw documents of DOCUMENT_MODELS keys each, whose number stands in
-    document_date; the elements are in the order of their keys. The weight classes stand for
-    the tables of unknown elements."""
+    document_date; the elements are in the order of their keys. Weight classes, as texts and as
+    objects, stand for the tables of unknown elements."""
     part, supplier = spark.read.parquet(f"{sf_dir}/part.parquet"), spark.read.parquet(f"{sf_dir}/supplier.parquet")
     number = F.floor((F.col("pos") + 1) / DOCUMENT_MODELS).cast("long").alias("number")
 
@@ -102,9 +102,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     guide = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(90 + s).alias("source_pdf_page")) for s in (1, 2, 3, 4, 7)])
     joined = current.join(legacy, "number", "full").join(heat, "number", "full")
     label = F.col("number").cast("string")
-    return joined.select(label.alias("document_date"), "current", "legacy", "temperature_specs", guide.alias("guidance"), F.array(F.concat(F.lit("class "), label)).alias("weight_class_crossmap"), F.array(label, F.lit(None)).alias("series_class_recommendations"), F.array().cast("array<string>").alias("mass_tolerances"))
+    limits = F.array(F.struct(F.concat(F.lit("E"), label).alias("class"), F.array("number", F.lit(None)).alias("limits"), F.lit(None).cast("string").alias("note")))
+    return joined.select(label.alias("document_date"), "current", "legacy", "temperature_specs", guide.alias("guidance"), F.array(F.concat(F.lit("class "), label)).alias("weight_class_crossmap"), F.array(label, F.lit(None)).alias("series_class_recommendations"), limits.alias("mass_tolerances"))
 
 
 def messages(conversations: DataFrame) -> DataFrame:
     """conversations without what stands for the welcome message."""
     return conversations.filter(F.col("role") != "system")
+
+
+#: References by page_id % 10; {} is the page's own path with query and fragment.
+REFERENCES = ["{}", "{} é?q=a b'c\"<>#top `x`", "/x/%2e%2E/./y/..{}", "/\\evil.example{}", "/\t/\nevil.example", "/{}", "/a/../callback", "{}/𝄞|^`\\..\\!?#", "/\\App.L%6fcal:443{}?", "{}100%?a+b\x7f#"]
+
+
+def references(pages: DataFrame) -> DataFrame:
+    """A place to return to for each page: the part of its url behind the host, in several
+    forms, bad ones among them. A page without one has `/`."""
+    own = F.coalesce(F.regexp_extract("url", r"(?s)^[a-z]+://[^/?#]*(.+)", 1), F.lit(""))
+    forms = F.array(*[F.lit(r) for r in REFERENCES])
+    form = F.get(forms, F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(len(REFERENCES))).cast("int"))
+    return pages.select("page_id", F.replace(form, F.lit("{}"), F.when(own == "", "/").otherwise(own)).alias("reference"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specweave.functions import text as js
+from specweave.functions import url
 from specweave.operators import answering as a
 from specweave.operators import conversation as conv
 from specweave.operators import matching, normalise
@@ -446,15 +447,56 @@ rows_ AS (
   UNION ALL SELECT n, 'guidance', i - 1, ([1, 2, 3, 4, 7][i])::VARCHAR FROM ns, (SELECT unnest(range(1, 6)) AS i)
   UNION ALL SELECT n, 'weight_class_crossmap', 0, 'class ' || n FROM ns
   UNION ALL SELECT n, 'series_class_recommendations', i, CASE WHEN i = 0 THEN n::VARCHAR END FROM ns, (SELECT unnest(range(2)) AS i)
+  UNION ALL SELECT n, 'mass_tolerances', 0, '{{"class":"E' || n || '","limits":[' || n || ',null],"note":null}}' FROM ns
 ) SELECT n::VARCHAR AS document_date, name, pos, shown FROM rows_""")
 def passed_through_tables(spark, sf_dir):
-    """The other tables of the documents; mass_tolerances is empty."""
+    """The other tables of the documents."""
     read = _documents(spark, sf_dir)
     shown = {"legacy": "model_group", "temperature_specs": "model_group", "guidance": "section", "weight_class_crossmap": "row", "series_class_recommendations": "row", "mass_tolerances": "row"}
     parts = [knowledge.unnest(read, name, "document_date").select("document_date", F.lit(name).alias("name"), F.col("pos").cast("long").alias("pos"), F.col(column).cast("string").alias("shown")) for name, column in shown.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
+@query(f"""WITH {ALIASES}, ns AS (SELECT DISTINCT k // 500 AS n FROM raw UNION SELECT DISTINCT s_suppkey // 500 FROM supplier),
+named AS (SELECT tbl, k, count(*) AS n_aliases FROM aliases GROUP BY ALL),
+recs AS (
+  SELECT k // 500 AS n, 'current' AS member, 'CUR' AS prefix, k, trim(regexp_replace(replace(model, '*', ''), '\\s+', ' ', 'g')) AS shown, tol AS value, n_aliases,
+    CASE WHEN (tol IS NOT NULL AND (abs(rep + lin - tol) > 1e-9 OR abs(tol / readability - 3) > 1e-4)) OR abs(ocl / readability - ocl_d) > 1e-4 OR page = 49 THEN 'review' ELSE 'ok' END AS status FROM raw JOIN named USING (k) WHERE tbl = 0
+  UNION ALL SELECT k // 500, 'legacy', 'LEG', k, 'PX' || (1000 + k), lin, n_aliases, NULL FROM raw JOIN named USING (k) WHERE tbl = 1
+), placed AS (SELECT *, row_number() OVER (PARTITION BY n, member ORDER BY k) - 1 AS pos FROM recs),
+heat AS (SELECT s_suppkey // 500 AS n, s_suppkey AS k, 'TS' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN '/TX' ELSE ' / TX' END || s_suppkey AS shown FROM supplier),
+counts AS (SELECT n, unnest(['currentRecords', 'legacyRecords', 'temperatureRecords', 'knownQaItems']) AS id, unnest([0, 1, 2, 3]) AS pos,
+  unnest([(SELECT count(*) FROM recs r WHERE r.n = ns.n AND member = 'current'), (SELECT count(*) FROM recs r WHERE r.n = ns.n AND member = 'legacy'), (SELECT count(*) FROM heat h WHERE h.n = ns.n), 21]) AS c FROM ns)
+SELECT n::VARCHAR AS document_date, member, pos, format('{{}}-{{:04d}}', prefix, pos + 1) AS id, shown, value, status, n_aliases FROM placed
+UNION ALL SELECT n::VARCHAR, 'meta', pos, id, 'Master Tolerance Reference', c::DOUBLE, NULL, NULL FROM counts
+UNION ALL SELECT n::VARCHAR, 'temperatureSpecs', row_number() OVER (PARTITION BY n ORDER BY k) - 1, NULL, shown, NULL, NULL, NULL FROM heat
+UNION ALL SELECT n::VARCHAR, 'guidance', i - 1, NULL, ([1, 2, 3, 4, 7][i])::VARCHAR, NULL, NULL, NULL FROM ns, (SELECT unnest(range(1, 6)) AS i)
+UNION ALL SELECT n::VARCHAR, 'classCrossMap', 0, NULL, 'class ' || n, NULL, NULL, NULL FROM ns
+UNION ALL SELECT n::VARCHAR, 'seriesClassRecommendations', i, NULL, CASE WHEN i = 0 THEN n::VARCHAR END, NULL, NULL, NULL FROM ns, (SELECT unnest(range(2)) AS i)
+UNION ALL SELECT n::VARCHAR, 'massTolerances', 0, NULL, '{{"class":"E' || n || '","limits":[' || n || ',null],"note":null}}', NULL, NULL, NULL FROM ns""")
+def output_documents(spark, sf_dir):
+    """The output document of each raw one, written as JSON, read again and taken apart."""
+    path = shared_path(spark, "outputs")
+    knowledge.write_output(knowledge.output_documents(_documents(spark, sf_dir)), path)
+    read = knowledge.read_output(spark, path).withColumn("document_date", F.col("meta.documentDate"))
+    columns = ["document_date", "member", "pos", "id", "shown", "value", "status", "n_aliases"]
+
+    def rows(member: str, **of) -> DataFrame:
+        found = knowledge.unnest(read, member, "document_date").withColumn("member", F.lit(member))
+        kinds = {"pos": "long", "value": "double", "n_aliases": "long"}
+        made = {c: of.get(c, F.col(c) if c in ("document_date", "member", "pos") else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in columns}
+        return found.select(*made.values())
+
+    aliases = F.size("aliases")
+    parts = [rows("current", id=F.col("id"), shown=F.col("modelGroup"), value=F.col("tolerance.value"), status=F.col("qa.status"), n_aliases=aliases), rows("legacy", id=F.col("id"), shown=F.col("modelGroup"), value=F.col("linearity.value"), n_aliases=aliases)]
+    shown = {"temperatureSpecs": F.try_variant_get("row", "$.model_group", "string"), "guidance": F.col("section")}
+    parts += [rows(m, shown=shown.get(m, F.col("row").cast("string"))) for m in knowledge.COPIED]
+    counts = ["currentRecords", "legacyRecords", "temperatureRecords", "knownQaItems"]
+    meta = read.select("document_date", "meta.title", F.posexplode(F.array(*[F.struct(F.lit(c).alias("id"), F.col(f"meta.{c}").cast("double").alias("value")) for c in counts])).alias("pos", "m"))
+    parts.append(meta.select("document_date", F.lit("meta").alias("member"), F.col("pos").cast("long"), "m.id", F.col("title").alias("shown"), "m.value", F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("n_aliases")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 _ASKED = "asked AS (SELECT conv_id, max(turn) + 1 AS turn, 7000 + conv_id AS asked_at, CASE WHEN conv_id % 5 = 0 THEN '  ' ELSE '  question ' || conv_id || ' ' END AS question, 'answer ' || conv_id AS text FROM conversations GROUP BY conv_id)"
 
 
@@ -486,3 +528,54 @@ def guidance_source_line(spark, sf_dir):
 @query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {_quoted(q)})" for k, q in enumerate(conv.SUGGESTED)) + ") AS t(place, question)")
 def suggested_questions(spark, sf_dir):
     return conv.suggested_questions(spark)
+
+
+_COMPONENT = "replace(replace(replace(replace(replace(url_encode({v}), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*')"
+_DECODED = "CASE WHEN regexp_matches({v}, '%([^0-9A-Fa-f]|$)|%[0-9A-Fa-f]([^0-9A-Fa-f]|$)') THEN NULL ELSE TRY(url_decode(replace({v}, '+', '%2B'))) END"
+
+
+@query(f"""WITH e AS (SELECT doc_id, text, {_COMPONENT.format(v="text")} AS shown FROM documents)
+SELECT doc_id, md5(shown) AS encoded_md5, text IS NOT NULL AS comes_back, md5({_DECODED.format(v="text")}) AS decoded_md5, true AS cut_is_null FROM e""")
+def url_components(spark, sf_dir):
+    """Whole texts encoded and decoded again; texts decoded as they are; encoded texts cut within a character."""
+    shown = _texts(spark, sf_dir).select("doc_id", "text", url.encode_component(F.col("text")).alias("shown"))
+    back = F.coalesce(url.decode_component(F.col("shown")) == F.col("text"), F.lit(False))
+    cut = url.decode_component(F.concat("shown", F.lit("%E2%82"))).isNull()
+    return shown.select("doc_id", F.md5("shown").alias("encoded_md5"), back.alias("comes_back"), F.md5(url.decode_component(F.col("text"))).alias("decoded_md5"), cut.alias("cut_is_null"))
+
+
+def _encoded(v: str, signs: str) -> str:
+    """Character by character: blanks, control and non-ASCII characters and these signs."""
+    listed = ", ".join(_quoted(s) for s in signs)
+    return f"array_to_string(list_transform(string_split({v}, ''), lambda c: CASE WHEN c <= ' ' OR c > '~' OR c IN ({listed}) THEN url_encode(c) ELSE c END), '')"
+
+
+_FORMS = "[" + ", ".join("'" + r.replace("'", "''").replace("\t", "' || chr(9) || '").replace("\n", "' || chr(10) || '").replace("\x7f", "' || chr(127) || '") + "'" for r in d.REFERENCES) + "]"
+_DOT = "'^(\\.|%2e)$'"
+RETURNS = f"""
+own AS (SELECT page_id, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*(.+)', 1), ''), '/') AS place FROM pages),
+refs AS (SELECT page_id, replace({_FORMS}[(page_id % {len(d.REFERENCES)})::INT + 1], '{{}}', place) AS reference FROM own),
+clean AS (SELECT page_id, reference, regexp_replace(replace(replace(reference, chr(9), ''), chr(10), ''), ' +$', '') AS c FROM refs),
+cut AS (SELECT page_id, reference, string_split(string_split(c, '#')[1], '?')[1] AS before, CASE WHEN contains(string_split(c, '#')[1], '?') THEN substr(string_split(c, '#')[1], strpos(c, '?') + 1) ELSE '' END AS q,
+  CASE WHEN contains(c, '#') THEN substr(c, strpos(c, '#') + 1) ELSE '' END AS f FROM clean),
+led AS (SELECT *, replace(before, chr(92), '/') AS b FROM cut),
+split AS (SELECT *, starts_with(b, '//') AS remote, regexp_extract(b, '^/+([^/]*)', 1) AS host, coalesce(nullif(CASE WHEN starts_with(b, '//') THEN regexp_extract(b, '^/+[^/]*(.*)', 1) ELSE b END, ''), '/') AS place FROM led),
+parts AS (SELECT *, string_split({_encoded("place", url.PATH)}, '/')[2:] AS p FROM split),
+walked AS (SELECT *, list_reduce(list_transform(p, lambda x: [x]), lambda done, x: CASE WHEN regexp_matches(x[1], '^(\\.|%2e)(\\.|%2e)$', 'i') THEN done[:-2] WHEN regexp_matches(x[1], {_DOT}, 'i') THEN done ELSE done || x END, []::VARCHAR[])
+  || CASE WHEN regexp_matches(p[-1], '^(\\.|%2e)(\\.|%2e)?$', 'i') THEN [''] ELSE []::VARCHAR[] END AS w FROM parts),
+safe AS (SELECT page_id, CASE WHEN starts_with(reference, '//') OR (remote AND lower(url_decode(regexp_replace(host, ':(443)?$', ''))) <> 'app.local') OR '/' || array_to_string(w, '/') IN ('/signin-with-chatgpt', '/signout-with-chatgpt', '/callback') THEN '/'
+  ELSE '/' || array_to_string(w, '/') || CASE WHEN q <> '' THEN '?' || {_encoded("q", url.QUERY)} ELSE '' END || CASE WHEN f <> '' THEN '#' || {_encoded("f", url.FRAGMENT)} ELSE '' END END AS safe FROM walked)"""
+
+
+def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.references(_table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+@query(f"WITH {RETURNS} SELECT page_id, safe FROM safe")
+def return_path(spark, sf_dir):
+    return _references(spark, sf_dir).select("page_id", conv.safe_return_path(F.col("reference")).alias("safe"))
+
+
+@query(f"WITH {RETURNS} SELECT page_id, '/signin-with-chatgpt?return_to=' || {_COMPONENT.format(v='safe')} AS sign_in, '/signout-with-chatgpt?return_to=' || {_COMPONENT.format(v='safe')} AS sign_out FROM safe")
+def sign_paths(spark, sf_dir):
+    return _references(spark, sf_dir).select("page_id", conv.sign_in_path(F.col("reference")).alias("sign_in"), conv.sign_out_path(F.col("reference")).alias("sign_out"))

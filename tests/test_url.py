@@ -1,0 +1,69 @@
+"""Percent-encoding and paths against plain versions."""
+
+from urllib.parse import quote, unquote_to_bytes
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from specweave.functions import url
+from specweave.operators import conversation
+
+
+def apply(spark, values, f):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", f(F.col("v")).alias("x")).collect()
+    return [r["x"] for r in sorted(rows, key=lambda r: r["i"])]
+
+
+def strict(text):
+    """Decoding by bytes; None where it fails."""
+    left = text.split("%")[1:]
+    if any(len(p) < 2 or not all(c in "0123456789abcdefABCDEF" for c in p[:2]) for p in left):
+        return None
+    try:
+        return unquote_to_bytes(text).decode("utf-8", "strict")
+    except UnicodeDecodeError:
+        return None
+
+
+#: Cut, overlong, surrogate and too large sequences, bad digits; then good ones.
+ESCAPED = [
+    "%", "%4", "%zz", "a%2", "%+1", "%-1", "%C3", "%C3x%A9", "%C3%", "%C0%80", "%E0%80%80", "%ED%A0%80", "%F4%90%80%80", "%F8%88%80%80%80", "%80", "%FF", "%E2%82", "%EF%BF%BD%C3", "�%C3", "%C3%EF%BF%BD", "%F0%EF%BF%BD",
+    "%EF%BF%BD", "�", "%ef%bf%bd�", "a+b%20c", "%2B%2b", "%C3%a9é", "%F0%9D%84%9E𝄞", "", "%2541", "100%25", "%00",
+]
+
+
+def test_decode(spark):
+    assert apply(spark, [*ESCAPED, None], url.decode_component) == [*map(strict, ESCAPED), None]
+    assert [strict(t) is None for t in ESCAPED].count(True) == 21
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from("%2aCF09Bb+ �"), st.characters(exclude_categories=["Cs"]))), min_size=1, max_size=60))
+def test_components_come_back(spark, texts):
+    shown = apply(spark, texts, url.encode_component)
+    assert shown == [quote(t, safe="-_.!~*'()") for t in texts]
+    assert apply(spark, shown, url.decode_component) == texts
+    assert apply(spark, texts, url.decode_component) == [*map(strict, texts)]
+
+
+#: (reference, path that a browser makes of it on https://app.local); None: another host or no URL.
+PARSED = [
+    ("/é", "/%C3%A9"), ("/ok path", "/ok%20path"), ("/a?q=a b'c\"<>#x `<>\"y'", "/a?q=a%20b%27c%22%3C%3E#x%20%60%3C%3E%22y'"), ("/`{}^|[]~!$&'()*+,;=:@", "/%60%7B%7D%5E|[]~!$&'()*+,;=:@"), ("/%2F%zz%", "/%2F%zz%"),
+    ("/a?", "/a"), ("/a#", "/a"), ("/a?#", "/a"), ("/a?#x", "/a#x"), ("/a??b", "/a??b"), ("/a#b#c?d", "/a#b#c?d"), ("/a?b\\c`{}^", "/a?b\\c`{}^"), ("/\x01\u007f", "/%01%7F"), ("/a \n", "/a"), ("/a ", "/a%C2%A0"), ("/😀?😀#😀", "/%F0%9F%98%80?%F0%9F%98%80#%F0%9F%98%80"),
+    ("/.", "/"), ("/..", "/"), ("/a/.", "/a/"), ("/a/..", "/"), ("/a/b/../", "/a/"), ("/a/%2e%2E/b", "/b"), ("/a/.%2e", "/"), ("/.../a", "/.../a"), ("/a/..?x/../y", "/?x/../y"), ("/.//x", "//x"), ("//a", None), ("a", None), ("", None), ("\t/a", None),
+    ("/\\app.local/x", "/x"), ("/\\App.%6cocal:443/x?y", "/x?y"), ("/\t/u:p@app.local:#z", "/#z"), ("/\\\\/app.local", "/"), ("/\\app.local:444/x", None), ("/\\app.local.evil/x", None), ("/\\", None), ("/\\%/x", None),
+]
+
+
+def test_local_path(spark):
+    got = apply(spark, [r for r, _ in PARSED], lambda c: url.local_path(c, "app.local"))
+    assert got == [want for _, want in PARSED]
+
+
+@pytest.mark.parametrize(("path", "place"), [("/a b?c&d", "%2Fa%2520b%3Fc%26d"), ("/callback", "%2F"), ("//x", "%2F"), (None, "%2F"), ("/!é", "%2F!%25C3%25A9")])
+def test_sign_paths(spark, path, place):
+    rows = spark.createDataFrame([(path,)], "p string")
+    got = rows.select(conversation.sign_in_path(F.col("p")), conversation.sign_out_path(F.col("p"))).first()
+    assert tuple(got) == (f"{conversation.SIGN_IN}?return_to={place}", f"{conversation.SIGN_OUT}?return_to={place}")
