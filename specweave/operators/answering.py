@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specweave.functions import text as js
-from specweave.operators.matching import alias_index, matches, temperature_index
+from specweave.operators.matching import SpanIndex, alias_index, matches, span_index, temperature_index
+from specweave.sources.shared import stored
 
 #: Intents with the patterns of lower-case questions, the first hit counting.
 INTENTS = [
@@ -47,7 +50,8 @@ MODEL_LIKE = r"\b(?=[A-Za-z0-9-]{4,}\b)(?=[A-Za-z0-9-]*[A-Za-z])(?=[A-Za-z0-9-]*
 TEMPERATURE_MANUAL, GUIDANCE_MANUAL = "Master Reference temperature table", "Master Reference guidance"
 
 SOURCE = "struct<manual:string,page:int>"
-OPTIONS = f"array<struct<id:string,label:string,question:string,source:{SOURCE}>>"
+#: Options of one row of an answer, and places in the catalogue that are numbered in one run.
+ROW_OPTIONS, RUN = 1000, 1000
 
 
 def question_text(question: Column) -> Column:
@@ -149,50 +153,89 @@ def wanted_lifecycle(question: Column) -> Column:
     return F.when(low.rlike(js.regex(WANTS_CURRENT)), "current").when(low.rlike(js.regex(WANTS_LEGACY)), "legacy")
 
 
-def disambiguated(pairs: DataFrame) -> DataFrame:
-    """pairs (``question_id``, ``q``, record columns) -> one row a question with
-    ``found``: its records in catalogue order as structs, after the lifecycle that the question asks for
-    has been kept, which happens only if it had more than one."""
-    row = F.struct("tbl", "pos", "id", "lifecycle", "series", "source")
-    grouped = pairs.groupBy("question_id", "q").agg(F.array_sort(F.collect_list(row)).alias("all"))
-    wants = wanted_lifecycle(F.col("q"))
-    return grouped.withColumn("wants", wants).select(
-        "question_id", "q", F.when((F.size("all") > 1) & F.col("wants").isNotNull(), F.filter("all", lambda r: r["lifecycle"] == F.col("wants"))).otherwise(F.col("all")).alias("found")
-    )
+LIFECYCLES = ("current", "legacy")
+
+
+def settled(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """A row for each question that has matches: ``n`` of them, after the lifecycle that the question asks
+    for (``wants``) has been kept, which happens only if it had more than one; ``only``, the id of the match if n is 1. pairs
+    has ``question_id``, ``id``, ``tbl``, ``pos``, ``lifecycle``; asked ``question_id``, ``q``. Counts and
+    first matches by lifecycle are combined before the shuffle; no question's matches are collected."""
+    first = lambda of: F.min(F.when(of, F.struct("tbl", "pos", "id")))
+    of = {c: F.col("lifecycle") == c for c in LIFECYCLES}
+    counted = pairs.groupBy("question_id").agg(F.count("*").alias("n_all"), first(F.lit(True)).alias("first_all"), *[x for c in LIFECYCLES for x in (F.count_if(of[c]).alias(f"n_{c}"), first(of[c]).alias(f"first_{c}"))])
+    wants = F.when(F.col("n_all") > 1, wanted_lifecycle(F.col("q")))
+    rows = counted.join(asked.select("question_id", "q"), "question_id").withColumn("wants", wants)
+    chosen = lambda name: F.when(F.col("wants") == "current", F.col(f"{name}_current")).when(F.col("wants") == "legacy", F.col(f"{name}_legacy")).otherwise(F.col(f"{name}_all"))
+    return rows.select("question_id", "q", "wants", chosen("n").alias("n"), F.when(chosen("n") == 1, chosen("first")["id"]).alias("only"))
+
+
+def kept(pairs: DataFrame, settled: DataFrame) -> DataFrame:
+    """The pairs that are left of each question, with its ``q`` and ``n``."""
+    return pairs.join(settled.select("question_id", "q", "wants", "n"), "question_id").filter("wants is null or lifecycle = wants").drop("wants")
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """`kept` rows with their ``place`` in the catalogue's order among those of their question,
+    from 0: within runs of RUN places, which the runs' counts put one after another."""
+    rows = rows.withColumn("run", F.floor(F.col("pos") / RUN))
+    before = Window.partitionBy("question_id").orderBy("tbl", "run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("question_id", "tbl", "run").agg(F.count("*").alias("rows")).withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows")
+    local = F.row_number().over(Window.partitionBy("question_id", "tbl", "run").orderBy("pos")) - 1
+    return rows.withColumn("local", local).join(starts, ["question_id", "tbl", "run"]).withColumn("place", F.col("start") + F.col("local")).drop("run", "local", "start")
 
 
-def options(found: Column, question: Column) -> Column:
-    """The choices of an ambiguous question."""
-    return F.transform(
-        found,
-        lambda r: F.struct(
-            r["id"].alias("id"),
-            F.concat(F.when(r["lifecycle"] == "current", "Current").otherwise("Legacy"), F.lit(" · "), F.coalesce(r["series"], F.lit("null"))).alias("label"),
-            F.concat(question, F.lit(" ("), r["lifecycle"], F.lit(")")).alias("question"),
-            r["source"].alias("source"),
-        ),
+def option() -> Column:
+    """The choice that a `kept` row stands for."""
+    return F.struct(
+        F.col("id"),
+        F.concat(F.when(F.col("lifecycle") == "current", "Current").otherwise("Legacy"), F.lit(" · "), F.coalesce("series", F.lit("null"))).alias("label"),
+        F.concat("q", F.lit(" ("), "lifecycle", F.lit(")")).alias("question"),
+        F.col("source"),
     )
 
 
-def answer_all(questions: DataFrame, records: DataFrame, temperature: DataFrame, guidance: DataFrame, strategy: str = "span", maker: str = "manufacturer") -> DataFrame:
+def option_parts(rows: DataFrame) -> DataFrame:
+    """``options`` of each ambiguous question in their order, at most ROW_OPTIONS in a row; ``part`` numbers a
+    question's rows from 0. rows are `kept`."""
+    chosen = placed(rows.filter("n > 1")).select("question_id", "place", option().alias("o"))
+    grouped = chosen.groupBy("question_id", F.floor(F.col("place") / ROW_OPTIONS).cast("int").alias("part")).agg(F.array_sort(F.collect_list(F.struct("place", "o"))).alias("os"))
+    return grouped.select("question_id", "part", F.transform("os", lambda x: x["o"]).alias("options"))
+
+
+@dataclass(frozen=True)
+class Indexes:
+    """What `answer_all` looks models and temperature rows up in; made once for many tables of questions."""
+
+    models: SpanIndex
+    temperature: SpanIndex
+
+
+def indexes(records: DataFrame, temperature: DataFrame) -> Indexes:
+    return Indexes(span_index(alias_index(records)), span_index(temperature_index(temperature)))
+
+
+def answer_all(questions: DataFrame, records: DataFrame, temperature: DataFrame, guidance: DataFrame, strategy: str = "span", maker: str = "manufacturer", ready: Indexes | None = None) -> DataFrame:
     """An answer for each question (``question_id``, ``question``): ``kind``, ``text``,
-    ``factLabel``, ``factValue``, ``recordId``, ``source``, ``temperaturePos``, ``options``.
+    ``factLabel``, ``factValue``, ``recordId``, ``source``, ``temperaturePos``, ``options``, ``part``.
+    An ambiguous question with more than ROW_OPTIONS options has further rows, which
+    ``part`` numbers; all others have one, part 0.
 
     Order of precedence: empty question, temperature, model or ambiguous, unknown model, guidance,
     fallback. question_id is unique."""
     asked = questions.select("question_id", question_text(F.col("question")).alias("q")).withColumn("intent", detect_intent(F.col("q")))
 
-    heat = matches(asked.filter("intent = 'temperature'").select("question_id", F.col("q").alias("question")), temperature_index(temperature), strategy)
+    ready = ready or indexes(records, temperature)
+    heat = matches(asked.filter("intent = 'temperature'").select("question_id", F.col("q").alias("question")), ready.temperature, strategy)
     single = heat.groupBy("question_id").agg(F.count("*").alias("n"), F.min("id").alias("pos")).filter("n = 1").drop("n")
     heat = single.join(temperature, "pos").select(
         "question_id", temperature_text().alias("t_text"), F.col("pos").alias("t_pos"), F.struct(F.lit(TEMPERATURE_MANUAL).alias("manual"), F.col("source_pdf_page").alias("page")).cast(SOURCE).alias("t_source")
     )
 
-    pairs = matches(asked.select("question_id", F.col("q").alias("question")), alias_index(records), strategy)
-    narrow = records.select("id", "tbl", "pos", "lifecycle", "series", "source")
-    found = disambiguated(pairs.join(narrow, "id").join(asked.select("question_id", "q"), "question_id")).select("question_id", "found")
-    rows = asked.join(found, "question_id", "left").join(heat, "question_id", "left")
-    rows = rows.withColumn("n", F.when(F.col("found").isNull(), 0).otherwise(F.size("found"))).withColumn("only", F.when(F.col("n") == 1, F.col("found")[0]["id"]))
+    pairs = matches(asked.select("question_id", F.col("q").alias("question")), ready.models, strategy)
+    pairs = stored(pairs.join(records.select("id", "tbl", "pos", "lifecycle", "series", "source"), "id"), "pairs")
+    found = stored(settled(pairs, asked), "settled")
+    rows = asked.join(found.select("question_id", F.col("n").alias("matched"), "only"), "question_id", "left").withColumn("n", F.coalesce("matched", F.lit(0))).join(heat, "question_id", "left")
     full = records.select(F.col("id").alias("only"), *[c for c in records.columns if c not in ("id", "tbl", "pos", "series", "tableTitle", "aliases")])
     rows = rows.join(full, "only", "left").withColumn("model", F.when(F.col("only").isNotNull(), model_answer(F.col("intent"))))
 
@@ -201,7 +244,7 @@ def answer_all(questions: DataFrame, records: DataFrame, temperature: DataFrame,
 
     text = lambda kind, t, **more: F.struct(
         F.lit(kind).alias("kind"), t.alias("text"),
-        *[more.get(name, F.lit(None)).cast(of).alias(name) for name, of in (("factLabel", "string"), ("factValue", "string"), ("recordId", "string"), ("source", SOURCE), ("temperaturePos", "long"), ("options", OPTIONS))],
+        *[more.get(name, F.lit(None)).cast(of).alias(name) for name, of in (("factLabel", "string"), ("factValue", "string"), ("recordId", "string"), ("source", SOURCE), ("temperaturePos", "long"))],
     )
     many = F.concat(F.lit("I found "), F.col("n").cast("string"), F.lit(" records for that model. Choose the applicable version so I do not mix current and legacy specifications."))
     guide = F.when(F.col("g_page").isNotNull(), F.struct(F.lit(GUIDANCE_MANUAL).alias("manual"), F.col("g_page").cast("int").alias("page")))
@@ -209,9 +252,12 @@ def answer_all(questions: DataFrame, records: DataFrame, temperature: DataFrame,
         F.when(F.col("q") == "", text("not-found", F.lit(EMPTY)))
         .when(F.col("t_pos").isNotNull(), text("temperature", F.col("t_text"), source=F.col("t_source"), temperaturePos=F.col("t_pos")))
         .when(F.col("n") == 1, text("model", F.col("model.text"), factLabel=F.col("model.factLabel"), factValue=F.col("model.factValue"), recordId=F.col("only"), source=F.col("source")))
-        .when(F.col("n") > 1, text("ambiguous", many, options=options(F.col("found"), F.col("q"))))
+        .when(F.col("n") > 1, text("ambiguous", many))
         .when(looks_like_model(F.col("q")), text("not-found", F.lit(UNKNOWN_MODEL)))
         .when(F.col("section").isNotNull(), text("guidance", guidance_text(F.col("section"), maker), source=guide))
         .otherwise(text("not-found", F.lit(FALLBACK)))
     )
-    return rows.select("question_id", answer.alias("a")).select("question_id", "a.*")
+    parts = option_parts(kept(pairs, found)).select(F.col("question_id").alias("asked_id"), "part", "options")
+    answers = rows.select("question_id", answer.alias("a")).select("question_id", "a.*")
+    answers = answers.join(parts, (F.col("question_id") == F.col("asked_id")) & (F.col("kind") == "ambiguous"), "left")
+    return answers.select(*[c for c in answers.columns if c not in ("asked_id", "part", "options")], "options", F.coalesce("part", F.lit(0)).alias("part"))

@@ -12,6 +12,12 @@ from specweave.operators.answering import measure_text, readability_text
 #: Fixed values.
 SUGGESTED = ["What is the tolerance for STX622?", "What is the OCL for RC31P3?", "Which weight class does R71MHD3 use?", "What is tolerance vs. uncertainty?"]
 RECORDS_FALLBACK = 746
+WELCOME = "welcome"
+
+
+def without_welcome(messages: DataFrame) -> DataFrame:
+    """messages but for the welcome message, which is known by its ``id``; a null id stays."""
+    return messages.filter(~F.col("id").eqNullSafe(F.lit(WELCOME)))
 
 
 def exchanges(messages: DataFrame) -> DataFrame:

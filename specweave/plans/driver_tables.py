@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specweave.operators import normalise
+from specweave.operators.conversation import WELCOME
 from specweave.sources import schemas
 from specweave.sources.knowledge import Knowledge
 
@@ -107,8 +108,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(conversations: DataFrame) -> DataFrame:
-    """conversations without what stands for the welcome message."""
-    return conversations.filter(F.col("role") != "system")
+    """conversations with ids; a system message stands for the welcome message."""
+    own = F.concat(F.lit("m"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    return conversations.withColumn("id", F.when(F.col("role") == "system", WELCOME).otherwise(own))
 
 
 #: References by page_id % 10; {} is the page's own path with query and fragment.

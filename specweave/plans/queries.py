@@ -17,10 +17,13 @@ from specweave.operators.assess import NOTE, assess, d_message, sum_message
 from specweave.plans import driver_tables as d
 from specweave.sources import knowledge
 from specweave.sources.shared import shared_path
+from specweave.streaming.exchanges import exchange_stream_table
 from specweave.streaming.questions import answer_stream_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Queries whose tasks run Python.
+PYTHON = ("exchange_log",)
 
 
 def query(sql: str | None = None) -> Callable:
@@ -233,28 +236,30 @@ found AS (SELECT *, count(*) OVER (PARTITION BY question_id) AS n FROM wants WHE
 )
 
 
-def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Matched pairs with their records, and what is settled on each question."""
     records = d.knowledge(spark, sf_dir).records
     q = _questions(spark, sf_dir).select("question_id", a.question_text(F.col("question")).alias("q"))
     pairs = matching.matches(q.withColumnRenamed("q", "question"), matching.alias_index(records))
-    return a.disambiguated(pairs.join(records.select("id", "tbl", "pos", "lifecycle", "series", "source"), "id").join(q, "question_id"))
+    pairs = pairs.join(records.select("id", "tbl", "pos", "lifecycle", "series", "source"), "id")
+    return pairs, a.settled(pairs, q)
 
 
 @query(f"WITH {FOUND}, k AS (SELECT question_id, max(n_all) AS n_all FROM own GROUP BY 1), f AS (SELECT question_id, count(*) AS n FROM found GROUP BY 1) SELECT question_id, coalesce(n, 0) AS n, CASE coalesce(n, 0) WHEN 0 THEN 'none' WHEN 1 THEN 'model' ELSE 'ambiguous' END AS kind FROM k LEFT JOIN f USING (question_id)")
 def match_cardinality(spark, sf_dir):
-    n = F.size("found").cast("long")
-    return _found(spark, sf_dir).select("question_id", n.alias("n"), F.when(n == 0, "none").when(n == 1, "model").otherwise("ambiguous").alias("kind"))
+    n = F.col("n")
+    return _found(spark, sf_dir)[1].select("question_id", "n", F.when(n == 0, "none").when(n == 1, "model").otherwise("ambiguous").alias("kind"))
 
 
 @query(f"WITH {FOUND} SELECT question_id, id, lifecycle FROM found")
 def lifecycle_disambiguation(spark, sf_dir):
-    return _found(spark, sf_dir).select("question_id", F.explode("found").alias("r")).select("question_id", "r.id", "r.lifecycle")
+    return a.kept(*_found(spark, sf_dir)).select("question_id", "id", "lifecycle")
 
 
 @query(f"WITH {FOUND} SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY tbl, k) - 1 AS place, id, CASE WHEN lifecycle = 'current' THEN 'Current' ELSE 'Legacy' END || ' · ' || series AS label, q || ' (' || lifecycle || ')' AS question, manual, CASE WHEN tbl = 1 THEN p_size ELSE page END AS page FROM found WHERE n > 1")
 def ambiguous_options(spark, sf_dir):
-    many = _found(spark, sf_dir).filter(F.size("found") > 1)
-    return many.select("question_id", F.posexplode(a.options(F.col("found"), F.col("q"))).alias("place", "o")).select("question_id", F.col("place").cast("long").alias("place"), "o.id", "o.label", "o.question", "o.source.manual", "o.source.page")
+    many = a.placed(a.kept(*_found(spark, sf_dir)).filter("n > 1"))
+    return many.select("question_id", "place", a.option().alias("o")).select("question_id", "place", "o.id", "o.label", "o.question", "o.source.manual", "o.source.page")
 
 
 @query(f"SELECT doc_id, {GUARD.format(q='text')} AS model_like FROM documents")
@@ -383,7 +388,7 @@ exchanges AS (SELECT conv_id, pair, "user", assistant FROM grouped WHERE r0 = 'u
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conv.exchanges(d.messages(_table(spark, sf_dir, "conversations")))
+    return conv.exchanges(conv.without_welcome(d.messages(_table(spark, sf_dir, "conversations"))))
 
 
 @query(f'WITH {PAIRS} SELECT conv_id, pair, "user", assistant FROM exchanges')
@@ -391,6 +396,13 @@ def conversation_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir)
 
 
+@query(f'WITH {PAIRS} SELECT conv_id, pair, "user", assistant FROM exchanges')
+def exchange_log(spark, sf_dir):
+    """The same pairs from the log as a stream that grows three times."""
+    messages = d.messages(_table(spark, sf_dir, "conversations")).select("id", "conv_id", "turn", "role", "text")
+    return exchange_stream_table([messages.filter(c) for c in ("turn < 2", "turn between 2 and 4", "turn > 4")])
+
+
 @query(f"WITH {PAIRS} SELECT conv_id, max(pair) AS pair, arg_max(\"user\", pair) AS \"user\", arg_max(assistant, pair) AS assistant FROM exchanges GROUP BY 1")
 def latest_exchange(spark, sf_dir):
     return conv.latest(_pairs(spark, sf_dir))
@@ -579,3 +591,56 @@ def return_path(spark, sf_dir):
 @query(f"WITH {RETURNS} SELECT page_id, '/signin-with-chatgpt?return_to=' || {_COMPONENT.format(v='safe')} AS sign_in, '/signout-with-chatgpt?return_to=' || {_COMPONENT.format(v='safe')} AS sign_out FROM safe")
 def sign_paths(spark, sf_dir):
     return _references(spark, sf_dir).select("page_id", conv.sign_in_path(F.col("reference")).alias("sign_in"), conv.sign_out_path(F.col("reference")).alias("sign_out"))
+
+
+#: Search aliases of whole words and of letters beyond the basic plane, whose UTF-16 length is twice their number.
+_WIDE = "concat_ws('|', replace(p_name, ' ', '|'), repeat('𝄞', (p_partkey % 6 + 1)::INT), 'é' || repeat('𝔸', (p_partkey % 4)::INT), p_name)"
+
+
+@query(f"""WITH parts AS (SELECT p_partkey, ['PX' || p_partkey] || string_split({_WIDE}, '|') AS l FROM part),
+rows_ AS (SELECT p_partkey, l[i] AS alias, min(i) AS first FROM (SELECT p_partkey, l, unnest(range(1, len(l) + 1)) AS i FROM parts) GROUP BY ALL),
+sized AS (SELECT *, length(alias) + length(regexp_replace(alias, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS units FROM rows_)
+SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY units DESC, first) - 1 AS place, alias, units FROM sized""")
+def alias_order(spark, sf_dir):
+    wide = "concat_ws('|', replace(p_name, ' ', '|'), repeat('𝄞', cast(p_partkey % 6 + 1 as int)), concat('é', repeat('𝔸', cast(p_partkey % 4 as int))), p_name)"
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.posexplode(normalise.aliases_for(F.expr("concat('PX', p_partkey)"), F.expr(wide))).alias("place", "alias"))
+    return rows.select("p_partkey", F.col("place").cast("long").alias("place"), "alias", js.utf16_length(F.col("alias")).cast("long").alias("units"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ['PX' || p_partkey] WHEN 1 THEN []::VARCHAR[] WHEN 2 THEN [p_name, 'A' || p_partkey] ELSE []::VARCHAR[] END AS aliases FROM part""")
+def normalized_aliases(spark, sf_dir):
+    """A missing array, an empty one, one with asterisks and blanks, and one of nothing else."""
+    given = "case p_partkey % 4 when 0 then null when 1 then cast(array() as array<string>) when 2 then array(concat(' *', p_name, '* '), '**', concat('A', p_partkey), ' ') else array('*', ' ') end"
+    return _table(spark, sf_dir, "part").select("p_partkey", matching.normalized_aliases(F.expr(given), F.expr("concat('*PX', p_partkey, ' ')")).alias("aliases"))
+
+
+_MEASURES = ("repeatability", "linearity", "ocl", "tolerance")
+_SPECS = ("capacity", "readability")
+
+
+def _members_sql() -> str:
+    of = {"value": "CASE WHEN p_partkey % 5 = {n} THEN NULL ELSE p_size / 4.0::DOUBLE + {n} END", "secondaryValue": "p_size + {n}::DOUBLE", "unit": "'u{n}'", "secondaryUnit": "CASE WHEN p_partkey % 3 = 0 THEN 'v{n}' END", "d": "{n}::DOUBLE", "raw": "p_name || ' {n}'"}
+    given = {m: f"CASE WHEN p_partkey % 7 = {n} THEN NULL ELSE " + "{x} END" for n, m in enumerate(_MEASURES)}
+    shown = [f"{given[m].format(x=x.format(n=n))} AS {m}_{k}" for n, m in enumerate(_MEASURES) for k, x in of.items()]
+    spec = {"value": "p_retailprice + {n}", "unit": "'g{n}'", "secondaryValue": "CASE WHEN p_partkey % 2 = 0 THEN p_size * 2.0::DOUBLE + {n} END", "secondaryUnit": "'oz{n}'", "note": "CASE WHEN p_partkey % 3 = 1 THEN p_brand || {n} END"}
+    shown += [f"{x.format(n=n)} AS {m}_{k}" for n, m in enumerate(_SPECS) for k, x in spec.items()]
+    return "SELECT p_partkey, " + ", ".join(shown) + " FROM part"
+
+
+@query(_members_sql())
+def record_members(spark, sf_dir):
+    """All members of measures, capacities and readabilities; a measure that is missing as a whole gives nulls."""
+    rows = _table(spark, sf_dir, "part")
+    for n, m in enumerate(_MEASURES):
+        made = f"named_struct('value', case when p_partkey % 5 = {n} then null else p_size / 4d + {n} end, 'value_secondary', p_size + {n}d, 'unit', 'u{n}', 'unit_secondary', case when p_partkey % 3 = 0 then 'v{n}' end, 'd', {n}d, 'raw', concat(p_name, ' {n}'))"
+        rows = rows.withColumn(m, F.expr(f"case when p_partkey % 7 <> {n} then {made} end"))
+    for n, (m, first) in enumerate((("capacity", "_primary"), ("readability", ""))):
+        of = {first: f"p_retailprice + {n}", f"{first}_unit": f"'g{n}'", "_secondary": f"case when p_partkey % 2 = 0 then p_size * 2d + {n} end", "_secondary_unit": f"'oz{n}'", "_annotation": f"case when p_partkey % 3 = 1 then concat(p_brand, {n}) end"}
+        for name, x in of.items():
+            rows = rows.withColumn(m + name, F.expr(x))
+    others = ("series", "table_title", "model_group", "search_aliases", "astm_class", "oiml_class", "source_manual")
+    rows = rows.select("*", (F.col("p_partkey") - 1).alias("pos"), F.lit(1).alias("source_pdf_page"), *[F.lit("x").alias(c) for c in others])
+    made = normalise.current_records(rows, "p_partkey")
+    columns = [F.col(f"{m}.{k}").alias(f"{m}_{k}") for m in _MEASURES for k in ("value", "secondaryValue", "unit", "secondaryUnit", "d", "raw")]
+    columns += [F.col(f"{m}.{k}").alias(f"{m}_{k}") for m in _SPECS for k in ("value", "unit", "secondaryValue", "secondaryUnit", "note")]
+    return made.select("p_partkey", *columns)

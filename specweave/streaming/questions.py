@@ -8,15 +8,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from specweave.operators.answering import answer_all
+from specweave.operators.answering import answer_all, indexes
 
 
 def answer_stream(questions: DataFrame, records: DataFrame, temperature: DataFrame, guidance: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Answer a streaming table of questions into Parquet folders ``path/batch=N``. A batch
     that runs again after a failure replaces its folder."""
 
+    ready = indexes(records, temperature)
+
     def write(batch: DataFrame, number: int) -> None:
-        answer_all(batch, records, temperature, guidance).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        answer_all(batch, records, temperature, guidance, ready=ready).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return questions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

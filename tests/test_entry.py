@@ -46,3 +46,14 @@ def test_without_training_data_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert set(e.queries()) >= set(e.oracle_sql()) and 'answer_all' in e.queries() and 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_without_a_package_of_theirs():
+    """The rest stands alone where their packages can't be imported."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(driver.__file__).parent)
+    code = "import sys; sys.modules['regex'] = None; sys.modules['xxhash'] = None; import __spark_entry__ as e; assert 'answer_all' in e.queries() and not any(n.startswith('op') and n[2].isdigit() for n in e.queries()) and 'pipeline' not in e.queries()"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=root, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": root})
