@@ -72,13 +72,13 @@ def unboxed(df: DataFrame, *columns: str | Column) -> DataFrame:
 HOT, HOT_ROWS = 1000, 100
 
 
-def hot_keys(counts: DataFrame, key: str, total: int, rows: str = "n") -> list[int]:
+def hot_keys(counts: DataFrame, key: str, total: int, rows: str = "n") -> list:
     """The hot keys of a table of different keys with their numbers of rows, which sum up to
     total: at most HOT."""
     return [r[0] for r in counts.filter((F.col(rows) > HOT_ROWS) & (F.col(rows) * HOT > total)).select(key).collect()]
 
 
-def lookup(big: DataFrame, small: DataFrame, key: str, hot: list[int]) -> DataFrame:
+def lookup(big: DataFrame, small: DataFrame, key: str, hot: list) -> DataFrame:
     """big joined with small, whose keys are all different and not null. The rows of hot keys (a
     list of bounded length) stay where they are and meet their few rows of small by a
     broadcast; all others are shuffled, no key of which has over 1/HOT of the rows."""
@@ -91,7 +91,7 @@ def lookup(big: DataFrame, small: DataFrame, key: str, hot: list[int]) -> DataFr
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph by minimum labels and pointer jumps.
 
-    edges has two long columns ``a`` and ``b``. Returns ``node``, ``root``: each node
+    edges has two columns ``a`` and ``b`` of one type that can be ordered. Returns ``node``, ``root``: each node
     of an edge with the smallest node of its component. A round sends every label over
     every edge once and then halves the paths to the root; each round's labels are a
     table in the shared folder. Labels meet in ``min``, which Spark combines before the

@@ -27,15 +27,18 @@ Fingerprints of texts that share 0.8 of their shingles mostly differ in more bit
 max_bits. With ``percent`` a second route is added: texts that share one of BANDS bands of
 BAND minimum hashes are candidates, taken from their buckets in the same steps, and two
 link if the exact Jaccard similarity of their sets of shingles reaches percent. A pair
-at 0.8 shares a band with probability 0.998.
+at 0.8 shares a band with probability 0.998. Buckets of very many texts that are alike, but
+not enough, as pages of one template are, are settled by prefixes of their sets (`prefixes_of`).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,10 +46,13 @@ from pyspark.sql import functions as F
 from specweave.llm.common import boxed, components, hot_keys, lookup, quoted, stored, unboxed
 
 SEED = 42
-KEY_ROWS = 2_000_000
+#: Key rows of a task and of a batch.
+KEY_ROWS, KEY_BATCH = 2_000_000, 200_000
 BANDS, BAND = 20, 6
 #: Lowest bits of 64 minimum hashes: of pairs at 0.8, about 6 differ; over 18 in none to speak of.
 SKETCH_BITS = 18
+#: Members outside a bucket's top component that are compared with all its members.
+DENSE = 64
 #: Odd factors, one a minimum hash.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -87,25 +93,25 @@ def fingerprint(text: Column, shingle: int, seed: int = SEED) -> Column:
     return of(text)
 
 
-def sketch_of(text: str | None, shingle: int, seed: int = SEED) -> tuple[int, int, int, int, list[int]]:
-    """(fingerprint, hash of the set of shingles, its size, sketch bits, band keys), signed."""
+def sketch_of(text: str | None, shingle: int, seed: int = SEED) -> tuple[int, bytes | None, int, int, list[int]]:
+    """(fingerprint, 128-bit digest of the set of shingles, its size, sketch bits, band keys), signed."""
     h = shingle_hashes(text, shingle, seed)
     own = np.unique(h)
     if not len(own):
-        return 0, 0, 0, 0, []
+        return 0, None, 0, 0, []
     least = np.full(len(FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(own), 512):
         least = np.minimum(least, np.multiply.outer(own[i : i + 512], FACTORS).min(axis=0))
     bits = np.packbits(((least[:64] >> np.uint64(17)) & np.uint64(1)).astype(np.uint8)).view("<u8")[0]
     keys = [xxhash.xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(least.reshape(BANDS, BAND))]
-    signed = np.array([majority(h), xxhash.xxh64_intdigest(own.tobytes(), seed), int(bits), *keys], dtype=np.uint64).astype(np.int64).tolist()
-    return signed[0], signed[1], len(own), signed[2], signed[3:]
+    signed = np.array([majority(h), int(bits), *keys], dtype=np.uint64).astype(np.int64).tolist()
+    return signed[0], xxhash.xxh3_128_digest(own.tobytes(), seed), len(own), signed[1], signed[2:]
 
 
 def sketch(text: Column, shingle: int, seed: int = SEED) -> Column:
     """`sketch_of` over a column."""
 
-    @F.pandas_udf("fp long, shingles long, size long, bits long, bands array<long>")
+    @F.pandas_udf("fp long, shingles binary, size long, bits long, bands array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([sketch_of(t, shingle, seed) for t in texts], columns=["fp", "shingles", "size", "bits", "bands"])
 
@@ -158,22 +164,49 @@ def shape(fingerprints: int, max_bits: int) -> tuple[int, int]:
     raise ValueError("max_bits is too large")
 
 
-def in_ring(differs: Column, segments: int, max_bits: int) -> Column:
-    """True if, from some segment on, all chains keep their proportional budgets."""
-    ones = [F.bit_count(F.shiftrightunsigned(differs, s).bitwiseAND(F.lit((1 << w) - 1))) for s, w in cuts(segments)]
-    viable = F.lit(False)
-    for i in range(segments):
-        chain, ok = ones[i], ones[i] * segments <= max_bits
-        for n in range(2, segments + 1):
-            chain = chain + ones[(i + n - 1) % segments]
-            ok = ok & (chain * segments <= n * max_bits)
-        viable = viable | ok
+def in_ring(differs: np.ndarray, segments: int, max_bits: int) -> np.ndarray:
+    """True where, from some segment on, all chains of the different bits keep their proportional budgets."""
+    ones = np.array([np.bitwise_count(differs >> np.uint64(s) & np.uint64((1 << w) - 1)) for s, w in cuts(segments)], dtype=np.int64)
+    budgets = np.arange(1, segments + 1)[:, None] * max_bits
+    viable = np.zeros(len(differs), dtype=bool)
+    for start in range(segments):
+        chains = np.cumsum(np.roll(ones, -start, axis=0), axis=0)
+        viable |= (chains * segments <= budgets).all(axis=0)
     return viable
 
 
 def linked(a: Column, b: Column, segments: int, max_bits: int) -> Column:
     """The pigeonring filter, then the full Hamming check."""
-    return in_ring(a.bitwiseXOR(b), segments, max_bits) & (F.bit_count(a.bitwiseXOR(b)) <= max_bits)
+
+    @F.pandas_udf("boolean")
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        differs = x.to_numpy().astype(np.int64).view(np.uint64) ^ y.to_numpy().astype(np.int64).view(np.uint64)
+        left = in_ring(differs, segments, max_bits)
+        left[left] = np.bitwise_count(differs[left]) <= max_bits
+        return pd.Series(left)
+
+    return of(a, b)
+
+
+def ring_rows(prints: DataFrame, sets: list[tuple[int, ...]], segments: int) -> DataFrame:
+    """A row for each fingerprint and set of segments: ``fp``, ``number`` of the set and ``key``, the
+    bits of its segments behind that number."""
+    at, rows = cuts(segments), max(1, KEY_BATCH // len(sets))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = batch.column("fp").to_numpy().view(np.uint64)
+            for first in range(0, len(every), rows):
+                fp = every[first : first + rows]
+                keys = np.empty((len(sets), len(fp)), dtype=np.uint64)
+                for number, chosen in enumerate(sets):
+                    keys[number] = number
+                    for s in chosen:
+                        keys[number] = keys[number] << np.uint64(at[s][1]) | fp >> np.uint64(at[s][0]) & np.uint64((1 << at[s][1]) - 1)
+                numbers = np.repeat(np.arange(len(sets), dtype=np.int32), len(fp))
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(fp, len(sets)).view(np.int64)), pa.array(numbers), pa.array(keys.reshape(-1).view(np.int64))], names=["fp", "number", "key"])
+
+    return prints.select("fp").mapInArrow(spread, "fp long, number int, key long")
 
 
 def outer_pieces(fp: str, number: str, sets: list[tuple[int, ...]], segments: int, max_bits: int) -> Column:
@@ -204,23 +237,14 @@ def fingerprint_components(prints: DataFrame, max_bits: int = 4, known: DataFram
     one of its component."""
     rows = prints.count()
     segments, equal = shape(rows, max_bits)
-    at, sets = cuts(segments), ring_keys(segments, max_bits, equal)
-
-    def key(number: int, chosen: tuple[int, ...]) -> Column:
-        k = F.lit(number).cast("long")
-        for s in chosen:
-            k = F.shiftleft(k, at[s][1]).bitwiseOR(F.shiftrightunsigned("fp", at[s][0]).bitwiseAND(F.lit((1 << at[s][1]) - 1)))
-        return k
-
+    sets = ring_keys(segments, max_bits, equal)
     # A fingerprint becomes as many rows as there are keys; no task makes more than some KEY_ROWS.
-    spread = prints.repartition(max(1, -(-rows * len(sets) // KEY_ROWS)), "fp")
-    keyed = spread.select("fp", F.posexplode(F.array(*[key(n, c) for n, c in enumerate(sets)])).alias("number", "key"))
-    buckets = stored(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).filter("n > 1"), "buckets")
+    keyed = ring_rows(prints.repartition(max(1, -(-rows * len(sets) // KEY_ROWS)), "fp"), sets, segments)
+    buckets = stored(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).filter("n > 1").withColumnRenamed("key", "bucket"), "buckets")
     # A bucket of two is settled by comparing both; those of three or more keep all members.
-    star = (F.col("fp") != F.col("pivot")) & linked(F.col("fp"), F.col("pivot"), segments, max_bits)
-    bucket = buckets.withColumnRenamed("key", "bucket")
-    members = stored(keyed.join(bucket, (F.col("key") == F.col("bucket")) & ((F.col("n") > 2) | star)).select("key", "number", "fp", "n", "pivot"), "members")
-    stars = stored(members.filter(star).select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
+    shared = keyed.join(buckets, F.col("key") == F.col("bucket")).withColumn("star", (F.col("fp") != F.col("pivot")) & linked(F.col("fp"), F.col("pivot"), segments, max_bits))
+    members = stored(shared.filter("n > 2 or star").select("key", "number", "fp", "n", "pivot", "star"), "members")
+    stars = stored(members.filter("star").select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     found = components(stars if known is None else stars.union(known.select("a", "b")))
 
     labelled = members.filter("n > 2").select("key", "number", "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("key", "number", "fp", F.coalesce("root", "fp").alias("root"))
@@ -230,8 +254,9 @@ def fingerprint_components(prints: DataFrame, max_bits: int = 4, known: DataFram
     rest = labelled.join(mixed, "key").select("key", "fp", "root", "top", F.explode(outer_pieces("fp", "number", sets, segments, max_bits)).alias("piece"))
     rest = stored(rest, "rest")
     a, b = rest.filter("root <> top").alias("a"), rest.alias("b")
-    more = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.root") != F.col("b.root")) & linked(F.col("a.fp"), F.col("b.fp"), segments, max_bits))
-    more = stored(more.select(F.col("a.root").alias("a"), F.col("b.root").alias("b")).distinct(), "more")
+    apart = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.root") != F.col("b.root")))
+    apart = apart.select(F.col("a.root").alias("a"), F.col("b.root").alias("b"), F.col("a.fp").alias("x"), F.col("b.fp").alias("y"))
+    more = stored(apart.filter(linked(F.col("x"), F.col("y"), segments, max_bits)).select("a", "b").distinct(), "more")
     if more.limit(1).count() == 0:
         return found
     # The components so far are the nodes of the second graph.
@@ -250,7 +275,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits:
         rows = stored(docs.select(quoted(id_col).alias("id"), F.xxhash64(text).alias("hash"), sketch(quoted(text_col), shingle, seed).alias("s")).select("id", "hash", "s.*"), "prints")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")).alias("first")
     prints = stored(rows.groupBy("fp").agg(first, F.count("*").alias("n")), "different")
-    similar = None if percent is None else similar_edges(rows, docs.select(F.xxhash64(text).alias("hash"), text.alias("text")), shingle, percent)
+    similar = None if percent is None else similar_edges(rows, docs.select(F.struct(F.xxhash64(text).alias("hash"), quoted(id_col).alias("id")).alias("at"), text.alias("text")), shingle, percent)
     found = fingerprint_components(prints.select("fp"), max_bits, similar)
     roots = stored(prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root")), "roots")
     least = stored(roots.groupBy("root").agg(F.min("first").alias("first")), "least")
@@ -273,44 +298,75 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
+def own_sets(wanted: DataFrame, texts: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
+    """wanted (different ``shingles``) with ``own``, the hashes themselves. texts has ``at`` (text hash and id) and
+    ``text``; sets names one row for each set, so that of many copies one is read."""
+    found = texts.join(wanted.join(sets, "shingles").select("shingles", F.col("at").alias("first")), F.col("at").eqNullSafe(F.col("first"))).groupBy("shingles").agg(F.any_value("text").alias("text"))
+    return stored(found.select("shingles", shingle_set(F.col("text"), shingle).alias("own")), "shingle_sets")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The rows ``a``, ``b`` of pairs (hashes of sets) whose Jaccard similarity reaches percent.
-    texts has ``hash`` and ``text``; sets names a text's hash for each set."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("shingles")).distinct().join(sets, "shingles").select("shingles", F.col("hash").alias("__hash"))
-    found = texts.join(wanted, F.col("hash") == F.col("__hash")).groupBy("shingles").agg(F.any_value("text").alias("text"))
-    own = stored(found.select("shingles", shingle_set(F.col("text"), shingle).alias("own")), "shingle_sets")
+    """The rows ``a``, ``b`` of pairs (digests of sets) whose Jaccard similarity reaches percent."""
+    own = own_sets(pairs.select(F.explode(F.array("a", "b")).alias("shingles")).distinct(), texts, sets, shingle)
     x, y = own.select(F.col("shingles").alias("a"), F.col("own").alias("x")), own.select(F.col("shingles").alias("b"), F.col("own").alias("y"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
     return stored(both.filter(F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * percent).select("a", "b"), "confirmed")
 
 
+def _near(a: str, b: str, percent: int) -> Column:
+    """Whether two sets can be alike by their sizes and are so by their sketch bits."""
+    sizes = F.least(f"{a}.size", f"{b}.size") * 100 >= F.greatest(f"{a}.size", f"{b}.size") * percent
+    return sizes & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= SKETCH_BITS)
+
+
+def apart_pairs(rest: DataFrame, prefixes: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of sets in the same bucket (``key``) and of different components, one of
+    them outside the top component. Without prefixes all such pairs; with them those that share
+    a ``token`` of both prefixes."""
+    rows, on = (rest, ["key"]) if prefixes is None else (prefixes, ["key", "token"])
+    x = rows.filter("root <> top").select(*on, F.col("m").alias("v"), F.col("root").alias("r"))
+    y = rows.select(*[F.col(c).alias(f"{c}_") for c in on], F.col("m").alias("w"), "root")
+    same = F.expr(" and ".join(f"{c} = {c}_" for c in on))
+    found = x.join(y, same & (F.col("r") != F.col("root")) & _near("v", "w", percent))
+    return found.select(F.least("v.shingles", "w.shingles").alias("a"), F.greatest("v.shingles", "w.shingles").alias("b")).distinct()  # a pair may come both ways round
+
+
+def prefixes_of(rest: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """A row for each member of a bucket and each ``token`` of its prefix. In the order of their frequency in the
+    bucket, two sets of the similarity share one of their first tokens: of the n of a set, the first n - ceil(n
+    * percent / 100) + 1. What very many members share, as pages of one template do, comes last and leads to no pairs."""
+    tokens = rest.join(own.select(F.col("shingles").alias("set"), "own"), F.col("m.shingles") == F.col("set")).select("key", "m", "root", "top", F.explode("own").alias("token"))
+    counted = tokens.withColumn("n", F.count("*").over(Window.partitionBy("key", "token")))
+    placed = counted.withColumn("place", F.row_number().over(Window.partitionBy("key", "m").orderBy("n", "token")))
+    first = F.col("m.size") - F.ceil(F.col("m.size") * percent / 100) + 1
+    return stored(placed.filter(F.col("place") <= first).select("key", "token", "m", "root", "top"), "prefixes")
+
+
 def similar_edges(rows: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """rows: a stored table of `sketch` and ``hash``, that of the text. Returns ``a``, ``b``:
+    """rows: a stored table of `sketch` with ``id`` and ``hash``, that of the text. Returns ``a``, ``b``:
     fingerprints to be linked since sets of shingles are alike; buckets are settled as by
-    `fingerprint_components`."""
-    sets = rows.filter("size > 0").groupBy("shingles").agg(F.min("fp").alias("fp"), F.min("hash").alias("hash"), F.min("size").alias("size"), F.min("bits").alias("bits"), F.min("bands").alias("bands"))
+    `fingerprint_components`. A bucket with more than DENSE members outside its top component is
+    settled by the prefixes of its sets, so that its pairs don't grow with the square."""
+    sets = rows.filter("size > 0").groupBy("shingles").agg(F.min("fp").alias("fp"), F.min(F.struct("hash", "id")).alias("at"), F.min("size").alias("size"), F.min("bits").alias("bits"), F.min("bands").alias("bands"))
     sets = stored(sets, "sets")
     node = F.struct("shingles", "size", "bits")
     keyed = sets.select(node.alias("m"), F.explode("bands").alias("key"))
     buckets = stored(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("m").alias("pivot")).filter("n > 1").withColumnRenamed("key", "bucket"), "set_buckets")
     members = stored(keyed.join(buckets, F.col("key") == F.col("bucket")).select("key", "m", "n", "pivot"), "set_members")
-
-    def near(a: str, b: str) -> Column:
-        sizes = F.least(f"{a}.size", f"{b}.size") * 100 >= F.greatest(f"{a}.size", f"{b}.size") * percent
-        return sizes & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= SKETCH_BITS)
-
-    stars = members.filter((F.col("m.shingles") != F.col("pivot.shingles")) & near("m", "pivot"))
+    stars = members.filter((F.col("m.shingles") != F.col("pivot.shingles")) & _near("m", "pivot", percent))
     first = confirmed(stored(stars.select(F.col("m.shingles").alias("a"), F.col("pivot.shingles").alias("b")).distinct(), "set_stars"), texts, sets, shingle, percent)
     found = components(first).withColumnRenamed("node", "shingles")
     labelled = members.filter("n > 2").select("key", "m", F.col("m.shingles").alias("shingles")).join(found, "shingles", "left")
     labelled = stored(labelled.select("key", "m", F.coalesce("root", "shingles").alias("root")), "set_labelled")
     shares = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select(F.col("key").alias("bucket"), "top")
-    rest = stored(labelled.join(mixed, F.col("key") == F.col("bucket")).select("key", "m", "root", "top"), "set_rest")
-    a, b = rest.filter("root <> top").select("key", F.col("m").alias("v"), F.col("root").alias("r")), rest.select(F.col("key").alias("bucket"), F.col("m").alias("w"), "root")
-    apart = a.join(b, (F.col("key") == F.col("bucket")) & (F.col("r") != F.col("root")) & near("v", "w"))
-    # A pair may come both ways round.
-    apart = apart.select(F.least("v.shingles", "w.shingles").alias("a"), F.greatest("v.shingles", "w.shingles").alias("b")).distinct()
+    mixed = shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), (F.sum("n") - F.max("n")).alias("outside")).filter("roots > 1")
+    mixed = mixed.select(F.col("key").alias("bucket"), "top", (F.col("outside") > DENSE).alias("dense"))
+    rest = stored(labelled.join(mixed, F.col("key") == F.col("bucket")).select("key", "m", "root", "top", "dense"), "set_rest")
+    dense = rest.filter("dense")
+    apart = apart_pairs(rest.filter("not dense"), None, percent)
+    if dense.limit(1).count():
+        own = own_sets(dense.select("m.shingles").distinct(), texts, sets, shingle)
+        apart = apart.union(apart_pairs(dense, prefixes_of(dense, own, percent), percent)).distinct()
     more = confirmed(stored(apart, "set_pairs"), texts, sets, shingle, percent)
     prints = sets.select("shingles", "fp")
     at = lambda c: prints.select(F.col("shingles").alias(c), F.col("fp").alias(f"fp_{c}"))

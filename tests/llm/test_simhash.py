@@ -3,6 +3,7 @@
 import random
 from itertools import combinations, combinations_with_replacement
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -113,3 +114,29 @@ def test_edges(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["4", "7", "9", "None", "None"]
     assert simhash.near_duplicates(docs.limit(0)).count() == simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("segments", "bits", "equal"), [(6, 4, 2), (9, 6, 3), (16, 6, 10)])
+def test_ring_filter(segments, bits, equal):
+    """No pair within the bits is pruned, and a pair that is pruned has more."""
+    rng = random.Random(segments)
+    differs = [sum(1 << b for b in rng.sample(range(64), rng.randint(0, 12))) for _ in range(4000)]
+    kept = simhash.in_ring(np.array(differs, dtype=np.uint64), segments, bits)
+    of = lambda d: [(d >> s & (1 << w) - 1).bit_count() for s, w in simhash.cuts(segments)]
+    viable = lambda c: any(all(sum(c[(i + j) % segments] for j in range(n)) * segments <= n * bits for n in range(1, segments + 1)) for i in range(segments))
+    assert kept.tolist() == [viable(of(d)) for d in differs]
+    assert all(k for k, d in zip(kept, differs, strict=True) if d.bit_count() <= bits) and not kept.all()
+
+
+def test_ring_rows(spark):
+    rng = random.Random(8)
+    prints = [rng.getrandbits(64) - (1 << 63) for _ in range(50)]
+    sets = simhash.ring_keys(9, 6, 3)
+    got = {(r["fp"], r["number"]): r["key"] for r in simhash.ring_rows(spark.createDataFrame([(p,) for p in prints], "fp long"), sets, 9).collect()}
+    assert len(got) == 50 * len(sets)
+    for (fp, number), key in got.items():
+        want = number
+        for s in sets[number]:
+            shift, width = simhash.cuts(9)[s]
+            want = want << width | (fp % (1 << 64)) >> shift & (1 << width) - 1
+        assert key % (1 << 64) == want

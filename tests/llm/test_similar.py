@@ -49,3 +49,37 @@ def test_planted_copies(spark):
     assert len(near) > 20 and not kept & set(near)
     assert len(far) > 20 and kept > set(far)
     assert [i for i in kept if i >= 1000] == [1000]
+
+
+def test_one_template(spark, monkeypatch):
+    """Very many texts alike at 0.45 to 0.6 in the same buckets, with some copies at 0.8 among them: all
+    copies link, by pairs that do not grow with the square."""
+    monkeypatch.setattr(simhash, "DENSE", 5)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    template, rows, planted = [word() for _ in range(200)], [], []
+    for i in range(150):
+        own = template + [word() for _ in range(rng.randint(70, 120))]
+        rows.append((2 * i, " ".join(own)))
+        if i % 5 == 0:
+            copy = own[:-1] + [word()] if i % 2 else own[:]
+            copy[rng.randrange(200, len(own))] = word()
+            rows.append((2 * i + 1, " ".join(copy)))
+            planted.append(2 * i + 1)
+    made = []
+    monkeypatch.setattr(simhash, "apart_pairs", lambda *a, f=simhash.apart_pairs: made.append((a[1] is not None, f(*a))) or made[-1][1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, shingle=5, max_bits=0, percent=80).collect()}
+    root = {i: i for i, _ in rows}
+    sets = {i: shingles(t) for i, t in rows}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and 10 * len(a & b) >= 8 * len(a | b):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == {i: find(i) for i in root} and all(got[i] < i for i in planted)
+    by_prefix = [f for dense, f in made if dense]
+    assert by_prefix and by_prefix[0].count() < len(rows)
