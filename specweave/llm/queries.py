@@ -123,17 +123,26 @@ base AS (
   FROM docs LEFT JOIN covered USING (doc_id)
 ), judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
 m AS (
-  SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'long_words', 'short_words']) AS rule,
+  SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'long_words', 'short_words', 'n_words']) AS rule,
     unnest([n_symbols * 1000 // greatest(n_words, 1), n_dup_lines * 1000 // greatest(n_words, 1), n_repeat_words * 1000 // greatest(n_words, 1),
-      word_chars * 100 // greatest(n_words, 1), word_chars * 100 // greatest(n_words, 1)]) AS v,
-    unnest([10, 20, 100, 50, 50]) AS slack, unnest([true, true, true, true, false]) AS upper
+      word_chars * 100 // greatest(n_words, 1), word_chars * 100 // greatest(n_words, 1), n_words]) AS v,
+    unnest([1, 1, 6, NULL, NULL, NULL]) AS least, unnest([true, true, true, true, false, true]) AS upper
   FROM judged
 ), binned AS (SELECT *, (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) AS b FROM m WHERE NOT base_failed),
 sketch AS (
-  SELECT lang, source, rule, upper, slack, grouping(lang, source) AS level, count(*) AS n, list_sort(list(b)) AS bs
-  FROM binned GROUP BY GROUPING SETS ((lang, source, rule, upper, slack), (lang, rule, upper, slack), (rule, upper, slack))
-), q AS (SELECT *, bs[1 + (n * 10 + 99) // 100] AS lo, bs[(n + 1) // 2] AS mid, bs[n - (n * 10 + 99) // 100] AS hi FROM sketch),
-f AS (SELECT lang, source, rule, level, n, (CASE WHEN upper THEN hi + 4 * (hi - mid) + slack ELSE lo - 4 * (mid - lo) - slack END)::DOUBLE AS fence FROM q),
+  SELECT lang, source, rule, upper, least, grouping(lang, source) AS level, count(*) AS n, list_sort(list(b)) AS bs
+  FROM binned GROUP BY GROUPING SETS ((lang, source, rule, upper, least), (lang, rule, upper, least), (rule, upper, least))
+), q AS (
+  SELECT *, bs[(n * 10 + 99) // 100] AS q10, bs[(n * 25 + 99) // 100] AS q25, bs[(n * 50 + 99) // 100] AS q50, bs[(n * 75 + 99) // 100] AS q75, bs[(n * 90 + 99) // 100] AS q90,
+    greatest(max(CASE WHEN rule = 'n_words' THEN bs[(n * 25 + 99) // 100] END) OVER (PARTITION BY level, lang, source), 1) AS short FROM sketch
+), s AS (
+  SELECT *, CASE WHEN least IS NULL THEN q50 / 2.0::DOUBLE / sqrt(short) ELSE least * 1000.0::DOUBLE / short END AS unit, CASE WHEN upper THEN q75 ELSE q25 END AS o1, CASE WHEN upper THEN q90 ELSE q10 END AS o2 FROM q WHERE rule <> 'n_words'
+), t AS (
+  SELECT *, greatest(abs(q50 - CASE WHEN upper THEN q25 ELSE q75 END)::DOUBLE, unit) AS s0, greatest(abs(o1 - q50)::DOUBLE, unit) AS s1, greatest(abs(o2 - o1)::DOUBLE, unit) AS s2 FROM s
+), f AS (
+  SELECT lang, source, rule, level, n, CASE WHEN s1 > 4 * s0 THEN q50 ELSE CASE WHEN s2 > 4 * greatest(s0, s1) THEN o1 ELSE o2 END END
+    + CASE WHEN s1 > 4 * s0 THEN s0 ELSE CASE WHEN s2 > 4 * greatest(s0, s1) THEN s1 ELSE s2 END END * CASE WHEN upper THEN 4 ELSE -4 END AS fence FROM t
+),
 fences AS (
   SELECT a.lang, a.source, a.rule, coalesce((a.n * a.fence + 20.0::DOUBLE * coalesce((l.n * l.fence + 20.0::DOUBLE * g.fence) / (l.n + 20), g.fence)) / (a.n + 20),
     coalesce((l.n * l.fence + 20.0::DOUBLE * g.fence) / (l.n + 20), g.fence)) AS fence

@@ -47,7 +47,7 @@ def test_sketches_decide(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     measured = quality.stored(quality.measures(docs.select("doc_id", "lang", "source", "text")), "measured")
     rows = quality.fences(measured).collect()
-    for rule in ("repeats", "long_words", "short_words"):
+    for rule in ("symbols", "dup_lines", "repeats", "long_words", "short_words"):
         assert len({r[f"fence_{rule}"] for r in rows}) > 10
     kept = {r["doc_id"] for r in quality.quality(docs, keep_text=False).filter("kept").collect()}
     longer = docs.withColumn("text", F.when(F.col("lang") == "de", F.regexp_replace("text", r"([a-z])\b", "$1$1$1$1")).otherwise(F.col("text")))
@@ -61,6 +61,29 @@ def test_sketches_decide(spark):
     assert sum("long_words" in r["failed_rules"] for r in odd) > 0.8 * len(odd) > 0
 
 
+def test_a_group_full_of_junk(spark):
+    """Where two in five texts of a source are junk, these still go and the others stay; a source whose texts all
+    hold some signs keeps them, and a tie with the fence stays."""
+    clean = lambda i: " ".join(f"word{i}x{k}" for k in range(50))
+    junk = lambda i: " ".join(f"{'#$%&'[k % 4]}y{i}{k}" for k in range(50))
+    some = lambda i: " ".join(f"{'#' * (k < 5 + i % 4)}w{i}x{k}" for k in range(50))
+    lines = lambda i, n: "\n".join(" ".join(f"l{i}x{k}y{j}" for j in range(8)) + ("\nsame" if k < n else "") for k in range(12))
+    rows = [("good", clean(i)) for i in range(100)] + [("bad", junk(i) if i % 5 < 2 else clean(i)) for i in range(50)] + [("code", some(i)) for i in range(100)] + [("lines", lines(i, 12 if i % 10 == 0 else 1 + i % 2)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.quality(docs, keep_text=False).collect()}
+    for i, (source, text) in enumerate(rows):
+        odd = source == "bad" and "#y" in text or source == "lines" and text.count("same") > 5
+        assert got[i]["kept"] != odd, (source, got[i])
+
+
+def test_edges_of_sketches(spark):
+    """Tables of one row, of equal rows, and of rows that all fail have verdicts."""
+    text = " ".join(f"word{k}" for k in range(30))
+    for rows in ([(1, text)], [(1, text)] * 5, [(1, None), (2, ""), (3, "few words")]):
+        docs = spark.createDataFrame([(*r, None, None) for r in rows], "doc_id long, text string, lang string, source string")
+        assert [r["kept"] for r in quality.quality(docs).collect()] == [r[1] == text for r in rows]
+
+
 def test_bins(spark):
     values = [0, 1, 31, 32, 33, 63, 64, 1000, 123456789]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(quality.bin_of(F.col("v"))).collect()]
