@@ -105,14 +105,29 @@ def brute_blocks(text):
     return ["\n".join(b) for b in out if b]
 
 
+def brute_comments(text):
+    """Runs of comment lines and of other lines."""
+    out, last = [], None
+    for line in text.split("\n"):
+        comment = bool(re.match(r"[ \t]*(#|//|/?\*|--|;|%)", line))
+        if comment != last:
+            out.append([])
+        out[-1].append(line)
+        last = comment
+    return ["\n".join(b) + "\n" * (i < len(out) - 1) for i, b in enumerate(out)]
+
+
 def inherited(files, own, path):
     """The license of the nearest directory above a path, one directory after another."""
     folder = path
     while folder:
         folder = folder.rpartition("/")[0]
-        here = sorted(p for p in files if p in own and p.rpartition("/")[0] == folder and re.match(r"(?i)(licen[cs]e|copying|notice)([-._].*)?$", p.rpartition("/")[2]))
+        named = [p for p in files if p.rpartition("/")[0] == folder]
+        here = sorted(p for p in named if p in own and re.match(r"(?i)((un)?licen[cs]e|copying|notice)([-._].*)?$", p.rpartition("/")[2]))
         if here:
             return own[here[0]], folder
+        if any(re.match(r"(?i)((un)?licen[cs]e|copying)([-._].*)?$", p.rpartition("/")[2]) and licenses.terms_of(files[p] or "") for p in named):
+            return "unknown", folder
     return None, None
 
 
@@ -158,15 +173,19 @@ def brute_scan(files, threshold=licenses.THRESHOLD):
     out = {}
     for path, text in files.items():
         best = []
-        for unit in {*(text or "").split("\n"), *brute_blocks(text or ""), text or ""}:
+        declared = re.search(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)", text or "")
+        if declared:
+            out[path] = re.sub(r"(-only|-or-later|\+)$", "", declared[1])
+            continue
+        for unit in {*(text or "").split("\n"), *brute_blocks(text or ""), *brute_comments(text or ""), text or ""}:
             u = vector(unit)
             for name, template in licenses.TEMPLATES:
                 t = vector(template)
                 c = sum(w * t.get(k, 0) for k, w in u.items()) / (norm(u) * norm(t) or 1)
                 if round(c, 6) >= threshold:
-                    best.append((-round(c, 6), name))
+                    best.append((licenses.rank(name, template), -round(c, 6), name))
         if best:
-            out[path] = min(best)[1]
+            out[path] = min(best)[2]
     return out
 
 
@@ -198,3 +217,71 @@ def test_licenses_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("concat('d/', doc_id) as path", "text")
     got = {r["path"]: r["own_license"] for r in licenses.scan(docs).collect()}
     assert got == brute_scan({r["path"]: r["text"] for r in docs.collect()}) and got
+
+
+CODE = "\n".join(f"def f{i}(x{i}): return g{i}(x{i}, y{i}) + {i} * z{i}" for i in range(60))
+
+
+def text_of(title, paragraphs, width=76):
+    return title + "\n\n" + "\n\n".join("\n".join(textwrap.wrap(p, width)) for p in paragraphs) + "\n"
+
+
+def standard_files():
+    """Licence files and headers as they are usually found, with the license that each has."""
+    owner = "Copyright (c) 2021, A. Person\nAll rights reserved."
+    numbered = [licenses.BSD_3[0], "1. " + licenses.BSD_3[1], "2. " + licenses.BSD_3[2], "3. " + licenses.BSD_3[3], licenses.BSD_3[4]]
+    two = [*numbered[:3], numbered[4]]
+    zlib = [*licenses.ZLIB[:2], *[f"{n}. {p}" for n, p in enumerate(licenses.ZLIB[2:], 1)]]
+    definitions = ["\"Source\" form shall mean the preferred form for making modifications, including but not limited to software source code, documentation source, and configuration files.", "Each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable patent license."] * 6
+    apache = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n"
+    gnu = ["Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", *definitions]
+    return {
+        "bsd3/LICENSE": (text_of("BSD 3-Clause License\n\n" + owner, numbered), "BSD-3-Clause"),
+        "bsd2/LICENSE": (text_of("BSD 2-Clause License\n\n" + owner, two), "BSD-2-Clause"),
+        "bsd3/x.c": ("/*\n * " + owner.replace("\n", "\n * ") + "\n *\n" + wrapped(numbered, " *") + "\n */\n" + CODE, "BSD-3-Clause"),
+        "bsd2/x.c": ("/*\n * " + owner.replace("\n", "\n * ") + "\n *\n" + wrapped(two, " *") + "\n */\n" + CODE, "BSD-2-Clause"),
+        "zlib/LICENSE.txt": (text_of("Copyright (C) 1995-2022 A. Person", zlib), "Zlib"),
+        "lesser/x.h": (wrapped(licenses.LGPL_2_1, "//") + "\n\n" + CODE, "LGPL-2.1"),
+        "lesser/COPYING.LESSER": ("                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n" + text_of("", gnu), "LGPL-2.1"),
+        "g2/COPYING": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n" + text_of("", gnu), "GPL-2.0"),
+        "g3/COPYING": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + text_of("", gnu), "GPL-3.0"),
+        "apache/LICENSE": (apache + text_of("", definitions), "Apache-2.0"),
+        "apache/full/LICENSE": (apache + text_of("", [*definitions, *licenses.APACHE_2]), "Apache-2.0"),
+        "mit/LICENSE": (text_of("MIT License\n\n" + owner, licenses.MIT), "MIT"),
+        "spdx/a.py": ("# SPDX-License-Identifier: Apache-2.0\n" + CODE, "Apache-2.0"),
+        "spdx/b.c": ("/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */\n" + CODE, "GPL-2.0 WITH Classpath-exception-2.0"),
+        "spdx/c.rs": ("// Copyright X. All rights reserved.\n// SPDX-License-Identifier: MIT OR Apache-2.0\n" + CODE, "MIT OR Apache-2.0"),
+        "spdx/d.js": ("// SPDX-License-Identifier:\n" + CODE, None),
+        "closed/x.py": ("# Copyright X. All rights reserved.\n# nothing else is said\n" + CODE, None),
+    }
+
+
+def test_standard_files(spark):
+    files = standard_files()
+    own = {p: x for p, (_, x) in files.items() if x}
+    table = spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "path string, text string")
+    got = {r["path"]: r["own_license"] for r in licenses.scan(table).collect()}
+    assert got == own
+
+
+def test_unknown_licences_stop_inheritance(spark):
+    mit, other = "Released under the MIT License.", "You may use this on Tuesdays if you feed the cat of the author."
+    files = {
+        "LICENSE": mit, "x.py": "x", "lib/LICENSE": other, "lib/x.py": "x", "lib/deep/er/x.py": "x", "lib/deep/LICENSE": mit, "both/LICENSE": other, "both/LICENSE.mit": mit, "both/x.py": "x",
+        "note/NOTICE": other, "note/x.py": "x", "blank/LICENSE": " \n", "blank/x.py": "x", "none/COPYING": None, "none/x.py": "x",
+    }
+    table = spark.createDataFrame([(*f, 1, "c", 0.5) for f in files.items()], "path string, text string, __path int, at string, Cosine double")
+    for keep in (True, False):
+        got = {r["path"]: r for r in licenses.license_scan(table, keep_text=keep).collect()}
+        own = {p: "MIT" for p, t in files.items() if t == mit}
+        assert {p: (r["license"], r["inherited_from"]) for p, r in got.items()} == {p: (own[p], None) if p in own else inherited(files, own, p) for p in files}
+        assert got["lib/x.py"]["license"] == "unknown" and got["lib/deep/er/x.py"]["license"] == "MIT" and got["x.py"]["__path"] == 1 and ("text" in got["x.py"].asDict()) == keep
+
+
+def test_inheritance_with_hot_directories(spark, monkeypatch):
+    """Each path meets '' and the other directories above it, however many paths share them."""
+    monkeypatch.setattr("specweave.llm.common.HOT_ROWS", 5)
+    files = {"LICENSE": "Released under the MIT License."} | {f"d{i % 7}/e{i % 3}/f{i}.txt": "x" for i in range(90)} | {"d1/COPYING": "Licensed under CC BY 4.0.", "d2/e0/LICENSE": "who knows"}
+    got = licenses.license_scan(spark.createDataFrame(list(files.items()), "path string, text string")).collect()
+    own = {"LICENSE": "MIT", "d1/COPYING": "CC-BY-4.0"}
+    assert {r["path"]: (r["license"], r["inherited_from"]) for r in got} == {p: (own[p], None) if p in own else inherited(files, own, p) for p in files}
