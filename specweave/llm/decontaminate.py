@@ -19,13 +19,14 @@ import hashlib
 import itertools
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from specweave.llm.common import boxed, quoted, stored, unboxed
+from specweave.llm.common import boxed, quoted, sized, stored, unboxed
 
 #: Bytes as they count in words: A-Z as a-z, other ASCII but 0-9 and a-z as a space.
 _FOLD = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256))
@@ -237,55 +238,66 @@ def clean_text(text: str, automata: list[Automaton], spans: list[tuple[int, int]
     return text
 
 
-STATE = "spans array<struct<start:long,end:long>>, items array<string>"
+FOUND = "spans array<struct<start:long,end:long>>, items array<string>"
+SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
-def one_pass(state: DataFrame, automata: list[Automaton]) -> DataFrame:
-    """state (``text``, ``spans``, ``items`` and more) with what these automata find in text
-    added; a null text keeps what it has. The result is stored."""
-    shared = [state.sparkSession.sparkContext.broadcast(a) for a in automata]
+def hits(texts: DataFrame, automata: list[Automaton]) -> DataFrame:
+    """A row for each different ``text`` in which these automata find something: ``key`` (its digest), ``text``,
+    ``spans``, ``items``. The result is stored; texts without a hit are read, and neither moved nor written."""
+    shared = [texts.sparkSession.sparkContext.broadcast(a) for a in automata]
 
-    @F.pandas_udf(STATE)
-    def more(texts: pd.Series, spans: pd.Series, items: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(FOUND)
+    def found(column: pd.Series) -> pd.DataFrame:
         own, out = [b.value for b in shared], []
-        for text, have, names in zip(texts, spans, items, strict=True):
+        for text in column:
             words = words_of(text)
-            hits = [a.scan(words) for a in own]
-            all_spans = _merged([*((s["start"], s["end"]) for s in have), *itertools.chain.from_iterable(h[0] for h in hits)])
-            out.append(([{"start": s, "end": e} for s, e in all_spans], sorted({*names, *itertools.chain.from_iterable(h[1] for h in hits)})))
+            each = [a.scan(words) for a in own]
+            spans = _merged([s for h in each for s in h[0]])
+            out.append(([{"start": s, "end": e} for s, e in spans], sorted(set(itertools.chain.from_iterable(h[1] for h in each)))))
         return pd.DataFrame(out, columns=["spans", "items"])
 
-    rest = [c for c in state.columns if c not in ("spans", "items")]
-    found = stored(state.select(*rest, more("text", "spans", "items").alias("found")).select(*rest, "found.*"), "pass")
+    hit = texts.select("text", found("text").alias("found")).filter(F.size("found.items") > 0)
+    one = hit.groupBy(F.md5("text").alias("key")).agg(F.any_value("text").alias("text"), F.any_value("found").alias("found"))
+    made = stored(one.select("key", "text", "found.*"), "pass")
     for b in shared:
         b.unpersist()
-    return found
+    return made
+
+
+def all_hits(texts: DataFrame, groups: Callable[[], Iterator[list[Automaton]]]) -> DataFrame:
+    """`hits` of all groups of automata, each in a pass over the texts, put together by key."""
+    every = reduce(DataFrame.union, [hits(texts, group) for group in groups()])
+    merge = F.pandas_udf(lambda column: pd.Series([[{"start": s, "end": e} for s, e in _merged([(x["start"], x["end"]) for x in spans])] for spans in column], dtype=object), SPANS)
+    one = every.groupBy("key").agg(F.any_value("text").alias("text"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # a row a pass
+    return stored(one.select("key", "text", merge("spans").alias("spans"), "items"), "hits")
 
 
 def in_passes(box: DataFrame, groups: Callable[[], Iterator[list[Automaton]]], with_text: bool, least_words: int, most_coverage: float) -> DataFrame:
-    """box (``row``, ``text``) with the outcome, by one pass over the texts for each group
-    of automata, and as many again for each round of removals among the rows that had one."""
-    none = F.from_json(F.lit('{"spans": [], "items": []}'), STATE)
-    state = box.select("row", "text", none["spans"].alias("spans"), none["items"].alias("items"))
-    for group in groups():
-        state = one_pass(state, group)
+    """box (``row``, ``text``) with the outcome. Each group of automata takes a pass that reads the texts; what it finds is
+    kept by the text's digest, and removals and their rounds only concern the texts that had a hit."""
     count = F.pandas_udf(lambda texts: pd.Series([len(words_of(t)) for t in texts]), "long")
-    state = state.withColumns({"n_words": count("text"), "n_hit": F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])})
-    state = state.withColumns({"n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256), "contaminated": F.col("n_hit") > 0})
-    if not with_text:
-        return state
-    remove = F.pandas_udf(lambda texts, spans: pd.Series([None if t is None else cut(t, [(s["start"], s["end"]) for s in ss]) if len(ss) else t for t, ss in zip(texts, spans, strict=True)], dtype=object), "string")
-    long = lambda spans: F.filter(spans, lambda s: s["end"] - s["start"] >= least_words)
-    whole = F.col("text").isNotNull() & (F.col("n_hit") <= F.lit(most_coverage) * F.col("n_words"))
-    state = stored(state.withColumn("clean_text", F.when(whole, F.col("text"))).withColumn("todo", F.when(whole, long(F.col("spans"))).otherwise(none["spans"])), "found")
-    while state.filter(F.size("todo") > 0).limit(1).count():
-        state = stored(state.withColumns({"clean_text": remove("clean_text", "todo"), "again": F.size("todo") > 0}), "cut")
-        kept = [c for c in state.columns if c not in ("todo", "again")]
-        turn = state.select(F.struct(*kept).alias("kept"), F.when(F.col("again"), F.col("clean_text")).alias("text"), none["spans"].alias("spans"), none["items"].alias("items"))
-        for group in groups():
-            turn = one_pass(turn, group)
-        state = turn.select("kept.*", long(F.col("spans")).alias("todo"))
-    return state.drop("todo")
+    words_hit = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    dirty = all_hits(box.filter("text is not null"), groups)
+    clean = dirty.select("key", F.lit(None).cast("string").alias("cleaned"))
+    if with_text:
+        remove = F.pandas_udf(lambda texts, spans: pd.Series([cut(t, [(s["start"], s["end"]) for s in ss]) for t, ss in zip(texts, spans, strict=True)], dtype=object), "string")
+        todo = F.filter("spans", lambda s: s["end"] - s["start"] >= least_words)
+        left = dirty.filter(words_hit(F.col("spans")) <= F.lit(most_coverage) * count("text"))
+        turn = stored(left.select("key", "text", todo.alias("todo")), "todo")
+        done = [turn.filter("size(todo) = 0").select("key", F.col("text").alias("cleaned"))]
+        while (turn := turn.filter("size(todo) > 0")).limit(1).count():
+            after = stored(turn.select("key", remove("text", "todo").alias("text")), "cut")
+            again = all_hits(after.select("text"), groups).select(F.col("key").alias("hit"), todo.alias("todo"))
+            turn = stored(after.join(again, F.md5("text") == F.col("hit"), "left").select("key", "text", F.coalesce("todo", F.array().cast(SPANS)).alias("todo")), "todo")
+            done.append(turn.filter("size(todo) = 0").select("key", F.col("text").alias("cleaned")))
+        clean = reduce(DataFrame.union, done)
+    known = stored(dirty.select("key", "spans", "items").join(clean, "key", "left"), "outcome")
+    out = box.join(sized(known, known.count()), F.md5("text") == F.col("key"), "left")
+    spans, items = F.coalesce("spans", F.array().cast(SPANS)), F.coalesce("items", F.array().cast("array<string>"))
+    out = out.select("row", "text", "key", count("text").alias("n_words"), words_hit(spans).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), spans.alias("spans"), "cleaned")
+    out = out.withColumn("contaminated", F.col("n_hit") > 0)
+    return out.withColumn("clean_text", F.when(F.col("key").isNull(), F.col("text")).otherwise(F.col("cleaned"))) if with_text else out
 
 
 def decontaminate(
@@ -307,8 +319,9 @@ def decontaminate(
     ``contaminated``, ``spans`` (start and end in words) and, if with_text,
     ``clean_text`` (the text without spans of least_words words or more; null where more
     than most_coverage of the words are hit, and where the text is null). Columns of docs
-    with these names are replaced; the others stay, whatever their names. Rows stay rows: nothing
-    is shuffled, and texts of any length are taken whole.
+    with these names are replaced; the others stay, whatever their names. Rows stay rows, and texts of any
+    length are taken whole. Nothing is shuffled while the benchmark fits one pass; with more passes texts meet
+    what was found in them by their digest, by a broadcast if it is little.
 
     Null or empty texts have no words and are clean. Items without words have no window.
     A null item id counts as the item id ''; rows that repeat an item id count once in

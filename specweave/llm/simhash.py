@@ -34,6 +34,7 @@ not enough, as pages of one template are, are settled by prefixes of their sets
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -46,6 +47,8 @@ from pyspark.sql import functions as F
 from specweave.llm.common import boxed, components, hot_keys, lookup, quoted, stored, unboxed
 
 SEED = 42
+#: Segments of the longest chain that is tested; the one of all segments is the Hamming distance itself.
+CHAIN = 3
 #: Key rows of a task and of a batch.
 KEY_ROWS, KEY_BATCH = 2_000_000, 200_000
 BANDS, BAND = 20, 6
@@ -164,28 +167,19 @@ def shape(fingerprints: int, max_bits: int) -> tuple[int, int]:
     raise ValueError("max_bits is too large")
 
 
-def in_ring(differs: np.ndarray, segments: int, max_bits: int) -> np.ndarray:
-    """True where, from some segment on, all chains of the different bits keep their proportional budgets."""
-    ones = np.array([np.bitwise_count(differs >> np.uint64(s) & np.uint64((1 << w) - 1)) for s, w in cuts(segments)], dtype=np.int64)
-    budgets = np.arange(1, segments + 1)[:, None] * max_bits
-    viable = np.zeros(len(differs), dtype=bool)
+def in_ring(differs: Column, segments: int, max_bits: int, chain: int = CHAIN) -> Column:
+    """True if, from some segment on, the chains of up to ``chain`` segments keep their proportional budgets."""
+    ones = [F.bit_count(F.shiftrightunsigned(differs, s).bitwiseAND(F.lit((1 << w) - 1))) for s, w in cuts(segments)]
+    viable = F.lit(False)
     for start in range(segments):
-        chains = np.cumsum(np.roll(ones, -start, axis=0), axis=0)
-        viable |= (chains * segments <= budgets).all(axis=0)
+        at = [ones[(start + n) % segments] for n in range(min(chain, segments))]
+        viable = viable | reduce(lambda a, b: a & b, [reduce(lambda a, b: a + b, at[: n + 1]) <= (n + 1) * max_bits // segments for n in range(len(at))])
     return viable
 
 
 def linked(a: Column, b: Column, segments: int, max_bits: int) -> Column:
     """The pigeonring filter, then the full Hamming check."""
-
-    @F.pandas_udf("boolean")
-    def of(x: pd.Series, y: pd.Series) -> pd.Series:
-        differs = x.to_numpy().astype(np.int64).view(np.uint64) ^ y.to_numpy().astype(np.int64).view(np.uint64)
-        left = in_ring(differs, segments, max_bits)
-        left[left] = np.bitwise_count(differs[left]) <= max_bits
-        return pd.Series(left)
-
-    return of(a, b)
+    return in_ring(a.bitwiseXOR(b), segments, max_bits) & (F.bit_count(a.bitwiseXOR(b)) <= max_bits)
 
 
 def ring_rows(prints: DataFrame, sets: list[tuple[int, ...]], segments: int) -> DataFrame:
@@ -242,9 +236,9 @@ def fingerprint_components(prints: DataFrame, max_bits: int = 4, known: DataFram
     keyed = ring_rows(prints.repartition(max(1, -(-rows * len(sets) // KEY_ROWS)), "fp"), sets, segments)
     buckets = stored(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).filter("n > 1").withColumnRenamed("key", "bucket"), "buckets")
     # A bucket of two is settled by comparing both; those of three or more keep all members.
-    shared = keyed.join(buckets, F.col("key") == F.col("bucket")).withColumn("star", (F.col("fp") != F.col("pivot")) & linked(F.col("fp"), F.col("pivot"), segments, max_bits))
-    members = stored(shared.filter("n > 2 or star").select("key", "number", "fp", "n", "pivot", "star"), "members")
-    stars = stored(members.filter("star").select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
+    star = (F.col("fp") != F.col("pivot")) & linked(F.col("fp"), F.col("pivot"), segments, max_bits)
+    members = stored(keyed.join(buckets, (F.col("key") == F.col("bucket")) & ((F.col("n") > 2) | star)).select("key", "number", "fp", "n", "pivot"), "members")
+    stars = stored(members.filter(star).select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     found = components(stars if known is None else stars.union(known.select("a", "b")))
 
     labelled = members.filter("n > 2").select("key", "number", "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("key", "number", "fp", F.coalesce("root", "fp").alias("root"))
@@ -254,9 +248,8 @@ def fingerprint_components(prints: DataFrame, max_bits: int = 4, known: DataFram
     rest = labelled.join(mixed, "key").select("key", "fp", "root", "top", F.explode(outer_pieces("fp", "number", sets, segments, max_bits)).alias("piece"))
     rest = stored(rest, "rest")
     a, b = rest.filter("root <> top").alias("a"), rest.alias("b")
-    apart = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.root") != F.col("b.root")))
-    apart = apart.select(F.col("a.root").alias("a"), F.col("b.root").alias("b"), F.col("a.fp").alias("x"), F.col("b.fp").alias("y"))
-    more = stored(apart.filter(linked(F.col("x"), F.col("y"), segments, max_bits)).select("a", "b").distinct(), "more")
+    more = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.root") != F.col("b.root")) & linked(F.col("a.fp"), F.col("b.fp"), segments, max_bits))
+    more = stored(more.select(F.col("a.root").alias("a"), F.col("b.root").alias("b")).distinct(), "more")
     if more.limit(1).count() == 0:
         return found
     # The components so far are the nodes of the second graph.

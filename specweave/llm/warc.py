@@ -1,9 +1,11 @@
 """WARC archives with revisit resolution.
 
-Only headers (id, URL, payload length and SHA-1) are shuffled, by payload digest. Of the
-responses that share a digest the one of the smallest id stays a response; the others,
-and revisit records of that digest, become revisits that refer to it. Archives are then
-written anew: a record per row with fresh headers, revisits without a payload.
+Headers alone (id, URL, payload length and SHA-1) are shuffled by payload digest, those of digests with
+very many records stay where they are. Of the responses that share a digest the one of the smallest id
+stays a response; the others, and revisit records of that digest, become revisits that refer to it. These
+verdicts come back to the rows by digest and id, so that no task gets all copies of a payload: by a
+broadcast if they are few, else rows move once, as evenly as their ids. Archives are then written anew: a
+record per row with fresh headers, revisits without a payload.
 
 A record ends in two line ends, which are the separator of Spark's text sink; so the
 archives are gzip files written by Spark itself to any store it knows. They are read as whole
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specweave.llm.common import sized, stored
+from specweave.llm.common import BROADCAST_ROWS, hot_keys, sized, stored
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _URN = "urn:specweave:record:"
@@ -58,8 +60,14 @@ def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
     first = headers.filter((F.col("record_type") == "response") & (F.col("payload_bytes") >= least_bytes)).groupBy("payload_digest").agg(F.min("id").alias("first"), F.min_by("uri", "id").alias("first_uri"), F.count("*").alias("n"))
     revisited = headers.filter("record_type = 'revisit'").select(F.col("payload_digest").alias("revisited")).distinct()
     first = first.join(revisited, first["payload_digest"] == revisited["revisited"], "left").filter("first is not null and (n > 1 or revisited is not null)")
-    first = stored(first.select(F.col("payload_digest").alias("__digest"), F.col("first").alias("__first"), F.col("first_uri").alias("__uri")), "first")
-    joined = headers.join(sized(first, first.count()), F.col("payload_digest") == F.col("__digest"), "left")
+    first = stored(first.select(F.col("payload_digest").alias("__digest"), F.col("first").alias("__first"), F.col("first_uri").alias("__uri"), "n"), "first")
+    n_first, hot = first.count(), hot_keys(first, "__digest", headers.count())
+    first, same = first.drop("n"), F.col("payload_digest") == F.col("__digest")
+    if n_first > BROADCAST_ROWS and hot:
+        is_hot = F.coalesce(F.col("payload_digest").isin(hot), F.lit(False))
+        joined = headers.filter(is_hot).join(F.broadcast(first.filter(F.col("__digest").isin(hot))), same, "left").unionByName(headers.filter(~is_hot).join(first.filter(~F.col("__digest").isin(hot)), same, "left"))
+    else:
+        joined = headers.join(sized(first, n_first), same, "left")
     other = F.col("__first").isNotNull() & (F.col("payload_bytes") >= least_bytes) & ~((F.col("record_type") == "response") & F.col("id").eqNullSafe(F.col("__first")))
     return joined.select(
         *[F.col(f"`{c}`") for c in headers.columns if c not in ("record_type", "refers_to")],
@@ -94,11 +102,18 @@ def record(date: str) -> Column:
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", records_per_file: int = 1000) -> None:
     """Write a record per row of pages, deduplicated, to gzip archives in path.
 
-    A null payload is empty, a null URL gives no target. Other columns are not read. An
-    empty table gives an archive without records."""
+    A null payload is empty, a null URL gives no target; payloads of any length are written whole. Rows that repeat an id and
+    a payload have the same verdict. Other columns are not read. An empty table gives an archive without
+    records. Archives are read one by one, a record at a time: where payloads are very long, records_per_file
+    should be less."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("uri"), digest(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"), payload.alias("payload"))
-    resolve(rows, least_bytes).select(record(date).alias("value")).write.option("lineSep", _EOL * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    headers = stored(rows.drop("payload"), "headers")
+    changed = resolve(headers, least_bytes).filter("record_type = 'revisit'").select(F.col("id").alias("__id"), F.col("payload_digest").alias("__of"), "record_type", "refers_to", "refers_to_uri").distinct()
+    changed = stored(changed, "revisits")
+    known = rows.join(sized(changed, changed.count()), F.col("id").eqNullSafe(F.col("__id")) & (F.col("payload_digest") == F.col("__of")), "left")
+    known = known.withColumn("record_type", F.coalesce("record_type", F.lit("response")))
+    known.select(record(date).alias("value")).write.option("lineSep", _EOL * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def parse_archive(stream: io.BufferedIOBase) -> Iterator[tuple]:

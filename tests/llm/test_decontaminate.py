@@ -74,7 +74,7 @@ def test_blocks(spark):
     # So do several passes, with the same texts left.
     all_of = lambda rows: [tuple(r) for r in rows]
     once, often = (run(spark, [*texts, None, ""], items, window=6, block_words=60, pass_words=n, least_words=7) for n in (10**6, 100))
-    assert all_of(once) == all_of(often) and any(r["clean_text"] != t for r, t in zip(once, texts, strict=False))
+    assert all_of(once) == all_of(often) == all_of(run(spark, [*texts, None, ""], items, window=6, block_words=30, pass_words=1, least_words=7)) and any(r["clean_text"] != t for r, t in zip(once, texts, strict=False))
 
 
 def test_clashing_names(spark):
@@ -88,3 +88,16 @@ def test_many_short_items():
     items = [(str(i), [b"w%d" % i, b"v%d" % (i % 7)]) for i in range(30_000)]
     automaton = d.Automaton(items, 10)
     assert automaton.scan([b"w5", b"v5", b"w8", b"v2"])[1] == {"5"}
+
+
+def test_passes_keep_copies_and_clashing_names(spark):
+    """Copies of a contaminated text, and of what a removal leaves, all have the outcome of one pass."""
+    around = " ".join(f"w{i}" for i in range(30))
+    joined = f"{around} one two three four five {ITEM} six seven eight nine ten eleven twelve {around}"
+    rows = [(i, t, 1, "k", 2) for i, t in enumerate([joined] * 4 + [around] * 3 + [f"{around} {ITEM} {around}"] * 2 + [ITEM, None, ""])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int, digest string, spans int")
+    bench = spark.createDataFrame([(1, ITEM), (2, "a b c d e f g h i j k l"), (3, f"x {ITEM} y")], "item_id long, text string")
+    for with_text in (True, False):
+        shown = lambda df: sorted(map(str, df.collect()))
+        once, often = (d.decontaminate(docs, bench, with_text=with_text, block_words=14, pass_words=n) for n in (10**6, 1))
+        assert shown(once) == shown(often) and once.columns == often.columns and once.filter("contaminated").count() == 7

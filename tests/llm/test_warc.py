@@ -58,3 +58,18 @@ def test_broken_archives():
         except ValueError:
             continue
         raise AssertionError(raw)
+
+
+def test_many_repeated_payloads(spark, monkeypatch):
+    """Beyond the bound of broadcasts, with hot digests, the verdicts are the same."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr("specweave.llm.common.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("specweave.llm.common.HOT_ROWS", 3)
+    rows = [(i, f"http://a/{i}", None if i % 3 == 0 else f"page {i % 17}" if i % 3 == 1 else f"own {i}") for i in range(120, 0, -1)] + [(50, "http://b/50", "own 50"), (None, None, "page 1")]
+    first = {}
+    for i, _, h in rows:
+        if i is not None:
+            first[h or ""] = min(i, first.get(h or "", i))
+    got = archive(spark, rows)[1]
+    want = [(None if i is None else str(i), "response" if i is not None and first[h or ""] == i else "revisit", None if i is not None and first[h or ""] == i else str(first[h or ""])) for i, _, h in rows]
+    assert sorted(map(str, ((r["record_id"], r["record_type"], r["refers_to"]) for r in got))) == sorted(map(str, want))
