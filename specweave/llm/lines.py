@@ -1,7 +1,9 @@
 """Line dedup by a tree of line templates, in DataFrame functions only.
 
 A line is parsed at fixed depth: first by its number of tokens, then by its LEADING first
-tokens; tokens with a digit count as the variable field ``<*>``. The lines that reach the
+tokens; tokens with a digit count as the variable field ``<*>``. Where words without a digit vary among the first tokens, a
+line would reach a leaf of its own; so it also goes down the wildcard children, to the leaf of all lines of
+its length with the same LEADING last tokens. The lines that reach the
 same leaf are generalised by place, and a leaf holds as many templates as its lines give:
 
 * The weight of a token in a place of the leaf is the number of documents with a line that
@@ -9,8 +11,9 @@ same leaf are generalised by place, and a leaf holds as many templates as its li
 * A line keeps its tokens of highest weight, ``similar`` percent of them at least and all of
   the last one's weight; its other places become fields. That is the most general template which
   the line is still similar to.
-* Lines of the same template belong together. Templates that hold a word and occur in
-  ``least_docs`` different documents or more are dropped from all texts.
+* Lines of the same template belong together. Templates that occur in ``least_docs`` different documents or more
+  are dropped from all texts, if they are a line as it is (with a word), or keep LEAST_WORDS words: of a few
+  words that stay the same, sentences have too much of their own to count as one template.
 
 A line that recurs as it is, is the template without further fields. A token of a weight below
 least_docs can't be a constant of a template that recurs, so lines with too many of those are
@@ -33,6 +36,8 @@ LEADING = 3
 LEAST_DOCS = 5
 #: Percent of a line's tokens that its template keeps.
 SIMILAR = 70
+#: Words that a template keeps if words of its lines vary.
+LEAST_WORDS = 6
 
 #: A word with a digit, from its start.
 _DIGITS = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
@@ -51,9 +56,10 @@ def has_word(line: Column) -> Column:
 
 
 def hashed(line: Column) -> Column:
-    """(leaf, line) of a masked line; null if it has no word."""
+    """(leaf, back, line) of a masked line, back being the leaf by its last tokens; null if it has no word."""
     spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
-    return F.when(has_word(line), F.struct(F.xxhash64(spaces, F.substring_index(line, " ", LEADING)).alias("leaf"), F.xxhash64(line).alias("line")))
+    back = F.when(spaces >= LEADING, F.xxhash64(spaces, F.substring_index(line, " ", -LEADING), F.lit("back")))
+    return F.when(has_word(line), F.struct(F.xxhash64(spaces, F.substring_index(line, " ", LEADING)).alias("leaf"), back.alias("back"), F.xxhash64(line).alias("line")))
 
 
 def parsed(box: DataFrame) -> DataFrame:
@@ -66,39 +72,44 @@ def parsed(box: DataFrame) -> DataFrame:
 
 
 def general(own: DataFrame, least_docs: int, similar: int) -> DataFrame:
-    """own: the different lines of leaves (``leaf``, ``line``, ``words``, ``n`` documents, and
+    """own: the different lines of leaves (``leaf``, ``line``, ``words`` from the leaf's constant ones on, ``n`` documents, and
     ``total``, the sum of n in the leaf). Returns ``leaf``, ``line`` and ``template`` of those whose
     template may recur."""
     tokens = own.withColumn("tokens", F.split("words", " ")).withColumn("rest", F.expr(f"slice(tokens, {LEADING + 1}, greatest(size(tokens) - {LEADING}, 0))"))
     places = tokens.select("leaf", "line", "n", F.posexplode("rest").alias("place", "token"))
     weights = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("weight")).filter(F.col("weight") >= least_docs)
     weighed = places.join(weights, ["leaf", "place", "token"], "left").groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("place", "token", F.coalesce("weight", F.lit(0)).alias("weight")))).alias("rest"))  # a row for each token of the line
-    head = own.select("leaf", "line", "total", F.substring_index("words", " ", LEADING).alias("head"))
+    head = own.select("leaf", "line", "words", "total", F.substring_index("words", " ", LEADING).alias("head"))
     both = weighed.join(head, ["leaf", "line"])
     need = F.expr(f"({similar} * (size(rest) + {LEADING}) + 99) div 100 - {LEADING}").cast("int")
     least = F.when(need > 0, F.get(F.reverse(F.array_sort(F.transform("rest", lambda t: t["weight"]))), need - 1)).otherwise(F.col("total"))
     both = both.withColumn("least", least).filter(F.col("least") >= least_docs)
     # The outer lambda binds its values once, the inner one is run for each token.
     kept = F.transform(F.array(F.struct("rest", "least")), lambda b: F.transform(b["rest"], lambda t: F.when(t["weight"] >= b["least"], t["token"]).otherwise(FIELD)))[0]
-    return both.select("leaf", "line", F.concat_ws(" ", "head", F.array_join(kept, " ")).alias("template")).filter(has_word(F.col("template")))
+    made = both.select("leaf", "line", "words", F.concat_ws(" ", "head", F.array_join(kept, " ")).alias("template"))
+    n_words = F.size(F.filter(F.split("template", " "), lambda t: t != FIELD))
+    return made.filter((F.col("template") == F.col("words")) | (n_words >= LEAST_WORDS)).drop("words")
 
 
 def recurring(box: DataFrame, lines: DataFrame, least_docs: int = LEAST_DOCS, similar: int = SIMILAR) -> DataFrame:
-    """The lines that are dropped, ``leaf`` and ``line``, each once. lines: `parsed` of box."""
-    pairs = lines.select("row", F.explode(F.coalesce("once", "lines")).alias("l")).filter("l is not null").select("row", "l.leaf", "l.line")
+    """The lines that are dropped, ``line``, each once. lines: `parsed` of box."""
+    pairs = lines.select("row", F.explode(F.coalesce("once", "lines")).alias("l")).filter("l is not null").select("row", "l.line", F.explode(F.array_compact(F.array("l.leaf", "l.back"))).alias("leaf"))
     leaves = pairs.groupBy("leaf").agg(F.count("*").alias("total"), F.min("line").alias("line"), F.max("line").alias("other")).filter(F.col("total") >= least_docs)
     leaves = stored(leaves, "leaves")
-    alone = leaves.filter("line = other").select("leaf", "line")
+    alone = leaves.filter("line = other").select("line")
     mixed = leaves.filter("line <> other").select("leaf", "total")
-    texts = box.select(F.explode(F.array_distinct(masked(F.coalesce("text", F.lit(""))))).alias("words")).select("words", hashed(F.col("words")).alias("l")).select("words", "l.leaf", "l.line")
-    found = texts.join(sized(mixed, mixed.count()), "leaf").groupBy("leaf", "line").agg(F.any_value("words").alias("words"), F.count("*").alias("n"), F.any_value("total").alias("total"))
+    texts = box.select(F.explode(F.array_distinct(masked(F.coalesce("text", F.lit(""))))).alias("words")).select("words", hashed(F.col("words")).alias("l")).filter("l is not null")
+    both = F.array(F.struct(F.col("l.leaf").alias("leaf"), F.lit(False).alias("turned")), F.struct(F.col("l.back").alias("leaf"), F.lit(True).alias("turned")))
+    texts = texts.select("words", "l.line", F.explode(both).alias("of")).select("words", "line", "of.leaf", "of.turned")
+    found = texts.join(sized(mixed, mixed.count()), "leaf").groupBy("leaf", "line").agg(F.any_value("words").alias("words"), F.any_value("turned").alias("turned"), F.count("*").alias("n"), F.any_value("total").alias("total"))
+    found = found.withColumn("words", F.when(F.col("turned"), F.array_join(F.reverse(F.split("words", " ")), " ")).otherwise(F.col("words"))).drop("turned")
     templates = stored(general(stored(found, "mixed"), least_docs, similar), "templates")
     # A document counts once for a template, whatever number of different lines it has of it.
     name = F.xxhash64("template").alias("template")
     known = templates.select("leaf", "line", name)
     once = pairs.join(sized(known, known.count()), ["leaf", "line"]).select("leaf", "template", "row").distinct()
     enough = once.groupBy("leaf", "template").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= least_docs)
-    return known.join(enough, ["leaf", "template"]).select("leaf", "line").union(alone)
+    return known.join(enough, ["leaf", "template"]).select("line").union(alone).distinct()
 
 
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text", id_col: str | None = None, least_docs: int = LEAST_DOCS, similar: int = SIMILAR) -> DataFrame:
@@ -119,8 +130,8 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", id_col: str |
     box = boxed(docs, tuple(kept), text=quoted(text_col), **keys)
     lines = parsed(box.select("text", "k1", "k2"))
     gone = stored(recurring(box.select("text"), lines, least_docs, similar), "recurring")
-    at = lines.select("k1", "k2", F.posexplode("lines").alias("place", "l")).filter("l is not null").select("k1", "k2", "place", "l.leaf", "l.line")
-    hits = at.join(sized(gone, gone.count()), ["leaf", "line"]).groupBy("k1", "k2").agg(F.collect_set("place").alias("gone"))
+    at = lines.select("k1", "k2", F.posexplode("lines").alias("place", "l")).filter("l is not null").select("k1", "k2", "place", "l.line")
+    hits = at.join(sized(gone, gone.count()), "line").groupBy("k1", "k2").agg(F.collect_set("place").alias("gone"))
     # The texts go to their hits by a shuffle at any size.
     out = box.join(stored(hits, "hits").hint("merge"), ["k1", "k2"], "left")
     own_lines = F.split("text", "\n")

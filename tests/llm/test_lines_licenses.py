@@ -15,24 +15,25 @@ def brute_lines(texts, least_docs, similar=lines.SIMILAR):
     """The definition, line by line: the most general similar template, in enough documents."""
     parse = lambda line: tuple("<*>" if re.search("[0-9]", t) else t for t in re.findall(r"[^\x20\x09-\x0D]+", line))
     own = [{p for p in map(parse, (t or "").split("\n")) if set(p) - {"<*>"}} for t in texts]
-    n = Counter(p for lines_of in own for p in lines_of)
-    weight = Counter()
-    for p, k in n.items():
-        leaf = len(p), p[: lines.LEADING]
-        weight[leaf] += k
-        for place, token in enumerate(p[lines.LEADING :]):
-            weight[leaf, place, token] += k
-    template, docs = {}, defaultdict(set)
-    for p in n:
-        leaf = len(p), p[: lines.LEADING]
-        weights = [weight[leaf]] * len(leaf[1]) + [weight[leaf, place, token] for place, token in enumerate(p[lines.LEADING :])]
-        least = sorted(weights, reverse=True)[-(-similar * len(p) // 100) - 1]
-        general = tuple(t if w >= least else "<*>" for t, w in zip(p, weights, strict=True))
-        template[p] = (leaf, general) if set(general) - {"<*>"} else None
-    for d, lines_of in enumerate(own):
-        for p in lines_of:
-            docs[template[p]].add(d)
-    gone = {p for p in n if template[p] and len(docs[template[p]]) >= least_docs}
+    n, gone = Counter(p for lines_of in own for p in lines_of), set()
+    for turn in (lambda p: p, lambda p: p[::-1]):  # by the first tokens, then by the last ones
+        weight = Counter()
+        for p, k in n.items():
+            leaf = len(p), turn(p)[: lines.LEADING]
+            weight[leaf] += k
+            for place, token in enumerate(turn(p)[lines.LEADING :]):
+                weight[leaf, place, token] += k
+        template, docs = {}, defaultdict(set)
+        for p in n:
+            leaf = len(p), turn(p)[: lines.LEADING]
+            weights = [weight[leaf]] * len(leaf[1]) + [weight[leaf, place, token] for place, token in enumerate(turn(p)[lines.LEADING :])]
+            least = sorted(weights, reverse=True)[-(-similar * len(p) // 100) - 1]
+            general = tuple(t if w >= least else "<*>" for t, w in zip(turn(p), weights, strict=True))
+            template[p] = (leaf, general) if general == turn(p) or sum(t != "<*>" for t in general) >= lines.LEAST_WORDS else None
+        for d, lines_of in enumerate(own):
+            for p in lines_of:
+                docs[template[p]].add(d)
+        gone |= {p for p in n if template[p] and len(docs[template[p]]) >= least_docs}
     return ["\n".join(x for x in (t or "").split("\n") if parse(x) not in gone) if t is not None else None for t in texts]
 
 
@@ -56,6 +57,17 @@ def test_several_templates_a_leaf(spark):
     assert {r["clean_text"] for r in lines.drop_recurring_lines(values).collect()} == {""}
 
 
+def test_words_that_vary_at_the_start(spark):
+    """A name among the first tokens is a field like any other; sentences that share a few words stay."""
+    going = [f"order for {w} was sent to the customer today" for w in NAMES] + [f"{w} wrote this post on our site" for w in NAMES]
+    staying = [f"I like the {w}" for w in "sun moon rain snow wind".split()] + [f"I like the {w} here" for w in "sun moon rain snow wind".split()] + [f"{w} was not at home today" for w in NAMES]
+    texts = [f"text {a} is own {a}{b}\n{x}" for a, b, x in zip("qwertyuiopasdfghjklzxcvbnm", "mnbvcxzlkjhgfdsapoiuytrewq", going + staying, strict=False)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["clean_text"] for r in lines.drop_recurring_lines(docs, id_col="doc_id").collect()}
+    assert [got[i] for i in range(10)] == [t.split("\n")[0] for t in texts[:10]] and [got[i] for i in range(10, len(texts))] == texts[10:]
+    assert [got[i] for i in sorted(got)] == brute_lines(texts, lines.LEAST_DOCS)
+
+
 def test_odd_lines(spark):
     """Short lines, numbers, blank lines, very long texts, repeated rows and ids."""
     long = "\n".join(f"line {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} of the long text {'x' * (i % 7)}" for i in range(30_000)) + "\nshort\n" + "word " * 20_000
