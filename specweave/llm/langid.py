@@ -62,6 +62,7 @@ class Model:
     idf: np.ndarray
     weights: np.ndarray
     temperature: float
+    calibration_error: float = 0.0
 
 
 def grams(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,26 +214,49 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     held = rows.filter("nth % 5 = 0").collect()  # a fifth of the bounded sample
     logits = np.array([weights[:, i] @ x for i, x in (with_bias(np.array(r["idx"]), np.array(r["tf"]), idf) for r in held)]).reshape(len(held), len(langs))
-    return Model(langs, idf, weights, temperature(logits, np.array([number[r["lang"]] for r in held], dtype=int)))
+    classes = np.array([number[r["lang"]] for r in held], dtype=int)
+    t = temperature(logits, classes)
+    return Model(langs, idf, weights, t, calibration_error(softmax(logits / t), classes) if len(held) else 0.0)
+
+
+#: The search of the temperature ends at one hundredth and at one hundred.
+WIDEST = 100.0
 
 
 def temperature(logits: np.ndarray, classes: np.ndarray) -> float:
-    """The temperature of the least negative log-likelihood, by golden section between
-    1/5 and 5 on a logarithmic scale; 1 without rows."""
-    if not len(logits):
+    """The temperature of the least negative log-likelihood, by golden section on a logarithmic scale;
+    1 without rows or with one class.
+
+    Of n rows none says that a class is certain: the own class counts (n + 1) / (n + 2), the others share the
+    rest, as in Platt scaling. So there is a best temperature also where all rows are told apart,
+    for which the likelihood alone would have scores of 1."""
+    n, k = logits.shape
+    if not n or k < 2:
         return 1.0
+    own = (n + 1) / (n + 2)
 
     def loss(t: float) -> float:
-        p = softmax(logits / math.exp(t))
-        return -float(np.log(np.maximum(p[np.arange(len(p)), classes], 1e-300)).mean())
-
-    low, high, g = -math.log(5), math.log(5), (math.sqrt(5) - 1) / 2
-    for _ in range(60):
+        scaled = logits / math.exp(t)
+        top = scaled.max(axis=1, keepdims=True)
+        logs = scaled - top - np.log(np.exp(scaled - top).sum(axis=1, keepdims=True))
+        true = logs[np.arange(n), classes]
+        return -float((own * true + (1 - own) / (k - 1) * (logs.sum(axis=1) - true)).mean())
+
+    low, high, g = -math.log(WIDEST), math.log(WIDEST), (math.sqrt(5) - 1) / 2
+    for _ in range(80):
         a, b = high - g * (high - low), low + g * (high - low)
         low, high = (low, b) if loss(a) <= loss(b) else (a, high)
     return math.exp((low + high) / 2)
 
 
+def calibration_error(p: np.ndarray, classes: np.ndarray, bins: int = 10) -> float:
+    """The expected calibration error: by bins of the highest probability, how far the share of right answers
+    is from its mean, weighed by rows."""
+    top, right = p.max(axis=1), p.argmax(axis=1) == classes
+    at = np.minimum((top * bins).astype(int), bins - 1)
+    return float(sum(abs(right[at == b].mean() - top[at == b].mean()) * (at == b).mean() for b in np.unique(at)))
+
+
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with ``lang_pred`` and ``score``, the calibrated probability of that language.
 

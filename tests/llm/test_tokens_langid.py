@@ -2,6 +2,9 @@
 
 import math
 import random
+import re
+import unicodedata
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -61,6 +64,66 @@ def test_temperature():
     assert langid.temperature(np.zeros((0, 3)), np.zeros(0, dtype=int)) == 1.0
 
 
+def test_temperature_of_separable_rows():
+    """Where every row is told apart the temperature is still inside the search, and scores stay below 1."""
+    for size in (10, 1000):
+        classes = np.arange(size) % 4
+        logits = np.eye(4)[classes] * 9 + np.random.default_rng(1).random((size, 4))
+        t = langid.temperature(logits, classes)
+        assert 2 / langid.WIDEST < t < langid.WIDEST / 2
+        mean = langid.softmax(logits / t)[np.arange(size), classes].mean()
+        assert abs(mean - (size + 1) / (size + 2)) < 0.01
+    assert langid.calibration_error(np.array([[0.9, 0.1]] * 10), np.array([0] * 9 + [1])) < 1e-9
+    assert abs(langid.calibration_error(np.array([[0.9, 0.1]] * 10), np.array([1] * 10)) - 0.9) < 1e-9
+
+
+def brute_grams(text, bits):
+    """Hashes of the n-grams of the words of letters, each by itself."""
+    words = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower())
+    words = [w.lstrip("".join(c for c in set(w) if unicodedata.category(c)[0] == "M")) for w in words.split()]
+    words = [w for w in words if w]
+    line = f" {' '.join(words)} " if words else ""
+    out, full = Counter(), 2**64
+    for n in range(1, langid.MAX_GRAM + 1):
+        for at in range(len(line) - n + 1):
+            key = sum(ord(c) * int(m) for c, m in zip(line[at : at + n], langid._MULTIPLIERS, strict=False)) % full
+            mixed = (key + n * langid._BY_LENGTH) % full
+            out[(mixed ^ mixed >> 31) * int(langid._MIX) % full >> 64 - bits] += 1
+    return out
+
+
+def test_text_to_score(spark):
+    """Document frequencies, TF-IDF, logits and scores by plain loops, on all documents of the smallest table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    out, settings = langid.held_out(F.col("doc_id")), langid.Settings(bits=12, rounds=1)
+    model = langid.train(docs.filter(~out), settings=settings)
+    bits = (model.weights.shape[1] - 1).bit_length() - 1
+    learned = [brute_grams(r["text"], bits) for r in docs.filter(~out & F.col("lang").isNotNull()).collect()]
+    df, total = Counter(f for g in learned for f in g), sum(map(bool, learned))
+    assert all(abs(model.idf[f] - (math.log((1 + total) / (1 + df[f])) + 1)) < 1e-9 for f in range(1 << bits))
+    for r in langid.predict(docs, model).collect():
+        own = brute_grams(r["text"], bits)
+        x = {f: (1 + math.log(n)) * model.idf[f] for f, n in own.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        if not own:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        logits = [(sum(float(w[f]) * v / norm for f, v in x.items()) + float(w[-1])) / model.temperature for w in model.weights]
+        p = [math.exp(v - max(logits)) for v in logits]
+        best = max(range(len(p)), key=lambda k: p[k])
+        assert r["lang_pred"] == model.langs[best] and abs(r["score"] - p[best] / sum(p)) < 1e-4
+
+
+def test_calibration_on_the_held_out_fold(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    out = langid.held_out(F.col("doc_id"))
+    model = langid.train(docs.filter(~out))
+    assert 2 / langid.WIDEST < model.temperature < langid.WIDEST / 2 and model.calibration_error < 0.02
+    rows = [r for r in langid.predict(docs.filter(out & F.col("lang").isNotNull()), model).collect() if r["lang_pred"] != "und"]
+    top = np.array([[r["score"], 0.0] for r in rows])
+    assert langid.calibration_error(top, np.array([int(r["lang"] != r["lang_pred"]) for r in rows])) < 0.02
+
+
 def test_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     out = langid.held_out(F.col("doc_id"))
