@@ -24,14 +24,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from specweave.llm.common import BROADCAST_ROW_BYTES, BROADCAST_ROWS, quoted, stored
 
-#: Terms: runs of ASCII letters, digits and everything beyond ASCII.
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Bytes of UTF-8: A-Z as a-z, what is in no term as a blank.
+#: Terms are runs of ASCII letters, digits and everything beyond ASCII. Bytes of UTF-8: A-Z as
+#: a-z, what is in no term as a blank.
 _TABLE = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
 #: A shard is closed at so many terms or documents; a document is never cut.
@@ -44,20 +43,37 @@ PIECE = 1 << 20
 PARTS = 64
 
 
-def term_counts(text: str | None) -> Counter[bytes]:
-    """The terms of a whole text with their occurrences; null has none."""
-    raw, counts, at = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE), Counter(), 0
+def pieces(text: str | None) -> Iterator[list[bytes]]:
+    """The terms of a whole text, some at a time; null has none."""
+    raw, at = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE), 0
     while at < len(raw):
         end = raw.find(b" ", at + PIECE)
         end = len(raw) if end < 0 else end
-        counts.update(raw[at:end].split())
+        yield raw[at:end].split()
         at = end
+
+
+def term_counts(text: str | None) -> Counter[bytes]:
+    """The terms of a whole text with their occurrences."""
+    counts: Counter[bytes] = Counter()
+    for terms in pieces(text):
+        counts.update(terms)
     return counts
 
 
-def n_terms(text: Column) -> Column:
-    """Number of terms of a text; null has none."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TERM)).cast("long")
+def totals(docs: DataFrame) -> tuple[int, int]:
+    """Documents with a term, and all terms of all documents; a task returns one row."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_docs = total = 0
+        for batch in batches:
+            for text in batch.column("text"):
+                n = sum(map(len, pieces(text.as_py())))
+                n_docs, total = n_docs + (n > 0), total + n
+        yield pa.RecordBatch.from_arrays([pa.array([n_docs]), pa.array([total])], names=["n_docs", "total"])
+
+    row = docs.select("text").mapInArrow(count, "n_docs long, total long").agg(F.sum("n_docs").alias("n_docs"), F.sum("total").alias("total")).first()
+    return row["n_docs"] or 0, row["total"] or 0
 
 
 #: The weight of a term, by ``n_docs`` and ``df``.
@@ -105,8 +121,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
     """The index of every document, of its whole text. Ids are whole numbers or null; documents
     without terms, null texts among them, are in no shard. Other columns are not read."""
     own = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
-    counted = own.select(n_terms(F.col("text")).alias("n")).agg(F.count_if(F.col("n") > 0).alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
-    n_docs, total = counted["n_docs"], counted["total"]
+    n_docs, total = totals(own)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held, size = [], [], 0
