@@ -86,7 +86,7 @@ class Trie:
 def token_counts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
     """docs with ``n_pretokens`` and ``n_tokens`` of the whole text.
 
-    A null or empty text has none. Rows stay rows; columns of these names are replaced, all
+    A null or empty text has none; a text of any length is taken whole, one at a time. Rows stay rows; columns of these names are replaced, all
     others stay, whatever their names. Of splits of equal score the one of fewer pieces counts.
     An empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)

@@ -3,12 +3,13 @@
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from specweave.llm import decontaminate
 from specweave.llm.common import stored
 from tests.llm.test_decontaminate import brute as brute_windows
-from tests.llm.test_quality_mixing_sharding import brute_measures
+from tests.llm.test_quality_mixing_sharding import brute_measures, plain_greedy
 from tests.llm.test_simhash import brute_fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -84,6 +85,38 @@ def test_mix_and_shards(results):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(slots) < corpus_pipeline.SHARDS
 
 
+def test_mix_by_sql(results):
+    """The copies of each document are those that op9's SQL takes of what the stage was given."""
+    import duckdb
+
+    from specweave.llm.queries import OP9_SQL
+
+    documents = results[3].toArrow()
+    db = duckdb.connect()
+    db.register("documents", documents)
+    taken = {row[0]: row for row in db.sql(f"SELECT doc_id, taken, size FROM ({OP9_SQL})").fetchall()}
+    copies = Counter(r["doc_id"] for r in results[4].collect())
+    assert {i: copies[i] * size for i, _, size in taken.values()} == {i: t for i, t, _ in taken.values()}
+
+
+def test_shards_by_plain_greedy(results):
+    """Each copy lies in a shard of its group by the plain placement of what the stage was given."""
+    rows = results[4].select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("g")).collect()
+    at = plain_greedy([(r["g"], r["text"] or "") for r in rows], corpus_pipeline.SHARDS)
+    got = results[5].select("shard", F.xxhash64(F.coalesce("text", F.lit(""))).alias("g")).collect()
+    assert len(got) == len(rows) and all(r["shard"] in at[r["g"]] for r in got)
+
+
+def test_very_long_text(spark):
+    """A text of a quarter of a million words goes through all stages whole."""
+    long = " ".join(f"long{i}x{i % 7}" for i in range(250_000))
+    docs = spark.createDataFrame([(1, long, "en", "a", len(long)), *[(i, " ".join(f"d{i}w{k}" for k in range(40)), "en", "a", 200) for i in range(2, 12)]], "doc_id long, text string, lang string, source string, n_chars long")
+    out = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stored(stage(spark, out, SF), name)
+    assert {r["text"] for r in out.filter("doc_id = 1").collect()} <= {long} and out.filter("doc_id > 1").count() >= 10
+
+
 def test_odd_rows(spark):
     """Nulls in every column, repeated rows, extra columns and empty tables go through all stages."""
     text = " ".join(f"word{i}" for i in range(50))

@@ -154,40 +154,69 @@ def cut_to_five_bits(n):
     return f"{n >> drop} {drop}"
 
 
+def plain_greedy(rows, shards):
+    """rows: (hash of the text, text). The shards of each group by plain greedy placement, group by group."""
+    groups = {}
+    for g, text in rows:
+        size, tokens, n = groups.get(g, (0, 0, 0))
+        groups[g] = size + len(text.encode()) + 8, tokens + len(re.findall(r"[^\x20\x09-\x0D]+", text)), n + 1
+    fair = sum(v[0] for v in groups.values()) / shards
+    units = defaultdict(list)
+    for g, (size, tokens, n) in groups.items():
+        if size <= 1.25 * fair:
+            units[f"{cut_to_five_bits(size)} {cut_to_five_bits(n)} {tokens * 32 // size}"].append(g)
+    capacity = np.array([sum(v[d] for v in groups.values()) for d in range(3)]) / shards
+    giants = sorted(g for g in groups if groups[g][0] > 1.25 * fair)
+    means = [(np.array(groups[g]) / -(-groups[g][0] // fair) / capacity, [g] * int(-(-groups[g][0] // fair))) for g in giants]
+    means += [(np.array([groups[g] for g in units[c]]).sum(axis=0) / len(units[c]) / capacity, sorted(units[c])) for c in sorted(units)]
+    left, at = np.ones((shards, 3)), {}
+    for v, members in sorted(means, key=lambda x: -x[0].max()):
+        counts = np.zeros(shards, dtype=int)
+        for _ in members:
+            residual = left - counts[:, None] * v
+            fits = [s for s in range(shards) if (residual[s] >= v - 1e-12).all()]
+            s = max(fits, key=lambda s: (residual[s] @ v, -s)) if fits else max(range(shards), key=lambda s: ((residual[s] - v).min(), -s))
+            counts[s] += 1
+        left -= counts[:, None] * v
+        # The members of a class go by their order, shard after shard.
+        for g, s in zip(members, np.repeat(np.arange(shards), counts), strict=True):
+            at.setdefault(g, []).append(int(s))
+    return at
+
+
 def test_greedy(spark):
     """Plain greedy placement, group by group, gives every document the same shard."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("g")).collect()
     for shards in (3, 24):
-        groups = {}
-        for r in rows:
-            size, tokens, n = groups.get(r["g"], (0, 0, 0))
-            groups[r["g"]] = size + len(r["text"].encode()) + 8, tokens + len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])), n + 1
-        fair = sum(v[0] for v in groups.values()) / shards
-        units = defaultdict(list)
-        for g, (size, tokens, n) in groups.items():
-            if size <= 1.25 * fair:
-                units[f"{cut_to_five_bits(size)} {cut_to_five_bits(n)} {tokens * 32 // size}"].append(g)
-        capacity = np.array([sum(v[d] for v in groups.values()) for d in range(3)]) / shards
-        giants = sorted(g for g in groups if groups[g][0] > 1.25 * fair)
-        means = [(np.array(groups[g]) / -(-groups[g][0] // fair) / capacity, [g] * int(-(-groups[g][0] // fair))) for g in giants]
-        means += [(np.array([groups[g] for g in units[c]]).sum(axis=0) / len(units[c]) / capacity, sorted(units[c])) for c in sorted(units)]
-        load, at = np.zeros((shards, 3)), {}
-        for v, members in sorted(means, key=lambda x: -x[0].max()):
-            counts = np.zeros(shards, dtype=int)
-            for g in members:
-                residual = 1 - load - counts[:, None] * v
-                fits = [s for s in range(shards) if (residual[s] >= v - 1e-12).all()]
-                s = max(fits, key=lambda s: (residual[s] @ v, -s)) if fits else max(range(shards), key=lambda s: ((residual[s] - v).min(), -s))
-                counts[s] += 1
-            load += counts[:, None] * v
-            # The members of a class go by their order, shard after shard.
-            for g, s in zip(members, np.repeat(np.arange(shards), counts), strict=True):
-                at.setdefault(g, []).append(int(s))
+        at = plain_greedy([(r["g"], r["text"]) for r in rows], shards)
         got = {r["doc_id"]: r["shard"] for r in sharding.pack(docs, shards=shards).collect()}
         assert all(got[r["doc_id"]] in at[r["g"]] for r in rows)
 
 
+def test_very_long_texts(spark):
+    """A text of a million words among short ones is measured, mixed and placed whole."""
+    long = " ".join(f"w{i % 99_991}" for i in range(1_000_000))
+    rows = [(1, long, "a"), *[(i, f"some words of text {i}", "b") for i in range(2, 40)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = {r["doc_id"]: r for r in mixing.mix(docs, mixing.cyclic_weights(docs)).collect()}
+    assert mixed[1]["size"] == 1_000_000 and mixed[1]["taken"] in (0, 1_000_000, 2_000_000)
+    packed = {r["doc_id"]: r for r in sharding.pack(docs.drop("source"), shards=3).collect()}
+    assert packed[1]["size"] == len(long) + 8 and packed[1]["tokens"] == 1_000_000 and [i for i in packed if packed[i]["shard"] == packed[1]["shard"]] == [1]
+
+
+def test_ties_with_the_fence(spark):
+    """Documents at their group's fence stay, those above go, and equal rows have equal verdicts."""
+    base = [f"u{i}x{k}" for i in range(1) for k in range(1000)]
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(1000))) for i in range(60)]
+    rows += [(100 + n, " ".join("#" * (k < n) + w for k, w in enumerate(base))) for n in range(1, 9) for _ in range(2)]
+    docs = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    fence = quality.fences(quality.stored(quality.measures(docs), "m")).first()["fence_symbols"]
+    got = quality.quality(docs).collect()
+    assert 4 <= fence < 5
+    assert all(r["kept"] == (r["n_symbols"] <= fence) for r in got) and {r["kept"] for r in got if r["doc_id"] > 99} == {True, False}
+
+
 def test_pack(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice(["ab", "cde", "f"]) for _ in range(rng.randint(0, 40)))) for i in range(1500)] + [(2000 + i, "same text") for i in range(20)] + [(None, None), (1, "again"), (1, "again")]
