@@ -99,22 +99,34 @@ class Index:
     total: int
 
 
-def _shard(ids: list, docs: list[Counter], n_docs: int, total: int) -> pa.RecordBatch:
-    """The row of some documents."""
-    places: dict[bytes, int] = {}
-    of = np.array([places.setdefault(t, len(places)) for d in docs for t in d], dtype=np.int64)
-    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    tf = np.array([n for d in docs for n in d.values()], dtype=np.int64)
-    length = np.array([sum(d.values()) for d in docs], dtype=np.int64)
-    order = np.argsort(of, kind="stable")
-    impacts = impact(tf, length[doc], n_docs, total)[order]
-    ints = pa.list_(pa.int32())
-    row = [
-        pa.array([ids], pa.list_(pa.int64())),
-        pa.array([[t.decode("utf-8", "replace") for t in places]], pa.list_(pa.string())),
-        *[pa.array([a.astype(np.int32)], ints) for a in (np.bincount(of, minlength=len(places)), doc[order], impacts)],
-    ]
-    return pa.RecordBatch.from_arrays(row, names=["ids", "terms", "counts", "docs", "impacts"])
+class _Shard:
+    """A shard in the making: ids, and of each document the places of its terms and their occurrences."""
+
+    def __init__(self) -> None:
+        self.ids: list[int | None] = []
+        self.places: dict[bytes, int] = {}
+        self.terms: list[np.ndarray] = []
+        self.tf: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, id_: int | None, counts: Counter[bytes]) -> None:
+        self.ids.append(id_)
+        self.terms.append(np.fromiter((self.places.setdefault(t, len(self.places)) for t in counts), np.int32, len(counts)))
+        self.tf.append(np.fromiter(counts.values(), np.int64, len(counts)))
+        self.size += len(counts)
+
+    def full(self) -> bool:
+        return self.size >= SHARD_TERMS or len(self.ids) >= SHARD_DOCS
+
+    def row(self, n_docs: int, total: int) -> pa.RecordBatch:
+        doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), [len(t) for t in self.terms])
+        length, of = np.array([t.sum() for t in self.tf], dtype=np.int64), np.concatenate(self.terms)
+        order = np.argsort(of, kind="stable")
+        impacts = impact(np.concatenate(self.tf), length[doc], n_docs, total)[order].astype(np.int32)
+        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        terms = pa.array([t.decode("utf-8", "replace") for t in self.places], pa.string())
+        lists = [pa.array(self.ids, pa.int64()), terms, *map(pa.array, (np.bincount(of, minlength=len(self.places)).astype(np.int32), doc[order], impacts))]
+        return pa.RecordBatch.from_arrays([one(a) for a in lists], names=["ids", "terms", "counts", "docs", "impacts"])
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
@@ -124,19 +136,16 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
     n_docs, total = totals(own)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, size = [], [], 0
+        shard = _Shard()
         for batch in batches:
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                counts = term_counts(text.as_py())
-                if counts:
-                    ids.append(i)
-                    held.append(counts)
-                    size += len(counts)
-                if size >= SHARD_TERMS or len(ids) >= SHARD_DOCS:
-                    yield _shard(ids, held, n_docs, total)
-                    ids, held, size = [], [], 0
-        if ids:
-            yield _shard(ids, held, n_docs, total)
+                if counts := term_counts(text.as_py()):
+                    shard.add(i, counts)
+                if shard.full():
+                    yield shard.row(n_docs, total)
+                    shard = _Shard()
+        if shard.ids:
+            yield shard.row(n_docs, total)
 
     table = own.mapInArrow(shards, "ids array<long>, terms array<string>, counts array<int>, docs array<int>, impacts array<int>")
     return Index(stored(table, "shards"), n_docs, total)
