@@ -33,6 +33,7 @@ not enough, as pages of one template are, are settled by prefixes of their sets
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import accumulate, combinations
@@ -54,8 +55,14 @@ KEY_ROWS, KEY_BATCH = 2_000_000, 200_000
 BANDS, BAND = 20, 6
 #: Lowest bits of 64 minimum hashes: of pairs at 0.8, about 6 differ; over 18 in none to speak of.
 SKETCH_BITS = 18
+#: Minimum hashes of a wide sketch, made only of sets whose buckets the pivots leave in several
+#: components. Of pairs at a similarity j, (1 - j) / 2 of their lowest bits differ on average.
+WIDE = 2048
+WIDE_FACTORS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Members of a bucket of sets that all others are compared with first.
+PIVOTS = 4
 #: Members outside a bucket's top component that are compared with all its members.
-DENSE = 64
+DENSE = 256
 #: Odd factors, one a minimum hash.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -291,6 +298,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
+def wide_sketch(own: Column) -> Column:
+    """The lowest bits of WIDE minimum hashes of a set, as longs."""
+
+    @F.pandas_udf("array<long>")
+    def of(sets: pd.Series) -> pd.Series:
+        out = []
+        for hashes in sets:
+            h = np.asarray(hashes).astype(np.int64).view(np.uint64)
+            least = np.full(WIDE, np.iinfo(np.uint64).max, dtype=np.uint64)
+            for i in range(0, len(h), 256):
+                least = np.minimum(least, np.multiply.outer(h[i : i + 256], WIDE_FACTORS).min(axis=0))
+            out.append(np.packbits(((least >> np.uint64(17)) & np.uint64(1)).astype(np.uint8)).view("<i8"))
+        return pd.Series(out, dtype=object)
+
+    return of(own)
+
+
 def own_sets(wanted: DataFrame, texts: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
     """wanted (different ``shingles``) with ``own``, the hashes themselves. texts has ``at`` (text hash and id) and
     ``text``; sets names one row for each set, so that of many copies one is read."""
@@ -298,9 +322,8 @@ def own_sets(wanted: DataFrame, texts: DataFrame, sets: DataFrame, shingle: int)
     return stored(found.select("shingles", shingle_set(F.col("text"), shingle).alias("own")), "shingle_sets")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """The rows ``a``, ``b`` of pairs (digests of sets) whose Jaccard similarity reaches percent."""
-    own = own_sets(pairs.select(F.explode(F.array("a", "b")).alias("shingles")).distinct(), texts, sets, shingle)
     x, y = own.select(F.col("shingles").alias("a"), F.col("own").alias("x")), own.select(F.col("shingles").alias("b"), F.col("own").alias("y"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
     return stored(both.filter(F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * percent).select("a", "b"), "confirmed")
@@ -312,15 +335,23 @@ def _near(a: str, b: str, percent: int) -> Column:
     return sizes & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= SKETCH_BITS)
 
 
+def wide_bits(percent: int) -> int:
+    """Differing bits of wide sketches up to which pairs are verified: those that pairs at percent have, and
+    four and a half standard deviations."""
+    share = (100 - percent) / 200
+    return math.ceil(WIDE * share + 4.5 * math.sqrt(WIDE * share * (1 - share)))
+
+
 def apart_pairs(rest: DataFrame, prefixes: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs ``a``, ``b`` of sets in the same bucket (``key``) and of different components, one of
-    them outside the top component. Without prefixes all such pairs; with them those that share
-    a ``token`` of both prefixes."""
+    """Pairs ``a``, ``b`` of sets in the same bucket (``key``), of different components, one of
+    them outside the top component, and alike by their wide sketches. Without prefixes all such pairs; with them
+    those that share a ``token`` of both prefixes."""
     rows, on = (rest, ["key"]) if prefixes is None else (prefixes, ["key", "token"])
-    x = rows.filter("root <> top").select(*on, F.col("m").alias("v"), F.col("root").alias("r"))
-    y = rows.select(*[F.col(c).alias(f"{c}_") for c in on], F.col("m").alias("w"), "root")
+    x = rows.filter("root <> top").select(*on, F.col("m").alias("v"), F.col("root").alias("r"), F.col("wide").alias("s"))
+    y = rows.select(*[F.col(c).alias(f"{c}_") for c in on], F.col("m").alias("w"), "root", F.col("wide").alias("t"))
     same = F.expr(" and ".join(f"{c} = {c}_" for c in on))
-    found = x.join(y, same & (F.col("r") != F.col("root")) & _near("v", "w", percent))
+    far = reduce(lambda a, b: a + b, [F.bit_count(F.col("s")[i].bitwiseXOR(F.col("t")[i])) for i in range(WIDE // 64)])
+    found = x.join(y, same & (F.col("r") != F.col("root")) & _near("v", "w", percent) & (far <= wide_bits(percent)))
     return found.select(F.least("v.shingles", "w.shingles").alias("a"), F.greatest("v.shingles", "w.shingles").alias("b")).distinct()  # a pair may come both ways round
 
 
@@ -328,26 +359,32 @@ def prefixes_of(rest: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """A row for each member of a bucket and each ``token`` of its prefix. In the order of their frequency in the
     bucket, two sets of the similarity share one of their first tokens: of the n of a set, the first n - ceil(n
     * percent / 100) + 1. What very many members share, as pages of one template do, comes last and leads to no pairs."""
-    tokens = rest.join(own.select(F.col("shingles").alias("set"), "own"), F.col("m.shingles") == F.col("set")).select("key", "m", "root", "top", F.explode("own").alias("token"))
+    tokens = rest.select("key", "m").join(own.select(F.col("shingles").alias("set"), "own"), F.col("m.shingles") == F.col("set")).select("key", "m", F.explode("own").alias("token"))
     counted = tokens.withColumn("n", F.count("*").over(Window.partitionBy("key", "token")))
     placed = counted.withColumn("place", F.row_number().over(Window.partitionBy("key", "m").orderBy("n", "token")))
     first = F.col("m.size") - F.ceil(F.col("m.size") * percent / 100) + 1
-    return stored(placed.filter(F.col("place") <= first).select("key", "token", "m", "root", "top"), "prefixes")
+    some = placed.filter(F.col("place") <= first).select(F.col("key").alias("of"), F.col("m.shingles").alias("set"), "token")
+    return stored(some.join(rest, (F.col("of") == F.col("key")) & (F.col("set") == F.col("m.shingles"))).select("key", "token", "m", "root", "top", "wide"), "prefixes")
 
 
 def similar_edges(rows: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """rows: a stored table of `sketch` with ``id`` and ``hash``, that of the text. Returns ``a``, ``b``:
     fingerprints to be linked since sets of shingles are alike; buckets are settled as by
     `fingerprint_components`. A bucket with more than DENSE members outside its top component is
-    settled by the prefixes of its sets, so that its pairs don't grow with the square."""
+    settled by the prefixes of its sets where that compares fewer, so that the pairs of unlike members don't
+    grow with the square."""
     sets = rows.filter("size > 0").groupBy("shingles").agg(F.min("fp").alias("fp"), F.min(F.struct("hash", "id")).alias("at"), F.min("size").alias("size"), F.min("bits").alias("bits"), F.min("bands").alias("bands"))
     sets = stored(sets, "sets")
     node = F.struct("shingles", "size", "bits")
     keyed = sets.select(node.alias("m"), F.explode("bands").alias("key"))
-    buckets = stored(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("m").alias("pivot")).filter("n > 1").withColumnRenamed("key", "bucket"), "set_buckets")
-    members = stored(keyed.join(buckets, F.col("key") == F.col("bucket")).select("key", "m", "n", "pivot"), "set_members")
-    stars = members.filter((F.col("m.shingles") != F.col("pivot.shingles")) & _near("m", "pivot", percent))
-    first = confirmed(stored(stars.select(F.col("m.shingles").alias("a"), F.col("pivot.shingles").alias("b")).distinct(), "set_stars"), texts, sets, shingle, percent)
+    # Each bucket has pivots of its own, so that a group which shares many buckets is tied together by many of them.
+    pivots = [F.min(F.struct(F.xxhash64("key", "m.shingles", F.lit(n)).alias("h"), "m"))["m"] for n in range(PIVOTS)]
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*pivots)).alias("pivots")).filter("n > 1").withColumnRenamed("key", "bucket")
+    members = stored(keyed.join(stored(buckets, "set_buckets"), F.col("key") == F.col("bucket")).select("key", "m", "n", "pivots"), "set_members")
+    stars = members.select("m", F.explode("pivots").alias("pivot")).filter((F.col("m.shingles") != F.col("pivot.shingles")) & _near("m", "pivot", percent))
+    stars = stars.select(F.least("m.shingles", "pivot.shingles").alias("a"), F.greatest("m.shingles", "pivot.shingles").alias("b")).distinct()
+    stars = stored(stars, "set_stars")
+    first = confirmed(stars, own_sets(stars.select(F.explode(F.array("a", "b")).alias("shingles")).distinct(), texts, sets, shingle), percent)
     found = components(first).withColumnRenamed("node", "shingles")
     labelled = members.filter("n > 2").select("key", "m", F.col("m.shingles").alias("shingles")).join(found, "shingles", "left")
     labelled = stored(labelled.select("key", "m", F.coalesce("root", "shingles").alias("root")), "set_labelled")
@@ -355,12 +392,19 @@ def similar_edges(rows: DataFrame, texts: DataFrame, shingle: int, percent: int)
     mixed = shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), (F.sum("n") - F.max("n")).alias("outside")).filter("roots > 1")
     mixed = mixed.select(F.col("key").alias("bucket"), "top", (F.col("outside") > DENSE).alias("dense"))
     rest = stored(labelled.join(mixed, F.col("key") == F.col("bucket")).select("key", "m", "root", "top", "dense"), "set_rest")
+    own = own_sets(rest.select("m.shingles").distinct(), texts, sets, shingle)
+    wide = stored(own.select(F.col("shingles").alias("set"), wide_sketch(F.col("own")).alias("wide")), "wide")
+    rest = stored(rest.join(wide, F.col("m.shingles") == F.col("set")).drop("set"), "sketched")
     dense = rest.filter("dense")
     apart = apart_pairs(rest.filter("not dense"), None, percent)
     if dense.limit(1).count():
-        own = own_sets(dense.select("m.shingles").distinct(), texts, sets, shingle)
-        apart = apart.union(apart_pairs(dense, prefixes_of(dense, own, percent), percent)).distinct()
-    more = confirmed(stored(apart, "set_pairs"), texts, sets, shingle, percent)
+        prefixes = prefixes_of(dense, own, percent)
+        outside = F.count_if(F.col("root") != F.col("top"))
+        by_token = prefixes.groupBy("key", "token").agg((F.count("*") * outside).alias("n")).groupBy(F.col("key").alias("of")).agg(F.sum("n").alias("by_token"))
+        cheap = dense.groupBy(F.col("key").alias("bucket")).agg((F.count("*") * outside).alias("by_pair")).join(by_token, F.col("bucket") == F.col("of")).filter("by_token < by_pair").select("bucket")
+        cheap, of = stored(cheap, "by_prefix"), F.col("key") == F.col("bucket")
+        apart = apart.union(apart_pairs(dense.join(cheap, of, "left_anti"), None, percent)).union(apart_pairs(dense, prefixes.join(cheap, of, "left_semi"), percent)).distinct()
+    more = confirmed(stored(apart, "set_pairs"), own, percent)
     prints = sets.select("shingles", "fp")
     at = lambda c: prints.select(F.col("shingles").alias(c), F.col("fp").alias(f"fp_{c}"))
     alike = first.union(more).join(at("a"), "a").join(at("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from specweave.llm import simhash
 from tests.llm.test_simhash import brute_fingerprint
 
@@ -83,3 +85,17 @@ def test_one_template(spark, monkeypatch):
     assert got == {i: find(i) for i in root} and all(got[i] < i for i in planted)
     by_prefix = [f for dense, f in made if dense]
     assert by_prefix and by_prefix[0].count() < len(rows)
+
+
+def test_wide_sketches(spark):
+    """Bits of pairs at 0.8 and above stay within the bound, those of pairs at 0.65 do not."""
+    rng, rows = random.Random(9), []
+    for i in range(300):
+        n, same = 900, rng.choice([0.8, 0.65])
+        common = round(2 * n * same / (1 + same))
+        both = [rng.getrandbits(64) - (1 << 63) for _ in range(2 * n - common)]
+        rows.append((same, both[:n], both[n - common :]))
+    got = spark.createDataFrame(rows, "same double, a array<long>, b array<long>").select("same", simhash.wide_sketch(F.col("a")).alias("a"), simhash.wide_sketch(F.col("b")).alias("b")).collect()
+    far = [(r["same"], sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(r["a"], r["b"], strict=True))) for r in got]
+    most = simhash.wide_bits(80)
+    assert all((d <= most) == (same == 0.8) for same, d in far)
