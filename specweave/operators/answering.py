@@ -103,7 +103,8 @@ capacity_text = readability_text = spec_text
 
 
 def model_answer(intent: Column) -> Column:
-    """struct(text, factLabel, factValue) of a record's columns for an intent."""
+    """struct(text, factLabel, factValue) of a record's columns for an intent. The sentences
+    and labels below."""
     label = F.coalesce("modelGroup", F.lit("null"))
 
     def answer(text: Column, name: str, value: Column) -> Column:
@@ -138,7 +139,7 @@ def model_answer(intent: Column) -> Column:
 
 
 def temperature_text() -> Column:
-    """The answer text of a temperature row; only the first semicolon becomes ` and`."""
+    """The answer text of a temperature row; only the first semicolon becomes ` and`. Its sentences."""
     n = lambda c: js.format_number(F.col(c))
     points = F.regexp_replace(F.coalesce("cal_setpoints_c", F.lit("null")), "^([^;]*);", "$1 and")
     return F.concat(
