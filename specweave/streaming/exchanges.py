@@ -24,18 +24,18 @@ STATE = "seen long, role string, text string"
 def _pairs(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """A conversation's messages of one batch, in the order of turns, behind those before."""
     seen, *waiting = state.get if state.exists else (0, None, None)
-    rows = pd.concat(list(batches)).sort_values(["turn", "role", "text"], kind="stable", na_position="first")
+    rows = [row for batch in batches for row in zip(*(batch[c].astype(object).where(batch[c].notna(), None).tolist() if batch[c].hasnans else batch[c].tolist() for c in ("turn", "role", "text")), strict=True)]
     found = []
-    for role, text in zip(rows["role"], rows["text"], strict=True):
+    for _, role, text in sorted(rows, key=lambda row: [(v is not None, v) for v in row]):  # nulls first, as Spark orders them
         if seen % 2 == 0:
             waiting = [role, text]
         elif waiting[0] == "user" and role == "assistant":
             found.append((seen // 2, waiting[1], text))
         seen += 1
     state.update((seen, *(waiting if seen % 2 else (None, None))))
-    out = pd.DataFrame(found, columns=["pair", "user", "assistant"])
-    out.insert(0, "conv_id", pd.array([key[0]] * len(out), dtype="Int64"))
-    yield out
+    if found:
+        pair, user, assistant = zip(*found, strict=True)
+        yield pd.DataFrame({"conv_id": pd.array([key[0]] * len(found), dtype="Int64"), "pair": pair, "user": user, "assistant": assistant})
 
 
 def exchange_stream(messages: DataFrame) -> DataFrame:
