@@ -335,6 +335,14 @@ def _near(a: str, b: str, percent: int) -> Column:
     return sizes & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= SKETCH_BITS)
 
 
+def fewer_links(links: DataFrame) -> DataFrame:
+    """links of members ``a`` with pivots ``b`` by fewer that join the same sets: each member with its smallest
+    pivot, and that one with the member's others. A member has PIVOTS links a band at most."""
+    own = links.groupBy("a").agg(F.min("b").alias("first"), F.collect_set("b").alias("others"))
+    between = own.select(F.col("first").alias("a"), F.explode("others").alias("b")).filter("a <> b")
+    return stored(own.select("a", F.col("first").alias("b")).union(between).distinct(), "links")
+
+
 def wide_bits(percent: int) -> int:
     """Differing bits of wide sketches up to which pairs are verified: those that pairs at percent have, and
     four and a half standard deviations."""
@@ -382,9 +390,8 @@ def similar_edges(rows: DataFrame, texts: DataFrame, shingle: int, percent: int)
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*pivots)).alias("pivots")).filter("n > 1").withColumnRenamed("key", "bucket")
     members = stored(keyed.join(stored(buckets, "set_buckets"), F.col("key") == F.col("bucket")).select("key", "m", "n", "pivots"), "set_members")
     stars = members.select("m", F.explode("pivots").alias("pivot")).filter((F.col("m.shingles") != F.col("pivot.shingles")) & _near("m", "pivot", percent))
-    stars = stars.select(F.least("m.shingles", "pivot.shingles").alias("a"), F.greatest("m.shingles", "pivot.shingles").alias("b")).distinct()
-    stars = stored(stars, "set_stars")
-    first = confirmed(stars, own_sets(stars.select(F.explode(F.array("a", "b")).alias("shingles")).distinct(), texts, sets, shingle), percent)
+    stars = stored(stars.select(F.col("m.shingles").alias("a"), F.col("pivot.shingles").alias("b")).distinct(), "set_stars")
+    first = fewer_links(confirmed(stars, own_sets(stars.select(F.explode(F.array("a", "b")).alias("shingles")).distinct(), texts, sets, shingle), percent))
     found = components(first).withColumnRenamed("node", "shingles")
     labelled = members.filter("n > 2").select("key", "m", F.col("m.shingles").alias("shingles")).join(found, "shingles", "left")
     labelled = stored(labelled.select("key", "m", F.coalesce("root", "shingles").alias("root")), "set_labelled")

@@ -99,3 +99,22 @@ def test_wide_sketches(spark):
     far = [(r["same"], sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(r["a"], r["b"], strict=True))) for r in got]
     most = simhash.wide_bits(80)
     assert all((d <= most) == (same == 0.8) for same, d in far)
+
+
+def test_fewer_links(spark):
+    """Fewer links, the same components."""
+    rng = random.Random(3)
+    links = {(rng.randrange(60), 100 + rng.randrange(40)) for _ in range(90)}
+    got = {tuple(r) for r in simhash.fewer_links(spark.createDataFrame(sorted(links), "a long, b long")).collect()}
+
+    def parts(pairs):
+        root = {x: x for pair in links for x in pair}
+
+        def find(x):
+            return x if root[x] == x else find(root[x])
+
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return {x: find(x) for x in root}
+
+    assert parts(got) == parts(links) and len(got) <= len(links)
