@@ -16,9 +16,9 @@ Only different fingerprints are compared, and no bucket is expanded into all its
 3. Where a bucket of three or more still spans several components, the members
    outside the component that is most frequent there are compared with the members of
    the other components. Pairs of one component need no comparison: they are already
-   connected. Two members of a bucket that link differ in at most max_bits of the bits outside
-   the bucket's key, so of max_bits + 1 pieces of those bits they share one: only
-   members of equal pieces are paired.
+   connected. If over DENSE members are outside, only members of equal pieces are paired: two members of
+   a bucket that link differ in at most max_bits of the bits outside
+   the bucket's key, so of max_bits + 1 pieces of those bits they share one.
 
 So each component is exact, while a large group of near copies costs a few rows a member, and
 unrelated members of a bucket meet only as far as pieces of theirs are equal by chance.
@@ -251,12 +251,17 @@ def fingerprint_components(prints: DataFrame, max_bits: int = 4, known: DataFram
     labelled = members.filter("n > 2").select("key", "number", "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("key", "number", "fp", F.coalesce("root", "fp").alias("root"))
     labelled = stored(labelled, "labelled")
     shares = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = stored(shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("key", "top"), "mixed")
-    rest = labelled.join(mixed, "key").select("key", "fp", "root", "top", F.explode(outer_pieces("fp", "number", sets, segments, max_bits)).alias("piece"))
-    rest = stored(rest, "rest")
-    a, b = rest.filter("root <> top").alias("a"), rest.alias("b")
-    more = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.root") != F.col("b.root")) & linked(F.col("a.fp"), F.col("b.fp"), segments, max_bits))
-    more = stored(more.select(F.col("a.root").alias("a"), F.col("b.root").alias("b")).distinct(), "more")
+    mixed = shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), (F.sum("n") - F.max("n")).alias("outside")).filter("roots > 1")
+    mixed = stored(mixed.select("key", "top", (F.col("outside") > DENSE).alias("dense")), "mixed")
+    rest = stored(labelled.join(mixed, "key"), "rest")
+
+    def apart(rows: DataFrame, *on: str) -> DataFrame:
+        a, b = rows.filter("root <> top").alias("a"), rows.alias("b")
+        same = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on])
+        return a.join(b, same & (F.col("a.root") != F.col("b.root")) & linked(F.col("a.fp"), F.col("b.fp"), segments, max_bits)).select(F.col("a.root").alias("a"), F.col("b.root").alias("b"))
+
+    pieces = rest.filter("dense").select("key", "fp", "root", "top", F.explode(outer_pieces("fp", "number", sets, segments, max_bits)).alias("piece"))
+    more = stored(apart(rest.filter("not dense"), "key").union(apart(stored(pieces, "pieces"), "key", "piece")).distinct(), "more")
     if more.limit(1).count() == 0:
         return found
     # The components so far are the nodes of the second graph.
