@@ -69,9 +69,10 @@ def test_outer_pieces(spark):
     assert all(len(r["x"]) == 5 and set(r["x"]) & set(r["y"]) for r in got)
 
 
-@pytest.mark.parametrize("bits", [4, 6])
-def test_components(spark, bits):
-    """Dense balls, chains of links, and fingerprints of their own."""
+@pytest.mark.parametrize(("bits", "dense"), [(4, 0), (4, 256), (6, 0), (6, 256)])
+def test_components(spark, monkeypatch, bits, dense):
+    """Dense balls, chains of links, and fingerprints of their own, by pieces and by whole buckets."""
+    monkeypatch.setattr(simhash, "DENSE", dense)
     rng = random.Random(bits)
     prints = set()
     for size, radius in ((150, 3), (60, 6), (1, 0), (40, 9)):
