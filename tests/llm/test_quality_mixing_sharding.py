@@ -214,7 +214,8 @@ def test_ties_with_the_fence(spark):
     fence = quality.fences(quality.stored(quality.measures(docs), "m")).first()["fence_symbols"]
     got = quality.quality(docs).collect()
     assert 4 <= fence < 5
-    assert all(r["kept"] == (r["n_symbols"] <= fence) for r in got) and {r["kept"] for r in got if r["doc_id"] > 99} == {True, False}
+    failed = {(r["n_symbols"], "symbols" in r["failed_rules"]) for r in got}
+    assert failed == {(n, n > fence) for n in range(9)}
 
 
 def test_pack(spark):
