@@ -65,10 +65,11 @@ def hashed(line: Column) -> Column:
 def parsed(box: DataFrame) -> DataFrame:
     """A row for each row of box (``text`` and the key ``k1``, ``k2``): ``row``, a number of its
     own, the key, its ``lines`` as hashes, in order, and where some repeat the same without
-    repetitions, ``once``."""
+    repetitions, ``once``; and the different masked lines, ``words``, in the order of once, so that texts are masked once only."""
     rows = box.select(F.monotonically_increasing_id().alias("row"), "k1", "k2", masked(F.coalesce("text", F.lit(""))).alias("m"))
     # The different lines are told apart as strings: an array of structs would be compared pair by pair.
-    return stored(rows.select("row", "k1", "k2", F.transform("m", hashed).alias("lines"), F.when(F.size(F.array_distinct("m")) < F.size("m"), F.transform(F.array_distinct("m"), hashed)).alias("once")), "parsed")
+    rows = rows.withColumn("words", F.array_distinct("m"))
+    return stored(rows.select("row", "k1", "k2", F.transform("m", hashed).alias("lines"), F.when(F.size("words") < F.size("m"), F.transform("words", hashed)).alias("once"), "words"), "parsed")
 
 
 def general(own: DataFrame, least_docs: int, similar: int) -> DataFrame:
@@ -91,14 +92,14 @@ def general(own: DataFrame, least_docs: int, similar: int) -> DataFrame:
     return made.filter((F.col("template") == F.col("words")) | (n_words >= LEAST_WORDS)).drop("words")
 
 
-def recurring(box: DataFrame, lines: DataFrame, least_docs: int = LEAST_DOCS, similar: int = SIMILAR) -> DataFrame:
-    """The lines that are dropped, ``line``, each once. lines: `parsed` of box."""
+def recurring(lines: DataFrame, least_docs: int = LEAST_DOCS, similar: int = SIMILAR) -> DataFrame:
+    """The lines that are dropped, ``line``, each once. lines are `parsed`."""
     pairs = lines.select("row", F.explode(F.coalesce("once", "lines")).alias("l")).filter("l is not null").select("row", "l.line", F.explode(F.array_compact(F.array("l.leaf", "l.back"))).alias("leaf"))
     leaves = pairs.groupBy("leaf").agg(F.count("*").alias("total"), F.min("line").alias("line"), F.max("line").alias("other")).filter(F.col("total") >= least_docs)
     leaves = stored(leaves, "leaves")
     alone = leaves.filter("line = other").select("line")
     mixed = leaves.filter("line <> other").select("leaf", "total")
-    texts = box.select(F.explode(F.array_distinct(masked(F.coalesce("text", F.lit(""))))).alias("words")).select("words", hashed(F.col("words")).alias("l")).filter("l is not null")
+    texts = lines.select(F.explode(F.arrays_zip("words", F.coalesce("once", "lines").alias("l"))).alias("x")).select("x.words", "x.l").filter("l is not null")
     both = F.array(F.struct(F.col("l.leaf").alias("leaf"), F.lit(False).alias("turned")), F.struct(F.col("l.back").alias("leaf"), F.lit(True).alias("turned")))
     texts = texts.select("words", "l.line", F.explode(both).alias("of")).select("words", "line", "of.leaf", "of.turned")
     found = texts.join(sized(mixed, mixed.count()), "leaf").groupBy("leaf", "line").agg(F.any_value("words").alias("words"), F.any_value("turned").alias("turned"), F.count("*").alias("n"), F.any_value("total").alias("total"))
@@ -129,7 +130,7 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", id_col: str |
     kept = [n for n in made if n.lower() != text_col.lower()]
     box = boxed(docs, tuple(kept), text=quoted(text_col), **keys)
     lines = parsed(box.select("text", "k1", "k2"))
-    gone = stored(recurring(box.select("text"), lines, least_docs, similar), "recurring")
+    gone = stored(recurring(lines, least_docs, similar), "recurring")
     at = lines.select("k1", "k2", F.posexplode("lines").alias("place", "l")).filter("l is not null").select("k1", "k2", "place", "l.line")
     hits = at.join(sized(gone, gone.count()), "line").groupBy("k1", "k2").agg(F.collect_set("place").alias("gone"))
     # The texts go to their hits by a shuffle at any size.

@@ -12,3 +12,10 @@ def test_one_document_does_not_recur(spark):
     got = {r["doc_id"]: r["clean_text"] for r in lines.drop_recurring_lines(docs).collect()}
     assert got[0] == digits and got[1] == places and got[8] is None
     assert all(got[i] == "" for i in range(2, 8))
+
+
+def test_texts_are_masked_once(spark):
+    """Later steps read the masked lines beside their hashes."""
+    box = spark.createDataFrame([("a 1\nb  c\na 2\n\n7",), (None,)], "text string").selectExpr("text", "xxhash64(text) as k1", "hash(text) as k2")
+    rows = lines.parsed(box).select("words", F.size(F.coalesce("once", "lines")).alias("n")).collect()
+    assert sorted((r["words"], r["n"]) for r in rows) == [([""], 1), (["a <*>", "b c", "", "<*>"], 4)]
