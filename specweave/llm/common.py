@@ -15,14 +15,15 @@ BROADCAST_ROWS = 20_000
 BROADCAST_ROW_BYTES = 512
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read from there.
+def stored(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
+    """df, written once to the shared folder and read from there, with up to file_rows
+    rows a file (0: any number).
 
     This cuts the lineage: what is read survives the loss of any executor, and a
     table used twice is computed once.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("maxRecordsPerFile", file_rows) if file_rows else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,9 +2,11 @@
 
 A shard is a row of the index: the ids of some thousand documents, their terms, and the
 terms' postings in compressed sparse rows: ``counts`` postings a term, which lie one after another in
-``docs`` (places in the shard) and ``impacts``. An impact is a whole number, worked out when the
+``docs`` (places in the shard) and ``impacts``, both packed as little-endian 32-bit numbers. An impact is
+a whole number, worked out when the
 index is built from the term's occurrences, the document's length and the mean length of
-all documents. Documents stay where they are read: building shuffles nothing.
+all documents. Documents stay where they are read: building shuffles nothing. Spark reads and writes
+some thousand rows of a file at a time, whatever their size, so a file has FILE_SHARDS shards.
 
 A search sends each block of queries to all shards. A query's terms are taken one at a
 time: weight times impact is added to a dense accumulator of one number a document. The
@@ -33,8 +35,10 @@ from specweave.llm.common import BROADCAST_ROW_BYTES, BROADCAST_ROWS, quoted, st
 #: a-z, what is in no term as a blank.
 _TABLE = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
-#: A shard is closed at so many terms or documents; a document is never cut.
-SHARD_TERMS, SHARD_DOCS = 1 << 20, 1 << 16
+#: A shard is closed at so many postings, documents or bytes of different terms; a document is never cut.
+SHARD_TERMS, SHARD_DOCS, SHARD_BYTES = 1 << 20, 1 << 16, 16 << 20
+#: Shards of a file.
+FILE_SHARDS = 4
 #: Different terms of all items, and their bytes, that are sent to the shards at once.
 BLOCK_TERMS, BLOCK_BYTES = 200_000, 16 << 20
 #: Bytes of a text that are split at once.
@@ -107,26 +111,28 @@ class _Shard:
         self.places: dict[bytes, int] = {}
         self.terms: list[np.ndarray] = []
         self.tf: list[np.ndarray] = []
-        self.size = 0
+        self.size = self.bytes = 0
 
     def add(self, id_: int | None, counts: Counter[bytes]) -> None:
         self.ids.append(id_)
+        self.bytes += sum(len(t) for t in counts if t not in self.places)
         self.terms.append(np.fromiter((self.places.setdefault(t, len(self.places)) for t in counts), np.int32, len(counts)))
         self.tf.append(np.fromiter(counts.values(), np.int64, len(counts)))
         self.size += len(counts)
 
     def full(self) -> bool:
-        return self.size >= SHARD_TERMS or len(self.ids) >= SHARD_DOCS
+        return self.size >= SHARD_TERMS or len(self.ids) >= SHARD_DOCS or self.bytes >= SHARD_BYTES
 
     def row(self, n_docs: int, total: int) -> pa.RecordBatch:
         doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), [len(t) for t in self.terms])
         length, of = np.array([t.sum() for t in self.tf], dtype=np.int64), np.concatenate(self.terms)
         order = np.argsort(of, kind="stable")
-        impacts = impact(np.concatenate(self.tf), length[doc], n_docs, total)[order].astype(np.int32)
+        impacts = impact(np.concatenate(self.tf), length[doc], n_docs, total)[order]
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        packed = lambda a: pa.array([a.astype("<i4").tobytes()], pa.binary())
         terms = pa.array([t.decode("utf-8", "replace") for t in self.places], pa.string())
-        lists = [pa.array(self.ids, pa.int64()), terms, *map(pa.array, (np.bincount(of, minlength=len(self.places)).astype(np.int32), doc[order], impacts))]
-        return pa.RecordBatch.from_arrays([one(a) for a in lists], names=["ids", "terms", "counts", "docs", "impacts"])
+        lists = [pa.array(self.ids, pa.int64()), terms, pa.array(np.bincount(of, minlength=len(self.places)).astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*map(one, lists), packed(doc[order]), packed(impacts)], names=["ids", "terms", "counts", "docs", "impacts"])
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
@@ -147,8 +153,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
         if shard.ids:
             yield shard.row(n_docs, total)
 
-    table = own.mapInArrow(shards, "ids array<long>, terms array<string>, counts array<int>, docs array<int>, impacts array<int>")
-    return Index(stored(table, "shards"), n_docs, total)
+    table = own.mapInArrow(shards, "ids array<long>, terms array<string>, counts array<int>, docs binary, impacts binary")
+    return Index(stored(table, "shards", FILE_SHARDS), n_docs, total)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, no_id: np.ndarray, k: int) -> np.ndarray:
@@ -174,16 +180,16 @@ def _hits(index: Index, block: pa.Table, k: int, kind: str) -> DataFrame:
         held: dict[int, tuple] = {}
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, own, counts, docs, impacts = (batch.column(c)[row].values for c in ("ids", "terms", "counts", "docs", "impacts"))
+                ids, own, counts = (batch.column(c)[row].values for c in ("ids", "terms", "counts"))
                 no_id, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
-                docs, impacts = docs.to_numpy(), impacts.to_numpy().astype(np.int64)
+                docs, impacts = (np.frombuffer(batch.column(c)[row].as_buffer(), "<i4") for c in ("docs", "impacts"))
                 edges = np.concatenate([[0], np.cumsum(counts.to_numpy(), dtype=np.int64)])
                 at = pc.index_in(terms, value_set=own).fill_null(-1).to_numpy()
                 for item, (a, b) in enumerate(zip(starts, ends, strict=True)):
                     scores, found = np.zeros(len(ids), dtype=np.int64), False
                     for t, f in zip(at[term[a:b]], factor[a:b], strict=True):
                         if t >= 0:
-                            scores[docs[edges[t] : edges[t + 1]]] += f * impacts[edges[t] : edges[t + 1]]
+                            scores[docs[edges[t] : edges[t + 1]]] += f * impacts[edges[t] : edges[t + 1]].astype(np.int64)
                             found = True
                     if found:
                         places = best(scores, ids, no_id, k)

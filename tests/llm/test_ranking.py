@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from specweave.llm import ranking
 
@@ -88,3 +89,23 @@ def test_long_documents_do_not_overflow():
     tf, length = np.array([1, 2]), np.array([10**9, 5])
     got = ranking.impact(tf, length, 10**12, 10**15)
     assert got.tolist() == [10**9 * t // (1000 * t + 8 * (25 + 75 * n * 10**12 // 10**15)) for t, n in ((1, 10**9), (2, 5))]
+
+
+def test_files_hold_few_shards(spark):
+    """Spark decodes thousands of rows of a file at once, so no file may have many shards."""
+    n = 6 * ranking.SHARD_DOCS + 10
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 97, F.lit(" common")).alias("text")).coalesce(1)
+    index = ranking.build(docs)
+    files = [r["count"] for r in index.shards.groupBy(F.input_file_name()).count().collect()]
+    assert sum(files) == 7 and max(files) <= 4
+    # Packed, a posting takes four bytes in each column, and the counts cover them all.
+    sizes = index.shards.selectExpr("octet_length(docs) as d", "octet_length(impacts) as i", "4 * aggregate(counts, 0, (a, c) -> a + c) as n").collect()
+    assert all(r["d"] == r["i"] == r["n"] for r in sizes) and sum(r["n"] for r in sizes) == 8 * n
+    found = ranking.search(index, spark.createDataFrame([(1, "W5")], "item_id long, text string"))
+    assert [r["doc_id"] for r in found.orderBy("rank").collect()] == [5 + 97 * i for i in range(10)]
+
+
+def test_long_terms_close_a_shard(spark):
+    docs = [(i, f"{chr(97 + i) * 6_000_000} common") for i in range(9)]
+    index = ranking.build(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    assert sorted(len(r["ids"]) for r in index.shards.select("ids").collect()) == [3, 3, 3]
