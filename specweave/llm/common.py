@@ -43,6 +43,13 @@ def sized(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that shuffles both sides, whatever Spark takes their sizes for. It sizes rows that
+    are made by an explode or in Python by what they are made from, and a stored table by its
+    compressed bytes, so that it may broadcast a table many times its threshold."""
+    return df.hint("merge")
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns of these names (Spark resolves names without case)."""
     taken = {n.lower() for n in names}
@@ -97,7 +104,7 @@ def components(edges: DataFrame) -> DataFrame:
     every edge once and then halves the paths to the root; each round's labels are a
     table in the shared folder. Labels meet in ``min``, which Spark combines before the
     shuffle; nodes with very many neighbours and roots of very many nodes are hot keys
-    of a `lookup`, so they need no task of their own. Nulls and loops are left out; of no
+    of a `lookup`, so they need no task of their own. Other rows are always shuffled. Nulls and loops are left out; of no
     edges the result is empty.
     """
     edges = edges.filter("a is not null and b is not null and a <> b")
@@ -108,10 +115,10 @@ def components(edges: DataFrame) -> DataFrame:
         return labels
     hubs = hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b", n_edges)
     while True:
-        near = lookup(both, labels.select(F.col("node").alias("b"), "root"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        best = stored(labels.select("node", "root").join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old")), "best")
+        near = lookup(both, shuffled(labels.select(F.col("node").alias("b"), "root")), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        best = stored(labels.select("node", "root").join(shuffled(near), "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old")), "best")
         jump = best.select(F.col("node").alias("root"), F.col("root").alias("jump"))
         large = hot_keys(best.groupBy("root").agg(F.count("*").alias("n")), "root", n_nodes)
-        labels = stored(lookup(best, jump, "root", large).select("node", F.least("root", "jump").alias("root"), "old"), "labels")
+        labels = stored(lookup(best, shuffled(jump), "root", large).select("node", F.least("root", "jump").alias("root"), "old"), "labels")
         if labels.filter("root <> old").limit(1).count() == 0:
             return labels.select("node", "root")

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specweave.llm.common import boxed, hot_keys, lookup, quoted, sized, stored, unboxed, word_count
+from specweave.llm.common import BROADCAST_ROWS, boxed, hot_keys, lookup, quoted, shuffled, sized, stored, unboxed, word_count
 
 WHOLE = 1.25
 
@@ -160,7 +160,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards
     of_group = stored(ranked.select("group", "rows", F.size(F.filter("upto", lambda n: n <= F.col("rank"))).alias("shard")), "shard_of_group")
     # Giants are kept out of the shuffle like hot keys, and meet their parts below.
     hot = [*hot_keys(of_group, "group", total["rows"], "rows"), *(g["group"] for g in giants)]
-    rows = lookup(box, of_group.select("group", "shard"), "group", hot)
+    by_group = of_group.select("group", "shard")
+    rows = lookup(box, by_group if total["groups"] <= BROADCAST_ROWS else shuffled(by_group), "group", hot)
     if giants:
         cut = F.broadcast(spark.createDataFrame([(g["group"], n, up) for g, n, up in zip(giants, parts, upto, strict=False)], "group long, parts int, upto array<long>"))
         # The parts of a giant's rows are stored, so that they are the same wherever they are read.

@@ -29,6 +29,9 @@ BAND minimum hashes are candidates, taken from their buckets in the same steps,
 link if the exact Jaccard similarity of their sets of shingles reaches percent. A pair
 at 0.8 shares a band with probability 0.998. Buckets of very many texts that are alike, but
 not enough, as pages of one template are, are settled by prefixes of their sets (`prefixes_of`).
+
+Joins are `shuffled`: keys are up to some hundred rows a fingerprint, and stored members repeat their pivots and
+sketches, both of which Spark sizes far too low for a broadcast.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specweave.llm.common import boxed, components, hot_keys, lookup, quoted, stored, unboxed
+from specweave.llm.common import boxed, components, hot_keys, lookup, quoted, shuffled, stored, unboxed
 
 SEED = 42
 #: Segments of the longest chain that is tested; the one of all segments is the Hamming distance itself.
@@ -244,19 +247,19 @@ def fingerprint_components(prints: DataFrame, max_bits: int = 4, known: DataFram
     buckets = stored(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).filter("n > 1").withColumnRenamed("key", "bucket"), "buckets")
     # A bucket of two is settled by comparing both; those of three or more keep all members.
     star = (F.col("fp") != F.col("pivot")) & linked(F.col("fp"), F.col("pivot"), segments, max_bits)
-    members = stored(keyed.join(buckets, (F.col("key") == F.col("bucket")) & ((F.col("n") > 2) | star)).select("key", "number", "fp", "n", "pivot"), "members")
+    members = stored(keyed.join(shuffled(buckets), (F.col("key") == F.col("bucket")) & ((F.col("n") > 2) | star)).select("key", "number", "fp", "n", "pivot"), "members")
     stars = stored(members.filter(star).select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     found = components(stars if known is None else stars.union(known.select("a", "b")))
 
-    labelled = members.filter("n > 2").select("key", "number", "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("key", "number", "fp", F.coalesce("root", "fp").alias("root"))
+    labelled = members.filter("n > 2").select("key", "number", "fp").join(shuffled(found.withColumnRenamed("node", "fp")), "fp", "left").select("key", "number", "fp", F.coalesce("root", "fp").alias("root"))
     labelled = stored(labelled, "labelled")
     shares = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), (F.sum("n") - F.max("n")).alias("outside")).filter("roots > 1")
     mixed = stored(mixed.select("key", "top", (F.col("outside") > DENSE).alias("dense")), "mixed")
-    rest = stored(labelled.join(mixed, "key"), "rest")
+    rest = stored(labelled.join(shuffled(mixed), "key"), "rest")
 
     def apart(rows: DataFrame, *on: str) -> DataFrame:
-        a, b = rows.filter("root <> top").alias("a"), rows.alias("b")
+        a, b = rows.filter("root <> top").alias("a"), shuffled(rows).alias("b")
         same = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on])
         return a.join(b, same & (F.col("a.root") != F.col("b.root")) & linked(F.col("a.fp"), F.col("b.fp"), segments, max_bits)).select(F.col("a.root").alias("a"), F.col("b.root").alias("b"))
 
@@ -266,8 +269,8 @@ def fingerprint_components(prints: DataFrame, max_bits: int = 4, known: DataFram
         return found
     # The components so far are the nodes of the second graph.
     over = components(more).select(F.col("node").alias("root"), F.col("root").alias("over"))
-    alone = over.join(found, "root", "left_anti").select(F.col("root").alias("node"), F.col("over").alias("root"))
-    return stored(found.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root")).union(alone), "roots")
+    alone = over.join(shuffled(found), "root", "left_anti").select(F.col("root").alias("node"), F.col("over").alias("root"))
+    return stored(found.join(shuffled(over), "root", "left").select("node", F.coalesce("over", "root").alias("root")).union(alone), "roots")
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, seed: int, percent: int | None) -> DataFrame:
@@ -282,11 +285,11 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits:
     prints = stored(rows.groupBy("fp").agg(first, F.count("*").alias("n")), "different")
     similar = None if percent is None else similar_edges(rows, docs.select(F.struct(F.xxhash64(text).alias("hash"), quoted(id_col).alias("id")).alias("at"), text.alias("text")), shingle, percent)
     found = fingerprint_components(prints.select("fp"), max_bits, similar)
-    roots = stored(prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root")), "roots")
+    roots = stored(prints.join(shuffled(found.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root")), "roots")
     least = stored(roots.groupBy("root").agg(F.min("first").alias("first")), "least")
     large = hot_keys(roots.groupBy("root").agg(F.count("*").alias("n")), "root", roots.count())
-    by_print = stored(lookup(roots.select("fp", "n", "root"), least, "root", large).select("fp", "n", "first"), "by_print")
-    return lookup(rows.select("id", "hash", "fp"), by_print.select("fp", "first"), "fp", hot_keys(by_print, "fp", rows.count()))
+    by_print = stored(lookup(roots.select("fp", "n", "root"), shuffled(least), "root", large).select("fp", "n", "first"), "by_print")
+    return lookup(rows.select("id", "hash", "fp"), shuffled(by_print.select("fp", "first")), "fp", hot_keys(by_print, "fp", rows.count()))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 4, seed: int = SEED, percent: int | None = None) -> DataFrame:
@@ -323,14 +326,15 @@ def wide_sketch(own: Column) -> Column:
 def own_sets(wanted: DataFrame, texts: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
     """wanted (different ``shingles``) with ``own``, the hashes themselves. texts has ``at`` (text hash and id) and
     ``text``; sets names one row for each set, so that of many copies one is read."""
-    found = texts.join(wanted.join(sets, "shingles").select("shingles", F.col("at").alias("first")), F.col("at").eqNullSafe(F.col("first"))).groupBy("shingles").agg(F.any_value("text").alias("text"))
+    at = wanted.join(shuffled(sets), "shingles").select("shingles", F.col("at").alias("first"))
+    found = texts.join(shuffled(at), F.col("at").eqNullSafe(F.col("first"))).groupBy("shingles").agg(F.any_value("text").alias("text"))
     return stored(found.select("shingles", shingle_set(F.col("text"), shingle).alias("own")), "shingle_sets")
 
 
 def confirmed(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """The rows ``a``, ``b`` of pairs (digests of sets) whose Jaccard similarity reaches percent."""
     x, y = own.select(F.col("shingles").alias("a"), F.col("own").alias("x")), own.select(F.col("shingles").alias("b"), F.col("own").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
+    both = pairs.join(shuffled(x), "a").join(shuffled(y), "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
     return stored(both.filter(F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * percent).select("a", "b"), "confirmed")
 
 
@@ -364,7 +368,7 @@ def apart_pairs(rest: DataFrame, prefixes: DataFrame | None, percent: int) -> Da
     y = rows.select(*[F.col(c).alias(f"{c}_") for c in on], F.col("m").alias("w"), "root", F.col("wide").alias("t"))
     same = F.expr(" and ".join(f"{c} = {c}_" for c in on))
     far = reduce(lambda a, b: a + b, [F.bit_count(F.col("s")[i].bitwiseXOR(F.col("t")[i])) for i in range(WIDE // 64)])
-    found = x.join(y, same & (F.col("r") != F.col("root")) & _near("v", "w", percent) & (far <= wide_bits(percent)))
+    found = x.join(shuffled(y), same & (F.col("r") != F.col("root")) & _near("v", "w", percent) & (far <= wide_bits(percent)))
     return found.select(F.least("v.shingles", "w.shingles").alias("a"), F.greatest("v.shingles", "w.shingles").alias("b")).distinct()  # a pair may come both ways round
 
 
@@ -372,12 +376,12 @@ def prefixes_of(rest: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """A row for each member of a bucket and each ``token`` of its prefix. In the order of their frequency in the
     bucket, two sets of the similarity share one of their first tokens: of the n of a set, the first n - ceil(n
     * percent / 100) + 1. What very many members share, as pages of one template do, comes last and leads to no pairs."""
-    tokens = rest.select("key", "m").join(own.select(F.col("shingles").alias("set"), "own"), F.col("m.shingles") == F.col("set")).select("key", "m", F.explode("own").alias("token"))
+    tokens = rest.select("key", "m").join(shuffled(own.select(F.col("shingles").alias("set"), "own")), F.col("m.shingles") == F.col("set")).select("key", "m", F.explode("own").alias("token"))
     counted = tokens.withColumn("n", F.count("*").over(Window.partitionBy("key", "token")))
     placed = counted.withColumn("place", F.row_number().over(Window.partitionBy("key", "m").orderBy("n", "token")))
     first = F.col("m.size") - F.ceil(F.col("m.size") * percent / 100) + 1
     some = placed.filter(F.col("place") <= first).select(F.col("key").alias("of"), F.col("m.shingles").alias("set"), "token")
-    return stored(some.join(rest, (F.col("of") == F.col("key")) & (F.col("set") == F.col("m.shingles"))).select("key", "token", "m", "root", "top", "wide"), "prefixes")
+    return stored(some.join(shuffled(rest), (F.col("of") == F.col("key")) & (F.col("set") == F.col("m.shingles"))).select("key", "token", "m", "root", "top", "wide"), "prefixes")
 
 
 def similar_edges(rows: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -393,31 +397,31 @@ def similar_edges(rows: DataFrame, texts: DataFrame, shingle: int, percent: int)
     # Each bucket has pivots of its own, so that a group which shares many buckets is tied together by many of them.
     pivots = [F.min(F.struct(F.xxhash64("key", "m.shingles", F.lit(n)).alias("h"), "m"))["m"] for n in range(PIVOTS)]
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*pivots)).alias("pivots")).filter("n > 1").withColumnRenamed("key", "bucket")
-    members = stored(keyed.join(stored(buckets, "set_buckets"), F.col("key") == F.col("bucket")).select("key", "m", "n", "pivots"), "set_members")
+    members = stored(keyed.join(shuffled(stored(buckets, "set_buckets")), F.col("key") == F.col("bucket")).select("key", "m", "n", "pivots"), "set_members")
     stars = members.select("m", F.explode("pivots").alias("pivot")).filter((F.col("m.shingles") != F.col("pivot.shingles")) & _near("m", "pivot", percent))
     stars = stored(stars.select(F.col("m.shingles").alias("a"), F.col("pivot.shingles").alias("b")).distinct(), "set_stars")
     first = fewer_links(confirmed(stars, own_sets(stars.select(F.explode(F.array("a", "b")).alias("shingles")).distinct(), texts, sets, shingle), percent))
     found = components(first).withColumnRenamed("node", "shingles")
-    labelled = members.filter("n > 2").select("key", "m", F.col("m.shingles").alias("shingles")).join(found, "shingles", "left")
+    labelled = members.filter("n > 2").select("key", "m", F.col("m.shingles").alias("shingles")).join(shuffled(found), "shingles", "left")
     labelled = stored(labelled.select("key", "m", F.coalesce("root", "shingles").alias("root")), "set_labelled")
     shares = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), (F.sum("n") - F.max("n")).alias("outside")).filter("roots > 1")
     mixed = mixed.select(F.col("key").alias("bucket"), "top", (F.col("outside") > DENSE).alias("dense"))
-    rest = stored(labelled.join(mixed, F.col("key") == F.col("bucket")).select("key", "m", "root", "top", "dense"), "set_rest")
+    rest = stored(labelled.join(shuffled(mixed), F.col("key") == F.col("bucket")).select("key", "m", "root", "top", "dense"), "set_rest")
     own = own_sets(rest.select("m.shingles").distinct(), texts, sets, shingle)
     wide = stored(own.select(F.col("shingles").alias("set"), wide_sketch(F.col("own")).alias("wide")), "wide")
-    rest = stored(rest.join(wide, F.col("m.shingles") == F.col("set")).drop("set"), "sketched")
+    rest = stored(rest.join(shuffled(wide), F.col("m.shingles") == F.col("set")).drop("set"), "sketched")
     dense = rest.filter("dense")
     apart = apart_pairs(rest.filter("not dense"), None, percent)
     if dense.limit(1).count():
         prefixes = prefixes_of(dense, own, percent)
         outside = F.count_if(F.col("root") != F.col("top"))
         by_token = prefixes.groupBy("key", "token").agg((F.count("*") * outside).alias("n")).groupBy(F.col("key").alias("of")).agg(F.sum("n").alias("by_token"))
-        cheap = dense.groupBy(F.col("key").alias("bucket")).agg((F.count("*") * outside).alias("by_pair")).join(by_token, F.col("bucket") == F.col("of")).filter("by_token < by_pair").select("bucket")
-        cheap, of = stored(cheap, "by_prefix"), F.col("key") == F.col("bucket")
+        cheap = dense.groupBy(F.col("key").alias("bucket")).agg((F.count("*") * outside).alias("by_pair")).join(shuffled(by_token), F.col("bucket") == F.col("of")).filter("by_token < by_pair").select("bucket")
+        cheap, of = shuffled(stored(cheap, "by_prefix")), F.col("key") == F.col("bucket")
         apart = apart.union(apart_pairs(dense.join(cheap, of, "left_anti"), None, percent)).union(apart_pairs(dense, prefixes.join(cheap, of, "left_semi"), percent)).distinct()
     more = confirmed(stored(apart, "set_pairs"), own, percent)
-    prints = sets.select("shingles", "fp")
+    prints = shuffled(sets.select("shingles", "fp"))
     at = lambda c: prints.select(F.col("shingles").alias(c), F.col("fp").alias(f"fp_{c}"))
     alike = first.union(more).join(at("a"), "a").join(at("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
     # Equal sets may have several fingerprints, as these count repeated shingles.
@@ -436,6 +440,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = grouped(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col, shingle, max_bits, SEED, percent)
     gone = rows.filter(F.col("id").isNotNull() & ~F.struct("id", "hash").eqNullSafe(F.struct("first.id", "first.hash"))).select("id", "hash").distinct()
     box = boxed(docs, id=quoted(id_col), hash=F.xxhash64(F.coalesce(quoted(text_col), F.lit(""))))
-    left = box.join(stored(gone, "gone"), ["id", "hash"], "left_anti")
+    left = box.join(shuffled(stored(gone, "gone")), ["id", "hash"], "left_anti")
     marked = left.withColumn("copy", F.when(F.col("id").isNull(), F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(0)))))
     return unboxed(marked.filter("copy = 1"))

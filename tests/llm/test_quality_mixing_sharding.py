@@ -249,3 +249,14 @@ def test_pack_splits_giants(spark):
     numbered = sharding.numbered(docs.selectExpr("*", "cast(doc_id % 2 as int) as s"), "s", [F.col("doc_id")], 450, "slot")
     for s in (0, 1):
         assert sorted(r["slot"] for r in numbered.filter(F.col("s") == s).collect()) == list(range(450))
+
+
+def test_many_groups_are_shuffled(spark, monkeypatch):
+    """Shards of groups grow with the groups, so they are broadcast by their counted number alone."""
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 200).alias("text"))
+    few = sharding.pack(docs, shards=3)
+    monkeypatch.setattr(sharding, "BROADCAST_ROWS", 100, raising=False)
+    many = sharding.pack(docs, shards=3)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [group" in plan(many) and "SortMergeJoin [group" not in plan(few)
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))

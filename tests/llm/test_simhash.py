@@ -145,3 +145,25 @@ def test_ring_rows(spark):
             shift, width = simhash.cuts(9)[s]
             want = want << width | (fp % (1 << 64)) >> shift & (1 << width) - 1
         assert key % (1 << 64) == want
+
+
+def plans_of(spark, run):
+    """The final plans of all that run writes and collects."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty(60_000)
+    before = store.executionsCount()
+    run()
+    bus.waitUntilEmpty(60_000)
+    found = store.executionsList()
+    return [found.apply(i).physicalPlanDescription() for i in range(before, found.size())]
+
+
+@pytest.mark.parametrize("percent", [None, 80])
+def test_no_table_is_broadcast_by_its_size(spark, percent):
+    """Spark takes key rows, made in Python, and repetitive stored tables for much smaller than they are."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices([f"w{n}" for n in range(40)], k=30))) for i in range(60)]
+    rows += [(100 + i, text + " end") for i, text in rows[:20]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plans = plans_of(spark, lambda: simhash.drop_near_duplicates(docs, max_bits=6, percent=percent).collect())
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("BroadcastExchange" in p for p in plans)
