@@ -406,7 +406,8 @@ def similar_edges(rows: DataFrame, texts: DataFrame, shingle: int, percent: int)
     labelled = stored(labelled.select("key", "m", F.coalesce("root", "shingles").alias("root")), "set_labelled")
     shares = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), (F.sum("n") - F.max("n")).alias("outside")).filter("roots > 1")
-    mixed = mixed.select(F.col("key").alias("bucket"), "top", (F.col("outside") > DENSE).alias("dense"))
+    # Stored, so that Spark can split a large bucket in the join.
+    mixed = stored(mixed.select(F.col("key").alias("bucket"), "top", (F.col("outside") > DENSE).alias("dense")), "set_mixed")
     rest = stored(labelled.join(shuffled(mixed), F.col("key") == F.col("bucket")).select("key", "m", "root", "top", "dense"), "set_rest")
     own = own_sets(rest.select("m.shingles").distinct(), texts, sets, shingle)
     wide = stored(own.select(F.col("shingles").alias("set"), wide_sketch(F.col("own")).alias("wide")), "wide")
